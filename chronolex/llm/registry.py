@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ngram_join import op5_ngram_jaccard_join
+from .suffix_dedup import op1_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op5_ngram_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_ngram_jaccard_join)}
 ORACLE: dict[str, str] = {}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .chat_tree import op10_chat_prefix_tree
 from .ngram_join import op5_ngram_jaccard_join
 from .suffix_dedup import op1_suffix_dedup
+from .token_files import op8_token_files
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_ngram_jaccard_join, op8_token_files, op10_chat_prefix_tree)}
 ORACLE: dict[str, str] = {}

@@ -4,14 +4,15 @@ Two sets of similarity t or more share a token among the first |x| - ceil(t|x|)
 *any* one order of all tokens. The join uses several orders and keeps a pair only if every one of them
 agrees, before the exact intersection is counted:
 
-1. Sampled rarity. Tokens whose hash lies in the lowest 35 percent come first, the rarer first; the rest
-   follows by hash. A document with enough tokens that no other text has needs no further look: its whole
-   prefix is its own. Copies of one set count as one, so rarity is counted per distinct set.
+1. Rarity, in two steps. Tokens that no other text has come first, then the rarer ones. A set with enough tokens of
+   its own for a whole prefix needs no further look. This is tried on the 35 percent of tokens of lowest hash,
+   over all documents, and then on all tokens of the sets that are left. Copies of one set count as one.
 2. and 3. Two independent hash orders, tested on the candidate pairs.
 
-Inside a posting list pairs are not spelt out: members are compared with a pivot first, and only members that
-are still in different components are paired afterwards, so families of thousands of variants stay linear
-while no link between two components is lost.
+Own tokens also bound the overlap of a pair, since they are in no intersection. Inside a posting list pairs are not
+spelt out: members are compared with the most central one first (least own tokens), and only members that are
+still in different components, and whose bound allows a link, are paired afterwards. So families of thousands of
+variants stay near linear, while no link between two components is lost.
 
 Edge cases: null and blank texts have no shingles, n_shingles 0, and stay alone; repeated rows and ids each
 return a row; a null id returns null as component unless its text links it; extra columns are ignored.
@@ -46,7 +47,7 @@ def _tokens(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
         yield np.unique((s >> np.uint64(1)).astype(np.int64))
 
 
-def _signatures(limit: int, n: int, percent: int):
+def _signatures(limit: int, n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes, first, second, heads = [], [], [], []
@@ -61,13 +62,11 @@ def _signatures(limit: int, n: int, percent: int):
     return run
 
 
-def _sets(limit: int, n: int, percent: int):
+def _sets(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = list(_tokens(encoded(batch["text"]), n))
-            sampled = [int(np.searchsorted(s, limit)) for s in sets]
-            head = [max(k, int(prefix_length(len(s), percent))) for s, k in zip(sets, sampled)]
-            yield pd.DataFrame({"node": batch["node"], "n": [len(s) for s in sets], "sampled": sampled, "head": head, "tokens": sets})
+            yield pd.DataFrame({"node": batch["node"], "n": [len(s) for s in sets], "tokens": sets})
 
     return run
 
@@ -111,10 +110,10 @@ def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: s
     assert percent > 100 * (1 - SAMPLED), "the sampled share of the tokens must be able to fill a prefix"
     limit = int(SAMPLED * (1 << 63))
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(docs.mapInPandas(_signatures(limit, n, percent), "id long, n long, s1 long, s2 long, head array<long>"), "signatures")
+    signed = materialise(docs.mapInPandas(_signatures(limit, n), "id long, n long, s1 long, s2 long, head array<long>"), "signatures")
     classes = signed.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.max("n").alias("n"))
 
-    # Order 1, first use: how many sampled tokens has each set for itself?
+    # Order 1, first use: how many of its sampled tokens has each set for itself?
     owners = signed.select(F.explode("head").alias("t"), "s1").groupBy("t").agg(F.min("s1").alias("s1"), F.max("s1").alias("other"))
     own = owners.where("s1 = other").groupBy("s1").agg(F.count("*").alias("own"))
     prefix = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
@@ -123,28 +122,30 @@ def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: s
 
     few = shared.count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(shared) if few else shared, docs["id"] == shared["node"]).select("node", "text")
-    sets = materialise(chosen.mapInPandas(_sets(limit, n, percent), "node long, n long, sampled long, head long, tokens array<long>").dropDuplicates(["node"]), "sets")
-
-    # Order 1, second use: the prefix of each remaining set, by rarity among these.
-    heads = sets.select("node", "n", "sampled", F.explode(F.expr("slice(tokens, 1, cast(head as int))")).alias("t"))
-    known = heads.join(heads.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "t").withColumn("first", F.col("t") < limit)
-    by_node = Window.partitionBy("node", "first")
-    ranked = known.withColumn("rank", F.row_number().over(by_node.orderBy("df", "t"))).withColumn("own", F.col("sampled") - F.count("*").over(by_node))
-    postings = materialise(ranked.where(~F.col("first") | (F.col("own") + F.col("rank") <= prefix)).select("t", "node", "n"), "postings")
-
-    # Pivot: one comparison for each set and token list, the pivot with most lists in common first.
-    pivots = postings.groupBy("t").agg(F.min("node").alias("pivot"))
-    votes = postings.join(pivots, "t").where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("node").agg(F.expr("max_by(pivot, struct(votes, -pivot))").alias("pivot"))
-    links = materialise(_verified(best.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets, percent), "links")
+    sets = materialise(chosen.mapInPandas(_sets(n), "node long, n long, tokens array<long>").dropDuplicates(["node"]), "sets")
+
+    # Order 1, second use: the prefix of each remaining set, after its own tokens, by rarity among these.
+    tokens = sets.select("node", "n", F.explode("tokens").alias("t"))
+    known = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "t")
+    by_node = Window.partitionBy("node")
+    ranked = known.withColumn("own", F.col("n") - F.count("*").over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("df", "t")))
+    postings = materialise(ranked.where(F.col("own") + F.col("rank") <= prefix).select("t", "node", "n", "own"), "postings")
+    possible = f"100 * least({{0}}.n - {{0}}.own, {{1}}.n - {{1}}.own) >= {percent} * ({{0}}.n + {{1}}.n - least({{0}}.n - {{0}}.own, {{1}}.n - {{1}}.own))"
+
+    # Pivot: one comparison for each set, with the central member that most of its lists share.
+    member = F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "own")
+    pivots = postings.groupBy("t").agg(F.min(member).alias("pivot"))
+    votes = postings.join(pivots, "t").where("node <> pivot.node").groupBy("node", "n", "own", "pivot").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("node", "n", "own").agg(F.expr("max_by(pivot, struct(votes, -pivot.node))").alias("pivot")).select(F.struct("node", "n", "own").alias("x"), F.col("pivot").alias("y"))
+    links = materialise(_verified(best.where(possible.format("x", "y")).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), sets, percent), "links")
 
     # The rest: members of a list that are still apart.
     labelled = postings.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     mixed = labelled.groupBy("t").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("t")
     labelled = materialise(labelled.join(mixed, "t"), "labelled")
-    x, y = (labelled.select("t", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label"))) for k in "xy")
-    apart = x.join(y, "t").where(f"node_x < node_y and label_x <> label_y and {percent} * greatest(n_x, n_y) <= 100 * least(n_x, n_y)")
-    rest = _verified(apart.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), sets, percent)
+    x, y = (labelled.select("t", F.struct("node", "n", "own", "label").alias(k)) for k in "xy")
+    apart = x.join(y, "t").where("x.node < y.node and x.label <> y.label and " + possible.format("x", "y"))
+    rest = materialise(_verified(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets, percent), "links")
     roots = components(links.union(rest))
 
     merged = classes.where("n > 0").join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))

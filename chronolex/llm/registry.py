@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from .chat_tree import op10_chat_prefix_tree
 from .ngram_join import op5_ngram_jaccard_join
+from .pii import op9_pii
 from .suffix_dedup import op1_suffix_dedup
 from .token_files import op8_token_files
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_ngram_jaccard_join, op8_token_files, op10_chat_prefix_tree)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_ngram_jaccard_join, op8_token_files, op9_pii, op10_chat_prefix_tree)}
 ORACLE: dict[str, str] = {}

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import encoded, materialise, mix, prefix_sums, steps, substring_hashes
 
-SEGMENT = "key long, content long, doc long, row long, start long, run long"
+SEGMENT = "key long, content long, row long, start long, run long"
 #: Bytes of segments that are sorted at a time; minimisers are never split between two such blocks.
 BLOCK_BYTES = 3 << 20
 
@@ -76,12 +76,12 @@ def _segments_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int
 def _segments(length: int, anchor: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            docs, rows = batch["doc"].to_numpy(), batch["row"].to_numpy()
+            rows = batch["row"].to_numpy()
             for first, _, data, offsets in steps(encoded(batch["text"])):
                 if len(data) <= length:
                     continue
                 text, starts, runs, keys, content = _segments_of(data, offsets, length, anchor)
-                yield pd.DataFrame({"key": keys, "content": content, "doc": docs[first + text], "row": rows[first + text], "start": starts - offsets[text], "run": runs})
+                yield pd.DataFrame({"key": keys, "content": content, "row": rows[first + text], "start": starts - offsets[text], "run": runs})
 
     return run
 
@@ -91,13 +91,13 @@ def _single_strings(length: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, row, text, spans in zip(batch["doc"], batch["row"], encoded(batch["text"]), batch["spans"]):
+            for row, text, spans in zip(batch["row"], encoded(batch["text"]), batch["spans"]):
                 data = np.frombuffer(text, np.uint8)
                 sums = prefix_sums(data)
                 at = np.concatenate([np.arange(s["start"], s["start"] + s["run"]) for s in spans])
                 plain = substring_hashes(sums, at, at + length)
                 other = substring_hashes(sums, at + 1, at + length - 1) ^ mix(plain + np.uint64(1))
-                yield pd.DataFrame({"key": plain.view(np.int64), "content": other.view(np.int64), "doc": doc, "row": row, "start": at, "run": 1})
+                yield pd.DataFrame({"key": plain.view(np.int64), "content": other.view(np.int64), "row": row, "start": at, "run": 1})
 
     return run
 
@@ -307,37 +307,43 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, anchor: int = 128, hot: int = 2000) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, removed (arrays of start, end)."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # A row is told by id and content; rows equal in both are copies at different places all the same.
-    row = ["doc", "row"]
-    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("row"))
-    segments = materialise(docs.select(*row, "text").mapInPandas(_segments(length, anchor), SEGMENT), "segments")
-
-    def weighed(found: DataFrame) -> DataFrame:
-        return found.groupBy("key", "content").agg(F.min(F.struct(*row, "start", "run")).alias("first"), F.count("*").alias("weight"))
-
-    kinds = weighed(segments)
-    several = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("weight").alias("least")).where("kinds > 1 and least = 1")
-    classes = materialise(kinds.join(several, "key", "left").where("kinds is not null or weight > 1").drop("least"), "classes")
-    mixed = classes.where(F.col("kinds") <= hot).select("key", "content", "first.*")
-    per_row = mixed.groupBy(*row).agg(F.collect_list(F.struct("key", "content", "start", "run", (F.col("run") + length - 1).alias("size"))).alias("spans"))
-    texts = docs.select(*row, "text")
-    cut = texts.join(per_row, row).select("text", "spans").mapInPandas(_cut_out, "key long, content long, run long, bytes binary")
-    ordered = cut.repartition("key").sortWithinPartitions("key")
-    verdict = ordered.mapInPandas(_sort_groups(length), "key long, content long, spans array<struct<start: long, run: long>>")
-    whole = classes.where("weight > 1").select("key", "content", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("first.run").alias("run"))).alias("spans"))
-    verdict = materialise(verdict.where(F.size("spans") > 0).join(whole.select("key", "content"), ["key", "content"], "left_anti").union(whole), "verdict")
-    found = segments.join(verdict, ["key", "content"]).select(*row, "start", F.explode("spans").alias("s"))
-    spans = found.select(*row, (F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.start") + F.col("s.run") + length - 1).alias("stop"))
-
-    over = materialise(classes.where(F.col("kinds") > hot).select("key").distinct(), "hot")
+    # Rows are told apart by id where ids are unique; else by id and content: rows equal in both have equal spans.
+    unique = docs.agg(F.count("*") == F.count_distinct("doc_id")).first()[0]
+    docs = docs.withColumn("row", F.col("doc_id") if unique else F.xxhash64("doc_id", "text"))
+    texts = docs.select("row", "text")
+    segments = materialise(texts.mapInPandas(_segments(length, anchor), SEGMENT), "segments")
+    reach = lambda start, run: (start + run + (length - 1)).alias("stop")
+
+    # Minimisers that are met once are done. Where all segments of one are equal, all of them repeat as a whole.
+    met = segments.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
+    shared = materialise(segments.join(met, "key").select(*segments.columns, (F.col("low") != F.col("high")).alias("mixed")), "shared")
+    mixed = shared.where("mixed")
+
+    # Different segments of one minimiser: one of each kind, with its weight.
+    kinds = mixed.groupBy("key", "content").agg(F.first("row").alias("row"), F.first("start").alias("start"), F.first("run").alias("run"), F.count("*").alias("weight"))
+    kinds = materialise(kinds, "kinds")
+    keys = materialise(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("weight").alias("least")), "keys")
+    chosen = kinds.join(keys.where((F.col("kinds") <= hot) & (F.col("least") == 1)).select("key"), "key")
+    per_row = chosen.groupBy("row").agg(F.collect_list(F.struct("key", "content", "start", "run", (F.col("run") + (length - 1)).alias("size"))).alias("spans"))
+    cut = texts.join(per_row, "row").select("text", "spans").mapInPandas(_cut_out, "key long, content long, run long, bytes binary")
+    ordered = cut.dropDuplicates(["key", "content"]) if not unique else cut
+    ordered = ordered.repartition("key").sortWithinPartitions("key")
+    sorted_ = ordered.mapInPandas(_sort_groups(length), "key long, content long, spans array<struct<start: long, run: long>>").where(F.size("spans") > 0)
+    whole = kinds.where("weight > 1").select("key", "content", F.array(F.struct(F.lit(0).cast("long").alias("start"), "run")).alias("spans"))
+    verdict = materialise(sorted_.join(whole.select("key", "content"), ["key", "content"], "left_anti").union(whole), "verdict")
+    found = mixed.join(verdict, ["key", "content"]).select("row", "start", F.explode("spans").alias("s"))
+    spans = shared.where("not mixed").select("row", "start", reach(F.col("start"), F.col("run")))
+    spans = spans.union(found.select("row", (F.col("start") + F.col("s.start")).alias("start"), reach(F.col("start") + F.col("s.start"), F.col("s.run"))))
+
+    over = keys.where((F.col("kinds") > hot) & (F.col("least") == 1)).select("key")
     if over.limit(1).count():
-        hot_rows = segments.join(over, "key").groupBy(*row).agg(F.collect_list(F.struct("start", "run")).alias("spans"))
-        strings = materialise(texts.join(hot_rows, row).select(*row, "text", "spans").mapInPandas(_single_strings(length), SEGMENT), "strings")
-        repeated = weighed(strings).where("weight > 1").select("key", "content")
-        spans = spans.union(strings.join(repeated, ["key", "content"]).select(*row, "start", (F.col("start") + length).alias("stop")))
-    merged = spans.groupBy(*row).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        hot_rows = mixed.join(over, "key").groupBy("row").agg(F.collect_list(F.struct("start", "run")).alias("spans"))
+        strings = materialise(texts.join(hot_rows, "row").select("row", "text", "spans").mapInPandas(_single_strings(length), SEGMENT), "strings")
+        repeated = strings.groupBy("key", "content").agg(F.count("*").alias("n")).where("n > 1").select("key", "content")
+        spans = spans.union(strings.join(repeated, ["key", "content"]).select("row", "start", (F.col("start") + length).alias("stop")))
+    merged = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return (
-        docs.join(merged, row, "left").select("doc_id", "text", "spans")
+        docs.join(merged, "row", "left").select("doc_id", "text", "spans")
         .mapInPandas(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>")
         .withColumnRenamed("doc_id", id_col)
     )

@@ -17,9 +17,7 @@ each other, ordered by text hash; an empty table gives empty files; extra column
 
 from __future__ import annotations
 
-import unicodedata
 import uuid
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -42,42 +40,53 @@ _encoders: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder(dict):
-    """Little-endian 32-bit ids of each chunk met so far."""
+    """Little-endian ids of each chunk met so far, in two bytes each where the vocabulary allows it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = id_type(self.tokenizer)
+        # Tokens that end a word, where the vocabulary marks them: they tell joined words apart again.
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if c.isprintable() and unicodedata.is_normalized("NFC", c)]
-        other = [c for c in chunks if not (c.isprintable() and unicodedata.is_normalized("NFC", c))]
-        for at in range(0, len(plain), 256):
-            group = plain[at : at + 256]
-            starts = np.cumsum([0] + [len(c) + 1 for c in group])
-            encoding = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
-            ids = np.array(encoding.ids, "<u4")
-            first = np.fromiter((o[0] for o in encoding.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(first, starts)
-            for c, a, b in zip(group, cuts[:-1].tolist(), cuts[1:].tolist()):
-                self[c] = ids[a:b].tobytes()
+        """Encode new chunks: plain words, with one mark after them or none, together; others one by one."""
+        words = [[c for c in chunks if c.isalpha()], [c for c in chunks if c[-1:] in ".,;:!?" and c[:-1].isalpha()]] if self.ends.any() else []
+        for pieces, plain in enumerate(words, 1):
+            for at in range(0, len(plain), 512):
+                group = plain[at : at + 512]
+                ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, self.kind)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == pieces * len(group):
+                    cuts, raw, width = cuts[pieces - 1 :: pieces].tolist(), ids.tobytes(), ids.itemsize
+                    self.update(zip(group, [raw[a * width : b * width] for a, b in zip([0, *cuts], cuts)]))
+        other = [c for c in chunks if c not in self]
         for c, encoding in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            self[c] = np.array(encoding.ids, "<u4").tobytes()
+            self[c] = np.array(encoding.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self) > REMEMBERED:
-            self.clear()
+        if len(self) > REMEMBERED:  # what came first is what comes most
+            for c in list(self)[REMEMBERED // 2 :]:
+                del self[c]
         self.learn([c for c in set(chain.from_iterable(chunks)) if c not in self])
         for own in chunks:
             yield b"".join(map(self.__getitem__, own))
 
 
+def id_type(tokenizer) -> str:
+    return "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def _tokenised(path: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if path not in _encoders:
             _encoders[path] = ChunkEncoder(path)
-        encoder, end = _encoders[path], np.array([end_id], "<u4").tobytes()
+        encoder = _encoders[path]
+        end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
@@ -87,15 +96,18 @@ def _tokenised(path: str, end_id: int):
     return run
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for at in range(0, len(batch), 500):
-            counts = np.bincount(np.frombuffer(b"".join(batch["ids"].iloc[at : at + 500]), "<u4"))
-            total = np.pad(total, (0, max(0, len(counts) - len(total))))
-            total[: len(counts)] += counts
-    seen = np.flatnonzero(total)
-    yield pd.DataFrame({"id": seen, "count": total[seen]})
+def _counted(kind: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                counts = np.bincount(np.frombuffer(b"".join(batch["ids"].iloc[at : at + 500]), kind))
+                total = np.pad(total, (0, max(0, len(counts) - len(total))))
+                total[: len(counts)] += counts
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"id": seen, "count": total[seen]})
+
+    return run
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -120,16 +132,18 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _blocks(rank_of: np.ndarray):
+def _blocks(rank_of: np.ndarray, kind: str):
+    width = np.dtype(kind).itemsize
+
     def block(part: int, number: int, doc_ids: list, texts: list[bytes]) -> dict:
-        control, data = pack(rank_of[np.frombuffer(b"".join(texts), "<u4")])
-        return {"part": part, "block": number, "doc_ids": doc_ids, "counts": [len(t) // 4 for t in texts], "control": control, "data": data}
+        control, data = pack(rank_of[np.frombuffer(b"".join(texts), kind)])
+        return {"part": part, "block": number, "doc_ids": doc_ids, "counts": [len(t) // width for t in texts], "control": control, "data": data}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, number, doc_ids, texts, size = 0, 0, [], [], 0
         for batch in batches:
             for part, doc_id, ids in zip(batch["part"], batch["doc_id"], batch["ids"]):
-                if texts and size + len(ids) > 4 * BLOCK_IDS:
+                if texts and size + len(ids) > width * BLOCK_IDS:
                     yield pd.DataFrame([block(part, number, doc_ids, texts)])
                     number, doc_ids, texts, size = number + 1, [], [], 0
                 doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
@@ -142,9 +156,12 @@ def _blocks(rank_of: np.ndarray):
 
 
 def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+    from tokenizers import Tokenizer
+
+    kind = id_type(Tokenizer.from_file(tokenizer))
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     tokens = materialise(docs.mapInPandas(_tokenised(tokenizer, end_id), "doc_id long, tie long, ids binary"), "tokens")
-    counts = tokens.select("ids").mapInPandas(_counted, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    counts = tokens.select("ids").mapInPandas(_counted(kind), "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
     # One row for each id of the vocabulary at most: what reaches the driver doesn't grow with the documents.
     by_rank = [r["id"] for r in counts.orderBy(F.desc("count"), "id").collect()]
     spark = documents.sparkSession
@@ -152,7 +169,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
     rank_of = np.zeros(max(by_rank, default=0) + 1, np.uint32)
     rank_of[np.array(by_rank, np.int64)] = np.arange(len(by_rank))
     ordered = tokens.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "tie").select(F.spark_partition_id().alias("part"), "doc_id", "ids")
-    ordered.mapInPandas(_blocks(rank_of), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInPandas(_blocks(rank_of, kind), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -110,8 +110,8 @@ def learn_patterns(mentions: DataFrame, rounds: int = 3, support: int = 10, conf
     return patterns.where(F.col("weight") >= confidence).select("pattern")
 
 
-def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 10, confidence: float = 0.95) -> DataFrame:
-    """The documents' id and text with `base` and `spans`, arrays of kind, start and stop; base comes first."""
+def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 10, confidence: float = 0.95, keep_text: bool = False) -> DataFrame:
+    """The documents' id with `base` and `spans`, arrays of kind, start and stop, base first; keep_text: all columns too."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
     found = docs.select("id", "row", "text", base_spans(text).alias("base"))
@@ -128,7 +128,13 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     new = each.where(~F.col("seed")).select("row", "t.start", "t.stop", "t.pattern").distinct().join(trusted, "pattern", "left_semi")
     added = new.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit("context").alias("kind"), "start", "stop"))).alias("added"))
     plain = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["stop"].alias("stop")))
-    return looked.join(added, "row", "left").select(F.col("id").alias(id_col), plain.alias("base"), F.concat(plain, F.coalesce("added", F.array().cast(SPAN))).alias("spans"))
+    spans = [plain.alias("base"), F.concat(plain, F.coalesce("added", F.array().cast(SPAN))).alias("spans")]
+    result = looked.join(added, "row", "left").select(F.col("id").alias(id_col), "row", *spans)
+    if not keep_text:
+        return result.drop("row")
+    # Rows equal in id and text have equal spans; texts without any need not wait for the join.
+    marked = result.where(F.size("spans") > 0).select("row", *("base", "spans")).dropDuplicates(["row"])
+    return documents.withColumn("row", F.xxhash64(F.col(id_col), F.col(text_col))).join(marked, "row", "left").drop("row").withColumns({c: F.coalesce(c, F.array().cast(SPAN)) for c in ("base", "spans")})
 
 
 def joined(spans: Column) -> Column:

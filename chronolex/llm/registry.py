@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .chat_tree import op10_chat_prefix_tree
+from .decontaminate import op2_decontaminate
 from .ngram_join import op5_ngram_jaccard_join
+from .packing import op6_packing
 from .paragraph_dedup import op4_paragraph_dedup
 from .pii import op9_pii
 from .suffix_dedup import op1_suffix_dedup
@@ -11,5 +13,5 @@ from .token_files import op8_token_files
 from .toxicity import op7_toxicity
 from .vector_search import op3_nearest_neighbours
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_nearest_neighbours, op4_paragraph_dedup, op5_ngram_jaccard_join, op7_toxicity, op8_token_files, op9_pii, op10_chat_prefix_tree)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_nearest_neighbours, op4_paragraph_dedup, op5_ngram_jaccard_join, op6_packing, op7_toxicity, op8_token_files, op9_pii, op10_chat_prefix_tree)}
 ORACLE: dict[str, str] = {}

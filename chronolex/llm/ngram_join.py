@@ -9,7 +9,8 @@ agrees, before the exact intersection is counted:
    over all documents, and then on all tokens of the sets that are left. Copies of one set count as one.
 2. and 3. Two independent hash orders, tested on the candidate pairs.
 
-Own tokens also bound the overlap of a pair, since they are in no intersection. Inside a posting list pairs are not
+Own tokens also bound the overlap of a pair, since they are in no intersection, and the sizes of both say how early their
+first common token must come. Inside a posting list pairs are not
 spelt out: members are compared with the most central one first (least own tokens), and only members that are
 still in different components, and whose bound allows a link, are paired afterwards. So families of thousands of
 variants stay near linear, while no link between two components is lost.
@@ -129,7 +130,8 @@ def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: s
     known = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "t")
     by_node = Window.partitionBy("node")
     ranked = known.withColumn("own", F.col("n") - F.count("*").over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("df", "t")))
-    postings = materialise(ranked.where(F.col("own") + F.col("rank") <= prefix).select("t", "node", "n", "own"), "postings")
+    ranked = ranked.withColumn("place", F.col("own") + F.col("rank"))
+    postings = materialise(ranked.where(F.col("place") <= prefix).select("t", "node", "n", "own", "place"), "postings")
     possible = f"100 * least({{0}}.n - {{0}}.own, {{1}}.n - {{1}}.own) >= {percent} * ({{0}}.n + {{1}}.n - least({{0}}.n - {{0}}.own, {{1}}.n - {{1}}.own))"
 
     # Pivot: one comparison for each set, with the central member that most of its lists share.
@@ -143,8 +145,11 @@ def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: s
     labelled = postings.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     mixed = labelled.groupBy("t").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("t")
     labelled = materialise(labelled.join(mixed, "t"), "labelled")
-    x, y = (labelled.select("t", F.struct("node", "n", "own", "label").alias(k)) for k in "xy")
-    apart = x.join(y, "t").where("x.node < y.node and x.label <> y.label and " + possible.format("x", "y"))
+    x, y = (labelled.select("t", F.struct("node", "n", "own", "label", "place").alias(k)) for k in "xy")
+    # A pair of these sizes needs so many tokens in common; its first common one comes early enough in both sets.
+    need = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
+    early = " and ".join(f"{k}.place <= {k}.n - {need} + 1" for k in "xy")
+    apart = x.join(y, "t").where(f"x.node < y.node and x.label <> y.label and {early} and " + possible.format("x", "y"))
     rest = materialise(_verified(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets, percent), "links")
     roots = components(links.union(rest))
 

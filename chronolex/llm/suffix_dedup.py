@@ -9,7 +9,7 @@ strings with one minimiser form a segment, which is what travels, not the string
 * Where a minimiser has several different segments, their suffixes are sorted in two stages (`two_stage`): only
   suffixes smaller than their successor are sorted directly, the others are induced by scans over the buckets
   of first bytes. Strings that share `length` bytes with a neighbour in that order repeat.
-* A minimiser with over `hot` different segments is dealt out once more, by the full content of every string:
+* The strings of a minimiser with over `hot` different segments are dealt out once more, by their full content:
   again equal strings meet, and nothing else does, so no group is too large for its task and none is skipped.
 
 The bytes decide inside a task; across tasks segments are told apart by minimiser and content hash, 128 bits.
@@ -33,7 +33,7 @@ from .common import encoded, materialise, mix, prefix_sums, steps, substring_has
 
 SEGMENT = "key long, content long, row long, start long, run long"
 #: Bytes of segments that are sorted at a time; minimisers are never split between two such blocks.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 3 << 19
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -87,17 +87,16 @@ def _segments(length: int, anchor: int):
 
 
 def _single_strings(length: int):
-    """Segments of hot minimisers as strings of their own, dealt out by their whole content."""
+    """The strings of segments of hot minimisers, each by two hashes of its whole content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row, text, spans in zip(batch["row"], encoded(batch["text"]), batch["spans"]):
-                data = np.frombuffer(text, np.uint8)
-                sums = prefix_sums(data)
-                at = np.concatenate([np.arange(s["start"], s["start"] + s["run"]) for s in spans])
+            for key, content, n, text in zip(batch["key"], batch["content"], batch["run"], batch["bytes"]):
+                sums = prefix_sums(np.frombuffer(text, np.uint8))
+                at = np.arange(n)
                 plain = substring_hashes(sums, at, at + length)
                 other = substring_hashes(sums, at + 1, at + length - 1) ^ mix(plain + np.uint64(1))
-                yield pd.DataFrame({"key": plain.view(np.int64), "content": other.view(np.int64), "row": row, "start": at, "run": 1})
+                yield pd.DataFrame({"h1": plain.view(np.int64), "h2": other.view(np.int64), "key": key, "content": content, "start": at})
 
     return run
 
@@ -279,14 +278,15 @@ def _sort_groups(length: int):
 
 def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = [(s["key"], s["content"], s["run"], text[s["start"] : s["start"] + s["size"]]) for text, spans in zip(encoded(batch["text"]), batch["spans"]) for s in spans]
-        yield pd.DataFrame(out, columns=["key", "content", "run", "bytes"])
+        out = [(s["key"], s["content"], s["hot"], s["run"], text[s["start"] : s["start"] + s["size"]]) for text, spans in zip(encoded(batch["text"]), batch["spans"]) for s in spans]
+        yield pd.DataFrame(out, columns=["key", "content", "hot", "run", "bytes"])
 
 
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for doc_id, text, spans in zip(batch["doc_id"], encoded(batch["text"]), batch["spans"]):
+        for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"]):
+            (text,) = encoded([text])
             merged: list[list[int]] = []
             for s, e in sorted((s["start"], s["stop"]) for s in spans) if spans is not None else ():
                 if merged and s <= merged[-1][1]:
@@ -323,24 +323,21 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     kinds = mixed.groupBy("key", "content").agg(F.first("row").alias("row"), F.first("start").alias("start"), F.first("run").alias("run"), F.count("*").alias("weight"))
     kinds = materialise(kinds, "kinds")
     keys = materialise(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("weight").alias("least")), "keys")
-    chosen = kinds.join(keys.where((F.col("kinds") <= hot) & (F.col("least") == 1)).select("key"), "key")
-    per_row = chosen.groupBy("row").agg(F.collect_list(F.struct("key", "content", "start", "run", (F.col("run") + (length - 1)).alias("size"))).alias("spans"))
-    cut = texts.join(per_row, "row").select("text", "spans").mapInPandas(_cut_out, "key long, content long, run long, bytes binary")
-    ordered = cut.dropDuplicates(["key", "content"]) if not unique else cut
-    ordered = ordered.repartition("key").sortWithinPartitions("key")
+    chosen = kinds.join(keys.where(F.col("least") == 1).select("key", (F.col("kinds") > hot).alias("hot")), "key")
+    per_row = chosen.groupBy("row").agg(F.collect_list(F.struct("key", "content", "hot", "start", "run", (F.col("run") + (length - 1)).alias("size"))).alias("spans"))
+    cut = texts.join(per_row, "row").select("text", "spans").mapInPandas(_cut_out, "key long, content long, hot boolean, run long, bytes binary")
+    cut = materialise(cut if unique else cut.dropDuplicates(["key", "content"]), "cut")
+    ordered = cut.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key")
     sorted_ = ordered.mapInPandas(_sort_groups(length), "key long, content long, spans array<struct<start: long, run: long>>").where(F.size("spans") > 0)
+    strings = cut.where("hot").mapInPandas(_single_strings(length), "h1 long, h2 long, key long, content long, start long")
+    repeated = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    single = strings.join(repeated, ["h1", "h2"]).groupBy("key", "content").agg(F.collect_list(F.struct("start", F.lit(1).cast("long").alias("run"))).alias("spans"))
     whole = kinds.where("weight > 1").select("key", "content", F.array(F.struct(F.lit(0).cast("long").alias("start"), "run")).alias("spans"))
-    verdict = materialise(sorted_.join(whole.select("key", "content"), ["key", "content"], "left_anti").union(whole), "verdict")
+    verdict = materialise(sorted_.union(single).join(whole.select("key", "content"), ["key", "content"], "left_anti").union(whole), "verdict")
     found = mixed.join(verdict, ["key", "content"]).select("row", "start", F.explode("spans").alias("s"))
     spans = shared.where("not mixed").select("row", "start", reach(F.col("start"), F.col("run")))
     spans = spans.union(found.select("row", (F.col("start") + F.col("s.start")).alias("start"), reach(F.col("start") + F.col("s.start"), F.col("s.run"))))
 
-    over = keys.where((F.col("kinds") > hot) & (F.col("least") == 1)).select("key")
-    if over.limit(1).count():
-        hot_rows = mixed.join(over, "key").groupBy("row").agg(F.collect_list(F.struct("start", "run")).alias("spans"))
-        strings = materialise(texts.join(hot_rows, "row").select("row", "text", "spans").mapInPandas(_single_strings(length), SEGMENT), "strings")
-        repeated = strings.groupBy("key", "content").agg(F.count("*").alias("n")).where("n > 1").select("key", "content")
-        spans = spans.union(strings.join(repeated, ["key", "content"]).select("row", "start", (F.col("start") + length).alias("stop")))
     merged = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return (
         docs.join(merged, "row", "left").select("doc_id", "text", "spans")

@@ -45,11 +45,6 @@ def stripped(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(text, UNICODE + r"^\s+|\s+\z", ""), F.lit(""))
 
 
-def element_text(text: Column) -> Column:
-    """Of mixed XML content, the text before the first child."""
-    return stripped(F.regexp_replace(text, r"(?s)<.*", ""))
-
-
 def clause_number(text: Column) -> Column:
     s = stripped(text)
     code = F.ascii(F.substring(s, 1, 1))

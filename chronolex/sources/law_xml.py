@@ -1,22 +1,25 @@
-"""Parsers of the XML documents, as Column expressions over a string column `xml`."""
+"""Parsers of the XML documents, as Column expressions over a string column `xml`.
+
+Leaves are read as their text, markup in CDATA included. A leaf that has child elements keeps their markup.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clause_number, element_text, found_all, positive_int, references, stripped, sub_number
+from ..functions.text import clause_number, found_all, positive_int, references, stripped, sub_number
 
 # Element names of the documents.
 SNAPSHOT = (
-    "struct<`기본정보`: struct<`법령ID`: string, `법령일련번호`: string, `법령명_한글`: string, `법령명한글`: string, `법종구분`: string, "
+    "`기본정보` struct<`법령ID`: string, `법령일련번호`: string, `법령명_한글`: string, `법령명한글`: string, `법종구분`: string, "
     "`소관부처`: struct<_VALUE: string, `_소관부처코드`: string>, `공포일자`: string, `공포번호`: string, `제개정구분`: string, `시행일자`: string>, "
-    "`조문`: struct<`조문단위`: array<struct<`_조문키`: string, `조문번호`: string, `조문가지번호`: string, `조문여부`: string, `조문제목`: string, "
+    "`조문` struct<`조문단위`: array<struct<`_조문키`: string, `조문번호`: string, `조문가지번호`: string, `조문여부`: string, `조문제목`: string, "
     "`조문내용`: string, `조문시행일자`: string, `조문제개정유형`: string, `조문변경여부`: string, `조문이동이전`: string, `조문이동이후`: string, "
     "`항`: array<struct<`항번호`: string, `항내용`: string, `호`: array<struct<`호번호`: string, `호내용`: string, "
     "`목`: array<struct<`목번호`: string, `목내용`: string>>>>>>>>>, "
-    "`부칙`: struct<`부칙단위`: array<struct<`_부칙키`: string, `부칙공포일자`: string, `부칙공포번호`: string, `부칙내용`: string>>>, "
-    "`제개정이유`: struct<`제개정이유내용`: string>>"
+    "`부칙` struct<`부칙단위`: array<struct<`_부칙키`: string, `부칙공포일자`: string, `부칙공포번호`: string, `부칙내용`: string>>>, "
+    "`제개정이유` struct<`제개정이유내용`: string>"
 )
 LAW_ROW = "struct<`법령ID`: string, `법령명한글`: string, `법령일련번호`: string, `시행일자`: string, `현행연혁코드`: string>"
 #: target: row tag, and the fields of id, case number, title, date.
@@ -37,16 +40,12 @@ CLEAN_ITEM = "struct<no: string, text: string>"
 
 
 def _text(column) -> Column:
-    return element_text(column if isinstance(column, Column) else F.col(column))
-
-
-def _or_empty(array: Column, kind: str) -> Column:
-    return F.coalesce(array, F.array().cast(kind))
+    return stripped(column if isinstance(column, Column) else F.col(column))
 
 
 def law_list(pages: DataFrame) -> DataFrame:
     """law_id, law_name, mst, effective_date, is_current of every row of listing pages."""
-    row = F.explode(F.from_xml("xml", f"struct<law: array<{LAW_ROW}>>".removeprefix("struct<").removesuffix(">"))["law"]).alias("r")
+    row = F.explode(F.from_xml("xml", f"law array<{LAW_ROW}>")["law"]).alias("r")
     r = lambda name: _text(F.col(f"r.`{name}`"))
     return pages.select(row).select(r("법령ID").alias("law_id"), r("법령명한글").alias("law_name"), r("법령일련번호").alias("mst"), r("시행일자").alias("effective_date"), (r("현행연혁코드") == "현행").alias("is_current"))
 
@@ -62,7 +61,7 @@ def _clauses(units: Column) -> Column:
 
 def snapshots(documents: DataFrame) -> DataFrame:
     """One row per statute document (key = mst): header, articles and addenda in document order."""
-    parsed = documents.withColumn("d", F.from_xml("xml", SNAPSHOT.removeprefix("struct<").removesuffix(">")))
+    parsed = documents.withColumn("d", F.from_xml("xml", SNAPSHOT))
     info = lambda name: _text(F.col(f"d.`기본정보`.`{name}`"))
 
     def article(u: Column) -> Column:

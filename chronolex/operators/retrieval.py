@@ -37,7 +37,9 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, top: int = 30, thresho
     only pairs that share any are met, and the similarity follows from both sizes.
     """
     side = lambda df, k: df.select(k, trigrams(F.col("text")).alias("g")).select(k, F.size("g").alias(f"n_{k}"), F.explode("g").alias("g"))
-    shared = side(queries, "query_id").join(side(chunks, key), "g").groupBy("query_id", key, "n_query_id", f"n_{key}").agg(F.count("*").alias("both"))
+    # Sizes too far apart cannot reach the threshold.
+    near = F.least("n_query_id", f"n_{key}") >= threshold * F.greatest("n_query_id", f"n_{key}")
+    shared = side(queries, "query_id").join(side(chunks, key), "g").where(near).groupBy("query_id", key, "n_query_id", f"n_{key}").agg(F.count("*").alias("both"))
     scored = shared.select("query_id", key, (F.col("both") / (F.col("n_query_id") + F.col(f"n_{key}") - F.col("both"))).alias("score"))
     return top_n(scored.where(F.col("score") >= threshold), top, [F.desc("score"), F.col(key)])
 

@@ -59,32 +59,31 @@ class Page(InputPartition):
         self.number = number
 
 
-class PagedSource(DataSource):
-    """A paged listing as a batch source: one partition per page, options `pages` (at most) and a `fetch` registered by name.
+def paged_source(label: str, row_schema: str, fetch: Callable[[int], list[tuple]]) -> type[DataSource]:
+    """A paged listing as a batch source to register: one partition per page, option `pages` (at most). Pages past the end
+    are empty lists, so the listing ends by itself."""
 
-    A page is a list of rows; the first short page (under `page_size`) ends the listing, later ones are empty.
-    """
+    class Paged(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return label
 
-    fetchers: dict[str, Callable[[int], list[tuple]]] = {}
+        def schema(self) -> str:
+            return row_schema
 
-    @classmethod
-    def name(cls) -> str:
-        return "paged"
+        def reader(self, schema) -> DataSourceReader:
+            pages = int(self.options.get("pages", "10"))
 
-    def schema(self) -> str:
-        return self.options["schema"]
+            class Reader(DataSourceReader):
+                def partitions(self) -> list[InputPartition]:
+                    return [Page(n) for n in range(1, pages + 1)]
 
-    def reader(self, schema) -> DataSourceReader:
-        fetch, pages = self.fetchers[self.options["fetch"]], int(self.options.get("pages", "10"))
+                def read(self, partition: Page) -> Iterator[tuple]:
+                    yield from fetch(partition.number)
 
-        class Reader(DataSourceReader):
-            def partitions(self) -> list[InputPartition]:
-                return [Page(n) for n in range(1, pages + 1)]
+            return Reader()
 
-            def read(self, partition: Page) -> Iterator[tuple]:
-                yield from fetch(partition.number)
-
-        return Reader()
+    return Paged
 
 
 def with_retries(fetch: Callable[[int], list[tuple]], tries: int = 3, wait: Callable[[float], None] | None = None) -> Callable[[int], list[tuple]]:

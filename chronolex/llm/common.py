@@ -22,7 +22,10 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that one vectorised step takes; a longer single text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_PER_BATCH = 1000
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -131,7 +134,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back. Lost executors lose none of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # Rows are texts and token lists here: smaller batches between Spark and Python, for the length of this job.
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(ROWS_PER_BATCH, int(before)) if int(before) > 0 else ROWS_PER_BATCH))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the finished job
     return spark.read.schema(df.schema).parquet(path)
 

@@ -33,7 +33,7 @@ from .common import encoded, materialise, mix, prefix_sums, steps, substring_has
 
 SEGMENT = "key long, content long, row long, start long, run long"
 #: Bytes of segments that are sorted at a time; minimisers are never split between two such blocks.
-BLOCK_BYTES = 3 << 19
+BLOCK_BYTES = 3 << 18
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -304,7 +304,7 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, anchor: int = 128, hot: int = 2000) -> DataFrame:
+def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, anchor: int = 128, hot: int = 1000) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, removed (arrays of start, end)."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # Rows are told apart by id where ids are unique; else by id and content: rows equal in both have equal spans.

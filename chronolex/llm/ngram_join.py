@@ -123,7 +123,9 @@ def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: s
 
     few = shared.count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(shared) if few else shared, docs["id"] == shared["node"]).select("node", "text")
-    sets = materialise(chosen.mapInPandas(_sets(n), "node long, n long, tokens array<long>").dropDuplicates(["node"]), "sets")
+    found = chosen.mapInPandas(_sets(n), "node long, n long, tokens array<long>")
+    repeated_ids = signed.groupBy("id").count().where("count > 1").limit(1).count()
+    sets = materialise(found.dropDuplicates(["node"]) if repeated_ids else found, "sets")
 
     # Order 1, second use: the prefix of each remaining set, after its own tokens, by rarity among these.
     tokens = sets.select("node", "n", F.explode("tokens").alias("t"))

@@ -1,13 +1,15 @@
 """Substring dedup: near copies of paragraphs, by MinHash bands and exact verification.
 
-A paragraph is a line. Its signature has `bands` x `rows` minima of its 5-word shingle hashes; the defaults, 20 bands of
-3, miss a pair of similarity 0.75 with a probability of (1 - 0.75**3)**20 = 2e-5. Equal paragraphs (same words) count as one
-before anything is compared; all pairs of different paragraphs in a band's bucket are verified by exact Jaccard similarity,
-but those that one representative already ties together. The paragraphs of a connected component are one passage: its
-first place (smallest document, then line) stays and all others are marked for removal.
+A paragraph is a line. Its signature has `bands` x 3 minima of its 5-word shingle hashes. The number of bands follows from the
+recall asked for: a pair of similarity t collides in none of b bands with a probability of (1 - t**3)**b, so 0.999 at 0.75
+takes 13. Equal paragraphs (same words) count as one before anything is compared. Only paragraphs that share a bucket with a
+different one get their shingle sets fetched. In each bucket members are compared with a few pivots first; all pairs
+that are in different components after that are compared too, so no colliding pair between components goes unverified.
+Similarity is exact Jaccard. The paragraphs of a connected component are one passage: its first place (smallest document, then
+line) stays and all others are marked for removal.
 
-A paragraph of fewer than five words is one shingle, so only its equals match. Very short lines repeat without being copies,
-so only paragraphs of `least_words` words are compared at all; every longer one is, whatever its frequency.
+Very short lines repeat without being copies, so only paragraphs of `least_words` words are compared; every longer one is,
+whatever its frequency.
 
 Edge cases: null, empty and blank texts have no paragraphs and return no rows; repeated rows count as repeated passages, their
 first place too; a null id sorts first; extra columns are ignored; an empty table returns no rows.
@@ -59,29 +61,54 @@ def _paragraphs(least_words: int):
     return run
 
 
-def _shingles(text: bytes) -> np.ndarray:
-    (_, _, data, offsets), = steps([text])
-    hashes, _, _, _ = word_hashes(data, offsets)
-    return np.unique(windows(hashes, min(5, len(hashes))) >> np.uint64(1)).astype(np.int64) if len(hashes) else np.empty(0, np.int64)
+ROWS = 3
 
 
-def _signatures(bands: int, rows: int):
-    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * SEED)
+def bands_for(recall: float, percent: int) -> int:
+    """Bands of three rows that find a pair of the given similarity with the given probability."""
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - (percent / 100) ** ROWS)))
+
+
+def _cut(batch: pd.DataFrame) -> tuple[list[int], list[bytes]]:
+    spans = [(s["node"], text[s["start"] : s["stop"]]) for text, own in zip(encoded(batch["text"]), batch["spans"]) for s in own]
+    return [n for n, _ in spans], [t for _, t in spans]
+
+
+def _grams(texts: list[bytes]):
+    """(first, past, shingle hashes of these texts, where each text's begin): all of five words and more."""
+    for first, past, data, offsets in steps(texts):
+        hashes, _, _, bounds = word_hashes(data, offsets)
+        own = np.repeat(np.arange(past - first), np.diff(bounds))
+        at = np.arange(len(hashes) - 4)
+        inside = own[: len(at)] == own[4:]
+        yield first, past, windows(hashes, 5)[inside], np.searchsorted(own[: len(at)][inside], np.arange(past - first))
+
+
+def _buckets(bands: int):
+    seeds = mix(np.arange(1, bands * ROWS + 1, dtype=np.uint64) * SEED).reshape(bands, ROWS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, sets = [], []
-            for text in encoded(batch["text"]):
-                s = _shingles(text)
-                sets.append(s)
-                minima = mix(s.astype(np.uint64)[None, :] ^ seeds[:, None]).min(1).reshape(bands, rows)
-                bucket = mix(minima @ np.array([1, 3, 9, 27, 81][:rows], np.uint64) + np.arange(bands, dtype=np.uint64))
-                out.append(bucket.astype(np.int64))
-            yield pd.DataFrame({"node": batch["node"], "n": [len(s) for s in sets], "buckets": out, "shingles": sets})
+            nodes, texts = _cut(batch)
+            for first, past, grams, starts in _grams(texts):
+                found = np.zeros((past - first, bands), np.uint64)
+                for k in range(bands):
+                    for seed in seeds[k]:
+                        found[:, k] = found[:, k] * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(mix(grams ^ seed), starts)
+                    found[:, k] = mix(found[:, k] + np.uint64(k))
+                yield pd.DataFrame({"node": nodes[first:past], "buckets": list(found.view(np.int64))})
 
     return run
 
 
+def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        nodes, texts = _cut(batch)
+        for first, past, grams, starts in _grams(texts):
+            sets = [np.unique(g >> np.uint64(1)).astype(np.int64) for g in np.split(grams, starts[1:])]
+            yield pd.DataFrame({"node": nodes[first:past], "n": [len(x) for x in sets], "shingles": sets})
+
+
 def _similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,43 +124,54 @@ def _similar(percent: int):
     return run
 
 
-def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 20, bands: int = 20, rows: int = 3, percent: int = 75) -> DataFrame:
+def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 20, percent: int = 75, recall: float = 0.999, pivots: int = 2) -> DataFrame:
     """Every place of every passage that is met more than once: id, line, start, stop (bytes), words, passage_id, places, remove."""
+    assert least_words >= 5
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     places = materialise(docs.mapInPandas(_paragraphs(least_words), "doc_id long, line long, start long, stop long, words long, p1 long, p2 long"), "paragraphs")
 
     # One place of each distinct paragraph stands for all; its text is fetched from there.
     kinds = places.groupBy("p1", "p2").agg(F.count("*").alias("places"), F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("stop").alias("stop"))
     kinds = materialise(kinds.withColumn("node", F.col("p1")), "kinds")
-    wanted = kinds.groupBy("doc_id").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))
+    unique = docs.agg(F.count("*") == F.count_distinct("doc_id")).first()[0]
+    texts = docs if unique else docs.groupBy("doc_id").agg(F.first("text").alias("text"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(s["node"], text[s["start"] : s["stop"]].decode("utf-8", "ignore")) for text, spans in zip(encoded(batch["text"]), batch["spans"]) for s in spans]
-            yield pd.DataFrame(out, columns=["node", "text"])
+    def cut(wanted: DataFrame) -> DataFrame:
+        own = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))
+        return texts.join(own, texts["doc_id"].eqNullSafe(own["doc_id"])).select("text", "spans")
 
-    texts = docs.groupBy("doc_id").agg(F.first("text").alias("text")) if not docs.agg(F.count("*") == F.count_distinct("doc_id")).first()[0] else docs
-    cuts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "spans").mapInPandas(cut, "node long, text string")
-    signed = materialise(cuts.mapInPandas(_signatures(bands, rows), "node long, n long, buckets array<long>, shingles array<long>"), "signatures")
+    signed = materialise(cut(kinds).mapInPandas(_buckets(bands_for(recall, percent)), "node long, buckets array<long>"), "buckets")
 
-    # Buckets of one paragraph fall away before anything else is moved; sizes prune what cannot reach the threshold.
-    entries = signed.select(F.explode("buckets").alias("bucket"), "node", "n")
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min(F.struct(-F.col("n"), "node")).alias("pivot")).where("first <> last")
-    members = materialise(entries.join(shared.select("bucket", F.col("pivot.node").alias("pivot")), "bucket"), "members")
-    side = lambda k: signed.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
+    # Buckets of one paragraph fall away before anything else is moved.
+    entries = signed.select(F.explode("buckets").alias("bucket"), "node")
+    shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
+    members = materialise(entries.join(shared, "bucket"), "members")
+    sets = materialise(cut(kinds.join(members.select("node").distinct(), "node")).mapInPandas(_shingles, "node long, n long, shingles array<long>"), "shingles")
+    sizes = sets.select("node", "n")
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         return materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_similar(percent), "a long, b long"), "links")
 
-    stars = verified(members.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-    labelled = members.join(components(stars), "node", "left").withColumn("label", F.coalesce("root", "node"))
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    labelled = materialise(labelled.join(open_, "bucket").select("bucket", "node", "n", "label"), "labelled")
-    x, y = (labelled.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label"))) for k in "xy")
-    apart = x.join(y, "bucket").where(f"node_x < node_y and label_x <> label_y and {percent} * greatest(n_x, n_y) <= 100 * least(n_x, n_y)")
-    tried = stars.select("a", "b")
-    rest = verified(apart.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    roots = components(stars.union(rest))
+    def apart(roots: DataFrame | None) -> DataFrame:
+        """Members of the buckets that are not yet one component, with their labels."""
+        rows = members.withColumn("label", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        open_ = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        return materialise(rows.join(open_, "bucket").join(sizes, "node").select("bucket", "node", "n", "label"), "apart")
+
+    links, roots = None, None
+    for turn in range(pivots):
+        rows = apart(roots)
+        order = F.struct(-F.col("n"), F.xxhash64("node", F.lit(turn)), "node", "label")
+        central = rows.groupBy("bucket").agg(F.min(order).alias("pivot"))
+        pairs = rows.join(central, "bucket").where(f"label <> pivot.label and {percent} * greatest(n, -pivot.col1) <= 100 * least(n, -pivot.col1)")
+        found = verified(pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct())
+        links = found if links is None else links.union(found)
+        roots = materialise(components(links), "roots")
+    rows = apart(roots)
+    x, y = (rows.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label"))) for k in "xy")
+    rest = x.join(y, "bucket").where(f"node_x < node_y and label_x <> label_y and {percent} * greatest(n_x, n_y) <= 100 * least(n_x, n_y)")
+    roots = components(links.union(verified(rest.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())))
 
     grouped = kinds.select("p1", "p2", "places", "node").join(roots, "node", "left").withColumn("passage_id", F.coalesce("root", "node"))
     totals = grouped.groupBy("passage_id").agg(F.sum("places").alias("places")).where("places > 1")

@@ -44,12 +44,15 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, top: int = 30, thresho
     return top_n(scored.where(F.col("score") >= threshold), top, [F.desc("score"), F.col(key)])
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, as_of: date, today: date, top: int = 30, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, score, rank) by exact cosine, queries being few. From today on the current chunks count, without a look at
+def vector_search(queries: DataFrame, chunks: DataFrame, as_of: date, today: date, top: int = 30, key: str = "chunk_id", block: int = 1000) -> DataFrame:
+    """(query_id, key, score, rank) by exact cosine; queries go to the chunks in blocks of about `block` rows. From today on the current chunks count, without a look at
     dates; before, those in force. Chunks without a vector come last."""
     rows = chunks.where("is_current") if require_as_of(as_of) >= today else chunks.where(in_force(as_of))
-    scored = rows.select(key, F.col("embedding").alias("v")).join(F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))).withColumn("score", cosine(F.col("q"), F.col("v")))
-    return top_n(scored.select("query_id", key, "score"), top, [F.desc_nulls_last("score"), F.col(key)])
+    vectors, asked = rows.select(key, F.col("embedding").alias("v")), queries.select("query_id", F.col("embedding").alias("q"))
+    blocks = max(1, -(-asked.count() // block))
+    parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [asked]
+    scored = [vectors.join(F.broadcast(part)).select("query_id", key, cosine(F.col("q"), F.col("v")).alias("score")) for part in parts]
+    return reduce(DataFrame.unionByName, [top_n(s, top, [F.desc_nulls_last("score"), F.col(key)]) for s in scored])
 
 
 def rrf_fuse(*lists: DataFrame, k: int = 60, top: int = 30, key: str = "chunk_id") -> DataFrame:

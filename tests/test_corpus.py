@@ -118,3 +118,21 @@ def test_raw_zone_and_stream(spark, tables, tmp_path):
     assert spark.read.format("listing").option("pages", "4").load().count() == 2
     with pytest.raises(ValueError):
         corpus.apply_schema(spark, "db", drop=True)
+
+
+def test_search(spark):
+    day, old = date(2021, 1, 1), date(2000, 1, 1)
+    chunk = "chunk_id long, article_id long, text string, embedding array<float>, is_current boolean, valid_from date, valid_to date"
+    chunks = spark.createDataFrame([(1, 10, "alpha beta gamma", [1.0, 0.0], True, old, None), (2, 20, "alpha beta delta", [0.9, 0.1], True, old, None), (3, 30, "omega", [0.0, 1.0], True, old, None), (4, 40, "alpha beta gamma", [1.0, 0.0], False, old, date(2010, 1, 1))], chunk)
+    versions = spark.createDataFrame([(a, "LAW", a, 0, "b", old, None) for a in (10, 20, 30)], "article_id long, law string, art_no int, branch_no int, body string, valid_from date, valid_to date")
+    edges = spark.createDataFrame([(10, 30, "REFERS_TO", None, None), (10, 20, "OTHER", None, None)], "src long, dst long, type string, valid_from date, valid_to date")
+    rulings = spark.createDataFrame([("r1", [10, 10]), ("r2", [30])], "ruling_id string, cited_article_ids array<long>")
+    queries = spark.createDataFrame([(1, "alpha beta gamma", [1.0, 0.0]), (2, "see LAW 제30조", [0.0, 1.0])], "query_id int, text string, embedding array<float>")
+    got = {(r.query_id, r.article_id): r for r in retrieval.search(queries, chunks, versions, edges, rulings, ["LAW"], day, day).collect()}
+    assert set(got) == {(1, 10), (1, 20), (1, 30), (2, 30)}  # closed versions are out; the second query is routed
+    first = got[1, 10]
+    assert first.rank == 1 and first.related == [30] and first.rulings == ["r1"] and first.addenda == []
+    assert [got[1, a].rank for a in (10, 20, 30)] == [1, 2, 3] and got[2, 30].rulings == ["r2"]
+    assert retrieval.vector_search(queries, chunks, day, day, block=1).count() == 6
+    past = retrieval.vector_search(queries.where("query_id = 1"), chunks, date(2005, 1, 1), day).collect()
+    assert {r.chunk_id for r in past} == {1, 2, 3, 4}

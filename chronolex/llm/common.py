@@ -6,10 +6,14 @@ hash of bytes a..b is (S[b] - S[a]) * B**-a modulo 2**64, so any number of subst
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,22 @@ ROWS_PER_BATCH = 1000
 _powers: dict[str, np.ndarray] = {}
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same task, which hands its memory back when its partition ends: Spark keeps Python workers for later stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        _powers.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i for i < n, grown on demand and kept per process."""
     if len(_powers.get("up", ())) < n:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, encoded, materialise, mix, shingle_sets
+from .common import components, encoded, lean, materialise, mix, shingle_sets
 
 #: Share of the hash range whose tokens come first, by rarity. Above 1 - t, so that it can fill a prefix.
 SAMPLED = 0.35
@@ -103,7 +103,7 @@ def _verifier(percent: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda k: sets.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verifier(percent), "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(lean(_verifier(percent)), "a long, b long")
 
 
 def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -111,7 +111,7 @@ def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: s
     assert percent > 100 * (1 - SAMPLED), "the sampled share of the tokens must be able to fill a prefix"
     limit = int(SAMPLED * (1 << 63))
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(docs.mapInPandas(_signatures(limit, n), "id long, n long, s1 long, s2 long, head array<long>"), "signatures")
+    signed = materialise(docs.mapInPandas(lean(_signatures(limit, n)), "id long, n long, s1 long, s2 long, head array<long>"), "signatures")
     classes = signed.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.max("n").alias("n"))
 
     # Order 1, first use: how many of its sampled tokens has each set for itself?
@@ -123,7 +123,7 @@ def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: s
 
     few = shared.count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(shared) if few else shared, docs["id"] == shared["node"]).select("node", "text")
-    found = chosen.mapInPandas(_sets(n), "node long, n long, tokens array<long>")
+    found = chosen.mapInPandas(lean(_sets(n)), "node long, n long, tokens array<long>")
     repeated_ids = signed.groupBy("id").count().where("count > 1").limit(1).count()
     sets = materialise(found.dropDuplicates(["node"]) if repeated_ids else found, "sets")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, encoded, materialise, mix, steps, windows, word_hashes
+from .common import components, encoded, lean, materialise, mix, steps, windows, word_hashes
 
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +128,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     """Every place of every passage that is met more than once: id, line, start, stop (bytes), words, passage_id, places, remove."""
     assert least_words >= 5
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    places = materialise(docs.mapInPandas(_paragraphs(least_words), "doc_id long, line long, start long, stop long, words long, p1 long, p2 long"), "paragraphs")
+    places = materialise(docs.mapInPandas(lean(_paragraphs(least_words)), "doc_id long, line long, start long, stop long, words long, p1 long, p2 long"), "paragraphs")
 
     # One place of each distinct paragraph stands for all; its text is fetched from there.
     kinds = places.groupBy("p1", "p2").agg(F.count("*").alias("places"), F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("stop").alias("stop"))
@@ -140,18 +140,18 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
         own = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))
         return texts.join(own, texts["doc_id"].eqNullSafe(own["doc_id"])).select("text", "spans")
 
-    signed = materialise(cut(kinds).mapInPandas(_buckets(bands_for(recall, percent)), "node long, buckets array<long>"), "buckets")
+    signed = materialise(cut(kinds).mapInPandas(lean(_buckets(bands_for(recall, percent))), "node long, buckets array<long>"), "buckets")
 
     # Buckets of one paragraph fall away before anything else is moved.
     entries = signed.select(F.explode("buckets").alias("bucket"), "node")
     shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
     members = materialise(entries.join(shared, "bucket"), "members")
-    sets = materialise(cut(kinds.join(members.select("node").distinct(), "node")).mapInPandas(_shingles, "node long, n long, shingles array<long>"), "shingles")
+    sets = materialise(cut(kinds.join(members.select("node").distinct(), "node")).mapInPandas(lean(_shingles), "node long, n long, shingles array<long>"), "shingles")
     sizes = sets.select("node", "n")
     side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_similar(percent), "a long, b long"), "links")
+        return materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(_similar(percent)), "a long, b long"), "links")
 
     def apart(roots: DataFrame | None) -> DataFrame:
         """Members of the buckets that are not yet one component, with their labels."""

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoded, materialise, mix, prefix_sums, steps, substring_hashes
+from .common import encoded, lean, materialise, mix, prefix_sums, steps, substring_hashes
 
 SEGMENT = "key long, content long, row long, start long, run long"
 #: Bytes of segments that are sorted at a time; minimisers are never split between two such blocks.
@@ -311,7 +311,7 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     unique = docs.agg(F.count("*") == F.count_distinct("doc_id")).first()[0]
     docs = docs.withColumn("row", F.col("doc_id") if unique else F.xxhash64("doc_id", "text"))
     texts = docs.select("row", "text")
-    segments = materialise(texts.mapInPandas(_segments(length, anchor), SEGMENT), "segments")
+    segments = materialise(texts.mapInPandas(lean(_segments(length, anchor)), SEGMENT), "segments")
     reach = lambda start, run: (start + run + (length - 1)).alias("stop")
 
     # Minimisers that are met once are done. Where all segments of one are equal, all of them repeat as a whole.
@@ -325,11 +325,11 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = materialise(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("weight").alias("least")), "keys")
     chosen = kinds.join(keys.where(F.col("least") == 1).select("key", (F.col("kinds") > hot).alias("hot")), "key")
     per_row = chosen.groupBy("row").agg(F.collect_list(F.struct("key", "content", "hot", "start", "run", (F.col("run") + (length - 1)).alias("size"))).alias("spans"))
-    cut = texts.join(per_row, "row").select("text", "spans").mapInPandas(_cut_out, "key long, content long, hot boolean, run long, bytes binary")
+    cut = texts.join(per_row, "row").select("text", "spans").mapInPandas(lean(_cut_out), "key long, content long, hot boolean, run long, bytes binary")
     cut = materialise(cut if unique else cut.dropDuplicates(["key", "content"]), "cut")
     ordered = cut.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key")
-    sorted_ = ordered.mapInPandas(_sort_groups(length), "key long, content long, spans array<struct<start: long, run: long>>").where(F.size("spans") > 0)
-    strings = cut.where("hot").mapInPandas(_single_strings(length), "h1 long, h2 long, key long, content long, start long")
+    sorted_ = ordered.mapInPandas(lean(_sort_groups(length)), "key long, content long, spans array<struct<start: long, run: long>>").where(F.size("spans") > 0)
+    strings = cut.where("hot").mapInPandas(lean(_single_strings(length)), "h1 long, h2 long, key long, content long, start long")
     repeated = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     single = strings.join(repeated, ["h1", "h2"]).groupBy("key", "content").agg(F.collect_list(F.struct("start", F.lit(1).cast("long").alias("run"))).alias("spans"))
     whole = kinds.where("weight > 1").select("key", "content", F.array(F.struct(F.lit(0).cast("long").alias("start"), "run")).alias("spans"))
@@ -341,7 +341,7 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     merged = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return (
         docs.join(merged, "row", "left").select("doc_id", "text", "spans")
-        .mapInPandas(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>")
+        .mapInPandas(lean(_removed), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>")
         .withColumnRenamed("doc_id", id_col)
     )
 

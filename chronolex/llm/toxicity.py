@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lean, materialise
 
 # Common insults in the four languages of the corpus.
 LEXICON = frozenset(
@@ -145,7 +145,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 50_000
     training = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     balance = training.agg(F.avg("toxic")).first()[0]
     found = _mined(docs, training, mined_rows, mined_words)
-    featured = materialise(docs.mapInPandas(_features(*found), "doc_id long, votes string, features array<double>"), "features")
+    featured = materialise(docs.mapInPandas(lean(_features(*found)), "doc_id long, votes string, features array<double>"), "features")
     learning = featured.where(F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
     histogram = learning.groupBy("votes").count().orderBy("votes").toPandas()
     weights = np.append(np.zeros(FEATURES), -5.0)

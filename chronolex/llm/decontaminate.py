@@ -7,7 +7,8 @@ the window the same value of the benchmark stands for the same value of the docu
 question with new names and numbers is caught while a chance run of numbers is not. A document is contaminated by an item
 from `hits` agreeing windows on (all of the item's, if it has fewer).
 
-Windows made of placeholders alone say nothing and are left out. Benchmark windows are sent to the tasks when there are
+Each benchmark window has an anchor, its longest plain literal; a document without any anchor cannot hold a window and is
+not brought to a template at all. Windows made of placeholders alone say nothing and are left out. Benchmark windows are sent to the tasks when there are
 at most `broadcast` of them (24 bytes each); beyond that the documents' windows are joined by shuffling.
 
 Edge cases: null and empty texts, of either side, have no windows; equal items are all reported; repeated rows are reported
@@ -33,6 +34,7 @@ UNITS = frozenset(
     "euros pound pounds percent degree degrees kmh mph hz khz mhz kb mb gb tb w kw v".split()
 )
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|\S")
+WORD = re.compile(r"[^\W\d_]+")
 WINDOW = "h long, doc long, at long, slots string"
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
 
@@ -95,14 +97,22 @@ def slots_agree(ours: list[str], theirs: list[str]) -> bool:
     return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(ours, theirs))
 
 
-def _document_windows(size: int, wanted: dict[int, np.ndarray] | None):
-    """Windows of the sizes in use; with `wanted`, sorted hashes by size, only those."""
+def _anchor(tokens: list[str], values: list[str]) -> str:
+    """The longest literal of ASCII letters, whose lower case is the same in any text; empty without one."""
+    return max((t for t, v in zip(tokens, values) if v == "" and t.isascii()), key=lambda t: (len(t), t), default="")
+
+
+def _document_windows(size: int, wanted: dict[int, np.ndarray] | None, anchors: frozenset[str] = frozenset()):
+    """Windows of the sizes in use; with `wanted`, sorted hashes by size, only those. No anchors: every text is looked at."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc"], batch["text"]):
-                tokens, values = template(text if isinstance(text, str) else "")
+                text = text if isinstance(text, str) else ""
+                if anchors and anchors.isdisjoint(WORD.findall(text.lower())):
+                    continue
+                tokens, values = template(text)
                 if not tokens:
                     continue
                 base = np.fromiter(map(_hash, tokens), np.uint64, len(tokens))
@@ -127,19 +137,20 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     def item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for item, text in zip(batch["item_id"], batch["text"]):
-                hashes, starts, _, values, n = _windows_of(text if isinstance(text, str) else "", window)
+                hashes, starts, tokens, values, n = _windows_of(text if isinstance(text, str) else "", window)
                 if len(hashes):
-                    yield pd.DataFrame({"h": hashes.view(np.int64), "size": n, "item_id": item, "item_at": starts, "item_slots": ["\t".join(values[s : s + n]) for s in starts.tolist()], "windows": len(hashes)})
+                    yield pd.DataFrame({"h": hashes.view(np.int64), "size": n, "item_id": item, "item_at": starts, "item_slots": ["\t".join(values[s : s + n]) for s in starts.tolist()], "windows": len(hashes), "anchor": [_anchor(tokens[s : s + n], values[s : s + n]) for s in starts.tolist()]})
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
-    items = materialise(items.mapInPandas(item_windows, "h long, size int, item_id long, item_at long, item_slots string, windows long"), "benchmark")
+    items = materialise(items.mapInPandas(item_windows, "h long, size int, item_id long, item_at long, item_slots string, windows long, anchor string"), "benchmark")
     docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     if items.count() <= broadcast:
-        known = items.select("size", "h").distinct().toPandas()
+        known = items.select("size", "h", "anchor").distinct().toPandas()
+        anchors = frozenset(known["anchor"]) if (known["anchor"] != "").all() else frozenset()
         wanted = {int(n): np.sort(g["h"].to_numpy().view(np.uint64)) for n, g in known.groupby("size")}
         if not wanted:
             return docs.limit(0).select(F.col("doc").alias(id_col), F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("matched"), F.lit(0.0).alias("share"))
-        met = docs.mapInPandas(_document_windows(window, wanted), WINDOW)
+        met = docs.mapInPandas(_document_windows(window, wanted, anchors), WINDOW)
     else:
         sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most `window` numbers
         met = docs.mapInPandas(_document_windows(window, dict.fromkeys(sizes)), WINDOW)

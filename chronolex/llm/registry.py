@@ -14,4 +14,17 @@ from .toxicity import op7_toxicity
 from .vector_search import op3_nearest_neighbours
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_nearest_neighbours, op4_paragraph_dedup, op5_ngram_jaccard_join, op6_packing, op7_toxicity, op8_token_files, op9_pii, op10_chat_prefix_tree)}
-ORACLE: dict[str, str] = {}
+
+#: Characters that the chat template escapes cost one more.
+_ESCAPED = "length({0}) + length(regexp_replace({0}, '[^\\\\<>]', '', 'g'))"
+
+ORACLE: dict[str, str] = {
+    "op10_chat_prefix_tree": f"""
+WITH x AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(15 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars
+FROM x GROUP BY conv_id""",
+}

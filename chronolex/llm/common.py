@@ -165,6 +165,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """About `rows` rows, those of low key hash, or all if there are no more: the same at any partitioning, and no sort."""
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * rows / total))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a long, b long): (node, root) with the smallest node of each component.
 

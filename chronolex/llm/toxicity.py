@@ -8,8 +8,8 @@
   correlated voters share their weight, so that several versions of one signal don't outvote the rest.
 * A logistic regression on the voters' features is fitted to the posteriors of `sample` training rows.
 
-Labels are used for the class balance and for mining, from training rows only; mining reads `mined_rows` of them (those of
-smallest id hash, each text once) and keeps `mined_words` of each strength. lang, source and doc_id are never inputs of a score.
+Labels are used for the class balance and for mining, from training rows only; mining reads about `mined_rows` of them (those of
+low id hash, each text once) and keeps `mined_words` of each strength. lang, source and doc_id are never inputs of a score.
 
 Edge cases: null and empty texts have no hits and get the score of a clean text; repeated rows each return a row; labels
 that are null, or of unknown documents, teach nothing; without any labels the balance is 0.1 and nothing is mined; an empty
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, materialise
+from .common import lean, materialise, sampled
 
 # Common insults in the four languages of the corpus.
 LEXICON = frozenset(
@@ -122,7 +122,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 25
 def _mined(docs: DataFrame, labels: DataFrame, rows: int, words: int) -> tuple[frozenset[str], dict[str, float], dict[str, float]]:
     """The lexicon without misleading words, and strong and weak marks with their log-odds, from training rows."""
     # A bounded number of labels, 16 bytes each, is broadcast; the texts stay where they are.
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = sampled(labels, ["doc_id"], rows)
     known = docs.join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("text")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     known = materialise(known.select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W\d_]+"), F.lit(0))).alias("words")), "mined")
     sizes = known.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
@@ -153,7 +153,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 50_000
         patterns = np.array([[int(c) for c in v] for v in histogram["votes"]])
         posterior, _, _ = label_model(patterns, histogram["count"].to_numpy(float), min(max(balance if balance is not None else 0.1, 0.01), 0.99))
         belief = dict(zip(histogram["votes"], posterior))
-        rows = learning.orderBy(F.xxhash64("doc_id"), "votes").limit(sample).select("votes", "features").toPandas()
+        rows = sampled(learning, ["doc_id", "votes"], sample).select("votes", "features").toPandas()
         weights = logistic(np.stack(rows["features"].to_numpy()), rows["votes"].map(belief).to_numpy())
     linear = F.lit(float(weights[-1]))
     for k, w in enumerate(weights[:-1]):

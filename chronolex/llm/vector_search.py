@@ -4,7 +4,7 @@ The nearest vector to q has the largest <q, x> - |x|^2 / 2, an inner product, an
 along x. So codebooks and codes minimise |r|^2 + (eta - 1) <r, x/|x|>^2 of the residual r: the parallel part is
 penalised eta times, eta = (d - 1) t^2 / (1 - t^2) for a score threshold t.
 
-* Fit: coordinate descent on a sample of `sample` rows (those of smallest id hash), by the driver.
+* Fit: coordinate descent on about `sample` rows (those of low id hash), by the driver.
 * Index: every row is encoded, two components per code, two codes per byte, with its exact |x|^2 / 2.
 * Search: queries go out in blocks of `block` rows. A task scans its codes by table look-ups, one table of 256 sums
   per byte and query, and keeps `rerank` rows per query; these are merged, and reranked by the exact distance.
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, sampled
 
 CENTRES = 16
 
@@ -149,7 +149,7 @@ def nearest_neighbours(
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double").withColumnRenamed("id", id_col)
     rows = rows.where(F.size("v") == common["d"])
-    fit = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
+    fit = sampled(rows, ["id"], sample).select("v").toPandas()["v"]
     quantiser = Quantiser(np.stack(fit.to_numpy()), threshold)
     index = materialise(rows.mapInPandas(_encode(quantiser), "id long, codes binary, half double"), "index")
 

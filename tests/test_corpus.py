@@ -2,6 +2,7 @@
 
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,36 @@ def test_search(spark):
     assert retrieval.vector_search(queries, chunks, day, day, block=1).count() == 6
     past = retrieval.vector_search(queries.where("query_id = 1"), chunks, date(2005, 1, 1), day).collect()
     assert {r.chunk_id for r in past} == {1, 2, 3, 4}
+
+
+def test_vector_search_blocks(spark):
+    """Every query of every block against brute force; ties by key, chunks without a usable vector last."""
+    day, rng = date(2021, 1, 1), np.random.default_rng(4)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[200:220] = x[7]
+    bad = [(900, None), (901, [0.0] * 8), (902, [1.0, None] * 4), (903, [1.0])]
+    rows = [*enumerate(x.tolist()), *bad]
+    chunks = spark.createDataFrame([(i, v, True) for i, v in rows], "chunk_id long, embedding array<float>, is_current boolean").repartition(5)
+    asked = chunks.where("chunk_id % 20 = 0 or chunk_id = 901").select(F.col("chunk_id").alias("query_id"), "embedding")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    for block in (1000, 4):
+        got = {}
+        for r in retrieval.vector_search(asked, chunks, day, day, top=302, block=block).collect():
+            got.setdefault(r.query_id, {})[r.rank] = (r.chunk_id, r.score)
+        assert set(got) == {*range(0, 300, 20), 900, 901}
+        for q in range(0, 300, 20):
+            score = np.round(unit @ unit[q], 9)
+            order = np.lexsort((np.arange(300), -score))
+            assert [got[q][k + 1][0] for k in range(302)] == [*order, 900, 901] and got[q][301][1] is None
+            assert all(abs(got[q][k + 1][1] - score[order[k]]) < 1e-8 for k in range(300))
+        assert all(s is None for _, s in got[901].values())
+
+
+def test_whole_query_set(spark):
+    from chronolex.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    wanted = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    assert {r.query_id for r in registry.QUERIES["rt_02_vector_search_all"](spark, folder).collect()} == wanted and len(wanted) > 5
+    keyword = {r.query_id for r in registry.QUERIES["rt_01_keyword_search"](spark, folder).collect()}
+    assert {r.query_id for r in registry.QUERIES["rt_03_rrf_fuse_all"](spark, folder).collect()} == wanted | keyword

@@ -16,7 +16,7 @@ still in different components, and whose bound allows a link, are paired afterwa
 variants stay near linear, while no link between two components is lost.
 
 Edge cases: null and blank texts have no shingles, n_shingles 0, and stay alone; repeated rows and ids each
-return a row; a null id returns null as component unless its text links it; extra columns are ignored.
+return a row, and different texts under one id are documents of their own; a null id returns null as component unless its text links it; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .common import components, encoded, lean, materialise, mix, shingle_sets
 
 #: Share of the hash range whose tokens come first, by rarity. Above 1 - t, so that it can fill a prefix.
 SAMPLED = 0.35
-#: A list of ids of up to so many rows is broadcast (16 bytes each); a longer one is joined by shuffling.
+#: A list of sets of up to so many rows is broadcast (16 bytes each); a longer one is joined by shuffling.
 BROADCAST_IDS = 1_000_000
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
@@ -58,7 +58,7 @@ def _signatures(limit: int, n: int):
                 first.append(int(np.add.reduce(mix(u)).astype(np.int64)))
                 second.append(int(np.add.reduce(mix(u ^ np.uint64(SEEDS[0]))).astype(np.int64)))
                 heads.append(s[: np.searchsorted(s, limit)])
-            yield pd.DataFrame({"id": batch["id"], "n": pd.Series(sizes, dtype="int64"), "s1": pd.Series(first, dtype="int64"), "s2": pd.Series(second, dtype="int64"), "head": heads})
+            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "row": batch["row"], "n": pd.Series(sizes, dtype="int64"), "s1": pd.Series(first, dtype="int64"), "s2": pd.Series(second, dtype="int64"), "head": heads})
 
     return run
 
@@ -106,26 +106,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(lean(_verifier(percent)), "a long, b long")
 
 
-def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id that links reach, or its own)."""
+def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, keep_row: bool = False) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the smallest id that links reach, or its own).
+
+    keep_row: also row, the hash of id and text, and root, the same for all documents that links reach."""
     assert percent > 100 * (1 - SAMPLED), "the sampled share of the tokens must be able to fill a prefix"
     limit = int(SAMPLED * (1 << 63))
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(docs.mapInPandas(lean(_signatures(limit, n)), "id long, n long, s1 long, s2 long, head array<long>"), "signatures")
-    classes = signed.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.max("n").alias("n"))
+    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    signed = materialise(docs.mapInPandas(lean(_signatures(limit, n)), "id long, row long, n long, s1 long, s2 long, head array<long>"), "signatures")
+    # A set is known by its hash, not by an id, which other texts may have too; one row stands for it.
+    classes = signed.groupBy("s1", "s2").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.max("n").alias("n")).withColumn("node", F.col("s1"))
 
     # Order 1, first use: how many of its sampled tokens has each set for itself?
     owners = signed.select(F.explode("head").alias("t"), "s1").groupBy("t").agg(F.min("s1").alias("s1"), F.max("s1").alias("other"))
     own = owners.where("s1 = other").groupBy("s1").agg(F.count("*").alias("own"))
     prefix = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
-    shared = classes.where("n > 0 and node is not null").join(own, "s1", "left").where(F.coalesce("own", F.lit(0)) < prefix)
-    shared = materialise(shared.select("node"), "shared")
+    shared = classes.where("n > 0").join(own, "s1", "left").where(F.coalesce("own", F.lit(0)) < prefix)
+    shared = materialise(shared.select("node", "row"), "shared")
 
     few = shared.count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(shared) if few else shared, docs["id"] == shared["node"]).select("node", "text")
+    chosen = docs.join(F.broadcast(shared) if few else shared, "row").select("node", "text")
     found = chosen.mapInPandas(lean(_sets(n)), "node long, n long, tokens array<long>")
-    repeated_ids = signed.groupBy("id").count().where("count > 1").limit(1).count()
-    sets = materialise(found.dropDuplicates(["node"]) if repeated_ids else found, "sets")
+    repeated = signed.groupBy("row").count().where("count > 1").limit(1).count()
+    sets = materialise(found.dropDuplicates(["node"]) if repeated else found, "sets")
 
     # Order 1, second use: the prefix of each remaining set, after its own tokens, by rarity among these.
     tokens = sets.select("node", "n", F.explode("tokens").alias("t"))
@@ -155,10 +158,13 @@ def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: s
     rest = materialise(_verified(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets, percent), "links")
     roots = components(links.union(rest))
 
-    merged = classes.where("n > 0").join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
+    linked = materialise(classes.where("n > 0").join(roots, "node").select("s1", "s2", "root", "least"), "linked")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))
+    merged = classes.where("n > 0").join(linked.drop("least").join(smallest, "root"), ["s1", "s2"], "left")
+    merged = merged.select("s1", "s2", F.coalesce("root", "node").alias("root"), F.coalesce("smallest", "least").alias("smallest"))
     return (
         signed.join(merged, ["s1", "s2"], "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")).alias("component_id"))
+        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("id")).alias("component_id"), *(["row", "root"] if keep_row else []))
     )
 
 

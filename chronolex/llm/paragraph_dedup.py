@@ -12,7 +12,7 @@ Very short lines repeat without being copies, so only paragraphs of `least_words
 whatever its frequency.
 
 Edge cases: null, empty and blank texts have no paragraphs and return no rows; repeated rows count as repeated passages, their
-first place too; a null id sorts first; extra columns are ignored; an empty table returns no rows.
+first place too; different texts under one id or under null are documents of their own; a null id sorts first; extra columns are ignored; an empty table returns no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _paragraphs(least_words: int):
-    """(doc_id, line, start, stop, words, p1, p2) of every paragraph: offsets in UTF-8 bytes, a 126-bit content hash."""
+    """(doc_id, row, line, start, stop, words, p1, p2) of every paragraph: offsets in UTF-8 bytes, a 126-bit content hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -45,7 +45,7 @@ def _paragraphs(least_words: int):
                         number.append(i)
                         start.append(at)
                     at += len(line) + 1
-            ids = batch["doc_id"].astype("Int64").reset_index(drop=True)
+            ids, rows = batch["doc_id"].astype("Int64").reset_index(drop=True), batch["row"].to_numpy()
             for first, past, data, offsets in steps(lines):
                 hashes, _, _, bounds = word_hashes(data, offsets)
                 sums = np.concatenate([[0], np.cumsum(hashes)]).astype(np.uint64)
@@ -54,7 +54,7 @@ def _paragraphs(least_words: int):
                 other = np.concatenate([[0], np.cumsum(place)]).astype(np.uint64)
                 each = lambda s: mix(s[bounds[1:]] - s[bounds[:-1]] + words.astype(np.uint64)) >> np.uint64(1)  # noqa: E731, B023
                 frame = pd.DataFrame(
-                    {"doc_id": ids.iloc[owner[first:past]].array, "line": number[first:past], "start": start[first:past], "stop": np.array(start[first:past]) + np.diff(offsets) - 1, "words": words, "p1": each(other).astype(np.int64), "p2": each(sums).astype(np.int64)}
+                    {"doc_id": ids.iloc[owner[first:past]].array, "row": rows[owner[first:past]], "line": number[first:past], "start": start[first:past], "stop": np.array(start[first:past]) + np.diff(offsets) - 1, "words": words, "p1": each(other).astype(np.int64), "p2": each(sums).astype(np.int64)}
                 )
                 yield frame[words >= least_words]
 
@@ -127,18 +127,19 @@ def _similar(percent: int):
 def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 20, percent: int = 75, recall: float = 0.999, pivots: int = 2) -> DataFrame:
     """Every place of every passage that is met more than once: id, line, start, stop (bytes), words, passage_id, places, remove."""
     assert least_words >= 5
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    places = materialise(docs.mapInPandas(lean(_paragraphs(least_words)), "doc_id long, line long, start long, stop long, words long, p1 long, p2 long"), "paragraphs")
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    places = materialise(docs.mapInPandas(lean(_paragraphs(least_words)), "doc_id long, row long, line long, start long, stop long, words long, p1 long, p2 long"), "paragraphs")
 
     # One place of each distinct paragraph stands for all; its text is fetched from there.
-    kinds = places.groupBy("p1", "p2").agg(F.count("*").alias("places"), F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("stop").alias("stop"))
+    kinds = places.groupBy("p1", "p2").agg(F.count("*").alias("places"), F.first("row").alias("row"), F.first("start").alias("start"), F.first("stop").alias("stop"))
     kinds = materialise(kinds.withColumn("node", F.col("p1")), "kinds")
-    unique = docs.agg(F.count("*") == F.count_distinct("doc_id")).first()[0]
-    texts = docs if unique else docs.groupBy("doc_id").agg(F.first("text").alias("text"))
+    # An id may come with several texts: rows are told apart by both, and only rows equal in both are one.
+    unique = docs.agg(F.count("*") == F.count_distinct("row")).first()[0]
+    texts = docs if unique else docs.dropDuplicates(["row"])
 
     def cut(wanted: DataFrame) -> DataFrame:
-        own = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))
-        return texts.join(own, texts["doc_id"].eqNullSafe(own["doc_id"])).select("text", "spans")
+        own = wanted.groupBy("row").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))
+        return texts.join(own, "row").select("text", "spans")
 
     signed = materialise(cut(kinds).mapInPandas(lean(_buckets(bands_for(recall, percent))), "node long, buckets array<long>"), "buckets")
 
@@ -177,8 +178,8 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     totals = grouped.groupBy("passage_id").agg(F.sum("places").alias("places")).where("places > 1")
     member = materialise(grouped.drop("places").join(totals, "passage_id").select("p1", "p2", "passage_id", "places"), "passages")
     found = places.join(member, ["p1", "p2"])
-    first = found.groupBy("passage_id").agg(F.min(F.struct("doc_id", "line")).alias("kept"))
-    marked = found.join(first, "passage_id").withColumn("remove", ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))))
+    first = found.groupBy("passage_id").agg(F.min(F.struct("doc_id", "row", "line")).alias("kept"))
+    marked = found.join(first, "passage_id").withColumn("remove", ~((F.col("row") == F.col("kept.row")) & (F.col("line") == F.col("kept.line"))))
     return marked.select(F.col("doc_id").alias(id_col), "line", "start", "stop", "words", "passage_id", "places", "remove")
 
 

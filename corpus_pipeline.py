@@ -32,10 +32,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays; of repeated rows with that id, one."""
-    members = ngram_jaccard_join(docs)
-    kept = without(docs, materialise(members.where("component_id <> doc_id").select("doc_id"), "copies"))
-    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """Of each group of near copies the document of smallest id stays; of rows equal in id and text, one.
+
+    Documents are told apart by id and text: another text under the same id is a document of its own.
+    """
+    members = materialise(ngram_jaccard_join(docs, keep_row=True).where("doc_id is not null and n_shingles > 0").select("doc_id", "row", "root"), "members")
+    first = members.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    copies = materialise(members.select("row").distinct().join(first, "row", "left_anti"), "copies")
+    kept = docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row")).join(copies, "row", "left_anti")
+    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["row"])).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

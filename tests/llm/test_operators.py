@@ -122,6 +122,19 @@ def test_paragraphs(docs, empty):
     assert paragraph_dedup.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("shared_id", [1, None])
+def test_texts_under_one_id(spark, shared_id):
+    """Different texts that share an id (or have none) keep their own links."""
+    one, other = text(60, 90), text(61, 50)
+    rows = frame(spark, [(shared_id, one), (shared_id, other), (shared_id, text(62, 8)), (20, one + " end"), (30, other + " end")])
+    found = paragraph_dedup.repeated_passages(rows).collect()
+    assert sorted((r.doc_id or 0, r.words) for r in found if r.words > 45) == sorted([(shared_id or 0, 90), (shared_id or 0, 50), (20, 91), (30, 51)])
+    assert {r.doc_id for r in found if r.remove} == {20, 30} and len({r.passage_id for r in found if r.words > 45}) == 2
+    joined = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.ngram_jaccard_join(rows).collect()}
+    first = {86: shared_id or 20, 46: shared_id or 30}
+    assert joined[20, 87] == first[86] and joined[30, 47] == first[46] and joined[shared_id, 86] == first[86] and joined[shared_id, 46] == first[46] and joined[shared_id, 4] == shared_id
+
+
 def test_decontamination(spark, docs, empty):
     item = "Yesterday Tom gave 12 apples and 3 pears to the old man at the gate, and Tom kept 5 kg of flour for the winter days ahead."
     other = item.replace("Tom", "Ann").replace("12", "40").replace("3 pears", "9 pears").replace("5 kg", "8 lb")

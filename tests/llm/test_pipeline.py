@@ -21,3 +21,13 @@ def test_stages(spark, tmp_path):
     assert left["toxicity"] == [0, 1, 2, 3, 4, 4, 5, 6]
     assert left["near_duplicates"] == [0, 1, 3, 4, 5, 6]
     assert left["decontamination"] == left["personal_data"] == left["packing"] == [0, 1, 4, 5, 6]
+
+
+def test_near_duplicates_share_an_id(spark):
+    """A document that only shares its id with a copy stays, and so does the first of several copies under one id."""
+    one, other = text(60, 90), text(61, 50)
+    docs = frame(spark, [(3, one), (5, one + " end"), (5, other), (5, other), (7, other + " end"), (5, other + " and end"), (6, ""), (6, None), (None, one)])
+    docs = docs.select(*corpus_pipeline.COLUMNS)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted((i or 0, len((t or "").split())) for i, t in left if i != 5) == [(0, 90), (3, 90), (6, 0), (6, 0)]
+    assert len([t for i, t in left if i == 5]) == 1 and next(t for i, t in left if i == 5).startswith(other)

@@ -8,8 +8,14 @@ that are in different components after that are compared too, so no colliding pa
 Similarity is exact Jaccard. The paragraphs of a connected component are one passage: its first place (smallest document, then
 line) stays and all others are marked for removal.
 
-Very short lines repeat without being copies, so only paragraphs of `least_words` words are compared; every longer one is,
-whatever its frequency.
+Every paragraph of `least_words` words and more is compared, whatever its frequency; the least is one shingle, five words.
+
+Passages that lines don't show (inside longer lines, over other line breaks, over short lines) are found verbatim, as runs of
+`passage` words: each window of so many words that is met at several places is repeated, its first place stays. Every such window
+holds a 25-word gram that is the smallest of the window, the same at all its places, so only windows whose smallest gram repeats
+are hashed and grouped; none is lost by that. Consecutive repeated windows are one row, with the first line, the id and the places
+of its smallest window. Windows of fewer than 15 different words are left out. Runs inside a line that is reported already are not
+reported again.
 
 Edge cases: null, empty and blank texts have no paragraphs and return no rows; repeated rows count as repeated passages, their
 first place too; different texts under one id or under null are documents of their own; a null id sorts first; extra columns are ignored; an empty table returns no rows.
@@ -22,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, encoded, lean, materialise, mix, steps, windows, word_hashes
@@ -124,9 +130,92 @@ def _similar(percent: int):
     return run
 
 
-def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 20, percent: int = 75, recall: float = 0.999, pivots: int = 2) -> DataFrame:
+GRAM, DISTINCT = 25, 15
+
+
+def _runs_of_words(texts: list[bytes], passage: int):
+    """(first, past, text of each window, place of its smallest gram, grams, hash, start, stop, line, last line, word) by step."""
+    for first, past, data, offsets in steps(texts):
+        hashes, starts, ends, bounds = word_hashes(data, offsets)
+        n = len(hashes) - passage + 1
+        if n <= 0:
+            continue
+        own = np.repeat(np.arange(past - first), np.diff(bounds))
+        # The words of a window that it has not had yet: by their last place before.
+        _, same = np.unique(hashes, return_inverse=True)
+        order = np.argsort(same, kind="stable")
+        before = np.full(len(hashes), -1)
+        again = same[order[1:]] == same[order[:-1]]
+        before[order[1:][again]] = order[:-1][again]
+        at = np.arange(len(hashes))
+        change = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(change, np.maximum(before + 1, np.maximum(at - passage + 1, 0)), 1)
+        np.add.at(change, at + 1, -1)
+        fit = np.flatnonzero((own[:n] == own[passage - 1 :]) & (np.cumsum(change)[:n] >= DISTINCT))
+        grams = windows(hashes, GRAM)
+        least, width, span = np.arange(len(grams)), 1, passage - GRAM + 1
+        while width < span:
+            step = min(width, span - width)
+            a, b = least[: len(least) - step], least[step:]
+            least, width = np.where(grams[b] < grams[a], b, a), width + step
+        whole = windows(hashes, passage)
+        breaks = np.flatnonzero(data == 10)
+        lines = lambda x: np.searchsorted(breaks, x) - np.searchsorted(breaks, offsets[own[fit]])  # noqa: E731, B023
+        last = fit + passage - 1
+        begin = offsets[own[fit]]
+        yield first, past, own[fit], least[fit], (grams >> np.uint64(1)).astype(np.int64), (whole[fit] >> np.uint64(1)).astype(np.int64), starts[fit] - begin, ends[last] - begin, lines(starts[fit]), lines(starts[last]), fit - bounds[own[fit]]
+
+
+def _fingerprints(passage: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch["row"].to_numpy()
+            for first, _, own, least, grams, *_ in _runs_of_words(encoded(batch["text"]), passage):
+                place, at = np.unique(least, return_index=True)
+                yield pd.DataFrame({"row": rows[first + own[at]], "gram": grams[place]})
+
+    return run
+
+
+def _repeatable(passage: int):
+    """The windows whose smallest gram is among those that repeat."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, ids, again = batch["row"].to_numpy(), batch["doc_id"].astype("Int64").reset_index(drop=True), list(batch["again"])
+            for first, past, own, least, grams, whole, start, stop, line, last, word in _runs_of_words(encoded(batch["text"]), passage):
+                # A clash of these keys lets a window more through, which the count of its places then judges.
+                lists = [np.asarray(x, np.int64) for x in again[first:past]]
+                number = np.repeat(np.arange(past - first), [len(x) for x in lists])
+                key = lambda gram, k: mix(gram.astype(np.uint64) * SEED + k.astype(np.uint64))
+                kept = np.flatnonzero(np.isin(key(grams[least], own), key(np.concatenate(lists), number)))
+                at = first + own[kept]
+                yield pd.DataFrame({"doc_id": ids.iloc[at].array, "row": rows[at], "word": word[kept], "hash": whole[kept], "start": start[kept], "stop": stop[kept], "line": line[kept], "last": last[kept]})
+
+    return run
+
+
+def _repeated_runs(docs: DataFrame, texts: DataFrame, passage: int) -> DataFrame:
+    """doc_id, row, line, last, start, stop, words, passage_id, places, remove of each run of repeated windows. texts: doc_id, row, text, copies."""
+    entries = materialise(docs.mapInPandas(lean(_fingerprints(passage)), "row long, gram long"), "grams")
+    again = entries.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    wanted = entries.distinct().join(again, "gram").groupBy("row").agg(F.collect_list("gram").alias("again"))
+    held = materialise(texts.join(wanted, "row").select("doc_id", "row", "text", "again").mapInPandas(lean(_repeatable(passage)), "doc_id long, row long, word int, hash long, start int, stop int, line int, last int"), "windows")
+    copies = texts.where("copies > 1").select("row", "copies")
+    counted = held.select("hash", "doc_id", "row", "word").join(copies, "row", "left").groupBy("hash").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("places"), F.min(F.struct("doc_id", "row", "word")).alias("kept")).where("places > 1")
+    found = held.join(counted, "hash").withColumn("remove", ~((F.col("row") == F.col("kept.row")) & (F.col("word") == F.col("kept.word"))))
+    by_row = Window.partitionBy("row", "remove").orderBy("word")
+    runs = found.withColumn("run", F.col("word") - F.row_number().over(by_row)).groupBy("row", "remove", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("line").cast("long").alias("line"), F.max("last").cast("long").alias("last"), F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"),
+        (F.count("*") + passage - 1).alias("words"), F.min(F.struct("hash", "places")).alias("least"),
+    )
+    each = runs.join(copies, "row", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))))
+    return each.select("doc_id", "row", "line", "last", "start", "stop", "words", F.col("least.hash").alias("passage_id"), F.col("least.places").alias("places"), "remove")
+
+
+def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, percent: int = 75, recall: float = 0.999, pivots: int = 2, passage: int = 50) -> DataFrame:
     """Every place of every passage that is met more than once: id, line, start, stop (bytes), words, passage_id, places, remove."""
-    assert least_words >= 5
+    assert least_words >= 5 and passage >= GRAM
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     places = materialise(docs.mapInPandas(lean(_paragraphs(least_words)), "doc_id long, row long, line long, start long, stop long, words long, p1 long, p2 long"), "paragraphs")
 
@@ -135,7 +224,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     kinds = materialise(kinds.withColumn("node", F.col("p1")), "kinds")
     # An id may come with several texts: rows are told apart by both, and only rows equal in both are one.
     unique = docs.agg(F.count("*") == F.count_distinct("row")).first()[0]
-    texts = docs if unique else docs.dropDuplicates(["row"])
+    texts = docs.withColumn("copies", F.lit(1).cast("long")) if unique else docs.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
 
     def cut(wanted: DataFrame) -> DataFrame:
         own = wanted.groupBy("row").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))
@@ -180,7 +269,14 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     found = places.join(member, ["p1", "p2"])
     first = found.groupBy("passage_id").agg(F.min(F.struct("doc_id", "row", "line")).alias("kept"))
     marked = found.join(first, "passage_id").withColumn("remove", ~((F.col("row") == F.col("kept.row")) & (F.col("line") == F.col("kept.line"))))
-    return marked.select(F.col("doc_id").alias(id_col), "line", "start", "stop", "words", "passage_id", "places", "remove")
+    marked = materialise(marked.select("doc_id", "row", "line", "start", "stop", "words", "passage_id", "places", "remove"), "marked")
+
+    # A run inside a line that goes, or that is told of with the same mark, says nothing new.
+    runs = _repeated_runs(docs, texts, passage)
+    told = marked.select(F.col("row").alias("told_row"), F.col("line").alias("told_line"), F.col("remove").alias("told_remove")).distinct()
+    new = runs.join(told, (F.col("row") == F.col("told_row")) & (F.col("line") == F.col("told_line")) & (F.col("last") == F.col("told_line")) & (F.col("told_remove") | ~F.col("remove")), "left_anti")
+    columns = [F.col("doc_id").alias(id_col), "line", "start", "stop", "words", "passage_id", "places", "remove"]
+    return marked.select(*columns).union(new.select(*columns))
 
 
 def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

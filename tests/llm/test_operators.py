@@ -122,6 +122,19 @@ def test_paragraphs(docs, empty):
     assert paragraph_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_without_lines(spark):
+    """Short lines, and passages inside long lines, over other line breaks and over short lines: words by brute force."""
+    short, shared = text(70, 8), text(71, 60)
+    words = shared.split()
+    broken = "\n".join(" ".join(words[i : i + 4]) for i in range(0, 60, 4))
+    rows = [(1, text(72, 40) + "\n" + short), (2, short + "\n" + text(73, 30)), (3, text(74, 900) + " " + shared + " " + text(75, 900)), (4, text(76, 30) + "\n" + broken), (5, text(77, 20) + " " + shared.upper() + "\n" + text(78, 20))]
+    found = paragraph_dedup.repeated_passages(frame(spark, rows)).collect()
+    got = sorted((r.doc_id, r.line, r.words, r.places, r.remove) for r in found)
+    assert got == [(1, 1, 8, 2, False), (2, 0, 8, 2, True), (3, 0, 60, 3, False), (4, 1, 60, 3, True), (5, 0, 60, 3, True)]
+    cut = {r.doc_id: dict(rows)[r.doc_id].encode()[r.start : r.stop].decode().lower().split() for r in found}
+    assert cut == {1: short.split(), 2: short.split(), 3: words, 4: words, 5: words} and len({r.passage_id for r in found}) == 2
+
+
 @pytest.mark.parametrize("shared_id", [1, None])
 def test_texts_under_one_id(spark, shared_id):
     """Different texts that share an id (or have none) keep their own links."""

@@ -9,7 +9,9 @@ Spark's business):
   many bytes. `doc_ids` and `counts` say which documents the block holds; `part` and `block` order the blocks.
 
 Texts are tokenised once. A chunk between blanks encodes alike wherever it stands, because the tokenizer drops
-white space and never merges across it; so each worker keeps the ids of the chunks it has met.
+white space and never merges across it; so each worker keeps the ids of the chunks it has met. Chunks of
+plain letters, digits and punctuation are put together of their pieces, which go in lower case to the tokenizer's model
+itself; whether a tokenizer works that way is tested on a few chunks when it is loaded.
 
 Edge cases: null and empty texts hold the end id alone; a null doc_id sorts first; rows with equal ids follow
 each other, ordered by text hash; an empty table gives empty files; extra columns are ignored.
@@ -17,9 +19,9 @@ each other, ordered by text hash; an empty table gives empty files; extra column
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,6 +41,31 @@ LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int6
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
+#: Chunks of ASCII and of Latin letters whose lower case is one letter whatever stands around them, and their pieces: words,
+#: single digits, runs of punctuation. The apostrophe is left out as it begins pieces of its own.
+PLAIN = re.compile(r"[!-&(-~ªµºÀ-ÖØ-öø-į]+")
+PIECE = re.compile(r"[A-Za-zªµºÀ-ÖØ-öø-į]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+MARKS = frozenset(".,;:!?")
+PROBES = ("word", "Word", "WORD", "naïve", "Ñandú", "straße", "éàü", "a", "word,", "Élan.", "mañana!", "a1b22", "x_y", "...", "12.5%", "$$$", "ab###")
+#: Byte-level vocabularies write bytes as characters: the printable ones of Latin-1 as themselves, the others from U+0100 on.
+PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
+class PieceEncoder(dict):
+    """Ids of each lower-case piece met so far, straight from the tokenizer's model."""
+
+    def __init__(self, tokenizer):
+        self.tokenize = tokenizer.model.tokenize
+        width = int(id_type(tokenizer)[-1])
+        self.written = [i.to_bytes(width, "little") for i in range(tokenizer.get_vocab_size())]
+
+    def __missing__(self, piece: str) -> bytes:
+        written, letters = self.written, piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        self[piece] = found = b"".join([written[t.id] for t in self.tokenize(letters)])
+        return found
+
+
 class ChunkEncoder(dict):
     """Little-endian ids of each chunk met so far, in two bytes each where the vocabulary allows it."""
 
@@ -47,34 +74,39 @@ class ChunkEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_type(self.tokenizer)
-        # Tokens that end a word, where the vocabulary marks them: they tell joined words apart again.
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks: plain words, with one mark after them or none, together; others one by one."""
-        words = [[c for c in chunks if c.isalpha()], [c for c in chunks if c[-1:] in ".,;:!?" and c[:-1].isalpha()]] if self.ends.any() else []
-        for pieces, plain in enumerate(words, 1):
-            for at in range(0, len(plain), 512):
-                group = plain[at : at + 512]
-                ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, self.kind)
-                cuts = np.flatnonzero(self.ends[ids]) + 1
-                if len(cuts) == pieces * len(group):
-                    cuts, raw, width = cuts[pieces - 1 :: pieces].tolist(), ids.tobytes(), ids.itemsize
-                    self.update(zip(group, [raw[a * width : b * width] for a, b in zip([0, *cuts], cuts)]))
-        other = [c for c in chunks if c not in self]
-        for c, encoding in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            self[c] = np.array(encoding.ids, self.kind).tobytes()
+        self.pieces = PieceEncoder(self.tokenizer)
+        # Pieces go to the model itself, without normaliser and splitter, if the tokenizer treats the probes that way.
+        # Added tokens are found anywhere in a text: chunks that hold a mark which all of these have are encoded whole.
+        added = [set(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        marks = {c for c in set.intersection(*added) if not c.isalnum() and c not in MARKS} if added else {"\n"}
+        self.direct, self.guard = bool(marks), min(marks, default="")
+        self.direct = self.direct and all(self[c] == self._whole(c) for c in PROBES)
+        self.clear()
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not self.direct or not PLAIN.fullmatch(chunk):
+            found = self._whole(chunk)
+        elif chunk.isalpha():
+            found = self.pieces[chunk.lower()]
+        elif chunk[-1] in MARKS and chunk[:-1].isalpha():
+            found = self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
+        elif self.guard in chunk:
+            found = self._whole(chunk)
+        else:
+            found = b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk.lower())))
+        self[chunk] = found
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self) > REMEMBERED:  # what came first is what comes most
-            for c in list(self)[REMEMBERED // 2 :]:
-                del self[c]
-        self.learn([c for c in set(chain.from_iterable(chunks)) if c not in self])
-        for own in chunks:
-            yield b"".join(map(self.__getitem__, own))
+        for known in (self, self.pieces):  # what came first is what comes most
+            if len(known) > REMEMBERED:
+                for c in list(known)[REMEMBERED // 2 :]:
+                    del known[c]
+        for t in texts:
+            yield b"".join(map(self.__getitem__, t.replace("\n", " ").split(" ")))
 
 
 def id_type(tokenizer) -> str:
@@ -82,30 +114,23 @@ def id_type(tokenizer) -> str:
 
 
 def _tokenised(path: str, end_id: int):
+    """Ids of every document; and, as a row of its own, how often a task has met each id."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if path not in _encoders:
             _encoders[path] = ChunkEncoder(path)
         encoder = _encoders[path]
         end = np.array([end_id], encoder.kind).tobytes()
+        total = np.zeros(max(end_id + 1, encoder.tokenizer.get_vocab_size()), np.int64)
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
                 ids = [i + end for i in encoder.encode([t if isinstance(t, str) else "" for t in part["text"]])]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "tie": part["tie"], "ids": ids})
-
-    return run
-
-
-def _counted(kind: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                counts = np.bincount(np.frombuffer(b"".join(batch["ids"].iloc[at : at + 500]), kind))
-                total = np.pad(total, (0, max(0, len(counts) - len(total))))
-                total[: len(counts)] += counts
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"id": seen, "count": total[seen]})
+                total += np.bincount(np.frombuffer(b"".join(ids), encoder.kind), minlength=len(total))
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "tie": part["tie"], "ids": ids, "met": None, "counts": None})
+        if total.any():
+            met = np.flatnonzero(total)
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "tie": [0], "ids": [None], "met": [met], "counts": [total[met]]})
 
     return run
 
@@ -160,8 +185,9 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
 
     kind = id_type(Tokenizer.from_file(tokenizer))
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    tokens = materialise(docs.mapInPandas(_tokenised(tokenizer, end_id), "doc_id long, tie long, ids binary"), "tokens")
-    counts = tokens.select("ids").mapInPandas(_counted(kind), "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    found = materialise(docs.mapInPandas(_tokenised(tokenizer, end_id), "doc_id long, tie long, ids binary, met array<long>, counts array<long>"), "tokens")
+    tokens = found.where("ids is not null").select("doc_id", "tie", "ids")
+    counts = found.where("met is not null").select(F.explode(F.arrays_zip("met", "counts")).alias("m")).groupBy(F.col("m.met").alias("id")).agg(F.sum("m.counts").alias("count"))
     # One row for each id of the vocabulary at most: what reaches the driver doesn't grow with the documents.
     by_rank = [r["id"] for r in counts.orderBy(F.desc("count"), "id").collect()]
     spark = documents.sparkSession

@@ -1,13 +1,14 @@
 """Shared helpers of the training-data operators.
 
-Hashing of byte strings is vectorised: with S[i] the wrapped sum of code(byte j) * B**j for j < i, the
-hash of bytes a..b is (S[b] - S[a]) * B**-a modulo 2**64, so any number of substrings costs one pass.
+Hashing of byte strings is vectorised: with S[i] the sum of code(byte j) * B**j for j < i, the hash of bytes a..b is
+(S[b] - S[a]) * B**-a modulo the prime 2**31 - 1, so any number of substrings costs one pass. Two bases give 62 bits.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CODES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PRIME = (1 << 31) - 1
+BASES = (0x2545F491, 0x4F6CDD1D)
+CODES = np.random.default_rng(7).integers(1, PRIME, 256, dtype=np.uint64)
 #: ASCII white space as the contracts of the word shingles define it: U+0020 and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -31,7 +32,7 @@ STEP_BYTES = 1 << 19
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROWS_PER_BATCH = 1000
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -50,15 +51,22 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i for i < n, grown on demand and kept per process."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, STEP_BYTES + (1 << 16))
-        for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            _powers[name] = np.multiply.accumulate(factors)
-    return _powers["up"][:n], _powers["down"][:n]
+def modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, for x below 2**62."""
+    prime, shift = np.uint64(PRIME), np.uint64(31)
+    x = (x & prime) + (x >> shift)
+    x = (x & prime) + (x >> shift)
+    return np.where(x >= prime, x - prime, x)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**i for i < n, grown on demand and kept per process."""
+    if len(_powers.get(base, ())) < n:
+        out = np.ones(1, np.uint64)
+        while len(out) < max(n, STEP_BYTES + (1 << 16)):
+            out = np.concatenate([out, modulo(out * np.uint64(pow(base, len(out), PRIME)))])
+        _powers[base] = out
+    return _powers[base][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -69,15 +77,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(CODES[data] * up, out=sums[1:])
+    """One row for each base."""
+    codes, sums = CODES[data], np.zeros((2, len(data) + 1), np.uint64)
+    for own, base in zip(sums, BASES):
+        np.cumsum(modulo(codes * powers(base, len(data))), out=own[1:])
     return sums
 
 
 def substring_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    both = np.zeros(len(starts), np.uint64)
+    for own, base in zip(sums, BASES):
+        down = powers(pow(base, -1, PRIME), sums.shape[1])
+        both = (both << np.uint64(31)) | modulo(modulo(own[ends] - own[starts]) * down[starts])
+    return mix(both ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
 
 
 def steps(texts, most: int = STEP_BYTES):
@@ -141,11 +153,13 @@ def shingle_sets(texts: list[bytes], n: int = 5):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a temporary one only where the session names none."""
+    """The folder that driver and executors share. A temporary one is made only where all of Spark is this one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir names no folder, and with master {master} executors don't share local ones")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
 
@@ -154,14 +168,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back. Lost executors lose none of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    # Rows are texts and token lists here: smaller batches between Spark and Python, for the length of this job.
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(min(ROWS_PER_BATCH, int(before)) if int(before) > 0 else ROWS_PER_BATCH))
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(BATCH, before)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the finished job
+    # Rows are texts and token lists here: smaller batches between Spark and Python, from the first job on.
+    if not 0 < int(spark.conf.get(BATCH)) <= ROWS_PER_BATCH:
+        spark.conf.set(BATCH, str(ROWS_PER_BATCH))
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,37 +1,42 @@
 """Suffix-array dedup: remove every byte that lies in a 400-byte string occurring elsewhere too.
 
-All strings of `length` bytes are dealt out by their minimiser, the smallest hash of their `anchor`-byte
-substrings (leftmost on ties). Equal strings have equal minimisers at equal places, so they meet. Consecutive
-strings with one minimiser form a segment, which is what travels, not the strings. Then, per minimiser:
+The same pass counts the bytes of repeated strings of `shorter` bytes, which are not removed. All strings of `shorter` bytes
+are dealt out by their minimiser, the smallest hash of their `anchor`-byte substrings (leftmost on ties). Equal strings have
+equal minimisers at equal places, so they meet. Consecutive strings with one minimiser form a segment, with as many bytes
+after it as its last string of `length` bytes takes; segments are what travels, not the strings. Then, per minimiser:
 
 * Equal segments count as one with a weight: copies are never sorted twice, however many there are. A segment
   of weight two or more repeats as a whole.
 * Where a minimiser has several different segments, their suffixes are sorted in two stages (`two_stage`): only
   suffixes smaller than their successor are sorted directly, the others are induced by scans over the buckets
-  of first bytes. Strings that share `length` bytes with a neighbour in that order repeat.
-* The strings of a minimiser with over `hot` different segments are dealt out once more, by their full content:
-  again equal strings meet, and nothing else does, so no group is too large for its task and none is skipped.
+  of first bytes. Strings that share `length`, or `shorter`, bytes with a neighbour in that order repeat.
+* A minimiser with over `most` different segments is dealt out anew by longer anchors: the places at which a string can hold
+  its minimiser are cut into `parts` ranges, and the strings of one range have more bytes in common, those from the range's last
+  place to its first. They are the next anchor. Equal strings stay together, and this goes on until every group is small
+  enough to be sorted, or its anchor is the string itself. So no group is too large for its task and none is skipped.
 
-The bytes decide inside a task; across tasks segments are told apart by minimiser and content hash, 128 bits.
+The bytes decide inside a task; across tasks segments are told apart by the hashes of anchor and content, 62 bits each.
 
 Edge cases: null and empty texts return 0 bytes removed and the hash of nothing; texts shorter than `length`
-keep everything; repeated rows with one id count as different places, and each returns a row; a null id is
-an id like others; extra columns are ignored.
+keep everything; very long texts are cut into segments like others; repeated rows with one id count as different places, and
+each returns a row; a null id is an id like others; an empty table returns no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoded, lean, materialise, mix, prefix_sums, steps, substring_hashes
+from .common import encoded, lean, materialise, prefix_sums, steps, substring_hashes
 
-SEGMENT = "key long, content long, row long, start long, run long"
+SEGMENT = "key long, content long, row long, start long, run int, at int, size int"
+SPANS = "array<struct<start: int, run: int, whole: boolean>>"
 #: Bytes of segments that are sorted at a time; minimisers are never split between two such blocks.
 BLOCK_BYTES = 3 << 18
 
@@ -49,54 +54,68 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(right[:count], left[width - 1 : width - 1 + count]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _segments_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
-    """(text, start in the buffer, run, key, content) of every segment in the texts of one step."""
+def _segments_of(data: np.ndarray, offsets: np.ndarray, length: int, shorter: int, anchor: int):
+    """(text, start in the buffer, run, place of the anchor, size, key, content) of every segment in the texts of one step."""
     sums = prefix_sums(data)
     at = np.arange(len(data) - anchor + 1)
     hashes = substring_hashes(sums, at, at + anchor)
-    least = sliding_argmin(hashes, length - anchor + 1)
+    least = sliding_argmin(hashes, shorter - anchor + 1)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     ends = offsets[1:] - 1
     where = np.arange(len(least))
-    valid = where + length <= ends[text[: len(least)]]
+    valid = where + shorter <= ends[text[: len(least)]]
     fresh = np.ones(len(least), bool)
     fresh[1:] = (least[1:] != least[:-1]) | (text[1 : len(least)] != text[: len(least) - 1])
     fresh &= valid
     starts = np.flatnonzero(fresh)
     if not len(starts):
-        return starts, starts, starts, starts, starts
+        return (starts,) * 7
     covered = np.concatenate([[0], np.cumsum(valid)])
     stops = np.append(starts[1:], len(least))
     run = covered[stops] - covered[starts]
+    size = np.minimum(run + length - 1, ends[text[starts]] - starts)
     keys = hashes[least[starts]].view(np.int64)
-    content = substring_hashes(sums, starts, starts + run + length - 1).view(np.int64)
-    return text[starts], starts, run, keys, content
+    content = substring_hashes(sums, starts, starts + size).view(np.int64)
+    return text[starts], starts, run, least[starts] - starts, size, keys, content
 
 
-def _segments(length: int, anchor: int):
+def _segments(length: int, shorter: int, anchor: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = batch["row"].to_numpy()
             for first, _, data, offsets in steps(encoded(batch["text"])):
-                if len(data) <= length:
+                if len(data) <= shorter:
                     continue
-                text, starts, runs, keys, content = _segments_of(data, offsets, length, anchor)
-                yield pd.DataFrame({"key": keys, "content": content, "row": rows[first + text], "start": starts - offsets[text], "run": runs})
+                text, starts, runs, at, size, keys, content = _segments_of(data, offsets, length, shorter, anchor)
+                yield pd.DataFrame({"key": keys, "content": content, "row": rows[first + text], "start": starts - offsets[text], "run": runs, "at": at, "size": size})
 
     return run
 
 
-def _single_strings(length: int):
-    """The strings of segments of hot minimisers, each by two hashes of its whole content."""
+PIECE = "key long, content long, own_key long, own_content long, first int, low int, high int, run int, at int, bytes binary"
+
+
+def _hash(data: bytes, *more: int) -> int:
+    salt = b"".join(m.to_bytes(8, "little") for m in more)
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=salt).digest(), "little", signed=True)
+
+
+def _dealt_anew(length: int, shorter: int, anchor: int, parts: int):
+    """Pieces of segments whose strings hold their minimiser at one of fewer places, by the longer anchor that they share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, content, n, text in zip(batch["key"], batch["content"], batch["run"], batch["bytes"]):
-                sums = prefix_sums(np.frombuffer(text, np.uint8))
-                at = np.arange(n)
-                plain = substring_hashes(sums, at, at + length)
-                other = substring_hashes(sums, at + 1, at + length - 1) ^ mix(plain + np.uint64(1))
-                yield pd.DataFrame({"h1": plain.view(np.int64), "h2": other.view(np.int64), "key": key, "content": content, "start": at})
+            out = []
+            for own_key, own_content, first, low, high, n, at, data in zip(*(batch[c] for c in ("own_key", "own_content", "first", "low", "high", "run", "at", "bytes"))):
+                width = -(-(high - low + 1) // parts)
+                for a in range(low, high + 1, width):
+                    b = min(a + width - 1, high)
+                    begin, end = max(0, at - b), min(n - 1, at - a)
+                    if begin <= end:
+                        piece = data[begin : end + length]
+                        shared = data[at - a : at + shorter - b]
+                        out.append((_hash(shared, a, b), _hash(piece), own_key, own_content, first + begin, a, b, end - begin + 1, at - begin, piece))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
 
     return run
 
@@ -112,7 +131,7 @@ def _words(data: np.ndarray) -> np.ndarray:
 
 def _common(sums: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, most: int) -> np.ndarray:
     """Common prefix lengths of the suffixes at a and b, from `low` up to `most`, by bisection over hashes."""
-    n = len(sums) - 1
+    n = sums.shape[1] - 1
     low, high = low.copy(), np.minimum(most, n - np.maximum(a, b))
     low = np.minimum(low, high)
     while (open_ := low < high).any():
@@ -216,26 +235,35 @@ def two_stage(data: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     return order[order < size]
 
 
-def repeated_in(texts: list[bytes], runs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each segment, which of its first `run` strings of `length` bytes occur again in these segments."""
+def _equal_neighbours(order: np.ndarray, sums: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
+    """Which positions share `length` bytes with a neighbour in suffix order."""
+    a, b = order[:-1], order[1:]
+    near = substring_hashes(sums, a, a + length) == substring_hashes(sums, b, b + length)
+    # The adjacent common prefixes are counted in bytes; the hashes only spare the pairs that differ.
+    pairs = np.flatnonzero(near)
+    for j in [*range(0, length - 7, 8), max(0, length - 8)]:
+        pairs = pairs[words[a[pairs] + j] == words[b[pairs] + j]]
+    again = np.zeros(len(words), bool)
+    again[a[pairs]] = again[b[pairs]] = True
+    return again
+
+
+def repeated_in(texts: list[bytes], runs: np.ndarray, length: int, shorter: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each segment, which of its first `run` strings of `shorter`, and of `length`, bytes occur again in these segments."""
     data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    sums = prefix_sums(data)
+    sizes = np.array([len(t) for t in texts])
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    sums, words = prefix_sums(data), _words(data)
     mark = np.zeros(len(data) + 1, np.int64)
     np.add.at(mark, offsets[:-1], 1)
     np.add.at(mark, offsets[:-1] + runs, -1)
     wanted = np.cumsum(mark)[:-1] > 0
     order = two_stage(data, wanted, length)
     order = order[wanted[order]]
-    a, b = order[:-1], order[1:]
-    near = substring_hashes(sums, a, a + length) == substring_hashes(sums, b, b + length)
-    # The adjacent common prefixes are counted in bytes; the hashes only spare the pairs that differ.
-    pairs, words = np.flatnonzero(near), _words(data)
-    for j in [*range(0, length - 7, 8), max(0, length - 8)]:
-        pairs = pairs[words[a[pairs] + j] == words[b[pairs] + j]]
-    again = np.zeros(len(data), bool)
-    again[a[pairs]] = again[b[pairs]] = True
-    return [again[s : s + r] for s, r in zip(offsets[:-1].tolist(), runs.tolist())]
+    # A segment at the end of its text may have no room for strings of `length` bytes.
+    room = np.repeat(offsets[1:], sizes) - np.arange(len(data)) >= length
+    some, long = _equal_neighbours(order, sums, words, shorter), _equal_neighbours(order[room[order]], sums, words, length)
+    return [(some[s : s + r], long[s : s + r]) for s, r in zip(offsets[:-1].tolist(), runs.tolist())]
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -243,12 +271,12 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
 
 
-def _sort_groups(length: int):
+def _sort_groups(length: int, shorter: int):
     """Rows come ordered by key; whole groups are gathered into blocks and each block is sorted at once."""
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
-        flags = repeated_in(list(group["bytes"]), group["run"].to_numpy(), length)
-        spans = [[{"start": s, "run": e - s} for s, e in _spans(f)] for f in flags]
+        flags = repeated_in(list(group["bytes"]), group["run"].to_numpy(np.int64), length, shorter)
+        spans = [[{"start": s, "run": e - s, "whole": whole} for whole, f in zip((False, True), both) for s, e in _spans(f)] for both in flags]
         return pd.DataFrame({"key": group["key"].to_numpy(), "content": group["content"].to_numpy(), "spans": spans})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,70 +306,118 @@ def _sort_groups(length: int):
 
 def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = [(s["key"], s["content"], s["hot"], s["run"], text[s["start"] : s["start"] + s["size"]]) for text, spans in zip(encoded(batch["text"]), batch["spans"]) for s in spans]
-        yield pd.DataFrame(out, columns=["key", "content", "hot", "run", "bytes"])
+        out = [(s["key"], s["content"], s["hot"], s["run"], s["at"], text[s["start"] : s["start"] + s["size"]]) for text, spans in zip(encoded(batch["text"]), batch["spans"]) for s in spans]
+        yield pd.DataFrame(out, columns=["key", "content", "hot", "run", "at", "bytes"])
 
 
-def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"]):
-            (text,) = encoded([text])
-            merged: list[list[int]] = []
-            for s, e in sorted((s["start"], s["stop"]) for s in spans) if spans is not None else ():
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(e, merged[-1][1])
-                else:
-                    merged.append([s, e])
-            digest, at = hashlib.sha256(), 0
-            for s, e in merged:
-                digest.update(text[at:s])
-                at = e
-            digest.update(text[at:])
-            out.append((doc_id, len(text), sum(e - s for s, e in merged), len(merged), digest.hexdigest(), merged))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
-
-
-def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, anchor: int = 128, hot: int = 1000) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, removed (arrays of start, end)."""
+def _merged(spans) -> list[list[int]]:
+    merged: list[list[int]] = []
+    for s, e in sorted(spans):
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(e, merged[-1][1])
+        else:
+            merged.append([s, e])
+    return merged
+
+
+def _removed(length: int, shorter: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"]):
+                (text,), spans = encoded([text]), [] if spans is None else spans
+                gone = _merged((s["start"], s["start"] + s["run"] + length - 1) for s in spans if s["whole"])
+                again = _merged((s["start"], s["start"] + s["run"] + shorter - 1) for s in spans if not s["whole"])
+                digest, at = hashlib.sha256(), 0
+                for s, e in gone:
+                    digest.update(text[at:s])
+                    at = e
+                digest.update(text[at:])
+                out.append((doc_id, len(text), sum(e - s for s, e in gone), len(gone), digest.hexdigest(), sum(e - s for s, e in again), gone))
+            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "removed"])
+            frame["doc_id"] = frame["doc_id"].astype("Int64")
+            yield frame
+
+    return run
+
+
+def _whole_spans(length: int, first=0) -> list:
+    """The spans of a segment that repeats as a whole: all its strings of either length."""
+    long = F.least("run", F.col("size") - (length - 1))
+    span = lambda run, whole: F.struct(F.lit(first).cast("int").alias("start"), run.cast("int").alias("run"), F.lit(whole).alias("whole"))
+    return F.filter(F.array(span(F.col("run"), False), span(long, True)), lambda s: s["run"] > 0)
+
+
+def _among_many(hot: DataFrame, length: int, shorter: int, anchor: int, most: int, parts: int) -> DataFrame:
+    """(key, content, spans) of the segments of minimisers with over `most` different ones. hot: key, content, run, at, bytes."""
+    pieces = hot.select(F.col("key").alias("own_key"), F.col("content").alias("own_content"), F.lit(0).alias("first"), F.lit(0).alias("low"), F.lit(shorter - anchor).alias("high"), "run", "at", "bytes")
+    found, width = [], shorter - anchor + 1
+    while width > 1:
+        width = -(-width // parts)
+        dealt = materialise(pieces.mapInPandas(lean(_dealt_anew(length, shorter, anchor, parts)), PIECE), "pieces").withColumn("size", F.length("bytes"))
+        kinds = materialise(dealt.groupBy("key", "content").agg(F.count("*").alias("places")), "piece-kinds")
+        keys = materialise(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("places").alias("total")).where("total > 1"), "piece-keys")
+        known = dealt.join(kinds, ["key", "content"]).join(keys, "key")
+        own = [F.col("own_key").alias("key"), F.col("own_content").alias("content")]
+        if width == 1:  # the anchor is the string of `shorter` bytes: all of a group repeat
+            repeated = F.filter(_whole_spans(length), lambda s: ~s["whole"] | (F.col("places") > 1))
+            found.append(known.select(*own, "first", repeated.alias("spans")))
+            break
+        found.append(known.where("places > 1").select(*own, "first", _whole_spans(length).alias("spans")))
+        # One piece of each kind goes on; those of several places are only there to be compared with.
+        rest = known.where("kinds > 1")
+        one = rest.where("places = 1").select(*dealt.columns, "kinds").union(rest.where("places > 1").dropDuplicates(["key", "content"]).select(*dealt.columns, "kinds"))
+        one = materialise(one, "one-piece")
+        small = one.where(F.col("kinds") <= most)
+        verdict = small.select("key", "content", "run", "bytes").repartition("key").sortWithinPartitions("key").mapInPandas(lean(_sort_groups(length, shorter)), f"key long, content long, spans {SPANS}")
+        found.append(small.join(materialise(verdict.where(F.size("spans") > 0), "piece-verdict"), ["key", "content"]).select(*own, "first", "spans"))
+        pieces = one.where(F.col("kinds") > most)
+        if not pieces.limit(1).count():
+            break
+    every = reduce(DataFrame.union, found)
+    shifted = F.transform("spans", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), s["run"].alias("run"), s["whole"].alias("whole")))
+    return every.select("key", "content", shifted.alias("spans"))
+
+
+def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, shorter: int = 256, anchor: int = 64, most: int = 1000, parts: int = 4) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated (bytes in repeated strings of `shorter`
+    bytes), removed (arrays of start, end)."""
+    assert anchor <= shorter <= length
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # Rows are told apart by id where ids are unique; else by id and content: rows equal in both have equal spans.
     unique = docs.agg(F.count("*") == F.count_distinct("doc_id")).first()[0]
     docs = docs.withColumn("row", F.col("doc_id") if unique else F.xxhash64("doc_id", "text"))
     texts = docs.select("row", "text")
-    segments = materialise(texts.mapInPandas(lean(_segments(length, anchor)), SEGMENT), "segments")
-    reach = lambda start, run: (start + run + (length - 1)).alias("stop")
+    segments = materialise(texts.mapInPandas(lean(_segments(length, shorter, anchor)), SEGMENT), "segments")
 
-    # Minimisers that are met once are done. Where all segments of one are equal, all of them repeat as a whole.
-    met = segments.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    shared = materialise(segments.join(met, "key").select(*segments.columns, (F.col("low") != F.col("high")).alias("mixed")), "shared")
+    # Minimisers that are met once are done. Where all segments of one are equal, all of them repeat as a whole. Counts are
+    # written out before they are joined, so that Spark can split the rows of a minimiser that has very many.
+    met = materialise(segments.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1").select("key", (F.col("low") != F.col("high")).alias("mixed")), "met")
+    shared = materialise(segments.join(met, "key").select(*segments.columns, "mixed"), "shared")
     mixed = shared.where("mixed")
 
     # Different segments of one minimiser: one of each kind, with its weight.
-    kinds = mixed.groupBy("key", "content").agg(F.first("row").alias("row"), F.first("start").alias("start"), F.first("run").alias("run"), F.count("*").alias("weight"))
+    kinds = mixed.groupBy("key", "content").agg(*(F.first(c).alias(c) for c in ("row", "start", "run", "at", "size")), F.count("*").alias("weight"))
     kinds = materialise(kinds, "kinds")
-    keys = materialise(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("weight").alias("least")), "keys")
-    chosen = kinds.join(keys.where(F.col("least") == 1).select("key", (F.col("kinds") > hot).alias("hot")), "key")
-    per_row = chosen.groupBy("row").agg(F.collect_list(F.struct("key", "content", "hot", "start", "run", (F.col("run") + (length - 1)).alias("size"))).alias("spans"))
-    cut = texts.join(per_row, "row").select("text", "spans").mapInPandas(lean(_cut_out), "key long, content long, hot boolean, run long, bytes binary")
+    keys = materialise(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("weight").alias("least")).where("least = 1").select("key", (F.col("kinds") > most).alias("hot")), "keys")
+    chosen = kinds.join(keys, "key")
+    per_row = chosen.groupBy("row").agg(F.collect_list(F.struct("key", "content", "hot", "start", "run", "at", "size")).alias("spans"))
+    cut = texts.join(per_row, "row").select("text", "spans").mapInPandas(lean(_cut_out), "key long, content long, hot boolean, run int, at int, bytes binary")
     cut = materialise(cut if unique else cut.dropDuplicates(["key", "content"]), "cut")
-    ordered = cut.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key")
-    sorted_ = ordered.mapInPandas(lean(_sort_groups(length)), "key long, content long, spans array<struct<start: long, run: long>>").where(F.size("spans") > 0)
-    strings = cut.where("hot").mapInPandas(lean(_single_strings(length)), "h1 long, h2 long, key long, content long, start long")
-    repeated = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    single = strings.join(repeated, ["h1", "h2"]).groupBy("key", "content").agg(F.collect_list(F.struct("start", F.lit(1).cast("long").alias("run"))).alias("spans"))
-    whole = kinds.where("weight > 1").select("key", "content", F.array(F.struct(F.lit(0).cast("long").alias("start"), "run")).alias("spans"))
-    verdict = materialise(sorted_.union(single).join(whole.select("key", "content"), ["key", "content"], "left_anti").union(whole), "verdict")
-    found = mixed.join(verdict, ["key", "content"]).select("row", "start", F.explode("spans").alias("s"))
-    spans = shared.where("not mixed").select("row", "start", reach(F.col("start"), F.col("run")))
-    spans = spans.union(found.select("row", (F.col("start") + F.col("s.start")).alias("start"), reach(F.col("start") + F.col("s.start"), F.col("s.run"))))
-
-    merged = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    ordered = cut.where("not hot").select("key", "content", "run", "bytes").repartition("key").sortWithinPartitions("key")
+    verdict = ordered.mapInPandas(lean(_sort_groups(length, shorter)), f"key long, content long, spans {SPANS}").where(F.size("spans") > 0)
+    hot = cut.where("hot").drop("hot")
+    if hot.limit(1).count():
+        verdict = verdict.union(_among_many(hot, length, shorter, anchor, most, parts))
+    verdict = materialise(verdict.union(kinds.where("weight > 1").select("key", "content", _whole_spans(length).alias("spans"))), "verdict")
+    found = mixed.select("row", "start", "key", "content").join(verdict, ["key", "content"]).select("row", "start", F.explode("spans").alias("s"))
+    spans = shared.where("not mixed").select("row", "start", F.explode(_whole_spans(length)).alias("s")).union(found)
+    spans = spans.select("row", F.struct((F.col("start") + F.col("s.start")).alias("start"), F.col("s.run").alias("run"), F.col("s.whole").alias("whole")).alias("span"))
+
+    merged = spans.groupBy("row").agg(F.collect_list("span").alias("spans"))
     return (
         docs.join(merged, "row", "left").select("doc_id", "text", "spans")
-        .mapInPandas(lean(_removed), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>")
+        .mapInPandas(lean(_removed(length, shorter)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, removed array<array<long>>")
         .withColumnRenamed("doc_id", id_col)
     )
 

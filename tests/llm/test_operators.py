@@ -59,26 +59,56 @@ def test_two_stage():
         assert strings == sorted(strings)
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_suffix_dedup(docs, empty, hot):
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+def covered(rows, length):
+    """Per row, which bytes lie in a string of this length that starts at two places."""
     seen: dict = {}
     for _, b in rows:
-        for i in range(len(b) - 399):
-            seen[b[i : i + 400]] = seen.get(b[i : i + 400], 0) + 1
+        for i in range(len(b) - length + 1):
+            seen[b[i : i + length]] = seen.get(b[i : i + length], 0) + 1
+    found = []
+    for _, b in rows:
+        gone = np.zeros(len(b), int)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = 1
+        found.append(gone)
+    return found
+
+
+@pytest.fixture(scope="module")
+def contexts(spark):
+    """A passage of 90 words that many texts hold, at all distances from either end, and some of these texts twice."""
+    passage = text(60, 90)
+    found = [(i, f"{text(100 + i, i % 7 * 9)} {passage} {text(300 + i, i % 5 * 11)}") for i in range(40)]
+    return frame(spark, [*found, *((100 + i, t) for i, t in found[:4]), (200, passage[:380]), (201, passage[150:])])
+
+
+@pytest.mark.parametrize("most", [2000, 1])
+@pytest.mark.parametrize("table", ["docs", "contexts"])
+def test_suffix_dedup(request, empty, table, most):
+    """most=1: every minimiser of several segments is dealt out by longer anchors down to single strings."""
+    docs = request.getfixturevalue(table)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     expected = []
-    for doc_id, b in rows:
-        gone = np.zeros(len(b) + 1, int)
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                gone[i : i + 400] = 1
+    for (doc_id, b), gone, again in zip(rows, covered(rows, 400), covered(rows, 256)):
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        expected.append((doc_id or -1, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    got = suffix_dedup.suffix_dedup(docs, hot=hot).collect()
-    assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(expected)
+        expected.append((doc_id or -1, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone])) == 1).sum()), hashlib.sha256(kept).hexdigest(), int(again.sum())))
+    got = suffix_dedup.suffix_dedup(docs, most=most).collect()
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_repeated) for r in got) == sorted(expected)
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_hashes_of_built_collisions():
+    """Thue-Morse words and their complements collide under any base modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    words = [bytes(97 + (b ^ flip) for b in bits) for flip in (0, 1)]
+    data = np.frombuffer(b" ".join(words) + b"\n", np.uint8)
+    hashes, starts, ends, _ = common.word_hashes(data, np.array([0, len(data)]))
+    assert len(hashes) == 2 and hashes[0] != hashes[1]
+    again = common.word_hashes(np.frombuffer(b"xx " + words[0] + b"\n", np.uint8), np.array([0, 2052]))[0]
+    assert again[1] == hashes[0]
+
+
 def shingles(t):
     words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}

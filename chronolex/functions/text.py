@@ -15,6 +15,14 @@ OPERATORS = {"이상": ">=", "초과": ">", "이하": "<=", "미만": "<"}
 ANTI_AVOIDANCE = ("실질과세", "부당행위계산부인", "단계거래")
 CONSTITUTIONAL = (("헌법불합치", "헌법불합치"), ("한정위헌", "한정위헌"), ("한정합헌", "한정합헌"), ("각하", "각하"), ("위반된다", "위헌"), ("위헌", "위헌"))
 WON, LOST = "납세자승", "납세자패"
+REMAND = r"파기.{0,80}?환송"
+DISMISSED = r"(?:상고|항소)를?\s*(?:모두\s*)?기각"
+DISMISSED_PARTY = r"(원고|피고)(?:들)?의?.{0,10}?(?:상고|항소)(?:를|는)?.{0,15}?기각"
+COSTS_PAYER = r"(?:상고|항소)비용은\s*(원고|피고)(?:들)?(?:이|가)\s*부담"
+PLAINTIFF_RIGHT = r"원고(?:들)?의?\s*(?:상고이유|항소이유)?\s*주장은\s*이유\s*있다"
+DEFENDANT_RIGHT = r"피고(?:들)?의?\s*(?:상고이유|항소이유)?\s*주장은\s*이유\s*있다"
+CLAIM_GRANTED = r"(원고|납세자|청구인)(?:들)?.{0,10}?청구(?:를|는)?.{0,10}?(인용|받아들|이유\s*있)"
+CLAIM_DISMISSED = r"(원고|납세자|청구인)(?:들)?.{0,10}?청구(?:를|는)?.{0,10}?(기각|이유\s*없)"
 COMPARE = "(이상|초과|이하|미만)"
 #: kind, unit where fixed, pattern, and the groups of value, unit and operator.
 THRESHOLDS = (
@@ -118,12 +126,15 @@ def citation(text: Column, names: list[str], article: str = r"제(\d+)조(?:의(
     if not names:
         return F.lit(None).cast("struct<law: string, art_no: int, branch_no: int, historical_date: date>")
     pattern = rf"(?:구\s*)?{law_names_pattern(names)}(?:\s*\(([^)]*)\))?\s*{article}"
-    law = found(text, pattern, 1)
-    full = F.coalesce(*(F.when(law == short, F.lit(name)) for short, name in abbreviations.items()), law)
-    return F.when(
-        law.isNotNull(),
-        F.struct(full.alias("law"), found(text, pattern, 3).cast("int").alias("art_no"), F.coalesce(found(text, pattern, 4).cast("int"), F.lit(0)).alias("branch_no"), dotted_date(found(text, pattern, 2)).alias("historical_date")),
-    )
+
+    def cut(match: Column) -> Column:
+        law = found(match, "^" + pattern, 1)
+        full = F.coalesce(*(F.when(law == short, F.lit(name)) for short, name in abbreviations.items()), law)
+        number = lambda g: found(match, "^" + pattern, g).cast("int")
+        return F.when(match.isNotNull(), F.struct(full.alias("law"), number(3).alias("art_no"), F.coalesce(number(4), F.lit(0)).alias("branch_no"), dotted_date(found(match, "^" + pattern, 2)).alias("historical_date")))
+
+    # The whole text is searched once; the parts are cut from the few characters that match.
+    return F.get(F.transform(F.array(found(text, pattern, 0)), cut), 0)
 
 
 def definitions(text: Column, patterns: tuple[str, ...] = DEFINITIONS) -> Column:
@@ -155,20 +166,16 @@ def keyword_flags(text: Column, keywords: tuple[str, ...] = ANTI_AVOIDANCE) -> C
 
 def court_outcome(text: Column) -> Column:
     """Who won: null where a part was sent back and a part dismissed, or nothing tells."""
-    remand = has(text, r"파기.{0,80}?환송")
-    party = found(text, r"(원고|피고)(?:들)?의?.{0,10}?(?:상고|항소)(?:를|는)?.{0,15}?기각")
-    dismissed = has(text, r"(?:상고|항소)를?\s*(?:모두\s*)?기각")
-    payer = found(text, r"(?:상고|항소)비용은\s*(원고|피고)(?:들)?(?:이|가)\s*부담")
-    accepted = lambda who: has(text, rf"{who}(?:들)?의?\s*(?:상고이유|항소이유)?\s*주장은\s*이유\s*있다")
-    claim = lambda ends: has(text, rf"(원고|납세자|청구인)(?:들)?.{{0,10}}?청구(?:를|는)?.{{0,10}}?({ends}|이유\s*{'있' if ends != '기각' else '없'})")
+    remand, dismissed = has(text, REMAND), has(text, DISMISSED)
+    party, payer = found(text, DISMISSED_PARTY), found(text, COSTS_PAYER)
     by = lambda who: F.when(who == "원고", LOST).otherwise(WON)
     return (
         F.when(remand & (party.isNotNull() | dismissed), F.lit(None).cast("string"))
         .when(party.isNotNull(), by(party))
         .when(dismissed, F.when(payer.isNotNull(), by(payer)))
-        .when(remand, F.when(accepted("피고"), LOST).when(accepted("원고"), WON))
-        .when(claim("인용|받아들"), WON)
-        .when(claim("기각"), LOST)
+        .when(remand, F.when(has(text, DEFENDANT_RIGHT), LOST).when(has(text, PLAINTIFF_RIGHT), WON))
+        .when(has(text, CLAIM_GRANTED), WON)
+        .when(has(text, CLAIM_DISMISSED), LOST)
     )
 
 

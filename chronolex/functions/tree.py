@@ -53,6 +53,16 @@ def full_text(clauses: Column) -> Column:
     return F.array_join(F.transform(chunks(clauses), lambda c: c["text"]), "\n")
 
 
+def encoded(value: Column) -> Column:
+    """A tree, diff or list of thresholds as JSON."""
+    return F.to_json(value)
+
+
+def decoded(text: Column, schema: str) -> Column:
+    """The value back; schema: one of TREE, DIFF and array<THRESHOLD> of `schemas`. Text that is no JSON gives null."""
+    return F.from_json(text, schema)
+
+
 def diff(before: Column, after: Column) -> Column:
     """struct(added, removed, changed) of two path maps."""
     added = F.map_filter(after, lambda k, v: ~F.map_contains_key(before, k))

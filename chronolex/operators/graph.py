@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.temporal import edge_in_force, require_as_of
 from ..functions.text import definitions
 from ..functions.tree import full_text
+from .versions import effective_at, insert_ignore, latest_open, supersedes
 
 REFERENCES = ("DELEGATES", "REFERS_TO", "MUTATIS")
 
@@ -28,8 +30,12 @@ def version_edges(version: DataFrame) -> DataFrame:
 
 
 def supersedes_edges(version: DataFrame) -> DataFrame:
-    before = F.lag("article_key").over(Window.partitionBy("article_id").orderBy("valid_from"))
-    return version.select(F.col("article_key").alias("src"), before.alias("dst"), F.lit("SUPERSEDES").alias("type")).where("dst is not null")
+    return supersedes(version, "article_id", "valid_from", "article_key").withColumn("type", F.lit("SUPERSEDES"))
+
+
+def pattern_vertices(pattern_type: DataFrame) -> DataFrame:
+    """One vertex per pattern, by its code."""
+    return pattern_type.select(F.col("code").alias("pattern_type"), "description").dropDuplicates(["pattern_type"])
 
 
 def reference_edges(delegations: DataFrame, statute: DataFrame, article: DataFrame) -> DataFrame:
@@ -46,9 +52,8 @@ def reference_edges(delegations: DataFrame, statute: DataFrame, article: DataFra
 
 def defines_edges(version: DataFrame) -> DataFrame:
     """Article to term, from the body and tree of the latest open version."""
-    latest = version.where("valid_to is null").withColumn("_n", F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("valid_from")))).where("_n = 1")
     text = F.concat_ws("\n", "body", full_text(F.col("tree.clauses")))
-    return latest.select(F.col("article_id").alias("src"), F.explode(definitions(text)).alias("term")).distinct()
+    return latest_open(version).select(F.col("article_id").alias("src"), F.explode(definitions(text)).alias("term")).distinct()
 
 
 def cites_edges(ruling: DataFrame, article: DataFrame) -> DataFrame:
@@ -56,14 +61,28 @@ def cites_edges(ruling: DataFrame, article: DataFrame) -> DataFrame:
     return cited.join(article.select(F.col("article_id").alias("dst")), "dst", "left_semi")
 
 
-def build_graph(statute: DataFrame, article: DataFrame, version: DataFrame, ruling: DataFrame, delegations: DataFrame) -> dict[str, DataFrame]:
-    """All edge tables; vertices are the tables themselves. The caller overwrites what it stored before."""
+def build_graph(statute: DataFrame, article: DataFrame, version: DataFrame, ruling: DataFrame, delegations: DataFrame, pattern_type: DataFrame) -> dict[str, DataFrame]:
+    """All edge tables, and the vertices of patterns; other vertices are the tables themselves."""
     return {
+        "PATTERN": pattern_vertices(pattern_type),
         "DELEGATES_TO": hierarchy_edges(statute), "HAS_VERSION": version_edges(version), "SUPERSEDES": supersedes_edges(version),
         "REFERENCES": reference_edges(delegations, statute, article), "DEFINES": defines_edges(version), "CITES": cites_edges(ruling, article),
     }
 
 
+def all_edges(tables: dict[str, DataFrame]) -> DataFrame:
+    """(kind, src, dst) of every edge of a graph, as strings; references under their own types."""
+    ends = {name: df.withColumnRenamed("term", "dst") for name, df in tables.items() if name != "PATTERN"}
+    rows = [df.select(F.col("type") if name == "REFERENCES" else F.lit(name).alias("kind"), F.col("src").cast("string"), F.col("dst").cast("string")).toDF("kind", "src", "dst") for name, df in ends.items()]
+    return reduce(DataFrame.union, rows)
+
+
+def write_graph(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each table of a graph in its place, in the stead of what was there."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name.lower()}")
+
+
 def expand_refs(starts: DataFrame, edges: DataFrame, as_of: date, hops: int = 2, types: Iterable[str] = REFERENCES) -> tuple[DataFrame, DataFrame]:
     """Nodes (start, node, hop) within `hops` valid edges, the start at 0, and edges (start, src, dst, type) on the way."""
     valid = edges.where(F.col("type").isin(*types) & edge_in_force(require_as_of(as_of))).select("src", "dst", "type").distinct()
@@ -96,8 +115,6 @@ def delegation_chains(starts: DataFrame, edges: DataFrame, longest: int = 3, typ
 
 def resolve_chain(chains: DataFrame, version: DataFrame, as_of: date) -> DataFrame:
     """The versions in force of the nodes after the start, in order; nodes without one are left out."""
-    from .versions import effective_at
-
     nodes = chains.select("start", F.posexplode("chain").alias("position", "article_id")).where("position > 0")
     return nodes.join(effective_at(version, as_of), "article_id")
 
@@ -136,12 +153,15 @@ def unpatched(ruling: DataFrame, cites: DataFrame, version: DataFrame, since: da
         wins = wins.where(F.col("decided_on") >= F.lit(since))
     open_ = version.where("valid_to is null").select(F.col("article_id").alias("dst"), "valid_from")
     hits = wins.select(F.col("ruling_id").alias("src"), "decided_on").join(cites, "src").join(open_, "dst").where("valid_from <= decided_on")
-    return hits.select(F.col("src").alias("ruling_id"), F.col("dst").alias("article_id"), "decided_on").distinct()
+    return hits.select(F.col("src").alias("ruling_id"), F.col("dst").alias("article_id"), "decided_on").distinct().orderBy(F.desc("decided_on"), "ruling_id", "article_id")
+
+
+def risk_score(rate: Column) -> Column:
+    """A rate as it is stored: three places, halves to the even digit, 0 where it is unknown."""
+    return F.bround(F.coalesce(rate, F.lit(0.0)), 3)
 
 
 def materialise_unpatched(candidates: DataFrame, rates: DataFrame, existing: DataFrame) -> DataFrame:
     """New loophole rows with their rounded risk score; to be appended."""
-    from .versions import insert_ignore
-
-    rows = candidates.join(rates, "article_id", "left").select("article_id", F.col("ruling_id").alias("origin_ruling"), F.lit("alive").alias("status"), F.bround(F.coalesce("rate", F.lit(0.0)), 3).cast("decimal(4,3)").alias("risk_score"))
+    rows = candidates.join(rates, "article_id", "left").select("article_id", F.col("ruling_id").alias("origin_ruling"), F.lit("alive").alias("status"), risk_score(F.col("rate")).cast("decimal(4,3)").alias("risk_score"))
     return insert_ignore(existing, rows, ["article_id", "origin_ruling"])

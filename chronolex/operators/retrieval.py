@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.temporal import in_force, require_as_of
 from ..functions.text import citation, trigrams
+from .graph import expand_refs
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -37,14 +38,25 @@ def top_n(hits: DataFrame, n: int, order: list[Column]) -> DataFrame:
 def keyword_search(queries: DataFrame, chunks: DataFrame, top: int = 30, threshold: float = 0.3, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, score, rank) of chunks whose similarity to the query text reaches the threshold.
 
-    Candidates come from an inverted join on trigrams: a pair's number of shared trigrams is counted by the join itself, so
-    only pairs that share any are met, and the similarity follows from both sizes.
+    Two texts of n and m trigrams that reach it share one of the n - ceil(threshold * n) + 1 rarest of the one and of the
+    corresponding number of the other, rarity counted over the chunks. Candidates come from a join on these alone, so common trigrams
+    are no join keys; each is then verified on both sets. Sizes too far apart cannot reach the threshold.
     """
-    side = lambda df, k: df.select(k, trigrams(F.col("text")).alias("g")).select(k, F.size("g").alias(f"n_{k}"), F.explode("g").alias("g"))
-    # Sizes too far apart cannot reach the threshold.
+    sets = lambda df, k: df.select(k, trigrams(F.col("text")).alias("g")).where(F.size("g") > 0)
+    q, c = sets(queries, "query_id"), sets(chunks, key)
+    rarity = c.select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+
+    def prefix(rows: DataFrame, k: str) -> DataFrame:
+        # 1e-9: a product that falls short of a whole number by rounding must not shorten the prefix.
+        ranked = rows.select(k, F.size("g").alias(f"n_{k}"), F.explode("g").alias("t")).join(rarity, "t", "left")
+        place = F.row_number().over(Window.partitionBy(k).orderBy(F.coalesce("df", F.lit(0)), "t"))
+        return ranked.withColumn("place", place).where(F.col("place") <= F.col(f"n_{k}") - F.ceil(threshold * F.col(f"n_{k}") - 1e-9) + 1).select(k, f"n_{k}", "t")
+
     near = F.least("n_query_id", f"n_{key}") >= threshold * F.greatest("n_query_id", f"n_{key}")
-    shared = side(queries, "query_id").join(side(chunks, key), "g").where(near).groupBy("query_id", key, "n_query_id", f"n_{key}").agg(F.count("*").alias("both"))
-    scored = shared.select("query_id", key, (F.col("both") / (F.col("n_query_id") + F.col(f"n_{key}") - F.col("both"))).alias("score"))
+    pairs = prefix(q, "query_id").join(prefix(c, key), "t").where(near).select("query_id", key).distinct()
+    both = pairs.join(q.withColumnRenamed("g", "a"), "query_id").join(c.withColumnRenamed("g", "b"), key)
+    shared = F.size(F.array_intersect("a", "b"))
+    scored = both.select("query_id", key, (shared / (F.size("a") + F.size("b") - shared)).alias("score"))
     return top_n(scored.where(F.col("score") >= threshold), top, [F.desc("score"), F.col(key)])
 
 
@@ -127,9 +139,10 @@ def rrf_fuse(*lists: DataFrame, k: int = 60, top: int = 30, key: str = "chunk_id
     return top_n(placed.join(sizes, "query_id").withColumn("score", score), top, [F.desc("score"), F.col("first")]).select("query_id", key, "score", "rank")
 
 
-def route_direct(queries: DataFrame, versions: DataFrame, names: list[str], as_of: date) -> DataFrame:
-    """Queries that name an article, beside its version on the date they state, else on as_of. versions: law, art_no, branch_no, ..."""
-    parsed = queries.withColumn("c", citation(F.col("text"), names)).where("c is not null")
+def route_direct(queries: DataFrame, versions: DataFrame, names: list[str], as_of: date, **patterns) -> DataFrame:
+    """Queries that name an article, beside its version on the date they state, else on as_of. versions: law, art_no, branch_no, ...;
+    patterns: what else `citation` takes."""
+    parsed = queries.withColumn("c", citation(F.col("text"), names, **patterns)).where("c is not null")
     asked = parsed.select("query_id", "c.law", "c.art_no", "c.branch_no", F.coalesce("c.historical_date", F.lit(require_as_of(as_of))).alias("anchor"))
     return asked.join(versions, ["law", "art_no", "branch_no"]).where(in_force(F.col("anchor")))
 
@@ -144,29 +157,32 @@ def rerank(hits: DataFrame, top: int = 20, scorer: Callable[[DataFrame], DataFra
 
 
 def search(
-    queries: DataFrame, chunks: DataFrame, versions: DataFrame, edges: DataFrame, rulings: DataFrame, names: list[str], as_of: date, today: date,
-    top: int = 20, hops: int = 1, k: int = 60, scorer: Callable[[DataFrame], DataFrame] | None = None,
+    queries: DataFrame, chunks: DataFrame, versions: DataFrame, edges: DataFrame, rulings: DataFrame, addenda: DataFrame, names: list[str], as_of: date, today: date,
+    top: int = 20, hops: int = 1, k: int = 60, scorer: Callable[[DataFrame], DataFrame] | None = None, vector_chunks: DataFrame | None = None, **patterns,
 ) -> DataFrame:
-    """Routed or fused articles of each query with what they refer to and the rulings on them: one row per hit.
+    """Routed or fused articles of each query, one row per hit, with what belongs to them: `related`, the versions in force of the
+    articles they refer to; `rulings` on them; `addenda`, the texts of addendum items that name them.
 
     queries: query_id, text, embedding. chunks: chunk_id, article_id, text, embedding, is_current, valid_from, valid_to.
-    versions: article_id, law, art_no, branch_no, body, valid_from, valid_to.
+    versions: article_id, article_key, law, art_no, branch_no, body, valid_from, valid_to. addenda: addendum_id, body, target_articles.
+    vector_chunks: the chunks that have vectors, if not all have; patterns: what else `citation` takes.
     """
-    from .graph import expand_refs
-
-    direct = route_direct(queries, versions, names, as_of).select("query_id", "article_id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+    direct = route_direct(queries, versions, names, as_of, **patterns).select("query_id", "article_id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
     open_ = queries.join(direct.select("query_id"), "query_id", "left_anti")
     by_text = keyword_search(open_, chunks.where(in_force(as_of)), top=30)
-    by_vector = vector_search(open_, chunks, as_of, today, top=30)
+    by_vector = vector_search(open_, chunks if vector_chunks is None else vector_chunks, as_of, today, top=30)
     fused = rrf_fuse(by_text, by_vector, k=k, top=top).join(chunks.select("chunk_id", "article_id"), "chunk_id")
     current = versions.where(in_force(require_as_of(as_of)))
     articles = fused.groupBy("query_id", "article_id").agg(F.max("score").alias("score"), F.min("rank").alias("rank")).join(current.select("article_id", "body"), "article_id")
     hits = rerank(articles, top, scorer).select("query_id", "article_id", "score", "rank").unionByName(direct)
-    nodes, _ = expand_refs(hits.select(F.col("article_id").alias("start")).distinct(), edges, as_of, hops)
-    related = nodes.where("hop > 0").groupBy(F.col("start").alias("article_id")).agg(F.sort_array(F.collect_set("node")).alias("related"))
-    cited = rulings.select(F.explode(F.array_distinct("cited_article_ids")).alias("article_id"), "ruling_id").join(hits.select("article_id").distinct(), "article_id", "left_semi")
+    found = hits.select("article_id").distinct()
+    nodes, _ = expand_refs(found.select(F.col("article_id").alias("start")), edges, as_of, hops)
+    version = F.struct("article_id", "article_key", "body")
+    related = nodes.where("hop > 0").select("start", F.col("node").alias("article_id")).join(current, "article_id").groupBy("start").agg(F.sort_array(F.collect_list(version)).alias("related"))
+    cited = rulings.select(F.explode(F.array_distinct("cited_article_ids")).alias("article_id"), "ruling_id").join(found, "article_id", "left_semi")
     cited = cited.groupBy("article_id").agg(F.sort_array(F.collect_set("ruling_id")).alias("rulings"))
-    empty = lambda t: F.array().cast(t)
-    return hits.join(related, "article_id", "left").join(cited, "article_id", "left").select(
-        "query_id", "article_id", "score", "rank", F.coalesce("related", empty("array<bigint>")).alias("related"), F.coalesce("rulings", empty("array<string>")).alias("rulings"), empty("array<bigint>").alias("addenda")
-    )
+    named = addenda.select("addendum_id", "body", F.explode(F.array_distinct("target_articles")).alias("article_id")).join(found, "article_id", "left_semi")
+    named = named.groupBy("article_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("addendum_id", "body"))), lambda a: a["body"]).alias("addenda"))
+    rows = hits.join(related.withColumnRenamed("start", "article_id"), "article_id", "left").join(cited, "article_id", "left").join(named, "article_id", "left")
+    full = lambda c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c)
+    return rows.select("query_id", "article_id", "score", "rank", full("related"), full("rulings"), full("addenda"))

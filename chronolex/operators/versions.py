@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import in_force, require_as_of
@@ -34,6 +35,17 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return latest_write(both, keys, [F.desc("_new")]).drop("_new")
 
 
+def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, or None where there is none yet. Any other failure is raised: taking it for a missing table would
+    append everything a second time."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def merge_statutes(snapshots: DataFrame) -> DataFrame:
     """One row per statute of (statute_id, seq, is_current, ...): current_mst and enforced_on of the last current snapshot,
     else of the first one seen; the last parent that is known; other columns of the last snapshot."""
@@ -73,10 +85,26 @@ def supersedes(df: DataFrame, entity: str, start: str, key: str) -> DataFrame:
     return df.select(F.col(key).alias("src"), F.lag(key).over(Window.partitionBy(entity).orderBy(start)).alias("dst")).where("dst is not null")
 
 
+def timeline(versions: DataFrame, entity: str = "article_id", start: str = "valid_from") -> DataFrame:
+    """Every version with its `position` in the history of its entity, oldest first."""
+    return versions.withColumn("position", F.row_number().over(Window.partitionBy(entity).orderBy(start)))
+
+
+def latest_open(versions: DataFrame, entity: str = "article_id", start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+    """Of each entity's open versions the one that began last."""
+    return latest_write(versions.where(F.col(end).isNull()), [entity], [F.desc(start)])
+
+
 def effective_at(versions: DataFrame, as_of: date) -> DataFrame:
     return versions.where(in_force(require_as_of(as_of)))
 
 
+def effective_law(versions: DataFrame, article: DataFrame, as_of: date) -> DataFrame:
+    """The versions in force of every statute with their `position` in it, by article and branch number."""
+    rows = effective_at(versions, as_of).join(article.select("article_id", "statute_id", "art_no", "branch_no"), "article_id")
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("statute_id").orderBy("art_no", "branch_no", "article_id")))
+
+
 def as_of_lookup(requests: DataFrame, versions: DataFrame, keys: list[str], day: str) -> DataFrame:
     """Each request beside the version of its key that was in force on its day; requests without one are left out.
 

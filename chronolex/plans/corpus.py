@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions import text as T
@@ -71,6 +74,24 @@ def build_diffs(version: DataFrame, existing: DataFrame | None = None) -> DataFr
     return rows if existing is None else insert_ignore(existing, rows, ["from_version", "to_version"])
 
 
+def diff_articles(pairs: DataFrame, diffs: DataFrame, version: DataFrame) -> DataFrame:
+    """Diff and new thresholds of any pairs (from_version, to_version): as stored in `diffs`, else made on the fly, with the reason
+    that the later version states and "법제처" as its source. A key that no version has is an error, in the job that reads it.
+
+    diffs: as `build_diffs` returns them, with reason_text and reason_source. version: article_key, tree, revision_reason.
+    """
+    asked = pairs.select("from_version", "to_version").distinct()
+    stored = asked.join(diffs.select("from_version", "to_version", "diff", "added_thresholds", "reason_text", "reason_source"), ["from_version", "to_version"])
+    rest = asked.join(diffs, ["from_version", "to_version"], "left_anti")
+    end = lambda k, **more: version.select(F.col("article_key").alias(f"{k}_version"), tree.flatten_tree(F.col("tree.clauses")).alias(k), *(F.col(c).alias(n) for n, c in more.items()))
+    both = rest.join(end("from"), "from_version", "left").join(end("to", reason_text="revision_reason"), "to_version", "left")
+    missing = F.raise_error(F.concat(F.lit("unknown article key in "), F.col("from_version").cast("string"), F.lit(" -> "), F.col("to_version").cast("string")))
+    change = F.when(F.col("from").isNull() | F.col("to").isNull(), missing.cast(schemas.DIFF)).otherwise(tree.diff(F.col("from"), F.col("to")))
+    made = both.select("from_version", "to_version", change.alias("diff"), F.nullif("reason_text", F.lit("")).alias("reason_text"))
+    made = made.select("from_version", "to_version", "diff", tree.added_thresholds(F.col("diff")).alias("added_thresholds"), "reason_text", F.when(F.col("reason_text").isNotNull(), "법제처").alias("reason_source"))
+    return stored.unionByName(made)
+
+
 def find_thresholds(diffs: DataFrame, version: DataFrame) -> DataFrame:
     """Thresholds along the history of each article, by the date of the version that brought them."""
     dated = diffs.join(version.select(F.col("article_key").alias("to_version"), "article_id", "valid_from"), "to_version")
@@ -94,15 +115,26 @@ def ingest_rulings(listed: DataFrame, details: DataFrame) -> DataFrame:
     return first_write(mapped.unionByName(rest, allowMissingColumns=True), ["ruling_id"], [F.desc("body_available"), "source"])
 
 
-def resolve_references(rulings: DataFrame, versions: DataFrame, names: list[str], today: date) -> DataFrame:
-    """Articles that the fragments of each ruling cite, in their order, repeats kept: the version in force on the stated date,
-    else on the day of the decision, else today. versions: law, art_no, branch_no, article_id, valid_from, valid_to."""
-    each = rulings.select("ruling_id", "decided_on", F.posexplode("ref_articles").alias("pos", "fragment"))
-    parsed = each.withColumn("c", T.citation(F.col("fragment"), names)).where("c is not null")
-    asked = parsed.select("ruling_id", "pos", "fragment", "c.law", "c.art_no", "c.branch_no", F.coalesce("c.historical_date", "decided_on", F.lit(today)).alias("anchor"))
-    found = as_of_lookup(asked, versions, ["law", "art_no", "branch_no"], "anchor")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "fragment", "article_id")))
-    lists = found.groupBy("ruling_id").agg(ordered.alias("r")).select("ruling_id", F.col("r.fragment").alias("cited_articles"), F.col("r.article_id").alias("cited_article_ids"))
+def law_names(statute: DataFrame) -> DataFrame:
+    """(name): names and abbreviations of all statutes, and the abbreviations that are known anyway, each once."""
+    known = statute.sparkSession.createDataFrame([(n,) for n in T.ABBREVIATIONS], "name string")
+    return statute.select("name").union(statute.select(F.explode("abbreviations"))).union(known).where("name is not null and name <> ''").distinct()
+
+
+def resolve_citations(requests: DataFrame, versions: DataFrame, names: list[str], today: date, **patterns) -> DataFrame:
+    """requests (text, decided_on, ...) whose text cites an article, beside its version in force on the date the text states, else on
+    the day of the decision, else today. versions: law, art_no, branch_no, article_id, valid_from, valid_to."""
+    parsed = requests.withColumn("c", T.citation(F.col("text"), names, **patterns)).where("c is not null")
+    asked = parsed.select(*requests.columns, "c.law", "c.art_no", "c.branch_no", F.coalesce("c.historical_date", "decided_on", F.lit(today)).alias("anchor"))
+    return as_of_lookup(asked, versions, ["law", "art_no", "branch_no"], "anchor")
+
+
+def resolve_references(rulings: DataFrame, versions: DataFrame, names: list[str], today: date, **patterns) -> DataFrame:
+    """Articles that the fragments of each ruling cite, in their order, repeats kept."""
+    each = rulings.select("ruling_id", "decided_on", F.posexplode("ref_articles").alias("pos", "text"))
+    found = resolve_citations(each, versions, names, today, **patterns)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "text", "article_id")))
+    lists = found.groupBy("ruling_id").agg(ordered.alias("r")).select("ruling_id", F.col("r.text").alias("cited_articles"), F.col("r.article_id").alias("cited_article_ids"))
     return rulings.join(lists, "ruling_id", "left")
 
 
@@ -124,13 +156,32 @@ def confusion(rows: DataFrame, positive, predicted, right) -> DataFrame:
     return counts.withColumn("precision", share("fp")).withColumn("recall", share("fn"))
 
 
-def load_rewrite_map(rows: DataFrame, statute: DataFrame, article: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(article pairs, rows whose articles are unknown) of statute_name, from_art_no, from_branch_no, to_art_no, to_branch_no, note."""
+def load_rewrite_map(rows: DataFrame, statute: DataFrame, article: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(article pairs that do not exist yet, rows whose articles are unknown) of statute_name, from_art_no, from_branch_no, to_art_no, to_branch_no, note."""
     named = article.join(statute.select("statute_id", F.col("name").alias("statute_name")), "statute_id")
     end = lambda k: named.select("statute_name", F.col("art_no").alias(f"{k}_art_no"), F.col("branch_no").alias(f"{k}_branch_no"), F.col("article_id").alias(f"{k}_article_id"))
     joined = rows.join(end("from"), ["statute_name", "from_art_no", "from_branch_no"], "left").join(end("to"), ["statute_name", "to_art_no", "to_branch_no"], "left")
     known = F.col("from_article_id").isNotNull() & F.col("to_article_id").isNotNull()
-    return joined.where(known).select("from_article_id", "to_article_id", "note").dropDuplicates(["from_article_id", "to_article_id"]), joined.where(~known).select(*rows.columns)
+    pair = ["from_article_id", "to_article_id"]
+    new = joined.where(known).select(*pair, "note").groupBy(*pair).agg(F.min("note").alias("note"))
+    return new if existing is None else insert_ignore(existing, new, pair), joined.where(~known).select(*rows.columns)
+
+
+def build_graph(statute: DataFrame, article: DataFrame, version: DataFrame, ruling: DataFrame, delegations: DataFrame, pattern_type: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """The whole graph, written anew under a folder and read back."""
+    tables = graph.build_graph(statute, article, version, ruling, delegations, pattern_type)
+    graph.write_graph(tables, folder)
+    return {name: statute.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name.lower()}") for name, df in tables.items()}
+
+
+def embed(chunks: DataFrame, embedder: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """Chunks with the vectors that an embedder makes of batches of their texts; current, as they are new."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(embedding=embedder(batch["text"]), is_current=True)
+
+    return chunks.mapInPandas(run, StructType([*chunks.schema.fields, *StructType.fromDDL("embedding array<float>, is_current boolean").fields]))
 
 
 def embedding_chunks(version: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,29 +13,19 @@ from ..functions.temporal import edge_in_force, in_force
 from ..operators import graph, retrieval, risk
 from ..operators import versions as V
 from ..sources import law_xml
-from . import corpus
-from .tables import EDGES_SQL, PART_VERSIONS_SQL, RULINGS_SQL, VERSIONS_SQL, edges, part_versions, raw_versions, rulings, table, versions
+from . import corpus, job_queries
+from .catalogue import ORACLE, QUERIES, query
+from .tables import EDGES_SQL, PART_VERSIONS_SQL, RULINGS_SQL, VERSIONS_SQL, citations, edges, part_versions, raw_versions, rulings, table, versions
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 AS_OF = date(1997, 6, 30)
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def lookup_sql(day: str) -> str:
     return f"valid_from <= {day} AND (valid_to IS NULL OR valid_to > {day})"
 
 
 DAY = f"DATE '{AS_OF}'"
+VALID_EDGE_SQL = f"(valid_from IS NULL OR valid_from <= {DAY}) AND (valid_to IS NULL OR valid_to > {DAY})"
 
 
 # --- versions -------------------------------------------------------------------------------------------------------
@@ -73,17 +62,15 @@ def ap_01_get_article_as_of(spark, d):
     return V.as_of_lookup(asked, versions(spark, d), ["article_id"], "day").select("event_id", "article_id", "article_key")
 
 
-@query(f"WITH {VERSIONS_SQL} SELECT article_id, article_key, valid_from FROM v JOIN customer ON c_custkey = article_id WHERE c_mktsegment = 'BUILDING' AND {lookup_sql(DAY)}")
+@query(f"WITH {VERSIONS_SQL} SELECT article_id, article_key, valid_from FROM v JOIN customer ON c_custkey = article_id WHERE {lookup_sql(DAY)}")
 def ap_02_get_article_by_id(spark, d):
-    asked = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("article_id"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("article_id"))
     return V.effective_at(versions(spark, d), AS_OF).join(asked, "article_id", "left_semi").select("article_id", "article_key", "valid_from")
 
 
 @query(f"WITH {VERSIONS_SQL} SELECT article_id, article_key, valid_from, CAST(row_number() OVER (PARTITION BY article_id ORDER BY valid_from) AS INTEGER) AS position FROM v")
 def ap_06_article_timeline(spark, d):
-    from pyspark.sql import Window
-
-    return versions(spark, d).select("article_id", "article_key", "valid_from", F.row_number().over(Window.partitionBy("article_id").orderBy("valid_from")).alias("position"))
+    return V.timeline(versions(spark, d)).select("article_id", "article_key", "valid_from", "position")
 
 
 @query(f"WITH {VERSIONS_SQL}, s AS (SELECT article_key AS src, lag(article_key) OVER (PARTITION BY article_id ORDER BY valid_from) AS dst FROM v) SELECT src, dst FROM s WHERE dst IS NOT NULL")
@@ -163,19 +150,21 @@ def ck_02_overlaps(spark, d):
     return V.overlaps(p).groupBy(F.col("article_id").alias("o_custkey")).agg(F.count("*").alias("overlapping"))
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def ck_03_orphans(spark, d):
-    return V.orphans(table(spark, d, "events"), "user_id", table(spark, d, "customer"), "c_custkey").select("event_id", "user_id")
+    return V.orphans(table(spark, d, "events"), "user_id", table(spark, d, "orders").where("o_orderstatus = 'P'"), "o_custkey").select("event_id", "user_id")
 
 
-@query(f"WITH {VERSIONS_SQL} SELECT article_id, max(valid_from) AS valid_from, count(*) AS n FROM v WHERE valid_to IS NULL GROUP BY article_id")
+@query(f"WITH {VERSIONS_SQL} SELECT article_id, arg_max(article_key, valid_from) AS article_key, max(valid_from) AS valid_from FROM v WHERE o_orderstatus <> 'P' GROUP BY article_id")
 def ag_04_latest_open(spark, d):
-    return versions(spark, d).where("valid_to is null").groupBy("article_id").agg(F.max("valid_from").alias("valid_from"), F.count("*").alias("n"))
+    # As before the intervals are closed: every version that is not pending is open.
+    rows = versions(spark, d).where("o_orderstatus <> 'P'").withColumn("valid_to", F.lit(None).cast("date"))
+    return V.latest_open(rows).select("article_id", "article_key", "valid_from")
 
 
-@query(f"WITH {EDGES_SQL} SELECT type, count(*) AS n FROM e WHERE valid_from IS NULL OR valid_from <= {DAY} GROUP BY type")
+@query(f"WITH {EDGES_SQL} SELECT type, src, count(*) AS n FROM e WHERE {VALID_EDGE_SQL} GROUP BY type, src")
 def pf_02_edge_as_of(spark, d):
-    return edges(spark, d).where(edge_in_force(AS_OF)).groupBy("type").agg(F.count("*").alias("n"))
+    return edges(spark, d).where(edge_in_force(AS_OF)).groupBy("type", "src").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {VERSIONS_SQL}, s AS (SELECT o_orderpriority, count(*) FILTER ({lookup_sql(DAY)}) AS in_force, count(*) FILTER (valid_to IS NULL) AS open, count(*) AS total FROM v GROUP BY 1) SELECT * FROM s""")
@@ -186,9 +175,9 @@ def pf_01_as_of_predicate(spark, d):
 # --- rulings and risk -----------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {RULINGS_SQL} SELECT c.article_id, r.ruling_id, decided_on FROM r JOIN c USING (ruling_id) JOIN part ON p_partkey = c.article_id WHERE p_size <= 5 AND outcome = 'F'")
+@query(f"WITH {RULINGS_SQL} SELECT c.article_id, r.ruling_id, decided_on FROM r JOIN c USING (ruling_id) JOIN part ON p_partkey = c.article_id WHERE outcome = 'F'")
 def ap_09_rulings_for(spark, d):
-    asked = table(spark, d, "part").where("p_size <= 5").select(F.col("p_partkey").alias("article_id"))
+    asked = table(spark, d, "part").select(F.col("p_partkey").alias("article_id"))
     return risk.rulings_for(rulings(spark, d), asked, "F").select("article_id", "ruling_id", "decided_on")
 
 
@@ -202,12 +191,11 @@ def ap_10_anti_avoidance_rate(spark, d):
 
 
 @query(f"""WITH {RULINGS_SQL}, l AS (SELECT c.* FROM c JOIN r USING (ruling_id) WHERE outcome = 'F')
-SELECT a.article_id AS start, b.article_id AS neighbour, count(*) AS n FROM l a JOIN l b USING (ruling_id) JOIN part ON p_partkey = a.article_id WHERE p_size <= 5 AND a.article_id <> b.article_id GROUP BY 1, 2""")
+SELECT a.article_id AS start, b.article_id AS neighbour, count(*) AS n FROM l a JOIN l b USING (ruling_id) JOIN part ON p_partkey = a.article_id WHERE a.article_id <> b.article_id GROUP BY 1, 2""")
 def gq_05_risk_neighbours(spark, d):
     r = rulings(spark, d)
-    starts = table(spark, d, "part").where("p_size <= 5").select(F.col("p_partkey").alias("start"))
-    cites = r.select(F.col("ruling_id").alias("src"), F.explode("cited_article_ids").alias("dst"))
-    return graph.risk_neighbours(cites, r.where("outcome = 'F'").select("ruling_id"), starts)
+    starts = table(spark, d, "part").select(F.col("p_partkey").alias("start"))
+    return graph.risk_neighbours(citations(spark, d), r.where("outcome = 'F'").select("ruling_id"), starts)
 
 
 UNPATCHED_SQL = f"""{RATE_SQL}, {PART_VERSIONS_SQL},
@@ -217,8 +205,7 @@ WHERE outcome = 'O' AND decided_on >= DATE '1996-01-01' AND valid_to IS NULL AND
 
 def _unpatched(spark, d):
     r = rulings(spark, d)
-    cites = r.select(F.col("ruling_id").alias("src"), F.explode("cited_article_ids").alias("dst"))
-    return graph.unpatched(r, cites, part_versions(spark, d), date(1996, 1, 1), "O")
+    return graph.unpatched(r, citations(spark, d), part_versions(spark, d), date(1996, 1, 1), "O")
 
 
 @query(f"WITH {UNPATCHED_SQL} SELECT ruling_id, article_id, decided_on FROM u")
@@ -226,10 +213,10 @@ def gq_06_find_unpatched(spark, d):
     return _unpatched(spark, d)
 
 
-@query(f"WITH {UNPATCHED_SQL} SELECT article_id, ruling_id AS origin_ruling, 'alive' AS status, CAST(round_even(rate, 3) AS DOUBLE) AS risk_score FROM u JOIN rate USING (article_id) WHERE ruling_id % 2 = 1")
+@query(f"WITH {UNPATCHED_SQL} SELECT article_id, ruling_id AS origin_ruling, 'alive' AS status, CAST(round_even(rate, 3) AS DOUBLE) AS risk_score FROM u JOIN rate USING (article_id)")
 def gq_07_materialise_unpatched(spark, d):
     found = _unpatched(spark, d)
-    existing = found.where("ruling_id % 2 = 0").select("article_id", F.col("ruling_id").alias("origin_ruling"))
+    existing = spark.createDataFrame([], "article_id long, origin_ruling long")
     rates = risk.anti_avoidance_rate(found, rulings(spark, d)).select("article_id", "rate")
     return graph.materialise_unpatched(found, rates, existing).withColumn("risk_score", F.col("risk_score").cast("double"))
 
@@ -257,10 +244,11 @@ def ag_07_confusion(spark, d):
 
 
 def _starts(spark, d):
-    return table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("start"))
+    """The query set of traversals: every part whose key is divisible by 20, against all edges."""
+    return table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("start"))
 
 
-BFS_SQL = f"""{EDGES_SQL}, g AS (SELECT DISTINCT src, dst, type FROM e WHERE valid_from <= {DAY}), s AS (SELECT p_partkey AS start FROM part WHERE p_size = 1),
+BFS_SQL = f"""{EDGES_SQL}, g AS (SELECT DISTINCT src, dst, type FROM e WHERE {VALID_EDGE_SQL}), s AS (SELECT p_partkey AS start FROM part WHERE p_partkey % 20 = 0),
 n0 AS (SELECT start, start AS node FROM s), x1 AS (SELECT DISTINCT start, src, dst, type FROM n0 JOIN g ON node = src), n1 AS (SELECT start, node FROM n0 UNION SELECT start, dst FROM x1),
 x2 AS (SELECT DISTINCT start, src, dst, type FROM n1 JOIN g ON node = src), n2 AS (SELECT start, node FROM n1 UNION SELECT start, dst FROM x2)"""
 
@@ -270,12 +258,12 @@ def gq_01_expand_refs_nodes(spark, d):
     return graph.expand_refs(_starts(spark, d), edges(spark, d), AS_OF)[0]
 
 
-@query(f"WITH {BFS_SQL} SELECT start, type, count(*) AS n FROM x2 GROUP BY 1, 2")
+@query(f"WITH {BFS_SQL} SELECT start, src, dst, type FROM x2")
 def gq_01_expand_refs_edges(spark, d):
-    return graph.expand_refs(_starts(spark, d), edges(spark, d), AS_OF)[1].groupBy("start", "type").agg(F.count("*").alias("n"))
+    return graph.expand_refs(_starts(spark, d), edges(spark, d), AS_OF)[1]
 
 
-@query(f"""WITH {EDGES_SQL}, g AS (SELECT DISTINCT src, dst FROM e WHERE type = 'DELEGATES'), s AS (SELECT p_partkey AS start FROM part WHERE p_size = 1),
+@query(f"""WITH {EDGES_SQL}, g AS (SELECT DISTINCT src, dst FROM e WHERE type = 'DELEGATES'), s AS (SELECT p_partkey AS start FROM part WHERE p_partkey % 20 = 0),
 c1 AS (SELECT start, [start, dst] AS chain FROM s JOIN g ON src = start), c2 AS (SELECT start, list_append(chain, dst) AS chain FROM c1 JOIN g ON src = chain[2] WHERE NOT (src = chain[1] AND dst = chain[2])),
 c3 AS (SELECT start, list_append(chain, dst) AS chain FROM c2 JOIN g ON src = chain[3] WHERE NOT (src = chain[1] AND dst = chain[2]) AND NOT (src = chain[2] AND dst = chain[3])),
 a AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3), k AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len(chain) DESC, chain) AS n FROM a)
@@ -284,25 +272,30 @@ def gq_02_delegation_chain(spark, d):
     return graph.delegation_chains(_starts(spark, d), edges(spark, d)).select("start", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
-@query(f"""WITH {EDGES_SQL}, g AS (SELECT DISTINCT src, dst FROM e WHERE type = 'MUTATIS' AND src % 3 <> 0), s AS (SELECT p_partkey AS start FROM part WHERE p_size = 1),
+CHAIN_SQL = ORACLE["gq_02_delegation_chain"].replace("array_to_string(chain, '>') AS chain", "chain")
+
+
+@query(f"WITH {PART_VERSIONS_SQL}, ch AS ({CHAIN_SQL}), x AS (SELECT start, unnest(chain) AS article_id, unnest(range(0, len(chain))) AS position FROM ch) SELECT start, position, article_id, valid_from FROM x JOIN pv USING (article_id) WHERE position > 0 AND {lookup_sql(DAY)}")
+def gq_02_resolve_chain(spark, d):
+    found = graph.resolve_chain(graph.delegation_chains(_starts(spark, d), edges(spark, d)), part_versions(spark, d), AS_OF)
+    return found.select("start", F.col("position").cast("long").alias("position"), "article_id", "valid_from")
+
+
+@query(f"""WITH {EDGES_SQL}, g AS (SELECT DISTINCT src, dst FROM e WHERE quantity = 1), s AS (SELECT p_partkey AS start FROM part),
 h1 AS (SELECT DISTINCT start, dst AS node FROM s JOIN g ON src = start), h2 AS (SELECT DISTINCT start, dst AS node FROM h1 JOIN g ON src = node),
-h3 AS (SELECT DISTINCT start, dst AS node FROM h2 JOIN g ON src = node), h AS (SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3)
+h3 AS (SELECT DISTINCT start, dst AS node FROM h2 JOIN g ON src = node), h4 AS (SELECT DISTINCT start, dst AS node FROM h3 JOIN g ON src = node), h AS (SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3 UNION SELECT * FROM h4)
 SELECT start, node FROM h WHERE node NOT IN (SELECT src FROM g)""")
 def gq_03_mutatis_terminals(spark, d):
-    # The analog graph has no ends of its own: a third of the parts refer to nothing.
-    return graph.terminals(_starts(spark, d), edges(spark, d).where("src % 3 <> 0"), hops=3)
+    """From every part, over a graph of its own: lines of a single piece refer to the next part."""
+    single = edges(spark, d).withColumn("type", F.when(F.col("quantity") == 1, "MUTATIS").otherwise("OTHER"))
+    return graph.terminals(table(spark, d, "part").select(F.col("p_partkey").alias("start")), single)
 
 
 @query("""WITH w AS (SELECT DISTINCT source AS src, unnest(string_split(lower(text), ' ')) AS term FROM documents), k AS (SELECT term FROM w WHERE term <> '' GROUP BY term HAVING count(*) > 1)
-SELECT term, count(*) AS definers FROM w JOIN k USING (term) GROUP BY term""")
+SELECT src, term, count(*) OVER (PARTITION BY term) AS definers FROM w JOIN k USING (term)""")
 def gq_04_term_conflicts(spark, d):
     words = table(spark, d, "documents").select(F.col("source").alias("src"), F.explode(F.split(F.lower("text"), " ")).alias("term")).where("term <> ''").distinct()
-    return graph.term_conflicts(words).groupBy("term").agg(F.max("definers").alias("definers"))
-
-
-@query(f"WITH {EDGES_SQL} SELECT src, count(DISTINCT dst) AS targets FROM e GROUP BY src")
-def gb_08_reference_edges(spark, d):
-    return edges(spark, d).groupBy("src").agg(F.count_distinct("dst").alias("targets"))
+    return graph.term_conflicts(words).select("src", "term", "definers")
 
 
 @query(f"WITH {RULINGS_SQL} SELECT ruling_id AS src, article_id AS dst FROM c JOIN part ON p_partkey = article_id WHERE ruling_id IN (SELECT ruling_id FROM r)")
@@ -310,9 +303,10 @@ def gb_11_cites_edges(spark, d):
     return graph.cites_edges(rulings(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("article_id"))).select("src", "dst")
 
 
-@query("SELECT n_nationkey AS src, n_regionkey AS dst, 'DELEGATES_TO' AS type FROM nation WHERE n_regionkey IS NOT NULL")
+@query("SELECT o_orderkey AS src, o_custkey AS dst, 'DELEGATES_TO' AS type FROM orders WHERE o_orderstatus <> 'P'")
 def gb_04_hierarchy(spark, d):
-    return graph.hierarchy_edges(table(spark, d, "nation").select(F.col("n_nationkey").alias("statute_id"), F.col("n_regionkey").alias("parent_id")))
+    parent = F.when(F.col("o_orderstatus") != "P", F.col("o_custkey"))
+    return graph.hierarchy_edges(table(spark, d, "orders").select(F.col("o_orderkey").alias("statute_id"), parent.alias("parent_id")))
 
 
 # --- retrieval ------------------------------------------------------------------------------------------------------
@@ -338,14 +332,15 @@ def rt_01_keyword_search(spark, d):
 
 
 VECTOR_SQL = """
-q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 5),
+q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0),
 vs0 AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(qv, CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings),
 vs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM vs0)"""
 
 
-def _vector(spark, d, top=10, asked="chunk_id < 5"):
+def _vector(spark, d, top=10):
+    """The query set: every vector whose id is divisible by 20, against all."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit(True).alias("is_current"))
-    found = retrieval.vector_search(rows.where(asked).select(F.col("chunk_id").alias("query_id"), "embedding"), rows, AS_OF, AS_OF, top=top)
+    found = retrieval.vector_search(rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding"), rows, AS_OF, AS_OF, top=top)
     return found
 
 
@@ -354,27 +349,18 @@ def rt_02_vector_search(spark, d):
     return _vector(spark, d).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {TRIGRAM_SQL}, {VECTOR_SQL}, a AS (SELECT query_id, chunk_id, rank FROM kw WHERE rank <= 10 AND query_id < 5), z AS (SELECT query_id, chunk_id, rank FROM vs WHERE rank <= 10),
+@query(f"""WITH {TRIGRAM_SQL}, {VECTOR_SQL}, a AS (SELECT query_id, chunk_id, rank FROM kw WHERE rank <= 10), z AS (SELECT query_id, chunk_id, rank FROM vs WHERE rank <= 10),
 k AS (SELECT query_id, chunk_id, a.rank AS ra, z.rank AS rz FROM a FULL JOIN z USING (query_id, chunk_id)),
 c AS (SELECT query_id, count(ra) AS na, count(rz) AS nz FROM k GROUP BY 1),
 f AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + coalesce(ra, na + 1)) + 1.0::DOUBLE / (60 + coalesce(rz, nz + 1)) AS score, CASE WHEN ra IS NULL THEN 1 ELSE 0 END AS l, coalesce(ra, rz) AS r FROM k JOIN c USING (query_id))
 SELECT query_id, chunk_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l, r) AS INTEGER) AS rank FROM f""")
 def rt_03_rrf_fuse(spark, d):
-    return retrieval.rrf_fuse(_keyword(spark, d).where("query_id < 5"), _vector(spark, d), top=1000).withColumn("score", F.round("score", 9))
-
-
-# The two searches over five queries keep their SQL; these ask every row whose id is divisible by 20, and fuse every keyword hit.
-ALL_SQL = {name: ORACLE[name].replace("vec_id < 5", "vec_id % 20 = 0").replace(" AND query_id < 5", "") for name in ("rt_02_vector_search", "rt_03_rrf_fuse")}
-
+    return retrieval.rrf_fuse(_keyword(spark, d), _vector(spark, d), top=1000).withColumn("score", F.round("score", 9))
 
-@query(ALL_SQL["rt_02_vector_search"])
-def rt_02_vector_search_all(spark, d):
-    return _vector(spark, d, asked="chunk_id % 20 = 0").withColumn("score", F.round("score", 6))
 
-
-@query(ALL_SQL["rt_03_rrf_fuse"])
-def rt_03_rrf_fuse_all(spark, d):
-    return retrieval.rrf_fuse(_keyword(spark, d), _vector(spark, d, asked="chunk_id % 20 = 0"), top=1000).withColumn("score", F.round("score", 9))
+# Under these names too, from when the two above asked fewer queries.
+for name in ("rt_02_vector_search", "rt_03_rrf_fuse"):
+    QUERIES[f"{name}_all"], ORACLE[f"{name}_all"] = QUERIES[name], ORACLE[name]
 
 
 CITING = "concat('see ', n_name, CASE WHEN c_custkey % 2 = 0 THEN concat(' (', year(o_orderdate), '. ', month(o_orderdate), '. ', day(o_orderdate), '. enacted)') ELSE '' END, ' ART', c_custkey, CASE WHEN c_custkey % 3 = 0 THEN concat('-', c_nationkey) ELSE '' END, ' as well')"
@@ -399,9 +385,10 @@ def ap_04_parse_citation(spark, d):
 @query(f"""WITH {VERSIONS_SQL}, q AS (SELECT o_orderkey AS query_id, o_custkey AS article_id, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderdate AS DATE) ELSE {DAY} END AS day FROM orders)
 SELECT query_id, article_id, article_key FROM q JOIN v USING (article_id) WHERE {lookup_sql("q.day")}""")
 def rt_04_route_direct(spark, d):
-    names = _nation_names(spark, d)
-    asked = _citing(spark, d).withColumn("c", T.citation(F.col("text"), names, ARTICLE)).select(F.col("o_orderkey").alias("query_id"), F.col("c.art_no").cast("long").alias("article_id"), F.coalesce("c.historical_date", F.lit(AS_OF)).alias("day"))
-    return V.as_of_lookup(asked, versions(spark, d), ["article_id"], "day").select("query_id", "article_id", "article_key")
+    named = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = named.select(F.col("c_custkey").alias("article_id"), F.col("n_name").alias("law"), F.col("c_custkey").cast("int").alias("art_no"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey")).otherwise(0).cast("int").alias("branch_no"))
+    queries = _citing(spark, d).withColumnRenamed("o_orderkey", "query_id")
+    return retrieval.route_direct(queries, versions(spark, d).join(named, "article_id"), _nation_names(spark, d), AS_OF, article=ARTICLE).select("query_id", "article_id", "article_key")
 
 
 @query(f"WITH {TRIGRAM_SQL} SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY chunk_id DESC) AS INTEGER) AS rank FROM kw WHERE rank <= 10 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id DESC) <= 3")
@@ -409,17 +396,37 @@ def rt_06_rerank(spark, d):
     return retrieval.rerank(_keyword(spark, d), 3, lambda h: h.withColumn("rerank_score", F.col("chunk_id").cast("double"))).select("query_id", "chunk_id", "rank")
 
 
-@query()
+SEARCH_SQL = f"""{TRIGRAM_SQL.replace("FROM benchmark)", "FROM bq)").replace("words AS", "bq AS (SELECT item_id, text FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % 4 <> 0), words AS", 1)},
+q AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM bq JOIN embeddings ON vec_id = item_id),
+vs0 AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(qv, CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings JOIN documents ON doc_id = vec_id),
+vs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM vs0),
+k AS (SELECT query_id, chunk_id, a.rank AS ra, z.rank AS rz FROM (SELECT * FROM kw WHERE rank <= 30) a FULL JOIN (SELECT * FROM vs WHERE rank <= 30) z USING (query_id, chunk_id)),
+c0 AS (SELECT query_id, count(ra) AS na, count(rz) AS nz FROM k GROUP BY 1),
+f0 AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + coalesce(ra, na + 1)) + 1.0::DOUBLE / (60 + coalesce(rz, nz + 1)) AS score, CASE WHEN ra IS NULL THEN 1 ELSE 0 END AS l, coalesce(ra, rz) AS r0 FROM k JOIN c0 USING (query_id)),
+hits AS (SELECT query_id, chunk_id AS article_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l, r0) AS INTEGER) AS rank FROM f0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l, r0) <= 5
+         UNION ALL SELECT item_id, item_id, 1.0, 1 FROM benchmark JOIN embeddings ON vec_id = item_id JOIN documents ON doc_id = item_id WHERE item_id % 4 = 0),
+{EDGES_SQL}, {RULINGS_SQL}, near AS (SELECT DISTINCT src, dst FROM e WHERE {VALID_EDGE_SQL} AND src <> dst),
+rel AS (SELECT src, string_agg(CAST(dst AS VARCHAR), '|' ORDER BY dst) AS related FROM near JOIN documents ON doc_id = dst GROUP BY src),
+rul AS (SELECT article_id AS src, string_agg(CAST(ruling_id AS VARCHAR), '|' ORDER BY CAST(ruling_id AS VARCHAR)) AS rulings FROM c JOIN r USING (ruling_id) GROUP BY 1),
+adm AS (SELECT p_partkey AS src, p_name AS addenda FROM part WHERE p_size > 1)"""
+
+
+@query(f"WITH {SEARCH_SQL} SELECT query_id, article_id, round(score, 9) AS score, rank, coalesce(related, '') AS related, coalesce(rulings, '') AS rulings, coalesce(addenda, '') AS addenda FROM hits LEFT JOIN rel ON rel.src = article_id LEFT JOIN rul ON rul.src = article_id LEFT JOIN adm ON adm.src = article_id")
 def rt_07_search(spark, d):
-    """The whole chain over the analog tables; tested on a small fixture."""
+    """The whole chain: every fourth query names an article, the others are searched by text and vector."""
     docs, vec = table(spark, d, "documents"), table(spark, d, "embeddings")
     chunks = docs.join(vec, docs["doc_id"] == vec["vec_id"], "left").select(
         F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("article_id"), "text", "embedding", F.lit(True).alias("is_current"), F.lit(date(1990, 1, 1)).alias("valid_from"), F.lit(None).cast("date").alias("valid_to")
     )
-    articles = chunks.select("article_id", F.lit("").alias("law"), F.lit(0).alias("art_no"), F.lit(0).alias("branch_no"), F.col("text").alias("body"), "valid_from", "valid_to")
-    queries = table(spark, d, "benchmark").join(vec, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "text", "embedding")
+    articles = chunks.select("article_id", F.col("article_id").alias("article_key"), F.lit("LAW").alias("law"), F.col("article_id").cast("int").alias("art_no"), F.lit(0).alias("branch_no"), F.col("text").alias("body"), "valid_from", "valid_to")
+    text = F.when(F.col("item_id") % 4 == 0, F.expr("concat('see LAW ART', item_id, '.')")).otherwise(F.col("text"))
+    queries = table(spark, d, "benchmark").join(vec, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), text.alias("text"), "embedding")
     r = rulings(spark, d).withColumn("ruling_id", F.col("ruling_id").cast("string"))
-    return retrieval.search(queries, chunks, articles, edges(spark, d), r, [], AS_OF, AS_OF, top=5)
+    addenda = table(spark, d, "part").where("p_size > 1").select(F.col("p_partkey").alias("addendum_id"), F.col("p_name").alias("body"), F.array("p_partkey", "p_partkey").alias("target_articles"))
+    embedded = chunks.where("embedding is not null")
+    found = retrieval.search(queries, chunks, articles, edges(spark, d), r, addenda, ["LAW"], AS_OF, AS_OF, top=5, vector_chunks=embedded, article=ARTICLE)
+    related = F.array_join(F.transform("related", lambda v: v["article_id"].cast("string")), "|")
+    return found.select("query_id", "article_id", F.round("score", 9).alias("score"), "rank", related.alias("related"), F.array_join("rulings", "|").alias("rulings"), F.array_join("addenda", "|").alias("addenda"))
 
 
 # --- text and trees -------------------------------------------------------------------------------------------------
@@ -443,40 +450,23 @@ def st_09_definitions(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(found).alias("term"))
 
 
-TREE = "named_struct('no', cast(l_linenumber as string), 'text', l_returnflag, 'sub_clauses', array(named_struct('no', '1', 'text', l_linestatus, 'items', array(named_struct('no', 'x', 'text', cast(l_partkey as string))))))"
-
-
-def _trees(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.expr(TREE))).alias("clauses"))
-
-
-TREE_SQL = """SELECT DISTINCT l_orderkey, k, v FROM (
-SELECT l_orderkey, '제' || l_linenumber || '항' AS k, l_returnflag AS v FROM lineitem UNION ALL SELECT l_orderkey, '제' || l_linenumber || '항제1호', l_linestatus FROM lineitem UNION ALL
-SELECT l_orderkey, '제' || l_linenumber || '항제1호x목', CAST(l_partkey AS VARCHAR) FROM lineitem)"""
-
-
-@query(f"SELECT l_orderkey, count(DISTINCT k) AS paths FROM ({TREE_SQL}) GROUP BY l_orderkey")
-def tr_03_flatten_tree(spark, d):
-    return _trees(spark, d).select("l_orderkey", F.size(tree.flatten_tree(F.col("clauses"))).cast("long").alias("paths"))
-
-
 @query("SELECT l_orderkey, '제' || l_linenumber || '항' AS chunk_path, l_returnflag || chr(10) || l_linestatus || chr(10) || l_partkey AS text FROM lineitem")
 def tr_02_chunks(spark, d):
-    return _trees(spark, d).select("l_orderkey", F.explode(tree.chunks(F.col("clauses"))).alias("c")).select("l_orderkey", "c.chunk_path", "c.text")
+    return job_queries.trees(spark, d).select("l_orderkey", F.explode(tree.chunks(F.col("clauses"))).alias("c")).select("l_orderkey", "c.chunk_path", "c.text")
 
 
 LINES_SQL = """t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
 a AS (SELECT conv_id, turn, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS v FROM t WHERE before IS NOT NULL),
 b AS (SELECT conv_id, turn, unnest(range(1, len(string_split(before, chr(10))) + 1)) AS i, unnest(string_split(before, chr(10))) AS v FROM t WHERE before IS NOT NULL),
-j AS (SELECT conv_id, turn, a.v AS av, b.v AS bv FROM a FULL JOIN b USING (conv_id, turn, i))"""
+j AS (SELECT conv_id, turn, i, a.v AS av, b.v AS bv FROM a FULL JOIN b USING (conv_id, turn, i))"""
 
 
-@query(f"WITH {LINES_SQL} SELECT conv_id, turn, count(*) FILTER (bv IS NULL) AS added, count(*) FILTER (av IS NULL) AS removed, count(*) FILTER (av <> bv) AS changed FROM j GROUP BY 1, 2")
+@query(f"WITH {LINES_SQL} SELECT conv_id, turn, CASE WHEN bv IS NULL THEN 'added' WHEN av IS NULL THEN 'removed' ELSE 'changed' END AS kind, i AS path, bv AS before, av AS after FROM j WHERE av IS DISTINCT FROM bv")
 def tr_05_tree_diff(spark, d):
-    lines = lambda c: tree.as_map(F.transform(F.split(F.col(c), "\n"), lambda v, i: F.struct(i.alias("key"), v.alias("value"))))
+    lines = lambda c: tree.as_map(F.transform(F.split(F.col(c), "\n"), lambda v, i: F.struct((i + 1).cast("string").alias("key"), v.alias("value"))))
     pairs = V.adjacent_pairs(table(spark, d, "conversations"), "conv_id", "turn", ["turn", "text"])
     change = pairs.select("conv_id", F.col("next_turn").alias("turn"), tree.diff(lines("text"), lines("next_text")).alias("x"))
-    return change.select("conv_id", "turn", *(F.size(f"x.{k}").cast("long").alias(k) for k in ("added", "removed", "changed")))
+    return change.select(*job_queries.exploded("x", "conv_id", "turn")).select("conv_id", "turn", "e.kind", F.col("e.path").cast("long").alias("path"), "e.before", "e.after")
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS before FROM lineitem)
@@ -531,15 +521,9 @@ def dt_dates(spark, d):
     )
 
 
-@query("SELECT event_id, CAST(length(props) > 2 AS BOOLEAN) AS filled, props AS kept FROM events")
-def tr_07_json(spark, d):
-    parsed = F.from_json("props", "map<string, string>")
-    return table(spark, d, "events").select("event_id", (F.size(parsed) > 0).alias("filled"), F.col("props").alias("kept"))
-
-
 @query("SELECT p_partkey, round_even(p_retailprice / 7, 3) AS score FROM part")
 def ma_03_bround(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.bround(F.col("p_retailprice") / 7, 3).alias("score"))
+    return table(spark, d, "part").select("p_partkey", graph.risk_score(F.col("p_retailprice") / 7).alias("score"))
 
 
 # --- documents ------------------------------------------------------------------------------------------------------

@@ -28,7 +28,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     kind = F.coalesce(*(F.when(F.col("l_returnflag") == k, F.lit(v)) for k, v in EDGE_TYPES.items()))
-    rows = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), kind.alias("type"), F.to_date("l_shipdate").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    # Delegations end after 400 days; a line of 50 pieces has been there always.
+    end = F.when(F.col("l_returnflag") == "R", F.date_add(F.to_date("l_shipdate"), 400))
+    rows = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), kind.alias("type"), F.when(F.col("l_quantity") < 50, F.to_date("l_shipdate")).alias("valid_from"), end.alias("valid_to"), F.col("l_quantity").alias("quantity"))
     return rows.where("dst is not null")
 
 
@@ -39,6 +41,12 @@ def rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(line, "o_orderkey").withColumnRenamed("o_orderkey", "ruling_id")
 
 
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst) of every part that an order names."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    return line.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src")), "src", "left_semi")
+
+
 def part_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipments of a part as its versions, one per day."""
     line = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("article_id"), F.to_date("l_shipdate").alias("valid_from")).distinct()
@@ -53,7 +61,7 @@ v AS (SELECT article_id, valid_from, article_key, o_orderstatus, o_totalprice, o
              lead(valid_from) OVER (PARTITION BY article_id ORDER BY valid_from) AS valid_to FROM w WHERE n = 1)"""
 EDGES_SQL = """
 e0 AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS dst,
-              CASE l_returnflag WHEN 'R' THEN 'DELEGATES' WHEN 'A' THEN 'REFERS_TO' ELSE 'MUTATIS' END AS type, CAST(l_shipdate AS DATE) AS valid_from FROM lineitem),
+              CASE l_returnflag WHEN 'R' THEN 'DELEGATES' WHEN 'A' THEN 'REFERS_TO' ELSE 'MUTATIS' END AS type, CASE WHEN l_quantity < 50 THEN CAST(l_shipdate AS DATE) END AS valid_from, CASE WHEN l_returnflag = 'R' THEN CAST(l_shipdate AS DATE) + 400 END AS valid_to, l_quantity AS quantity FROM lineitem),
 e AS (SELECT * FROM e0 WHERE dst IS NOT NULL)"""
 RULINGS_SQL = """
 c AS (SELECT DISTINCT l_orderkey AS ruling_id, l_partkey AS article_id FROM lineitem),

@@ -5,6 +5,8 @@ Leaves are read as their text, markup in CDATA included. A leaf that has child e
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,3 +160,13 @@ def ruling_details(documents: DataFrame, target: str) -> DataFrame:
     body = F.array_join(F.filter(F.array(*map(f, parts)), lambda p: p != ""), "\n")
     refs = lambda name: references(f(name)) if refers else F.array().cast("array<string>")
     return d.select(f(id_).alias("ruling_id"), source.alias("source"), f(case).alias("case_no"), f(day).alias("decided_at"), f(title).alias("title"), f(gist).alias("gist"), body.alias("body"), refs("참조조문").alias("ref_articles"), refs("참조판례").alias("ref_cases"), "raw_uri")
+
+
+def ruling_lists(pages: DataFrame) -> DataFrame:
+    """The rows of listing pages (target, xml) of all targets."""
+    return reduce(DataFrame.union, [ruling_list(pages.where(F.col("target") == t), t) for t in RULING_LISTS])
+
+
+def all_ruling_details(documents: DataFrame) -> DataFrame:
+    """Detail documents (target, key, raw_uri, xml) of all targets."""
+    return reduce(DataFrame.union, [ruling_details(documents.where(F.col("target") == t), t) for t in RULING_LISTS])

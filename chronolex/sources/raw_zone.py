@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.versions import read_if_exists
+
 SCHEMES = ("file", "s3", "s3a", "hdfs", "viewfs")
 
 
 def put_raw(df: DataFrame, root: str, key: str = "key", content: str = "content") -> DataFrame:
     """Append (key, content binary) to the zone; returns key and raw_uri. Keys that exist are kept as they are."""
     spark = df.sparkSession
-    try:
-        known = spark.read.parquet(root).select(F.col("key").alias(key))
-    except Exception:  # the zone does not exist yet
-        known = spark.createDataFrame([], f"{key} string")
-    new = df.select(F.col(key), content).dropDuplicates([key]).join(known, key, "left_anti")
+    new, known = df.select(F.col(key), content).dropDuplicates([key]), read_if_exists(spark, root)
+    new = new if known is None else new.join(known.select(F.col("key").alias(key)), key, "left_anti")
     new.select(F.col(key).alias("key"), F.col(content).cast("binary").alias("content")).write.mode("append").parquet(root)
     return df.select(F.col(key), F.concat(F.lit(root.rstrip("/") + "#"), F.col(key)).alias("raw_uri"))
 
@@ -59,9 +59,13 @@ class Page(InputPartition):
         self.number = number
 
 
-def paged_source(label: str, row_schema: str, fetch: Callable[[int], list[tuple]]) -> type[DataSource]:
-    """A paged listing as a batch source to register: one partition per page, option `pages` (at most). Pages past the end
-    are empty lists, so the listing ends by itself."""
+Fetch = Callable[[int], list[tuple]]
+
+
+def paged_source(label: str, row_schema: str, fetch: Fetch, total: Callable[[], int] | None = None, page_size: int = 20) -> type[DataSource]:
+    """A paged listing as a batch source to register: one partition per page. How many pages there are follows from `total`, the
+    number of rows the listing reports, or from the option `pages`; one of them must be given. Nothing is left off: without `total`,
+    a row on the page after the last is an error."""
 
     class Paged(DataSource):
         @classmethod
@@ -72,32 +76,54 @@ def paged_source(label: str, row_schema: str, fetch: Callable[[int], list[tuple]
             return row_schema
 
         def reader(self, schema) -> DataSourceReader:
-            pages = int(self.options.get("pages", "10"))
+            if total is None and "pages" not in self.options:
+                raise ValueError("either a total or the option pages is needed")
+            pages = int(self.options["pages"]) if "pages" in self.options else -(-total() // page_size)
 
             class Reader(DataSourceReader):
                 def partitions(self) -> list[InputPartition]:
-                    return [Page(n) for n in range(1, pages + 1)]
+                    return [Page(n) for n in range(1, pages + 1 + (total is None))]
 
                 def read(self, partition: Page) -> Iterator[tuple]:
-                    yield from fetch(partition.number)
+                    rows = fetch(partition.number)
+                    if rows and partition.number > pages:
+                        raise ValueError(f"the listing goes on after {pages} pages")
+                    yield from rows
 
             return Reader()
 
     return Paged
 
 
-def with_retries(fetch: Callable[[int], list[tuple]], tries: int = 3, wait: Callable[[float], None] | None = None) -> Callable[[int], list[tuple]]:
-    """A fetcher that tries again after 1, 2, 4... seconds; the last error is raised."""
+def with_retries(fetch: Fetch, tries: int = 3, wait: Callable[[float], None] | None = None, pause: float = 0.0, preview: int = 200) -> Fetch:
+    """A fetcher that pauses before each call and tries again after 1, 2, 4... seconds (time-outs are OSErrors too). The last error
+    is raised, with the page and the beginning of its message."""
     import time
 
     def run(page: int) -> list[tuple]:
         for n in range(tries):
+            if pause:
+                (wait or time.sleep)(pause)
             try:
                 return fetch(page)
-            except OSError:
+            except OSError as e:
                 if n == tries - 1:
-                    raise
+                    raise OSError(f"page {page}: {str(e)[:preview]}") from e
                 (wait or time.sleep)(2.0**n)
         return []
 
     return run
+
+
+def fetch_documents(keys: DataFrame, fetch: Callable[[str], bytes], root: str) -> DataFrame:
+    """Every key's document, fetched by the tasks and put into the zone: key and raw_uri. Keys that the zone has are not fetched."""
+    spark = keys.sparkSession
+    known = read_if_exists(spark, root)
+    new = keys.select("key").distinct() if known is None else keys.select("key").distinct().join(known.select("key"), "key", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"key": batch["key"], "content": [fetch(k) for k in batch["key"]]})
+
+    new.mapInPandas(run, "key string, content binary").write.mode("append").parquet(root)
+    return keys.select("key", F.concat(F.lit(root.rstrip("/") + "#"), F.col("key")).alias("raw_uri"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.versions import insert_ignore
+from ..operators.versions import insert_ignore, read_if_exists
 
 
 def append_new(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
@@ -16,10 +16,7 @@ def append_new(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]
 
     def sink(batch: DataFrame, _: int) -> None:
         new = batch.dropDuplicates(keys)
-        try:
-            existing = batch.sparkSession.read.parquet(target)
-        except Exception:  # the first batch finds no table
-            existing = None
+        existing = read_if_exists(batch.sparkSession, target)
         (new if existing is None else insert_ignore(existing, new, keys)).write.mode("append").parquet(target)
 
     return sink

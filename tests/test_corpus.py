@@ -74,6 +74,60 @@ def test_delegations_and_graph(spark, tables):
     assert graph.supersedes_edges(t["article_version"]).count() == 1
 
 
+def test_graph_job(spark, tables, tmp_path):
+    _, t, _ = tables
+    xml = "<x><위임조문정보><조정보><조문번호>1</조문번호></조정보><위임정보><위임구분>인용법령</위임구분><위임법령일련번호>11</위임법령일련번호><위임법령조문정보><위임법령조문번호>1</위임법령조문번호></위임법령조문정보></위임정보></위임조문정보></x>"
+    delegations = law_xml.delegations(spark.createDataFrame([("11", xml)], "key string, xml string"))
+    ruling = spark.createDataFrame([("r", [t["article"].first().article_id, 5])], "ruling_id string, cited_article_ids array<long>")
+    patterns = spark.createDataFrame([("P1", "n", "d"), ("P1", "n", "d")], "code string, name string, description string")
+    for _ in range(2):  # a second run replaces the first
+        found = corpus.build_graph(t["statute"], t["article"], t["article_version"], ruling, delegations, patterns, str(tmp_path / "graph"))
+    assert {k: v.count() for k, v in found.items()} == {"PATTERN": 1, "DELEGATES_TO": 0, "HAS_VERSION": 2, "SUPERSEDES": 1, "REFERENCES": 1, "DEFINES": 1, "CITES": 1}
+
+
+def test_diff_of_any_pair(spark, tables):
+    _, t, _ = tables
+    version = t["article_version"].withColumn("revision_reason", F.lit(""))
+    first, last = (r.article_key for r in version.orderBy("valid_from").collect())
+    stored = corpus.build_diffs(version).withColumns({"reason_text": F.lit("kept"), "reason_source": F.lit("s")})
+    pairs = spark.createDataFrame([(first, last), (last, first)], "from_version long, to_version long")
+    rows = {r.from_version: r for r in corpus.diff_articles(pairs, stored, version).collect()}
+    assert rows[first].reason_text == "kept" and rows[last].reason_text is None and rows[last].reason_source is None
+    assert rows[last].diff.changed["제1항"]["from"] == "100분의 30 이상" and rows[last].added_thresholds == []
+    with pytest.raises(Exception, match="unknown article key"):
+        corpus.diff_articles(spark.createDataFrame([(first, 7)], "from_version long, to_version long"), stored, version).collect()
+
+
+def test_small_jobs(spark, tables):
+    import pandas as pd
+
+    _, t, _ = tables
+    row = corpus.embed(corpus.embedding_chunks(t["article_version"]), lambda texts: pd.Series([[float(len(x))] for x in texts])).first()
+    assert row.embedding == [float(len(row.text))] and row.is_current
+    statute = spark.createDataFrame([(1, "소득세법", ["소법", "소득세법"]), (2, None, None)], "statute_id long, name string, abbreviations array<string>")
+    assert {r.name for r in corpus.law_names(statute).collect()} == {"소득세법", "소법", "조특법", "국기법"}
+    article = spark.createDataFrame([(7, 1, 3, 0), (8, 1, 4, 2)], "article_id long, statute_id long, art_no int, branch_no int")
+    rows = spark.createDataFrame([("소득세법", 3, 0, 4, 2, "b"), ("소득세법", 3, 0, 4, 2, "a"), ("소득세법", 3, 0, 9, 0, "")], "statute_name string, from_art_no int, from_branch_no int, to_art_no int, to_branch_no int, note string")
+    new, unknown = corpus.load_rewrite_map(rows, statute, article)
+    assert [tuple(r) for r in new.collect()] == [(7, 8, "a")] and unknown.count() == 1
+    assert corpus.load_rewrite_map(rows, statute, article, new)[0].count() == 0
+
+
+def test_keyword_search_brute_force(spark):
+    """Every pair at every threshold, at rounding's edge too."""
+    import random
+
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abcd", k=r.randint(1, 5))) for _ in range(r.randint(0, 6))) for _ in range(120)]
+    grams = lambda s: {f"  {w} "[i : i + 3] for w in s.split() for i in range(len(w) + 1)}
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for threshold in (0.3, 0.5, 1.0):
+        found = retrieval.keyword_search(rows.withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "chunk_id"), top=1000, threshold=threshold).collect()
+        sets = [grams(t) for t in texts]
+        wanted = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if a and b and len(a & b) / len(a | b) >= threshold}
+        assert {(x.query_id, x.chunk_id) for x in found} == wanted
+
+
 def test_rulings(spark, tables):
     _, t, _ = tables
     named = t["article_version"].join(t["article"], "article_id").join(t["statute"].select("statute_id", F.col("name").alias("law")), "statute_id")
@@ -117,6 +171,28 @@ def test_raw_zone_and_stream(spark, tables, tmp_path):
     assert [r.value for r in raw_zone.read_lines(spark, str(tmp_path / "list.txt")).collect()] == ["x"]
     spark.dataSource.register(raw_zone.paged_source("listing", "page int, v string", raw_zone.with_retries(lambda page: [(page, "r")] if page < 3 else [])))
     assert spark.read.format("listing").option("pages", "4").load().count() == 2
+    with pytest.raises(Exception, match="goes on"):
+        spark.read.format("listing").option("pages", "1").load().count()
+    spark.dataSource.register(raw_zone.paged_source("whole", "page int, v string", lambda page: [(page, "r")] * (2 if page < 3 else 1), total=lambda: 5, page_size=2))
+    assert spark.read.format("whole").load().count() == 5
+    waits, calls = [], []
+
+    def failing(page):
+        calls.append(page)
+        raise TimeoutError("x" * 500)
+
+    with pytest.raises(OSError, match="page 7: x{200}$"):
+        raw_zone.with_retries(failing, tries=3, wait=waits.append, pause=0.5)(7)
+    assert calls == [7, 7, 7] and waits == [0.5, 1.0, 0.5, 2.0, 0.5]
+    keys = spark.createDataFrame([("a",), ("b",), ("a",)], "key string")
+    zone = str(tmp_path / "fetched")
+    for _ in range(2):
+        assert raw_zone.fetch_documents(keys, lambda k: k.encode() * 2, zone).count() == 3
+    assert sorted(bytes(r.content) for r in spark.read.parquet(zone).collect()) == [b"aa", b"bb"]
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception):  # a damaged table is not a missing one
+        raw_zone.put_raw(rows, str(tmp_path / "broken"))
     with pytest.raises(ValueError):
         corpus.apply_schema(spark, "db", drop=True)
 
@@ -125,14 +201,16 @@ def test_search(spark):
     day, old = date(2021, 1, 1), date(2000, 1, 1)
     chunk = "chunk_id long, article_id long, text string, embedding array<float>, is_current boolean, valid_from date, valid_to date"
     chunks = spark.createDataFrame([(1, 10, "alpha beta gamma", [1.0, 0.0], True, old, None), (2, 20, "alpha beta delta", [0.9, 0.1], True, old, None), (3, 30, "omega", [0.0, 1.0], True, old, None), (4, 40, "alpha beta gamma", [1.0, 0.0], False, old, date(2010, 1, 1))], chunk)
-    versions = spark.createDataFrame([(a, "LAW", a, 0, "b", old, None) for a in (10, 20, 30)], "article_id long, law string, art_no int, branch_no int, body string, valid_from date, valid_to date")
+    versions = spark.createDataFrame([(a, a + 1, "LAW", a, 0, "b", old, None) for a in (10, 20, 30)], "article_id long, article_key long, law string, art_no int, branch_no int, body string, valid_from date, valid_to date")
     edges = spark.createDataFrame([(10, 30, "REFERS_TO", None, None), (10, 20, "OTHER", None, None)], "src long, dst long, type string, valid_from date, valid_to date")
     rulings = spark.createDataFrame([("r1", [10, 10]), ("r2", [30])], "ruling_id string, cited_article_ids array<long>")
+    addenda = spark.createDataFrame([(2, "later", [10, 30]), (1, "sooner", [10, 10]), (3, "none", [])], "addendum_id long, body string, target_articles array<long>")
     queries = spark.createDataFrame([(1, "alpha beta gamma", [1.0, 0.0]), (2, "see LAW 제30조", [0.0, 1.0])], "query_id int, text string, embedding array<float>")
-    got = {(r.query_id, r.article_id): r for r in retrieval.search(queries, chunks, versions, edges, rulings, ["LAW"], day, day).collect()}
+    got = {(r.query_id, r.article_id): r for r in retrieval.search(queries, chunks, versions, edges, rulings, addenda, ["LAW"], day, day).collect()}
     assert set(got) == {(1, 10), (1, 20), (1, 30), (2, 30)}  # closed versions are out; the second query is routed
     first = got[1, 10]
-    assert first.rank == 1 and first.related == [30] and first.rulings == ["r1"] and first.addenda == []
+    assert first.rank == 1 and [(v.article_id, v.article_key, v.body) for v in first.related] == [(30, 31, "b")] and first.rulings == ["r1"] and first.addenda == ["sooner", "later"]
+    assert got[1, 20].addenda == [] and got[1, 20].related == [] and got[2, 30].addenda == ["later"]
     assert [got[1, a].rank for a in (10, 20, 30)] == [1, 2, 3] and got[2, 30].rulings == ["r2"]
     assert retrieval.vector_search(queries, chunks, day, day, block=1).count() == 6
     past = retrieval.vector_search(queries.where("query_id = 1"), chunks, date(2005, 1, 1), day).collect()

@@ -29,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, encoded, lean, materialise, mix, shingle_sets
+from .common import encoded, lean, materialise, mix, shingle_sets
+from .linking import component_links, sent_if_small
 
 #: Share of the hash range whose tokens come first, by rarity. Above 1 - t, so that it can fill a prefix.
 SAMPLED = 0.35
-#: A list of sets of up to so many rows is broadcast (16 bytes each); a longer one is joined by shuffling.
-BROADCAST_IDS = 1_000_000
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
@@ -124,8 +123,7 @@ def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: s
     shared = classes.where("n > 0").join(own, "s1", "left").where(F.coalesce("own", F.lit(0)) < prefix)
     shared = materialise(shared.select("node", "row"), "shared")
 
-    few = shared.count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(shared) if few else shared, "row").select("node", "text")
+    chosen = docs.join(sent_if_small(shared), "row").select("node", "text")
     found = chosen.mapInPandas(lean(_sets(n)), "node long, n long, tokens array<long>")
     repeated = signed.groupBy("row").count().where("count > 1").limit(1).count()
     sets = materialise(found.dropDuplicates(["node"]) if repeated else found, "sets")
@@ -137,26 +135,10 @@ def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: s
     ranked = known.withColumn("own", F.col("n") - F.count("*").over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("df", "t")))
     ranked = ranked.withColumn("place", F.col("own") + F.col("rank"))
     postings = materialise(ranked.where(F.col("place") <= prefix).select("t", "node", "n", "own", "place"), "postings")
-    possible = f"100 * least({{0}}.n - {{0}}.own, {{1}}.n - {{1}}.own) >= {percent} * ({{0}}.n + {{1}}.n - least({{0}}.n - {{0}}.own, {{1}}.n - {{1}}.own))"
-
-    # Pivot: one comparison for each set, with the central member that most of its lists share.
-    member = F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "own")
-    pivots = postings.groupBy("t").agg(F.min(member).alias("pivot"))
-    votes = postings.join(pivots, "t").where("node <> pivot.node").groupBy("node", "n", "own", "pivot").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("node", "n", "own").agg(F.expr("max_by(pivot, struct(votes, -pivot.node))").alias("pivot")).select(F.struct("node", "n", "own").alias("x"), F.col("pivot").alias("y"))
-    links = materialise(_verified(best.where(possible.format("x", "y")).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), sets, percent), "links")
-
-    # The rest: members of a list that are still apart.
-    labelled = postings.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    mixed = labelled.groupBy("t").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("t")
-    labelled = materialise(labelled.join(mixed, "t"), "labelled")
-    x, y = (labelled.select("t", F.struct("node", "n", "own", "label", "place").alias(k)) for k in "xy")
     # A pair of these sizes needs so many tokens in common; its first common one comes early enough in both sets.
     need = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
     early = " and ".join(f"{k}.place <= {k}.n - {need} + 1" for k in "xy")
-    apart = x.join(y, "t").where(f"x.node < y.node and x.label <> y.label and {early} and " + possible.format("x", "y"))
-    rest = materialise(_verified(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets, percent), "links")
-    roots = components(links.union(rest))
+    roots = component_links(postings, lambda pairs: _verified(pairs, sets, percent), percent, early)
 
     linked = materialise(classes.where("n > 0").join(roots, "node").select("s1", "s2", "root", "least"), "linked")
     smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))

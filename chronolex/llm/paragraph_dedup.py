@@ -1,29 +1,31 @@
-"""Substring dedup: near copies of paragraphs, by MinHash bands and exact verification.
-
-A paragraph is a line. Its signature has `bands` x 3 minima of its 5-word shingle hashes. The number of bands follows from the
-recall asked for: a pair of similarity t collides in none of b bands with a probability of (1 - t**3)**b, so 0.999 at 0.75
-takes 13. Equal paragraphs (same words) count as one before anything is compared. Only paragraphs that share a bucket with a
-different one get their shingle sets fetched. In each bucket members are compared with a few pivots first; all pairs
-that are in different components after that are compared too, so no colliding pair between components goes unverified.
-Similarity is exact Jaccard. The paragraphs of a connected component are one passage: its first place (smallest document, then
-line) stays and all others are marked for removal.
-
-Every paragraph of `least_words` words and more is compared, whatever its frequency; the least is one shingle, five words.
-
-Passages that lines don't show (inside longer lines, over other line breaks, over short lines) are found verbatim, as runs of
-`passage` words: each window of so many words that is met at several places is repeated, its first place stays. Every such window
-holds a 25-word gram that is the smallest of the window, the same at all its places, so only windows whose smallest gram repeats
-are hashed and grouped; none is lost by that. Consecutive repeated windows are one row, with the first line, the id and the places
-of its smallest window. Windows of fewer than 15 different words are left out. Runs inside a line that is reported already are not
-reported again.
-
-Edge cases: null, empty and blank texts have no paragraphs and return no rows; repeated rows count as repeated passages, their
-first place too; different texts under one id or under null are documents of their own; a null id sorts first; extra columns are ignored; an empty table returns no rows.
+"""Substring dedup: near copies of paragraphs by MinHash bands and exact verification, and repeated passages anywhere.
+
+Paragraphs are lines of `least_words` words and more; the least is one shingle, five words. A signature has `bands` x 3 minima
+of the 5-word shingle hashes. The number of bands follows from the recall asked for: a pair of similarity t collides in none of
+b bands with a probability of (1 - t**3)**b, so 0.999 at 0.75 takes 13. Equal paragraphs (same words) count as one before
+anything is compared. Only paragraphs that share a bucket with a different one get their shingle sets fetched. Shingles that no
+other of these sets has are in no intersection, so a paragraph with more than a quarter of such shingles is similar to none
+and leaves; the others are compared within their buckets (`linking`), and similarity is exact Jaccard. The paragraphs of a
+connected component are one passage: its first place (smallest document, then line) stays and all others are marked for removal.
+
+Passages that lines don't show (inside longer lines, over other line breaks, over short lines) are found verbatim: of every
+`passage` words in a row the 25-word gram of smallest hash is taken, the same wherever these words stand. A gram that is met
+at several places is repeated, its first place stays. Repeated grams that touch are one run, with the first line, the id and
+the places of its smallest gram. A run is drawn out on both sides by the words it has in common with the first place (the first
+place itself: with the last one), at most `passage` words, as beyond that another gram would repeat. Grams of fewer than 8
+different words are left out, and so are runs inside a line that is reported already.
+
+Words are told apart by 62-bit hashes modulo a prime; Jaccard is exact over these.
+
+Edge cases: null, empty and blank texts have no paragraphs and return no rows; very long texts and lines are treated like
+others; repeated rows count as repeated passages, their first place too; different texts under one id or under null are
+documents of their own; a null id sorts first; extra columns are ignored; an empty table returns no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,43 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, encoded, lean, materialise, mix, steps, windows, word_hashes
+from .common import encoded, lean, materialise, mix, steps, windows, word_hashes
+from .linking import component_links, sent_if_small
 
 SEED = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _paragraphs(least_words: int):
-    """(doc_id, row, line, start, stop, words, p1, p2) of every paragraph: offsets in UTF-8 bytes, a 126-bit content hash."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lines, owner, number, start = [], [], [], []
-            for k, text in enumerate(encoded(batch["text"])):
-                at = 0
-                for i, line in enumerate(text.split(b"\n")):
-                    if line.count(b" ") + 1 >= least_words or len(line.split()) >= least_words:
-                        lines.append(line)
-                        owner.append(k)
-                        number.append(i)
-                        start.append(at)
-                    at += len(line) + 1
-            ids, rows = batch["doc_id"].astype("Int64").reset_index(drop=True), batch["row"].to_numpy()
-            for first, past, data, offsets in steps(lines):
-                hashes, _, _, bounds = word_hashes(data, offsets)
-                sums = np.concatenate([[0], np.cumsum(hashes)]).astype(np.uint64)
-                words = np.diff(bounds)
-                place = mix(hashes + SEED * (np.arange(len(hashes)) - np.repeat(bounds[:-1], words)).astype(np.uint64))
-                other = np.concatenate([[0], np.cumsum(place)]).astype(np.uint64)
-                each = lambda s: mix(s[bounds[1:]] - s[bounds[:-1]] + words.astype(np.uint64)) >> np.uint64(1)  # noqa: E731, B023
-                frame = pd.DataFrame(
-                    {"doc_id": ids.iloc[owner[first:past]].array, "row": rows[owner[first:past]], "line": number[first:past], "start": start[first:past], "stop": np.array(start[first:past]) + np.diff(offsets) - 1, "words": words, "p1": each(other).astype(np.int64), "p2": each(sums).astype(np.int64)}
-                )
-                yield frame[words >= least_words]
-
-    return run
-
-
 ROWS = 3
+GRAM, DISTINCT = 25, 8
+UNIT = "doc_id long, row long, line int, last int, start int, stop int, word int, words int, p1 long, p2 long, buckets array<long>"
 
 
 def bands_for(recall: float, percent: int) -> int:
@@ -75,44 +47,95 @@ def bands_for(recall: float, percent: int) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - (percent / 100) ** ROWS)))
 
 
-def _cut(batch: pd.DataFrame) -> tuple[list[int], list[bytes]]:
-    spans = [(s["node"], text[s["start"] : s["stop"]]) for text, own in zip(encoded(batch["text"]), batch["spans"]) for s in own]
-    return [n for n, _ in spans], [t for _, t in spans]
-
-
-def _grams(texts: list[bytes]):
-    """(first, past, shingle hashes of these texts, where each text's begin): all of five words and more."""
-    for first, past, data, offsets in steps(texts):
-        hashes, _, _, bounds = word_hashes(data, offsets)
-        own = np.repeat(np.arange(past - first), np.diff(bounds))
-        at = np.arange(len(hashes) - 4)
-        inside = own[: len(at)] == own[4:]
-        yield first, past, windows(hashes, 5)[inside], np.searchsorted(own[: len(at)][inside], np.arange(past - first))
-
-
-def _buckets(bands: int):
+def _signed(grams: np.ndarray, starts: np.ndarray, bands: int) -> np.ndarray:
+    """A row of bucket numbers for each run of grams that begins at one of `starts`."""
     seeds = mix(np.arange(1, bands * ROWS + 1, dtype=np.uint64) * SEED).reshape(bands, ROWS)
+    found = np.zeros((len(starts), bands), np.uint64)
+    for k in range(bands):
+        for seed in seeds[k]:
+            found[:, k] = found[:, k] * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(mix(grams ^ seed), starts)
+        found[:, k] = mix(found[:, k] + np.uint64(k))
+    return found.view(np.int64)
+
+
+def _winnowed(hashes: np.ndarray, own: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the smallest gram of every `passage` words of one text, each once."""
+    n = len(hashes) - passage + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    grams = windows(hashes, GRAM)
+    least, width, span = np.arange(len(grams)), 1, passage - GRAM + 1
+    while width < span:
+        step = min(width, span - width)
+        a, b = least[: len(least) - step], least[step:]
+        least, width = np.where(grams[b] < grams[a], b, a), width + step
+    at = np.unique(least[np.flatnonzero(own[:n] == own[passage - 1 :])])
+    # Different words of a gram: those whose last place before is not inside it.
+    _, same = np.unique(hashes, return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    before = np.full(len(hashes), -1)
+    again = same[order[1:]] == same[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    place = np.arange(len(hashes))
+    change = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(change, np.maximum(before + 1, np.maximum(place - GRAM + 1, 0)), 1)
+    np.add.at(change, place + 1, -1)
+    at = at[np.cumsum(change)[at] >= DISTINCT]
+    return at, (grams[at] >> np.uint64(1)).astype(np.int64)
+
+
+def _units(least_words: int, passage: int, bands: int):
+    """Lines with their buckets and a 126-bit content hash, and grams (null p2 and buckets); offsets in UTF-8 bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            nodes, texts = _cut(batch)
-            for first, past, grams, starts in _grams(texts):
-                found = np.zeros((past - first, bands), np.uint64)
-                for k in range(bands):
-                    for seed in seeds[k]:
-                        found[:, k] = found[:, k] * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(mix(grams ^ seed), starts)
-                    found[:, k] = mix(found[:, k] + np.uint64(k))
-                yield pd.DataFrame({"node": nodes[first:past], "buckets": list(found.view(np.int64))})
+            ids, rows = batch["doc_id"].astype("Int64").reset_index(drop=True), batch["row"].to_numpy()
+            for first, past, data, offsets in steps(encoded(batch["text"])):
+                hashes, starts, ends, bounds = word_hashes(data, offsets)
+                if not len(hashes):
+                    continue
+                own = np.repeat(np.arange(past - first), np.diff(bounds))
+                breaks = np.flatnonzero(data == 10)
+                line = np.searchsorted(breaks, starts)
+                number = line - np.searchsorted(breaks, offsets[own])
+
+                def frame(a: np.ndarray, b: np.ndarray, **more) -> pd.DataFrame:
+                    """Units from word a to word b."""
+                    text, base = own[a], offsets[own[a]]
+                    columns = {"line": number[a], "last": number[b], "start": starts[a] - base, "stop": ends[b] - base, "word": a - bounds[text], "words": b - a + 1}  # noqa: B023
+                    return pd.DataFrame({"doc_id": ids.iloc[first + text].array, "row": rows[first + text], **columns, **more})  # noqa: B023
+
+                heads = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+                sizes = np.diff(np.append(heads, len(line)))
+                long = sizes >= least_words
+                a, n = heads[long], sizes[long]
+                if len(a):
+                    inside = np.flatnonzero(line[:-4] == line[4:])
+                    inside = inside[np.repeat(long, sizes)[inside]]
+                    sums = np.concatenate([[0], np.cumsum(hashes)]).astype(np.uint64)
+                    place = mix(hashes + SEED * (np.arange(len(hashes)) - np.repeat(heads, sizes)).astype(np.uint64))
+                    other = np.concatenate([[0], np.cumsum(place)]).astype(np.uint64)
+                    p1, p2 = ((mix(x[a + n] - x[a] + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64) for x in (other, sums))
+                    buckets = _signed(windows(hashes, 5)[inside], np.searchsorted(inside, a), bands)
+                    yield frame(a, a + n - 1, p1=p1, p2=p2, buckets=list(buckets))
+                at, gram = _winnowed(hashes, own, passage)
+                if len(at):
+                    yield frame(at, at + GRAM - 1, p1=gram, p2=pd.array([None] * len(at), "Int64"), buckets=None)
 
     return run
 
 
 def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Shingle sets of the lines that `spans` name."""
     for batch in batches:
-        nodes, texts = _cut(batch)
-        for first, past, grams, starts in _grams(texts):
-            sets = [np.unique(g >> np.uint64(1)).astype(np.int64) for g in np.split(grams, starts[1:])]
-            yield pd.DataFrame({"node": nodes[first:past], "n": [len(x) for x in sets], "shingles": sets})
+        cut = [(s["node"], text[s["start"] : s["stop"]]) for text, own in zip(encoded(batch["text"]), batch["spans"]) for s in own]
+        for first, past, data, offsets in steps([t for _, t in cut]):
+            hashes, _, _, bounds = word_hashes(data, offsets)
+            own = np.repeat(np.arange(past - first), np.diff(bounds))
+            inside = np.flatnonzero(own[:-4] == own[4:])
+            grams = (windows(hashes, 5)[inside] >> np.uint64(1)).astype(np.int64)
+            sets = [np.unique(g) for g in np.split(grams, np.searchsorted(own[inside], np.arange(1, past - first)))]
+            yield pd.DataFrame({"node": [n for n, _ in cut[first:past]], "n": [len(x) for x in sets], "shingles": sets})
 
 
 def _similar(percent: int):
@@ -130,152 +153,106 @@ def _similar(percent: int):
     return run
 
 
-GRAM, DISTINCT = 25, 15
-
-
-def _runs_of_words(texts: list[bytes], passage: int):
-    """(first, past, text of each window, place of its smallest gram, grams, hash, start, stop, line, last line, word) by step."""
-    for first, past, data, offsets in steps(texts):
-        hashes, starts, ends, bounds = word_hashes(data, offsets)
-        n = len(hashes) - passage + 1
-        if n <= 0:
-            continue
-        own = np.repeat(np.arange(past - first), np.diff(bounds))
-        # The words of a window that it has not had yet: by their last place before.
-        _, same = np.unique(hashes, return_inverse=True)
-        order = np.argsort(same, kind="stable")
-        before = np.full(len(hashes), -1)
-        again = same[order[1:]] == same[order[:-1]]
-        before[order[1:][again]] = order[:-1][again]
-        at = np.arange(len(hashes))
-        change = np.zeros(len(hashes) + 1, np.int64)
-        np.add.at(change, np.maximum(before + 1, np.maximum(at - passage + 1, 0)), 1)
-        np.add.at(change, at + 1, -1)
-        fit = np.flatnonzero((own[:n] == own[passage - 1 :]) & (np.cumsum(change)[:n] >= DISTINCT))
-        grams = windows(hashes, GRAM)
-        least, width, span = np.arange(len(grams)), 1, passage - GRAM + 1
-        while width < span:
-            step = min(width, span - width)
-            a, b = least[: len(least) - step], least[step:]
-            least, width = np.where(grams[b] < grams[a], b, a), width + step
-        whole = windows(hashes, passage)
-        breaks = np.flatnonzero(data == 10)
-        lines = lambda x: np.searchsorted(breaks, x) - np.searchsorted(breaks, offsets[own[fit]])  # noqa: E731, B023
-        last = fit + passage - 1
-        begin = offsets[own[fit]]
-        yield first, past, own[fit], least[fit], (grams >> np.uint64(1)).astype(np.int64), (whole[fit] >> np.uint64(1)).astype(np.int64), starts[fit] - begin, ends[last] - begin, lines(starts[fit]), lines(starts[last]), fit - bounds[own[fit]]
-
-
-def _fingerprints(passage: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = batch["row"].to_numpy()
-            for first, _, own, least, grams, *_ in _runs_of_words(encoded(batch["text"]), passage):
-                place, at = np.unique(least, return_index=True)
-                yield pd.DataFrame({"row": rows[first + own[at]], "gram": grams[place]})
-
-    return run
-
-
-def _repeatable(passage: int):
-    """The windows whose smallest gram is among those that repeat."""
+def _around(passage: int):
+    """For each gram that `ends` names the hashes of up to `passage` words before it, or after it, outwards, and where these are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, ids, again = batch["row"].to_numpy(), batch["doc_id"].astype("Int64").reset_index(drop=True), list(batch["again"])
-            for first, past, own, least, grams, whole, start, stop, line, last, word in _runs_of_words(encoded(batch["text"]), passage):
-                # A clash of these keys lets a window more through, which the count of its places then judges.
-                lists = [np.asarray(x, np.int64) for x in again[first:past]]
-                number = np.repeat(np.arange(past - first), [len(x) for x in lists])
-                key = lambda gram, k: mix(gram.astype(np.uint64) * SEED + k.astype(np.uint64))
-                kept = np.flatnonzero(np.isin(key(grams[least], own), key(np.concatenate(lists), number)))
-                at = first + own[kept]
-                yield pd.DataFrame({"doc_id": ids.iloc[at].array, "row": rows[at], "word": word[kept], "hash": whole[kept], "start": start[kept], "stop": stop[kept], "line": line[kept], "last": last[kept]})
+            rows, ends_of = batch["row"].to_numpy(), list(batch["ends"])
+            for first, past, data, offsets in steps(encoded(batch["text"])):
+                hashes, starts, ends, bounds = word_hashes(data, offsets)
+                breaks, out = np.flatnonzero(data == 10), []
+                for k in range(past - first):
+                    low, high, base = bounds[k], bounds[k + 1], offsets[k]
+                    for e in ends_of[first + k]:
+                        at = low + e["word"]
+                        words = np.arange(at - 1, max(low, at - passage) - 1, -1) if e["left"] else np.arange(at + GRAM, min(high, at + GRAM + passage))
+                        place = starts[words] if e["left"] else ends[words]
+                        out.append((rows[first + k], e["word"], e["left"], hashes[words].view(np.int64), place - base, np.searchsorted(breaks, starts[words]) - np.searchsorted(breaks, base)))
+                yield pd.DataFrame(out, columns=["row", "word", "left", "hashes", "places", "lines"])
 
     return run
 
 
-def _repeated_runs(docs: DataFrame, texts: DataFrame, passage: int) -> DataFrame:
-    """doc_id, row, line, last, start, stop, words, passage_id, places, remove of each run of repeated windows. texts: doc_id, row, text, copies."""
-    entries = materialise(docs.mapInPandas(lean(_fingerprints(passage)), "row long, gram long"), "grams")
-    again = entries.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    wanted = entries.distinct().join(again, "gram").groupBy("row").agg(F.collect_list("gram").alias("again"))
-    held = materialise(texts.join(wanted, "row").select("doc_id", "row", "text", "again").mapInPandas(lean(_repeatable(passage)), "doc_id long, row long, word int, hash long, start int, stop int, line int, last int"), "windows")
-    copies = texts.where("copies > 1").select("row", "copies")
-    counted = held.select("hash", "doc_id", "row", "word").join(copies, "row", "left").groupBy("hash").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("places"), F.min(F.struct("doc_id", "row", "word")).alias("kept")).where("places > 1")
-    found = held.join(counted, "hash").withColumn("remove", ~((F.col("row") == F.col("kept.row")) & (F.col("word") == F.col("kept.word"))))
+def _repeated_runs(grams: DataFrame, texts: DataFrame, copies: DataFrame, passage: int) -> DataFrame:
+    """doc_id, row, line, last, start, stop, words, passage_id, places, remove of each run of repeated grams. texts: row, text, each
+    row once. copies: row, copies."""
+    place = F.struct("doc_id", "row", "word")
+    counted = grams.groupBy("p1").agg(F.count("*").alias("places"), F.min(place).alias("kept"), F.max(place).alias("other")).where("places > 1")
+    found = grams.distinct().join(materialise(counted, "grams"), "p1").withColumn("remove", ~((F.col("row") == F.col("kept.row")) & (F.col("word") == F.col("kept.word"))))
+    found = found.withColumn("partner", F.when(F.col("remove"), F.col("kept")).otherwise(F.col("other"))).drop("kept", "other")
     by_row = Window.partitionBy("row", "remove").orderBy("word")
-    runs = found.withColumn("run", F.col("word") - F.row_number().over(by_row)).groupBy("row", "remove", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("line").cast("long").alias("line"), F.max("last").cast("long").alias("last"), F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"),
-        (F.count("*") + passage - 1).alias("words"), F.min(F.struct("hash", "places")).alias("least"),
+    begins = F.when(F.col("word") <= F.lag("word").over(by_row) + GRAM, 0).otherwise(1)
+    outer = lambda f, *columns: f(F.struct(*columns), F.col("word"))
+    runs = found.withColumn("begins", begins).withColumn("run", F.sum("begins").over(by_row)).groupBy("row", "remove", "run").agg(
+        F.first("doc_id").alias("doc_id"), outer(F.min_by, "word", "line", F.col("start").alias("at"), "partner").alias("left"), outer(F.max_by, "word", F.col("last").alias("line"), F.col("stop").alias("at"), "partner").alias("right"),
+        F.min(F.struct("p1", "places")).alias("least"),
     )
+    runs = materialise(runs, "runs")
+    sides = [(side, F.lit(side == "left").alias("left")) for side in ("left", "right")]
+    asked = reduce(DataFrame.union, [runs.select("row", F.col(f"{side}.word"), left).union(runs.select(F.col(f"{side}.partner.row"), F.col(f"{side}.partner.word"), left)) for side, left in sides])
+    wanted = asked.groupBy("row").agg(F.collect_set(F.struct("word", "left")).alias("ends"))
+    around = materialise(texts.join(materialise(wanted, "wanted"), "row").select("row", "text", "ends").mapInPandas(lean(_around(passage)), "row long, word int, left boolean, hashes array<long>, places array<int>, lines array<int>"), "around")
+    for side, _ in sides:
+        own = around.where(F.col("left") == (side == "left")).select("row", F.col("word").alias("own_word"), "hashes", "places", "lines")
+        theirs = own.select(F.col("row").alias("their_row"), F.col("own_word").alias("their_word"), F.col("hashes").alias("their_hashes"))
+        runs = runs.withColumn("own_word", F.col(f"{side}.word")).withColumn("their_row", F.col(f"{side}.partner.row")).withColumn("their_word", F.col(f"{side}.partner.word"))
+        runs = runs.join(own, ["row", "own_word"]).join(theirs, ["their_row", "their_word"])
+        same = F.array_position(F.zip_with("hashes", "their_hashes", lambda a, b: a.eqNullSafe(b)), F.lit(False))
+        n = F.when(same == 0, F.size("hashes")).otherwise(same - 1).cast("int")
+        reached = F.struct(F.coalesce(F.get("lines", F.col("n") - 1), f"{side}.line").alias("line"), F.coalesce(F.get("places", F.col("n") - 1), f"{side}.at").alias("at"))
+        runs = runs.withColumn("n", n).withColumn(f"{side}_end", reached)
+        runs = runs.withColumn(f"{side}_word", F.col(f"{side}.word") + (-F.col("n") if side == "left" else F.col("n"))).drop("own_word", "their_row", "their_word", "hashes", "places", "lines", "their_hashes", "n")
     each = runs.join(copies, "row", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))))
-    return each.select("doc_id", "row", "line", "last", "start", "stop", "words", F.col("least.hash").alias("passage_id"), F.col("least.places").alias("places"), "remove")
+    return each.select(
+        "doc_id", "row", F.col("left_end.line").alias("line"), F.col("right_end.line").alias("last"), F.col("left_end.at").alias("start"), F.col("right_end.at").alias("stop"),
+        (F.col("right_word") + GRAM - F.col("left_word")).alias("words"), F.col("least.p1").alias("passage_id"), F.col("least.places").alias("places"), "remove",
+    )
 
 
-def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, percent: int = 75, recall: float = 0.999, pivots: int = 2, passage: int = 50) -> DataFrame:
+def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, percent: int = 75, recall: float = 0.999, passage: int = 50) -> DataFrame:
     """Every place of every passage that is met more than once: id, line, start, stop (bytes), words, passage_id, places, remove."""
     assert least_words >= 5 and passage >= GRAM
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    places = materialise(docs.mapInPandas(lean(_paragraphs(least_words)), "doc_id long, row long, line long, start long, stop long, words long, p1 long, p2 long"), "paragraphs")
+    units = materialise(docs.mapInPandas(lean(_units(least_words, passage, bands_for(recall, percent))), UNIT), "units")
+    places = units.where("p2 is not null")
 
     # One place of each distinct paragraph stands for all; its text is fetched from there.
-    kinds = places.groupBy("p1", "p2").agg(F.count("*").alias("places"), F.first("row").alias("row"), F.first("start").alias("start"), F.first("stop").alias("stop"))
-    kinds = materialise(kinds.withColumn("node", F.col("p1")), "kinds")
-    # An id may come with several texts: rows are told apart by both, and only rows equal in both are one.
-    unique = docs.agg(F.count("*") == F.count_distinct("row")).first()[0]
-    texts = docs.withColumn("copies", F.lit(1).cast("long")) if unique else docs.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
-
-    def cut(wanted: DataFrame) -> DataFrame:
-        own = wanted.groupBy("row").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))
-        return texts.join(own, "row").select("text", "spans")
-
-    signed = materialise(cut(kinds).mapInPandas(lean(_buckets(bands_for(recall, percent))), "node long, buckets array<long>"), "buckets")
+    kinds = places.groupBy("p1", "p2").agg(F.count("*").alias("places"), F.first(F.struct("row", "start", "stop", "buckets")).alias("one"))
+    kinds = materialise(kinds.select("p1", "p2", F.col("p1").alias("node"), "places", "one.*"), "kinds")
 
     # Buckets of one paragraph fall away before anything else is moved.
-    entries = signed.select(F.explode("buckets").alias("bucket"), "node")
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
-    members = materialise(entries.join(shared, "bucket"), "members")
-    sets = materialise(cut(kinds.join(members.select("node").distinct(), "node")).mapInPandas(lean(_shingles), "node long, n long, shingles array<long>"), "shingles")
-    sizes = sets.select("node", "n")
+    entries = kinds.select(F.explode("buckets").alias("t"), "node")
+    shared = materialise(entries.groupBy("t").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("t"), "shared")
+    members = materialise(entries.join(sent_if_small(shared), "t"), "members")
+    # An id may come with several texts: rows are told apart by both, and only rows equal in both are one.
+    copies = materialise(docs.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    wanted = kinds.join(sent_if_small(members.select("node").distinct()), "node").groupBy("row").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))
+    texts = docs.select("row", "text") if not copies.limit(1).count() else docs.select("row", "text").dropDuplicates(["row"])
+    cut = texts.join(materialise(wanted, "wanted"), "row")
+    sets = materialise(cut.select("text", "spans").mapInPandas(lean(_shingles), "node long, n int, shingles array<long>"), "shingles")
+
+    # What a set has for itself alone bounds its similarity to all others.
+    tokens = sets.select("node", F.explode("shingles").alias("s"))
+    alone = tokens.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("own"))
+    likely = sets.select("node", "n").join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(f"100 * (n - own) >= {percent} * n")
+    postings = materialise(members.join(materialise(likely, "likely"), "node"), "postings")
     side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(_similar(percent)), "a long, b long"), "links")
-
-    def apart(roots: DataFrame | None) -> DataFrame:
-        """Members of the buckets that are not yet one component, with their labels."""
-        rows = members.withColumn("label", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        open_ = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        return materialise(rows.join(open_, "bucket").join(sizes, "node").select("bucket", "node", "n", "label"), "apart")
-
-    links, roots = None, None
-    for turn in range(pivots):
-        rows = apart(roots)
-        order = F.struct(-F.col("n"), F.xxhash64("node", F.lit(turn)), "node", "label")
-        central = rows.groupBy("bucket").agg(F.min(order).alias("pivot"))
-        pairs = rows.join(central, "bucket").where(f"label <> pivot.label and {percent} * greatest(n, -pivot.col1) <= 100 * least(n, -pivot.col1)")
-        found = verified(pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct())
-        links = found if links is None else links.union(found)
-        roots = materialise(components(links), "roots")
-    rows = apart(roots)
-    x, y = (rows.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label"))) for k in "xy")
-    rest = x.join(y, "bucket").where(f"node_x < node_y and label_x <> label_y and {percent} * greatest(n_x, n_y) <= 100 * least(n_x, n_y)")
-    roots = components(links.union(verified(rest.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())))
+    roots = component_links(postings, lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(_similar(percent)), "a long, b long"), percent)
 
     grouped = kinds.select("p1", "p2", "places", "node").join(roots, "node", "left").withColumn("passage_id", F.coalesce("root", "node"))
     totals = grouped.groupBy("passage_id").agg(F.sum("places").alias("places")).where("places > 1")
     member = materialise(grouped.drop("places").join(totals, "passage_id").select("p1", "p2", "passage_id", "places"), "passages")
-    found = places.join(member, ["p1", "p2"])
+    found = places.drop("buckets").join(member, ["p1", "p2"])
     first = found.groupBy("passage_id").agg(F.min(F.struct("doc_id", "row", "line")).alias("kept"))
     marked = found.join(first, "passage_id").withColumn("remove", ~((F.col("row") == F.col("kept.row")) & (F.col("line") == F.col("kept.line"))))
     marked = materialise(marked.select("doc_id", "row", "line", "start", "stop", "words", "passage_id", "places", "remove"), "marked")
 
     # A run inside a line that goes, or that is told of with the same mark, says nothing new.
-    runs = _repeated_runs(docs, texts, passage)
+    runs = _repeated_runs(units.where("p2 is null").select("doc_id", "row", "line", "last", "start", "stop", "word", "p1"), texts, copies, passage)
     told = marked.select(F.col("row").alias("told_row"), F.col("line").alias("told_line"), F.col("remove").alias("told_remove")).distinct()
     new = runs.join(told, (F.col("row") == F.col("told_row")) & (F.col("line") == F.col("told_line")) & (F.col("last") == F.col("told_line")) & (F.col("told_remove") | ~F.col("remove")), "left_anti")
-    columns = [F.col("doc_id").alias(id_col), "line", "start", "stop", "words", "passage_id", "places", "remove"]
+    columns = [F.col("doc_id").alias(id_col), *(F.col(c).cast("long").alias(c) for c in ("line", "start", "stop", "words")), "passage_id", "places", "remove"]
     return marked.select(*columns).union(new.select(*columns))
 
 

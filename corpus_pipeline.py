@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each as Parquet and reads it back as the next
 one's documents. All but the last return the columns of `documents`.
+
+Edge cases, for every stage: a null or empty text is a clean document without shingles, windows or personal data, and stays; a null
+doc_id stays, as nothing can name it (packing: a piece with a null id); very long texts are taken whole; rows equal in id and text are
+one document to near_duplicates, and each a document of its own to the other stages; an empty table gives an empty one; columns
+beside those of `documents` are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,7 +77,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -31,6 +31,7 @@ STEP_BYTES = 1 << 19
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROWS_PER_BATCH = 1000
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -168,9 +169,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back. Lost executors lose none of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    # Rows are texts and token lists here: smaller batches between Spark and Python, from the first job on.
+    # For the session, from the first job on: smaller batches between Spark and Python, as rows are texts and token lists here; and
+    # Spark drops the shuffle files of each query when it ends, since what is used again is written out.
     if not 0 < int(spark.conf.get(BATCH)) <= ROWS_PER_BATCH:
         spark.conf.set(BATCH, str(ROWS_PER_BATCH))
+    if spark.conf.get(CLEAN_UP, "false") != "true":
+        spark.conf.set(CLEAN_UP, "true")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -190,8 +194,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     minimum, so neither a node nor a component is gathered in one place. Each round is written out.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    known = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     current = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state = known(current)
     for _ in range(rounds):
         # Large star: every neighbour above a node goes to the smallest of its neighbourhood.
         around = both(current)
@@ -200,10 +206,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: a node and the neighbours below it go to the smallest of these.
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         new = large.join(down, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        new = materialise(new, "edges")
-        same = new.join(current, ["a", "b"], "left_anti").limit(1).count() == 0 and current.join(new, ["a", "b"], "left_anti").limit(1).count() == 0
-        current = new
-        if same:
+        current = materialise(new, "edges")
+        before, state = state, known(current)
+        if state == before:  # the same set of edges, by its size and the hashes of all
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -7,12 +7,16 @@ the window the same value of the benchmark stands for the same value of the docu
 question with new names and numbers is caught while a chance run of numbers is not. A document is contaminated by an item
 from `hits` agreeing windows on (all of the item's, if it has fewer).
 
-Each benchmark window has an anchor, its longest plain literal; a document without any anchor cannot hold a window and is
-not brought to a template at all. Windows made of placeholders alone say nothing and are left out. Benchmark windows are sent to the tasks when there are
-at most `broadcast` of them (24 bytes each); beyond that the documents' windows are joined by shuffling.
+Windows with few plain literals (under a third: lists of numbers, units and names) would meet by chance under their template, so
+they count only with equal values in all slots: verbatim copies of such items are found, re-parameterised ones are not.
+
+Each benchmark window has an anchor, its longest plain literal or, if it has none, its longest value that must be equal; a
+document without any anchor cannot hold a window and is not brought to a template at all. Benchmark windows are sent to the tasks
+when hashes and anchors take at most `broadcast` bytes; beyond that the documents' windows are joined by shuffling.
 
 Edge cases: null and empty texts, of either side, have no windows; equal items are all reported; repeated rows are reported
-as one; a null id is never reported as it names nothing; an empty benchmark finds nothing; extra columns are ignored.
+as one; a null id is never reported as it names nothing; very long texts are searched whole; an empty benchmark, and an empty table of
+documents, find nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ UNITS = frozenset(
 )
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|\S")
 WORD = re.compile(r"[^\W\d_]+")
+WORD_OR_NUMBER = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*")
 WINDOW = "h long, doc long, at long, slots string"
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
 
@@ -80,15 +85,14 @@ def template(text: str) -> tuple[list[str], list[str]]:
 
 
 def _windows_of(text: str, size: int):
-    """(hashes, starts, tokens, values) of a text's windows that hold a literal."""
+    """(hashes, whether few literals are in it, tokens, values, tokens of a window) of all windows of a text."""
     tokens, values = template(text)
     n = min(size, len(tokens))
     if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), tokens, values, 0
+        return np.empty(0, np.uint64), np.empty(0, bool), tokens, values, 0
     hashes = windows(np.fromiter(map(_hash, tokens), np.uint64, len(tokens)), n)
     literal = np.concatenate([[0], np.cumsum([v == "" for v in values])])
-    starts = np.flatnonzero(literal[n:] - literal[:-n] >= max(1, n // 3))
-    return hashes[starts], starts, tokens, values, n
+    return hashes, literal[n:] - literal[:-n] < max(1, n // 3), tokens, values, n
 
 
 def slots_agree(ours: list[str], theirs: list[str]) -> bool:
@@ -97,20 +101,24 @@ def slots_agree(ours: list[str], theirs: list[str]) -> bool:
     return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(ours, theirs))
 
 
-def _anchor(tokens: list[str], values: list[str]) -> str:
-    """The longest literal of ASCII letters, whose lower case is the same in any text; empty without one."""
-    return max((t for t, v in zip(tokens, values) if v == "" and t.isascii()), key=lambda t: (len(t), t), default="")
+def _anchor(tokens: list[str], values: list[str], poor: bool) -> str:
+    """The longest literal of ASCII letters, whose lower case is the same in any text; else, where values must be equal, the longest
+    of these; empty without any."""
+    literal = [t for t, v in zip(tokens, values) if v == "" and t.isascii()]
+    return max(literal or [v.lower() for v in values if poor and v.isascii()], key=lambda t: (len(t), t), default="")
 
 
 def _document_windows(size: int, wanted: dict[int, np.ndarray] | None, anchors: frozenset[str] = frozenset()):
     """Windows of the sizes in use; with `wanted`, sorted hashes by size, only those. No anchors: every text is looked at."""
 
+    anchored = WORD_OR_NUMBER if any(a[:1].isdigit() for a in anchors) else WORD
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc"], batch["text"]):
                 text = text if isinstance(text, str) else ""
-                if anchors and anchors.isdisjoint(WORD.findall(text.lower())):
+                if anchors and anchors.isdisjoint(anchored.findall(text.lower())):
                     continue
                 tokens, values = template(text)
                 if not tokens:
@@ -131,22 +139,26 @@ def _document_windows(size: int, wanted: dict[int, np.ndarray] | None, anchors:
     return run
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 12, hits: int = 2, broadcast: int = 2_000_000) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 12, hits: int = 2, broadcast: int = 64_000_000) -> DataFrame:
     """Pairs of id and item_id with the number of agreeing windows (`matched`) and the document's share of the item (`share`)."""
 
     def item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for item, text in zip(batch["item_id"], batch["text"]):
-                hashes, starts, tokens, values, n = _windows_of(text if isinstance(text, str) else "", window)
+                hashes, poor, tokens, values, n = _windows_of(text if isinstance(text, str) else "", window)
                 if len(hashes):
-                    yield pd.DataFrame({"h": hashes.view(np.int64), "size": n, "item_id": item, "item_at": starts, "item_slots": ["\t".join(values[s : s + n]) for s in starts.tolist()], "windows": len(hashes), "anchor": [_anchor(tokens[s : s + n], values[s : s + n]) for s in starts.tolist()]})
+                    cut = [(tokens[s : s + n], values[s : s + n]) for s in range(len(hashes))]
+                    yield pd.DataFrame({"h": hashes.view(np.int64), "size": n, "item_id": item, "item_at": np.arange(len(hashes)), "item_slots": ["\t".join(v) for _, v in cut], "poor": poor, "windows": len(hashes), "anchor": [_anchor(*c, p) for c, p in zip(cut, poor)]})
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
-    items = materialise(items.mapInPandas(item_windows, "h long, size int, item_id long, item_at long, item_slots string, windows long, anchor string"), "benchmark")
+    items = materialise(items.mapInPandas(item_windows, "h long, size int, item_id long, item_at long, item_slots string, poor boolean, windows long, anchor string"), "benchmark")
     docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    if items.count() <= broadcast:
-        known = items.select("size", "h", "anchor").distinct().toPandas()
-        anchors = frozenset(known["anchor"]) if (known["anchor"] != "").all() else frozenset()
+    # 24 bytes for a hash with its size, and the anchors, each once.
+    sent = items.agg((24 * F.count("*")).alias("n")).first()["n"] + (items.select("anchor").distinct().agg(F.sum(64 + F.length("anchor"))).first()[0] or 0)
+    if sent <= broadcast:
+        known = items.select("size", "h").distinct().toPandas()
+        anchors = frozenset(r["anchor"] for r in items.select("anchor").distinct().collect())
+        anchors = anchors if "" not in anchors else frozenset()
         wanted = {int(n): np.sort(g["h"].to_numpy().view(np.uint64)) for n, g in known.groupby("size")}
         if not wanted:
             return docs.limit(0).select(F.col("doc").alias(id_col), F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("matched"), F.lit(0.0).alias("share"))
@@ -157,12 +169,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = [slots_agree(a.split("\t"), b.split("\t")) for a, b in zip(batch["item_slots"], batch["slots"])]
+            keep = [a == b if poor else slots_agree(a.split("\t"), b.split("\t")) for a, b, poor in zip(batch["item_slots"], batch["slots"], batch["poor"])]
             yield batch.loc[keep, ["doc", "item_id", "item_at", "windows"]]
 
     # Of a document's windows with one hash and the same slots, one is as good as all.
     distinct = met.groupBy("h", "doc", "slots").agg(F.min("at").alias("at"))
-    agreed = distinct.join(items, "h").select("doc", "item_id", "item_at", "windows", "item_slots", "slots").mapInPandas(agreeing, "doc long, item_id long, item_at long, windows long")
+    agreed = distinct.join(items, "h").select("doc", "item_id", "item_at", "windows", "item_slots", "poor", "slots").mapInPandas(agreeing, "doc long, item_id long, item_at long, windows long")
     found = agreed.groupBy("doc", "item_id").agg(F.count_distinct("item_at").alias("matched"), F.max("windows").alias("windows"))
     return found.where(F.col("matched") >= F.least(F.lit(hits), F.col("windows"))).select(F.col("doc").alias(id_col), "item_id", "matched", (F.col("matched") / F.col("windows")).alias("share"))
 

@@ -40,10 +40,13 @@ def component_links(postings: DataFrame, verified: Callable[[DataFrame], DataFra
     links = materialise(verified(best.where(possible("x", "y", percent)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))), "links")
 
     # The rest: members of a list that are still apart.
-    labelled = postings.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    roots = materialise(components(links), "roots")
+    labelled = postings.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     mixed = materialise(labelled.groupBy("t").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("t"), "mixed")
     labelled = materialise(labelled.join(mixed, "t"), "labelled")
     x, y = (labelled.select("t", F.struct(*(c for c in labelled.columns if c != "t")).alias(k)) for k in "xy")
     apart = x.join(y, "t").where(f"x.node < y.node and x.label <> y.label and ({further}) and " + possible("x", "y", percent))
     rest = materialise(verified(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), "links")
-    return components(links.union(rest))
+    if not rest.limit(1).count():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))

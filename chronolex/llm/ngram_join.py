@@ -1,22 +1,23 @@
 """N-gram Jaccard join by multiple global orders.
 
 Two sets of similarity t or more share a token among the first |x| - ceil(t|x|) + 1 tokens of each, under
-*any* one order of all tokens. The join uses several orders and keeps a pair only if every one of them
-agrees, before the exact intersection is counted:
+*any* one order of all tokens. The join uses three orders; a pair is a candidate only if all of them agree, and only
+candidates get their whole sets fetched and their exact intersection counted:
 
 1. Rarity, in two steps. Tokens that no other text has come first, then the rarer ones. A set with enough tokens of
    its own for a whole prefix needs no further look. This is tried on the 35 percent of tokens of lowest hash,
    over all documents, and then on all tokens of the sets that are left. Copies of one set count as one.
-2. and 3. Two independent hash orders, tested on the candidate pairs.
+2. and 3. Two independent hash orders. Each pair that the first order proposes must share a token in the prefixes under these
+   two as well, which are kept beside the sets, a quarter as long.
 
 Own tokens also bound the overlap of a pair, since they are in no intersection, and the sizes of both say how early their
-first common token must come. Inside a posting list pairs are not
-spelt out: members are compared with the most central one first (least own tokens), and only members that are
-still in different components, and whose bound allows a link, are paired afterwards. So families of thousands of
-variants stay near linear, while no link between two components is lost.
+first common token must come. Inside a posting list pairs are not spelt out (`linking`).
 
-Edge cases: null and blank texts have no shingles, n_shingles 0, and stay alone; repeated rows and ids each
-return a row, and different texts under one id are documents of their own; a null id returns null as component unless its text links it; extra columns are ignored.
+Words are told apart by 62-bit hashes modulo a prime; similarity is exact over these.
+
+Edge cases: null and blank texts have no shingles, n_shingles 0, and stay alone; very long texts are taken whole; repeated rows and
+ids each return a row, and different texts under one id are documents of their own; a null id returns null as component unless its
+text links it; an empty table returns no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,27 +63,21 @@ def _signatures(limit: int, n: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, percent: int):
+    """Sets with their prefixes under the further orders."""
+
+    def prefix(s: np.ndarray, seed: int) -> np.ndarray:
+        h, k = mix(s.astype(np.uint64) ^ np.uint64(seed)), int(prefix_length(len(s), percent))
+        return (h if k >= len(h) else np.partition(h, k - 1)[:k]).view(np.int64)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = list(_tokens(encoded(batch["text"]), n))
-            yield pd.DataFrame({"node": batch["node"], "n": [len(s) for s in sets], "tokens": sets})
+            yield pd.DataFrame({"node": batch["node"], "n": [len(s) for s in sets], "tokens": sets, **{f"prefix{k}": [prefix(s, seed) for s in sets] for k, seed in enumerate(SEEDS, 2)}})
 
     return run
 
 
-def _agreed(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether x and y share a prefix token under the further orders too."""
-    for seed in SEEDS:
-        heads = []
-        for s in (x, y):
-            h, k = mix(s.astype(np.uint64) ^ np.uint64(seed)), int(prefix_length(len(s), percent))
-            heads.append(h if k >= len(h) else np.partition(h, k - 1)[:k])
-        if not len(np.intersect1d(*heads)):
-            return False
-    return True
-
-
 def _verifier(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,18 +86,25 @@ def _verifier(percent: int):
             keep = np.zeros(len(a), bool)
             for i in range(len(a)):
                 x, y = (v[o[i] : o[i + 1]] for o, v in sides)
-                if percent * max(len(x), len(y)) > 100 * min(len(x), len(y)) or not _agreed(x, y, percent):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                if percent * max(len(x), len(y)) <= 100 * min(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], names=["a", "b"])
 
     return run
 
 
+def _agreed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that share a prefix token under every further order."""
+    orders = range(2, 2 + len(SEEDS))
+    side = lambda k: sets.select(F.col("node").alias(k), *(F.col(f"prefix{o}").alias(f"{k}{o}") for o in orders))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(" and ".join(f"arrays_overlap(a{o}, b{o})" for o in orders)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda k: sets.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(lean(_verifier(percent)), "a long, b long")
+    return _agreed(pairs, sets).join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(lean(_verifier(percent)), "a long, b long")
 
 
 def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, keep_row: bool = False) -> DataFrame:
@@ -124,7 +126,7 @@ def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: s
     shared = materialise(shared.select("node", "row"), "shared")
 
     chosen = docs.join(sent_if_small(shared), "row").select("node", "text")
-    found = chosen.mapInPandas(lean(_sets(n)), "node long, n long, tokens array<long>")
+    found = chosen.mapInPandas(lean(_sets(n, percent)), "node long, n long, tokens array<long>, prefix2 array<long>, prefix3 array<long>")
     repeated = signed.groupBy("row").count().where("count > 1").limit(1).count()
     sets = materialise(found.dropDuplicates(["node"]) if repeated else found, "sets")
 

@@ -1,8 +1,8 @@
 """Substring dedup: near copies of paragraphs by MinHash bands and exact verification, and repeated passages anywhere.
 
-Paragraphs are lines of `least_words` words and more; the least is one shingle, five words. A signature has `bands` x 3 minima
+Paragraphs are lines of `least_words` words and more; the least is one shingle, five words. A signature has `bands` x 2 minima
 of the 5-word shingle hashes. The number of bands follows from the recall asked for: a pair of similarity t collides in none of
-b bands with a probability of (1 - t**3)**b, so 0.999 at 0.75 takes 13. Equal paragraphs (same words) count as one before
+b bands with a probability of (1 - t**2)**b, so 0.999 at 0.75 takes 9. Equal paragraphs (same words) count as one before
 anything is compared. Only paragraphs that share a bucket with a different one get their shingle sets fetched. Shingles that no
 other of these sets has are in no intersection, so a paragraph with more than a quarter of such shingles is similar to none
 and leaves; the others are compared within their buckets (`linking`), and similarity is exact Jaccard. The paragraphs of a
@@ -37,13 +37,13 @@ from .common import encoded, lean, materialise, mix, steps, windows, word_hashes
 from .linking import component_links, sent_if_small
 
 SEED = np.uint64(0x9E3779B97F4A7C15)
-ROWS = 3
+ROWS = 2
 GRAM, DISTINCT = 25, 8
 UNIT = "doc_id long, row long, line int, last int, start int, stop int, word int, words int, p1 long, p2 long, buckets array<long>"
 
 
 def bands_for(recall: float, percent: int) -> int:
-    """Bands of three rows that find a pair of the given similarity with the given probability."""
+    """Bands of two rows that find a pair of the given similarity with the given probability."""
     return int(np.ceil(np.log(1 - recall) / np.log(1 - (percent / 100) ** ROWS)))
 
 
@@ -177,9 +177,11 @@ def _around(passage: int):
 def _repeated_runs(grams: DataFrame, texts: DataFrame, copies: DataFrame, passage: int) -> DataFrame:
     """doc_id, row, line, last, start, stop, words, passage_id, places, remove of each run of repeated grams. texts: row, text, each
     row once. copies: row, copies."""
+    counted = materialise(grams.groupBy("p1").agg(F.count("*").alias("places")).where("places > 1"), "repeated")
+    again = materialise(grams.join(sent_if_small(counted), "p1"), "again")
     place = F.struct("doc_id", "row", "word")
-    counted = grams.groupBy("p1").agg(F.count("*").alias("places"), F.min(place).alias("kept"), F.max(place).alias("other")).where("places > 1")
-    found = grams.distinct().join(materialise(counted, "grams"), "p1").withColumn("remove", ~((F.col("row") == F.col("kept.row")) & (F.col("word") == F.col("kept.word"))))
+    ends = again.groupBy("p1").agg(F.min(place).alias("kept"), F.max(place).alias("other"))
+    found = again.distinct().join(materialise(ends, "ends"), "p1").withColumn("remove", ~((F.col("row") == F.col("kept.row")) & (F.col("word") == F.col("kept.word"))))
     found = found.withColumn("partner", F.when(F.col("remove"), F.col("kept")).otherwise(F.col("other"))).drop("kept", "other")
     by_row = Window.partitionBy("row", "remove").orderBy("word")
     begins = F.when(F.col("word") <= F.lag("word").over(by_row) + GRAM, 0).otherwise(1)
@@ -218,13 +220,13 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     places = units.where("p2 is not null")
 
     # One place of each distinct paragraph stands for all; its text is fetched from there.
-    kinds = places.groupBy("p1", "p2").agg(F.count("*").alias("places"), F.first(F.struct("row", "start", "stop", "buckets")).alias("one"))
-    kinds = materialise(kinds.select("p1", "p2", F.col("p1").alias("node"), "places", "one.*"), "kinds")
+    kinds = places.groupBy("p1", "p2").agg(F.count("*").alias("places"), *(F.first(c).alias(c) for c in ("row", "start", "stop")))
+    kinds = materialise(kinds.withColumn("node", F.col("p1")), "kinds")
 
     # Buckets of one paragraph fall away before anything else is moved.
-    entries = kinds.select(F.explode("buckets").alias("t"), "node")
+    entries = places.select(F.explode("buckets").alias("t"), F.col("p1").alias("node"))
     shared = materialise(entries.groupBy("t").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("t"), "shared")
-    members = materialise(entries.join(sent_if_small(shared), "t"), "members")
+    members = materialise(entries.join(sent_if_small(shared), "t").distinct(), "members")
     # An id may come with several texts: rows are told apart by both, and only rows equal in both are one.
     copies = materialise(docs.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     wanted = kinds.join(sent_if_small(members.select("node").distinct()), "node").groupBy("row").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))

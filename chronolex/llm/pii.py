@@ -3,18 +3,20 @@
 Base: four kinds of identifiers by pattern, each leftmost and without overlap, then tested (address parts, Luhn,
 number of digits). A failing match is dropped and not retried.
 
-Bootstrap: the base finds are the seed entities. The two words before a seed and its shape, digits
-and case levelled, are its lexical pattern. Instances are all tokens of the corpus that look like identifiers (an at sign, or four digits and
-more). Patterns and instances form a bipartite graph that is scored in rounds:
+Bootstrap: the base finds are the seed entities. The two words before a seed, whatever their length, and its shape, digits and
+case levelled, are its lexical pattern; before the first word of a text stands `^`. Instances are all tokens of the corpus that look
+like identifiers (an at sign, or four digits and more). Patterns and instances form a bipartite graph that is scored in rounds:
 
-    score(pattern)  = mean score of its distinct instances, discounted by 1 / (number of them + 1)
+    score(pattern)  = (sum of the scores of its distinct instances + 1/2) / (number of them + 1)
     score(instance) = 1 for seeds, else 1 - product over its patterns of (1 - score(pattern))
 
 A pattern of at least `support` distinct instances whose score reaches `confidence` is kept; the tokens that it
-introduces and that are no base find become spans of kind `context`. Base finds always stay.
+introduces and that are no base find become spans of kind `context`. Base finds always stay. Ten seeds and nothing else score
+0.955, so such a pattern is kept by the defaults.
 
 Edge cases: null and empty texts have no spans: counts 0, the hash of nothing, an empty list; repeated rows each
-return a row; offsets are code points; extra columns are ignored; an empty table gives no rows.
+return a row; offsets are code points; very long texts are searched whole; extra columns are ignored or, with keep_text, kept
+(but for such as are named base or spans); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -62,6 +64,15 @@ def _holds(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+#: Matches whose places are summed up together: arrays grow by appending, so a text's matches are taken in such groups.
+GROUP = 64
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _placed(text: Column, pattern: str, kind: Column, holds) -> Column:
     """The matches that hold, with their offsets: the pieces between matches give the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -73,7 +84,14 @@ def _placed(text: Column, pattern: str, kind: Column, holds) -> Column:
         span = F.struct(kind.alias("kind"), start.alias("start"), stop.alias("stop"), p["m"].alias("m"))
         return F.struct(stop.alias("at"), F.when(holds(p["m"]), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda a: a["out"])
+    def grouped(p: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / GROUP).cast("int")), lambda k: F.slice(p, k * GROUP + 1, F.lit(GROUP)))
+        sizes = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, x: a + x["g"] + x["n"]))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        pieces = _bound(F.struct(groups.alias("g"), starts.alias("s")), lambda b: F.zip_with(b["g"], F.slice(b["s"], 1, F.size(b["g"])), lambda g, s: F.aggregate(g, F.struct(s.alias("at"), _none().alias("out")), step, lambda a: a["out"])))
+        return F.when(F.size(p) > 0, F.flatten(pieces)).otherwise(_none())
+
+    return _bound(pairs, grouped)
 
 
 def _none() -> Column:
@@ -85,17 +103,26 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(F.when(text.rlike(NEEDS[k]), _placed(text, p, F.lit(k), lambda m, k=k: _holds(k, m))).otherwise(_none()) for k, p in PATTERNS.items()))
 
 
-def _pattern(text: Column, token: Column) -> Column:
-    """The two words before a token and its shape: lower case, digits as 0, letters of the shape as a."""
-    before = F.substring(text, F.greatest(token["start"] - 79, F.lit(1)), F.least(token["start"], F.lit(80)))
-    words = F.regexp_replace(F.lower(F.regexp_extract(before, r"(\S+\s+\S+)\s+$", 1)), "[0-9]+", "0")
-    shape = F.regexp_replace(F.regexp_replace(token["m"], "[0-9]+", "0"), r"\p{L}+", "a")
-    return F.when(words != "", F.concat_ws(" ", words, shape)).otherwise("")
+def _levelled(word: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(word, F.lit("^"))), "[0-9]+", "0")
+
+
+def _mentions(text: Column) -> Column:
+    """Tokens that look like identifiers: start, stop, m and pattern, the two words before and the shape (digits as 0, letters as a)."""
+    shape = lambda w: F.regexp_replace(F.regexp_replace(w, "[0-9]+", "0"), r"\p{L}+", "a")
+    words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+
+    def patterns(w: Column) -> Column:
+        each = F.transform(w, lambda x, i: F.when(x.rlike("^" + TOKEN), F.concat_ws(" ", _levelled(F.get(w, i - 2)), _levelled(F.get(w, i - 1)), shape(x))))
+        return F.filter(each, lambda x: x.isNotNull())
+
+    tokens = _placed(text, TOKEN, F.lit("token"), lambda m: F.lit(True))
+    return F.zip_with(tokens, _bound(words, patterns), lambda t, p: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["m"].alias("m"), p.alias("pattern")))
 
 
 def learn_patterns(mentions: DataFrame, rounds: int = 3, support: int = 10, confidence: float = 0.95) -> DataFrame:
     """High-confidence patterns of (pattern, instance, seed boolean), one column `pattern`."""
-    graph = mentions.where("pattern <> ''").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    graph = mentions.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     # A pattern of a single instance never reaches its support, and one without any seed stays at nothing unless a
     # round lifts an instance of it; both leave at once, which keeps the graph small.
     enough = graph.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
@@ -103,7 +130,7 @@ def learn_patterns(mentions: DataFrame, rounds: int = 3, support: int = 10, conf
     scores = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("known"))
     patterns = None
     for _ in range(rounds):
-        patterns = graph.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.max("n") + 1)).alias("weight"))
+        patterns = graph.join(scores, "instance").groupBy("pattern").agg(((F.sum("score") + 0.5) / (F.max("n") + 1)).alias("weight"))
         patterns = materialise(patterns, "patterns")
         lifted = graph.join(patterns, "pattern").groupBy("instance").agg(F.max("seed").alias("known"), (1 - F.exp(F.sum(F.log1p(-F.least("weight", F.lit(0.999)))))).alias("lifted"))
         scores = lifted.select("instance", F.when(F.col("known"), 1.0).otherwise(F.col("lifted")).alias("score"))
@@ -111,14 +138,12 @@ def learn_patterns(mentions: DataFrame, rounds: int = 3, support: int = 10, conf
 
 
 def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 10, confidence: float = 0.95, keep_text: bool = False) -> DataFrame:
-    """The documents' id with `base` and `spans`, arrays of kind, start and stop, base first; keep_text: all columns too."""
+    """The documents' id with `base` and `spans`, arrays of kind, start and stop, base first; keep_text: all other columns too."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
     found = docs.select("id", "row", "text", base_spans(text).alias("base"))
 
-    tokens = _placed(text, TOKEN, F.lit("token"), lambda m: F.lit(True))
-    mentioned = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["m"].alias("m"), _pattern(F.col("text"), t).alias("pattern")))
-    looked = found.select("id", "row", "base", F.when(text.rlike("@|[0-9]"), mentioned).alias("mentions"))
+    looked = found.select("id", "row", "base", F.when(text.rlike("@|[0-9]"), _mentions(text)).alias("mentions"))
     looked = materialise(looked, "mentions")
 
     # A token is a seed where a base find covers its letters and digits.
@@ -133,8 +158,10 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not keep_text:
         return result.drop("row")
     # Rows equal in id and text have equal spans; texts without any need not wait for the join.
-    marked = result.where(F.size("spans") > 0).select("row", *("base", "spans")).dropDuplicates(["row"])
-    return documents.withColumn("row", F.xxhash64(F.col(id_col), F.col(text_col))).join(marked, "row", "left").drop("row").withColumns({c: F.coalesce(c, F.array().cast(SPAN)) for c in ("base", "spans")})
+    marked = result.where(F.size("spans") > 0).select("row", "base", "spans").dropDuplicates(["row"])
+    given = documents.drop("base", "spans")
+    whole = given.select(F.struct(*given.columns).alias("given"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
+    return whole.join(marked, "row", "left").select("given.*", *(F.coalesce(c, F.array().cast(SPAN)).alias(c) for c in ("base", "spans")))
 
 
 def joined(spans: Column) -> Column:

@@ -32,7 +32,7 @@ from .common import materialise, shared_folder
 
 #: Ids in a block, unless a single document has more, and chunks that a worker remembers.
 BLOCK_IDS = 1 << 19
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 BLOCKS = "part int, block int, doc_ids array<long>, counts array<long>, control binary, data binary"
 
 #: Byte lengths of the four ids of each control byte.
@@ -49,7 +49,8 @@ MARKS = frozenset(".,;:!?")
 PROBES = ("word", "Word", "WORD", "naïve", "Ñandú", "straße", "éàü", "a", "word,", "Élan.", "mañana!", "a1b22", "x_y", "...", "12.5%", "$$$", "ab###")
 #: Byte-level vocabularies write bytes as characters: the printable ones of Latin-1 as themselves, the others from U+0100 on.
 PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+OTHERS = [b for b in range(256) if b not in PRINTABLE]
+BYTE_LETTERS = [chr(b if b in PRINTABLE else 0x100 + OTHERS.index(b)) for b in range(256)]
 
 
 class PieceEncoder(dict):
@@ -61,7 +62,7 @@ class PieceEncoder(dict):
         self.written = [i.to_bytes(width, "little") for i in range(tokenizer.get_vocab_size())]
 
     def __missing__(self, piece: str) -> bytes:
-        written, letters = self.written, piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        written, letters = self.written, piece if piece.isascii() else "".join([BYTE_LETTERS[b] for b in piece.encode()])
         self[piece] = found = b"".join([written[t.id] for t in self.tokenize(letters)])
         return found
 
@@ -137,12 +138,15 @@ def _tokenised(path: str, end_id: int):
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of an array of ranks below 2**32."""
-    size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    size, most = np.ones(len(ranks), np.uint8), 1
+    while most < 4 and (more := ranks >= 1 << 8 * most).any():
+        size += more
+        most += 1
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = size - 1
     control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :most]
+    return control.astype(np.uint8).tobytes(), raw[np.arange(most) < size[:, None]].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -151,7 +155,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     starts = np.cumsum(size) - size
     raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
     out = raw[starts].astype(np.uint32)
-    for j in (1, 2, 3):
+    for j in range(1, size.max(initial=1)):
         more = np.flatnonzero(size > j)
         out[more] |= raw[starts[more] + j].astype(np.uint32) << np.uint32(8 * j)
     return out

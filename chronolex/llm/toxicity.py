@@ -9,11 +9,12 @@
 * A logistic regression on the voters' features is fitted to the posteriors of `sample` training rows.
 
 Labels are used for the class balance and for mining, from training rows only; mining reads about `mined_rows` of them (those of
-low id hash, each text once) and keeps `mined_words` of each strength. lang, source and doc_id are never inputs of a score.
+low id hash, each text once) and keeps every mark that 1.5 percent of the toxic ones hold: a text has so many marks, so there are
+at most 67 times as many of these, whatever the number of rows. lang, source and doc_id are never inputs of a score.
 
 Edge cases: null and empty texts have no hits and get the score of a clean text; repeated rows each return a row; labels
 that are null, or of unknown documents, teach nothing; without any labels the balance is 0.1 and nothing is mined; an empty
-table returns no rows; extra columns are ignored.
+table returns no rows; very long texts are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 25
     return w
 
 
-def _mined(docs: DataFrame, labels: DataFrame, rows: int, words: int) -> tuple[frozenset[str], dict[str, float], dict[str, float]]:
+def _mined(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[frozenset[str], dict[str, float], dict[str, float]]:
     """The lexicon without misleading words, and strong and weak marks with their log-odds, from training rows."""
     # A bounded number of labels, 16 bytes each, is broadcast; the texts stay where they are.
     chosen = sampled(labels, ["doc_id"], rows)
@@ -134,17 +135,17 @@ def _mined(docs: DataFrame, labels: DataFrame, rows: int, words: int) -> tuple[f
     # Near copies of a few texts share all their words: a mark needs a share of the toxic rows, not just some of them.
     least = max(6, round(0.015 * bad))
     by_mark = materialise(by_mark.where((F.col("bad") >= least) | F.col("mark").isin(*LEXICON)).withColumn("odds", odds), "marks")
-    best = lambda low, high: {r["mark"]: r["odds"] for r in by_mark.where((F.col("bad") >= least) & F.col("odds").between(low, high)).orderBy(F.desc(F.col("bad") * F.col("odds")), "mark").limit(words).collect()}
+    best = lambda low, high: {r["mark"]: r["odds"] for r in by_mark.where((F.col("bad") >= least) & F.col("odds").between(low, high)).collect()}
     misleading = {r["mark"] for r in by_mark.where("good >= 3 and odds < 1").where(F.col("mark").isin(*LEXICON)).collect()}
     return LEXICON - misleading, best(3.0, 99.0), best(2.3, 3.0)
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 50_000, mined_rows: int = 20_000, mined_words: int = 300, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 50_000, mined_rows: int = 20_000, threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     training = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     balance = training.agg(F.avg("toxic")).first()[0]
-    found = _mined(docs, training, mined_rows, mined_words)
+    found = _mined(docs, training, mined_rows)
     featured = materialise(docs.mapInPandas(lean(_features(*found)), "doc_id long, votes string, features array<double>"), "features")
     learning = featured.where(F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
     histogram = learning.groupBy("votes").count().orderBy("votes").toPandas()

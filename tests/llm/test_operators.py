@@ -64,12 +64,12 @@ def covered(rows, length):
     seen: dict = {}
     for _, b in rows:
         for i in range(len(b) - length + 1):
-            seen[b[i : i + length]] = seen.get(b[i : i + length], 0) + 1
+            seen[hash(b[i : i + length])] = seen.get(hash(b[i : i + length]), 0) + 1
     found = []
     for _, b in rows:
         gone = np.zeros(len(b), int)
         for i in range(len(b) - length + 1):
-            if seen[b[i : i + length]] > 1:
+            if seen[hash(b[i : i + length])] > 1:
                 gone[i : i + length] = 1
         found.append(gone)
     return found
@@ -186,12 +186,50 @@ def test_decontamination(spark, docs, empty):
     more = frame(spark, [(50, "Before. " + item + " After."), (51, "Well now: " + other), (52, mixed), (53, item.upper())])
     rows = decontaminate.contaminated(docs.union(more), bench).collect()
     assert {r.doc_id for r in rows} >= {50, 51} and not {r.doc_id for r in rows} & set(TEXTS)
+    # Over the whole item Tom must stand for one name: the mixed one is rejected, the consistent one is not.
+    whole = decontaminate.contaminated(docs.union(more), bench, window=26)
+    assert {r.doc_id for r in whole.collect()} >= {50, 51} and 52 not in {r.doc_id for r in whole.collect()}
     far = decontaminate.contaminated(docs.union(more), bench, broadcast=0)
     assert {(r.doc_id, r.item_id, r.matched) for r in rows} == {(r.doc_id, r.item_id, r.matched) for r in far.collect()}
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert not decontaminate.slots_agree(["Tom", "", "Tom"], ["Ann", "", "Bob"]) and not decontaminate.slots_agree(["1", "2"], ["3", "3"])
 
 
+def test_decontamination_brute_force(spark):
+    """All pairs of windows; literal-poor windows only with equal values."""
+    r = random.Random(8)
+    names, units = ["Tom", "Ann", "Bob", "Eve"], ["kg", "miles", "dollars"]
+
+    def sentence(n):
+        parts = [r.choice([r.choice(WORDS[:12]), str(r.randint(1, 30)), f"{r.randint(1, 9)} {r.choice(units)}", f"and {r.choice(names)}"]) for _ in range(n)]
+        return "so " + " ".join(parts)
+
+    items = [sentence(16) for _ in range(12)] + ["so and Tom 1 2 3 4 5 6 7 8 9 10 11 12 13 14", "1 2 3 4 5 6 7 8 9 10 11 12 13", "5 kg"]
+    change = lambda s: " ".join(str(int(w) + 1) if w.isdigit() else {"Tom": "Ann", "Ann": "Bob", "Bob": "Tom"}.get(w, w) for w in s.split())
+    texts = [f"{sentence(5)} {i} {sentence(6)}" for i in items] + [f"{sentence(5)} {change(i)}" for i in items] + [sentence(30) for _ in range(20)] + ["x 5 kg y", "x 6 kg y"]
+
+    def cut(text, size):
+        tokens, values = decontaminate.template(text)
+        n = min(size, len(tokens))
+        return [(tuple(tokens[k : k + n]), values[k : k + n]) for k in range(len(tokens) - n + 1)] if n else []
+
+    wanted = set()
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            own, matched = cut(item, 12), 0
+            theirs = cut(text, len(own[0][0]))
+            for tokens, values in own:
+                poor = values.count("") < max(1, len(values) // 3)
+                matched += any(t == tokens and (v == values if poor else decontaminate.slots_agree(values, v)) for t, v in theirs)
+            if matched >= min(2, len(own)):
+                wanted.add((d, i, matched))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for broadcast in (64_000_000, 0):
+        found = decontaminate.contaminated(frame(spark, list(enumerate(texts))), bench, broadcast=broadcast).collect()
+        assert {(x.doc_id, x.item_id, x.matched) for x in found} == wanted
+    assert {13, 14} <= {i for _, i, _ in wanted} and (len(texts) - 1, 14, 1) not in wanted
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, longest=100, buckets=4, budget=500, lane=10).collect()
     total = sum(len((r.text or "").split()) for r in docs.collect())
@@ -276,6 +314,15 @@ def test_pii(spark, docs, empty):
     lines = [(i, f"note number {i} my bank card {cards[i % 6][:12]}{cards[i % 6][12:]} thanks") for i in range(6)] + [(90, "pay by my bank card 4111111111111112 today")]
     learned = {r.doc_id: r.s for r in pii.find_pii(frame(spark, lines), support=4, confidence=0.7).select("doc_id", pii.joined(F.col("spans")).alias("s")).collect()}
     assert learned[90] == "context:20:36" and all("context" not in s for i, s in learned.items() if i != 90)
+    # As many seeds as the support of the defaults; long words before, the start of a text, and clashing columns.
+    cards = [c for n in range(4000000000000000, 4000000000000300) for c in [str(n)] if holds("card", c)][:10]
+    lines = [*((i, f"{'x' * 90} {c}") for i, c in enumerate(cards)), (90, f"{'x' * 90} 4111111111111112"), (91, f"y {'x' * 90} 4111111111111112")]
+    rows = frame(spark, lines).withColumns({"spans": F.lit(1), "base": F.lit(2)})
+    learned = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in pii.find_pii(rows, keep_text=True).where("row = 2 and key = 1").collect()}
+    assert learned[90] == [("context", 91)] and learned[91] == [] and all(learned[i] == [("card", 91)] for i in range(10))
+    many = " ".join(f"me{i}@x.org" for i in range(1000))
+    placed = pii.find_pii(frame(spark, [(1, many)])).first().base
+    assert [(s.start, s.stop) for s in placed] == [m.span() for m in re.finditer(r"\S+", many)]
     masked = pii.find_pii(frame(spark, [(1, "to me@x.org now"), (2, None)]), keep_text=True).select("doc_id", pii.mask(F.col("text"), F.col("spans")).alias("m")).orderBy("doc_id").collect()
     assert [r.m for r in masked] == ["to <email> now", None]
 
@@ -291,6 +338,18 @@ def test_chat(spark):
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         assert got[1].turns_sha256 == digest(f"user\nhi\nassistant\n{said}\n") and got[1].loss_sha256 == digest(said) and got[1].loss_chars == len(said)
         assert got[2].turns_sha256 == digest("user\nhi\nassistant\n\nassistant\n<\\>\n") and got[2].loss_chars == 3 and got[4].n_turns == 2 and got[3].n_turns == 1
+    # However many share it, and however deep, a shared turn is written once.
+    many = [(i, k, "user", t) for i in range(60) for k, t in enumerate(["hot", "warm", "same" if i < 20 else f"own {i}", f"end {i % 30}"][: 2 if i >= 50 else 4])]
+    hot = spark.createDataFrame([(*r, 7) for r in many], frame_.schema)
+    sequences = chat_tree.format_chats(hot, most=8).collect()
+    everything = "".join(r.text for r in sequences)
+    assert all(everything.count(f">{t}<") == 1 for t in ("hot", "warm", "same", "own 30")) and max(len(r.leaves) for r in sequences) <= 8
+    digests = {r.conv_id: r.turns_sha256 for r in chat_tree.read_chats(chat_tree.format_chats(hot, most=8)).collect()}
+    assert digests == {i: digest("".join(f"user\n{t}\n" for j, _, _, t in many if j == i)) for i in range(60)}
+    begins = {r.sequence: (r.nodes[0].position, len(r.text)) for r in sequences if r.nodes}
+    assert all(r.nodes[0].position == sum(begins[k][1] for k in r.path) for r in sequences if r.nodes)
+    long = spark.createDataFrame([(1, k, "user", "x", 7) for k in range(3000)], frame_.schema)
+    assert max(len(n.attends) for n in chat_tree.format_chats(long).first().nodes) == 1
     one = [r for r in chat_tree.format_chats(frame_).collect() if "hi" in r.text]
     assert len(one) == 1 and one[0].text.count("<turn user>hi</turn>") == 2  # the shared start once, and the second turn of 4
     for n in one[0].nodes:

@@ -23,6 +23,24 @@ def test_stages(spark, tmp_path):
     assert left["decontamination"] == left["personal_data"] == left["packing"] == [0, 1, 4, 5, 6]
 
 
+def test_edges(spark, tmp_path):
+    """Empty tables, one very long text, and columns named like those the stages use inside."""
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    more = {c: [1] for c in ("row", "spans", "base", "root", "copies", "h", "doc", "votes", "features", "bucket", "given", "tie", "n", "piece")}
+    long = text(50, 30_000)
+    clashing = frame(spark, [(1, long), (2, long + " end"), (3, None), (4, ""), (None, "x y"), (5, "mail me@x.org")])
+    from pyspark.sql import functions as F
+
+    clashing = clashing.drop("row", "n").withColumns({c: F.lit(7) for c in more})
+    for rows, wanted in ((clashing, [0, 1, 3, 4, 5]), (clashing.limit(0), [])):
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)), name)
+        assert sorted({r.doc_id or 0 for r in docs.collect()}) == wanted
+    assert docs.columns == ["doc_id", "piece", "n_words", "bucket", "lane", "batch", "slot"]
+
+
 def test_near_duplicates_share_an_id(spark):
     """A document that only shares its id with a copy stays, and so does the first of several copies under one id."""
     one, other = text(60, 90), text(61, 50)

@@ -145,6 +145,34 @@ def test_rulings(spark, tables):
     assert (rates.total, rates.rate) == (0, 0.0)
 
 
+def test_settings(spark):
+    from chronolex.settings import PREFIX, Settings, settings
+
+    assert settings(spark) == Settings()
+    spark.conf.set(PREFIX + "rrf_k", "10")
+    try:
+        assert settings(spark).rrf_k == 10 and settings(spark).rerank_top_k == 5
+        spark.conf.set(PREFIX + "rrf_k", "ten")
+        with pytest.raises(ValueError):
+            settings(spark)
+    finally:
+        spark.conf.unset(PREFIX + "rrf_k")
+
+
+def test_schema(spark):
+    """Tables are created once, and dropped only when that is confirmed."""
+    for drop in (False, True):
+        corpus.apply_schema(spark, "made", drop=drop, confirmed=drop)
+        tables = {t.name for t in spark.catalog.listTables("made")}
+        assert len(tables) == 10 and spark.table("made.ruling").count() == 0
+        if not drop:
+            spark.sql("INSERT INTO made.pattern_type VALUES ('a', 'b', 'c')")
+            corpus.apply_schema(spark, "made")
+            assert spark.table("made.pattern_type").count() == 1
+    assert spark.table("made.pattern_type").count() == 0
+    spark.sql("DROP DATABASE made CASCADE")
+
+
 def test_fusion(spark):
     rows = lambda *r: spark.createDataFrame([(1, *x) for x in r], "query_id int, chunk_id long, rank int")
     a, b = rows((10, 1), (20, 2), (10, 3)), rows((20, 1), (30, 2))

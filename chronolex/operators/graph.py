@@ -140,7 +140,10 @@ def term_conflicts(defines: DataFrame, term: str | None = None) -> DataFrame:
 
 
 def risk_neighbours(cites: DataFrame, lost: DataFrame, starts: DataFrame) -> DataFrame:
-    """Articles cited by the same lost rulings, with the number of these. (start, neighbour, n)"""
+    """Articles cited by the same lost rulings, with the number of these. (start, neighbour, n)
+
+    The join on the ruling makes the square of one ruling's citations, which are tens; citations of an article, of which there may be
+    very many, are never paired."""
     own = cites.join(lost.select(F.col("ruling_id").alias("src")).distinct(), "src", "left_semi").distinct()
     mine = starts.join(own, starts["start"] == own["dst"]).select("start", "src")
     return mine.join(own, "src").where("dst <> start").groupBy("start", F.col("dst").alias("neighbour")).agg(F.count("*").alias("n"))

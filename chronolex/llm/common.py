@@ -193,16 +193,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates hooking every node's neighbours onto the smallest one with shortcutting, both by a grouped
     minimum, so neither a node nor a component is gathered in one place. Each round is written out.
     """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     known = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     current = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = known(current)
     for _ in range(rounds):
-        # Large star: every neighbour above a node goes to the smallest of its neighbourhood.
-        around = both(current)
-        least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # Edges go from the larger node to the smaller. Large star: every neighbour above a node goes to the smallest of its
+        # neighbourhood, which is below it or the node itself.
+        least = current.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
+        large = current.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         # Small star: a node and the neighbours below it go to the smallest of these.
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         new = large.join(down, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialise
@@ -30,9 +30,36 @@ def possible(x: str, y: str, percent: int) -> str:
     return f"100 * {both} >= {percent} * ({x}.n + {y}.n - {both})"
 
 
-def component_links(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], percent: int, further: str = "true") -> DataFrame:
-    """(node, root) of the components. verified: keeps the pairs (a, b) that are similar. further: what else a pair of the second
-    step must meet, over the structs x and y of all columns of postings but t."""
+def prefix_length(n, percent: int):
+    """|x| - ceil(t|x|) + 1, for numbers, arrays and columns of integers."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def rare_prefixes(tokens: DataFrame, percent: int) -> DataFrame:
+    """Postings (t, node, n, own, place) of the first |x| - ceil(t|x|) + 1 tokens of each set, after its own ones by rarity. Similar sets
+    share one of them. tokens: node, n, t and columns that are kept."""
+    counts = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    by_node = Window.partitionBy("node")
+    known = tokens.join(counts, "t").withColumn("own", F.col("n") - F.count("*").over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("df", "t")))
+    return known.withColumn("place", F.col("own") + F.col("rank")).where(F.expr(f"place <= n - (({percent} * n + 99) div 100) + 1")).drop("df", "rank")
+
+
+def early(percent: int) -> str:
+    """Whether the first common token of x and y, as SQL over two structs with its places, comes early enough in both: a pair of
+    these sizes needs so many tokens in common."""
+    need = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
+    return " and ".join(f"{k}.place <= {k}.n - {need} + 1" for k in "xy")
+
+
+def _of_several(labelled: DataFrame) -> DataFrame:
+    """The lists whose members have different labels."""
+    mixed = labelled.groupBy("t").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("t")
+    return materialise(labelled.join(materialise(mixed, "mixed"), "t"), "labelled")
+
+
+def component_links(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], percent: int, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, root) of the components. verified: keeps the pairs (a, b) that are similar. finer: makes the postings of the second step,
+    with places by rarity, of nodes with labels; without it those given have places."""
     member = F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "own")
     pivots = postings.groupBy("t").agg(F.min(member).alias("pivot"))
     votes = postings.join(materialise(pivots, "pivots"), "t").where("node <> pivot.node").groupBy("node", "n", "own", "pivot").agg(F.count("*").alias("votes"))
@@ -41,11 +68,11 @@ def component_links(postings: DataFrame, verified: Callable[[DataFrame], DataFra
 
     # The rest: members of a list that are still apart.
     roots = materialise(components(links), "roots")
-    labelled = postings.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    mixed = materialise(labelled.groupBy("t").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("t"), "mixed")
-    labelled = materialise(labelled.join(mixed, "t"), "labelled")
+    labelled = _of_several(postings.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+    if finer is not None:
+        labelled = _of_several(materialise(finer(labelled.select("node", "label").distinct()), "finer"))
     x, y = (labelled.select("t", F.struct(*(c for c in labelled.columns if c != "t")).alias(k)) for k in "xy")
-    apart = x.join(y, "t").where(f"x.node < y.node and x.label <> y.label and ({further}) and " + possible("x", "y", percent))
+    apart = x.join(y, "t").where(f"x.node < y.node and x.label <> y.label and {early(percent)} and " + possible("x", "y", percent))
     rest = materialise(verified(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), "links")
     if not rest.limit(1).count():
         return roots

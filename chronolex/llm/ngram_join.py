@@ -27,22 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import encoded, lean, materialise, mix, shingle_sets
-from .linking import component_links, sent_if_small
+from .linking import component_links, prefix_length, rare_prefixes, sent_if_small
 
 #: Share of the hash range whose tokens come first, by rarity. Above 1 - t, so that it can fill a prefix.
 SAMPLED = 0.35
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
-def prefix_length(n, percent: int):
-    """|x| - ceil(t|x|) + 1, for numbers, arrays and columns of integers."""
-    return n - (percent * n + 99) // 100 + 1
-
-
 def _tokens(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
     for s in shingle_sets(texts, n):
         yield np.unique((s >> np.uint64(1)).astype(np.int64))
@@ -131,16 +126,8 @@ def ngram_jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: s
     sets = materialise(found.dropDuplicates(["node"]) if repeated else found, "sets")
 
     # Order 1, second use: the prefix of each remaining set, after its own tokens, by rarity among these.
-    tokens = sets.select("node", "n", F.explode("tokens").alias("t"))
-    known = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "t")
-    by_node = Window.partitionBy("node")
-    ranked = known.withColumn("own", F.col("n") - F.count("*").over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("df", "t")))
-    ranked = ranked.withColumn("place", F.col("own") + F.col("rank"))
-    postings = materialise(ranked.where(F.col("place") <= prefix).select("t", "node", "n", "own", "place"), "postings")
-    # A pair of these sizes needs so many tokens in common; its first common one comes early enough in both sets.
-    need = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
-    early = " and ".join(f"{k}.place <= {k}.n - {need} + 1" for k in "xy")
-    roots = component_links(postings, lambda pairs: _verified(pairs, sets, percent), percent, early)
+    postings = materialise(rare_prefixes(sets.select("node", "n", F.explode("tokens").alias("t")), percent), "postings")
+    roots = component_links(postings, lambda pairs: _verified(pairs, sets, percent), percent)
 
     linked = materialise(classes.where("n > 0").join(roots, "node").select("s1", "s2", "root", "least"), "linked")
     smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))

@@ -5,7 +5,9 @@ of the 5-word shingle hashes. The number of bands follows from the recall asked
 b bands with a probability of (1 - t**2)**b, so 0.999 at 0.75 takes 9. Equal paragraphs (same words) count as one before
 anything is compared. Only paragraphs that share a bucket with a different one get their shingle sets fetched. Shingles that no
 other of these sets has are in no intersection, so a paragraph with more than a quarter of such shingles is similar to none
-and leaves; the others are compared within their buckets (`linking`), and similarity is exact Jaccard. The paragraphs of a
+and leaves. The others are compared with a central member of their buckets; those that share a bucket and are still apart are
+paired by their rarest shingles, as lines with one passage in common share all their buckets' minima (`linking`). Similarity is
+exact Jaccard. The paragraphs of a
 connected component are one passage: its first place (smallest document, then line) stays and all others are marked for removal.
 
 Passages that lines don't show (inside longer lines, over other line breaks, over short lines) are found verbatim: of every
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import encoded, lean, materialise, mix, steps, windows, word_hashes
-from .linking import component_links, sent_if_small
+from .linking import component_links, rare_prefixes, sent_if_small
 
 SEED = np.uint64(0x9E3779B97F4A7C15)
 ROWS = 2
@@ -240,7 +242,14 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     likely = sets.select("node", "n").join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(f"100 * (n - own) >= {percent} * n")
     postings = materialise(members.join(materialise(likely, "likely"), "node"), "postings")
     side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
-    roots = component_links(postings, lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(_similar(percent)), "a long, b long"), percent)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(_similar(percent)), "a long, b long")
+
+    def rarest(apart: DataFrame) -> DataFrame:
+        return rare_prefixes(sets.join(sent_if_small(apart), "node").select("node", "n", "label", F.explode("shingles").alias("t")), percent)
+
+    roots = component_links(postings, verified, percent, rarest)
 
     grouped = kinds.select("p1", "p2", "places", "node").join(roots, "node", "left").withColumn("passage_id", F.coalesce("root", "node"))
     totals = grouped.groupBy("passage_id").agg(F.sum("places").alias("places")).where("places > 1")

@@ -19,6 +19,13 @@ QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_near
 _ESCAPED = "length({0}) + length(regexp_replace({0}, '[^\\\\<>]', '', 'g'))"
 
 ORACLE: dict[str, str] = {
+    # Exact search: what the index must find with the reranking it has.
+    "op3_nearest_neighbours": """
+WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, x.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (x.v[i] - q.v[i]) * (x.v[i] - q.v[i])), lambda a, b: a + b)) AS score
+      FROM x q JOIN x ON x.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op5_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),

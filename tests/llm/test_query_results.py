@@ -15,8 +15,13 @@ from tests.llm.test_operators import KINDS, covered, holds
 TABLES = "/root/testdata/sf0.001"
 
 
+RESULTS = {}
+
+
 def rows_of(spark, name):
-    return [r.asDict() for r in registry.QUERIES[name](spark, TABLES).collect()]
+    if name not in RESULTS:
+        RESULTS[name] = [r.asDict() for r in registry.QUERIES[name](spark, TABLES).collect()]
+    return RESULTS[name]
 
 
 @pytest.fixture(scope="module")

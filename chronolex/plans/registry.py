@@ -469,11 +469,11 @@ def tr_05_tree_diff(spark, d):
     return change.select(*job_queries.exploded("x", "conv_id", "turn")).select("conv_id", "turn", "e.kind", F.col("e.path").cast("long").alias("path"), "e.before", "e.after")
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS before FROM lineitem)
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS before FROM lineitem)
 SELECT l_orderkey, count(*) FILTER (before IS NOT NULL AND before <> l_quantity) AS n, sum(CASE WHEN before IS NOT NULL AND before <> l_quantity THEN CAST(l_quantity AS BIGINT) ELSE 0 END)::BIGINT AS total FROM x GROUP BY 1""")
 def tr_06_added_thresholds(spark, d):
     text = F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit(" EUR min"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("at"), F.create_map(F.lit("1"), text).alias("m"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_quantity").alias("at"), F.create_map(F.lit("1"), text).alias("m"))
     pairs = V.adjacent_pairs(rows, "l_orderkey", "at", ["m"]).withColumn("t", tree.added_thresholds(tree.diff(F.col("m"), F.col("next_m")), patterns=AMOUNTS, operators=BOUNDS))
     counts = pairs.groupBy("l_orderkey").agg(F.sum(F.size("t")).alias("n"), F.sum(F.aggregate("t", F.lit(0.0), lambda a, x: a + x["value"])).cast("long").alias("total"))
     return rows.select("l_orderkey").distinct().join(counts, "l_orderkey", "left").fillna(0, ["n", "total"])

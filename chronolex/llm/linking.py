@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialise
@@ -51,27 +51,41 @@ def early(percent: int) -> str:
     return " and ".join(f"{k}.place <= {k}.n - {need} + 1" for k in "xy")
 
 
-def _of_several(labelled: DataFrame) -> DataFrame:
-    """The lists whose members have different labels."""
-    mixed = labelled.groupBy("t").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("t")
-    return materialise(labelled.join(materialise(mixed, "mixed"), "t"), "labelled")
+def _labelled(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """Postings with the label of each node's component, of those lists whose members have different labels."""
+    rows = postings.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    mixed = rows.groupBy("t").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("t")
+    return materialise(rows.join(materialise(mixed, "mixed"), "t"), "labelled")
 
 
-def component_links(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], percent: int, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, root) of the components. verified: keeps the pairs (a, b) that are similar. finer: makes the postings of the second step,
-    with places by rarity, of nodes with labels; without it those given have places."""
-    member = F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "own")
-    pivots = postings.groupBy("t").agg(F.min(member).alias("pivot"))
-    votes = postings.join(materialise(pivots, "pivots"), "t").where("node <> pivot.node").groupBy("node", "n", "own", "pivot").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("node", "n", "own").agg(F.expr("max_by(pivot, struct(votes, -pivot.node))").alias("pivot")).select(F.struct("node", "n", "own").alias("x"), F.col("pivot").alias("y"))
-    links = materialise(verified(best.where(possible("x", "y", percent)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))), "links")
+def _to_pivots(rows: DataFrame, first: Column, verified: Callable[[DataFrame], DataFrame], percent: int, every: bool = False) -> DataFrame:
+    """Links of each node with the pivot that most of its lists share, or with every pivot of its lists; the pivot of a list is its
+    first member in the given order."""
+    member = F.struct(first.alias("order"), (F.col("own") / F.col("n")).alias("share"), "node", "n", "own", "label")
+    pivots = materialise(rows.groupBy("t").agg(F.min(member).alias("pivot")), "pivots")
+    votes = rows.join(pivots, "t").where("label <> pivot.label").groupBy("node", "n", "own", "pivot").agg(F.count("*").alias("votes"))
+    best = votes if every else votes.groupBy("node", "n", "own").agg(F.expr("max_by(pivot, struct(votes, -pivot.node))").alias("pivot"))
+    best = best.select(F.struct("node", "n", "own").alias("x"), F.col("pivot").alias("y"))
+    return materialise(verified(best.where(possible("x", "y", percent)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))), "links")
 
-    # The rest: members of a list that are still apart.
+
+def component_links(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], percent: int, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, root) of the components. verified: keeps the pairs (a, b) that are similar. finer: makes the postings of the last steps,
+    with places by rarity, of nodes; without it those given have places."""
+    links = _to_pivots(postings.withColumn("label", F.col("node")), F.lit(0), verified, percent)
     roots = materialise(components(links), "roots")
-    labelled = _of_several(postings.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+    rows = _labelled(postings, roots)
     if finer is not None:
-        labelled = _of_several(materialise(finer(labelled.select("node", "label").distinct()), "finer"))
-    x, y = (labelled.select("t", F.struct(*(c for c in labelled.columns if c != "t")).alias(k)) for k in "xy")
+        # Members of a family that are too far from its centre are mostly near to one that has some of their changes and is in
+        # the family already: these are compared with the member of the largest component in each of their finer lists.
+        finer_rows = materialise(finer(rows.select("node").distinct()), "finer")
+        sizes = roots.groupBy(F.col("root").alias("label")).agg(F.count("*").alias("size"))
+        sized = _labelled(finer_rows, roots).join(materialise(sizes, "sizes"), "label", "left")
+        links = _to_pivots(sized, -F.coalesce("size", F.lit(1)), verified, percent, every=True)
+        roots = materialise(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "roots")
+        rows = _labelled(finer_rows, roots)
+    # The rest: members of a list that are still apart.
+    x, y = (rows.select("t", F.struct(*(c for c in rows.columns if c != "t")).alias(k)) for k in "xy")
     apart = x.join(y, "t").where(f"x.node < y.node and x.label <> y.label and {early(percent)} and " + possible("x", "y", percent))
     rest = materialise(verified(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), "links")
     if not rest.limit(1).count():

@@ -247,7 +247,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(_similar(percent)), "a long, b long")
 
     def rarest(apart: DataFrame) -> DataFrame:
-        return rare_prefixes(sets.join(sent_if_small(apart), "node").select("node", "n", "label", F.explode("shingles").alias("t")), percent)
+        return rare_prefixes(sets.join(sent_if_small(apart), "node").select("node", "n", F.explode("shingles").alias("t")), percent)
 
     roots = component_links(postings, verified, percent, rarest)
 

@@ -35,29 +35,50 @@ def top_n(hits: DataFrame, n: int, order: list[Column]) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n)
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, top: int = 30, threshold: float = 0.3, key: str = "chunk_id") -> DataFrame:
+def _overlaps(asked: list[list[str]], threshold: float):
+    """(i, key, score) of the rows whose trigrams are similar enough to those of the i-th text asked."""
+    sizes, lists = np.array([len(g) for g in asked]), {}
+    for i, grams in enumerate(asked):
+        for g in grams:
+            lists.setdefault(g, []).append(i)
+    lists = {g: np.array(own) for g, own in lists.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+            for row, grams in enumerate(batch.column(1).to_pylist()):
+                met = [lists[g] for g in grams if g in lists]
+                if met:
+                    both = np.bincount(np.concatenate(met), minlength=len(asked))
+                    score = both / (sizes + len(grams) - both)
+                    near = np.flatnonzero(score >= threshold)
+                    at.append(near)
+                    rows.append(np.full(len(near), row))
+                    scores.append(score[near])
+            keys = batch.column(0).take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), keys, pa.array(np.concatenate(scores))], names=["i", "key", "score"])
+
+    return run
+
+
+def keyword_search(queries: DataFrame, chunks: DataFrame, top: int = 30, threshold: float = 0.3, key: str = "chunk_id", block: int = 1000) -> DataFrame:
     """(query_id, key, score, rank) of chunks whose similarity to the query text reaches the threshold.
 
-    Two texts of n and m trigrams that reach it share one of the n - ceil(threshold * n) + 1 rarest of the one and of the
-    corresponding number of the other, rarity counted over the chunks. Candidates come from a join on these alone, so common trigrams
-    are no join keys; each is then verified on both sets. Sizes too far apart cannot reach the threshold.
+    Queries go to the chunks in blocks of about `block` rows, as lists of queries by trigram: a chunk's overlaps with all of them are
+    one count over its trigrams' lists, so no trigram, however common, is a join key, and only hits move.
     """
     sets = lambda df, k: df.select(k, trigrams(F.col("text")).alias("g")).where(F.size("g") > 0)
-    q, c = sets(queries, "query_id"), sets(chunks, key)
-    rarity = c.select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-
-    def prefix(rows: DataFrame, k: str) -> DataFrame:
-        # 1e-9: a product that falls short of a whole number by rounding must not shorten the prefix.
-        ranked = rows.select(k, F.size("g").alias(f"n_{k}"), F.explode("g").alias("t")).join(rarity, "t", "left")
-        place = F.row_number().over(Window.partitionBy(k).orderBy(F.coalesce("df", F.lit(0)), "t"))
-        return ranked.withColumn("place", place).where(F.col("place") <= F.col(f"n_{k}") - F.ceil(threshold * F.col(f"n_{k}") - 1e-9) + 1).select(k, f"n_{k}", "t")
-
-    near = F.least("n_query_id", f"n_{key}") >= threshold * F.greatest("n_query_id", f"n_{key}")
-    pairs = prefix(q, "query_id").join(prefix(c, key), "t").where(near).select("query_id", key).distinct()
-    both = pairs.join(q.withColumnRenamed("g", "a"), "query_id").join(c.withColumnRenamed("g", "b"), key)
-    shared = F.size(F.array_intersect("a", "b"))
-    scored = both.select("query_id", key, (shared / (F.size("a") + F.size("b") - shared)).alias("score"))
-    return top_n(scored.where(F.col("score") >= threshold), top, [F.desc("score"), F.col(key)])
+    asked, rows = sets(queries, "query_id"), sets(chunks, key)
+    blocks = max(1, -(-asked.count() // block))
+    types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (chunks, key))}
+    hits = []
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        names = queries.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(part)], f"i long, query_id {types['query_id']}")
+        found = rows.mapInArrow(_overlaps([r["g"] for r in part], threshold), f"i long, key {types[key]}, score double")
+        best = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= top)
+        hits.append(best.join(F.broadcast(names), "i").select("query_id", F.col("key").alias(key), "score", "rank"))
+    return reduce(DataFrame.unionByName, hits)
 
 
 #: Rows of vectors that are scored at a time.

@@ -7,13 +7,15 @@ from .decontaminate import op2_decontaminate
 from .ngram_join import op5_ngram_jaccard_join
 from .packing import op6_packing
 from .paragraph_dedup import op4_paragraph_dedup
+from .periodic_runs import op11_periodic_runs
 from .pii import op9_pii
+from .quality import op13_quality
 from .suffix_dedup import op1_suffix_dedup
 from .token_files import op8_token_files
 from .toxicity import op7_toxicity
 from .vector_search import op3_nearest_neighbours
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_nearest_neighbours, op4_paragraph_dedup, op5_ngram_jaccard_join, op6_packing, op7_toxicity, op8_token_files, op9_pii, op10_chat_prefix_tree)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_nearest_neighbours, op4_paragraph_dedup, op5_ngram_jaccard_join, op6_packing, op7_toxicity, op8_token_files, op9_pii, op10_chat_prefix_tree, op11_periodic_runs, op13_quality)}
 
 #: Characters that the chat template escapes cost one more.
 _ESCAPED = "length({0}) + length(regexp_replace({0}, '[^\\\\<>]', '', 'g'))"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_token_alignment
 from .chat_tree import op10_chat_prefix_tree
 from .decontaminate import op2_decontaminate
 from .ngram_join import op5_ngram_jaccard_join
@@ -15,7 +16,7 @@ from .token_files import op8_token_files
 from .toxicity import op7_toxicity
 from .vector_search import op3_nearest_neighbours
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_nearest_neighbours, op4_paragraph_dedup, op5_ngram_jaccard_join, op6_packing, op7_toxicity, op8_token_files, op9_pii, op10_chat_prefix_tree, op11_periodic_runs, op13_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_nearest_neighbours, op4_paragraph_dedup, op5_ngram_jaccard_join, op6_packing, op7_toxicity, op8_token_files, op9_pii, op10_chat_prefix_tree, op11_periodic_runs, op12_token_alignment, op13_quality)}
 
 #: Characters that the chat template escapes cost one more.
 _ESCAPED = "length({0}) + length(regexp_replace({0}, '[^\\\\<>]', '', 'g'))"

@@ -18,7 +18,9 @@ empty table returns no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -42,8 +44,13 @@ PLAIN_LINKS = 1 << 12
 #: Distinct pairs of ids, of 32 bytes each, up to which they are broadcast.
 BROADCAST_PAIRS = 2_000_000
 
+#: Units of one word of Latin letters and signs after it: two pieces to the byte-level splitter, which go to the model itself.
+PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
+PROBES = ("word", "Word,", "naïve", "Ñandú", "straße.", "a", "end...", "mañana!?", "ŁÓDŹ;", "x:", "hippopotamus")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 ODD = re.compile(r"\s\s|\s\Z")
+#: Marks the ids of the second vocabulary where those of both are in one list.
+SECOND = 1 << 31
 #: Bits of an id of the second vocabulary within a pair.
 SHIFT = 20
 
@@ -63,7 +70,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Units(dict):
-    """The little-endian ids of both tokenizers for each unit met so far, or None if they don't spell it."""
+    """The little-endian ids of both tokenizers for each unit met so far, or None if they don't spell it. The keys are without blank."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -78,39 +85,67 @@ class Units(dict):
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.vocab_size()))]
         if any("▁" in p.lstrip("▁") for p in map(self.b.id_to_piece, range(self.b.vocab_size()))):
             raise ValueError(f"{b_path} has pieces that go on over a blank: texts can't be cut at blanks")
+        self.letters = {b: c for c, b in letters.items()}
+        self.signs: dict[str, list[int]] = {}
+        self.direct = all(self.plain_ids(*PLAIN.fullmatch(p).groups()) == self.a.encode(" " + p, add_special_tokens=False).ids for p in PROBES)
         self.a_size, self.b_size = (np.array([len(w) for w in words], np.int64) for words in (self.a_bytes, self.b_bytes))
         self.a_names = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"]
         self.names = self.a_names + [f"{i}{end}" for i in range(len(self.b_bytes)) for end in ",;"]
 
+    def plain_ids(self, word: str, signs: str) -> list[int]:
+        """Ids of the first tokenizer for " " + word + signs."""
+        written = " " + word
+        found = [t.id for t in self.a.model.tokenize("".join([self.letters[b] for b in written.encode()]))]
+        if signs:
+            if signs not in self.signs:
+                self.signs[signs] = [t.id for t in self.a.model.tokenize(signs)]
+            found += self.signs[signs]
+        return found
+
     def learn(self, units: list[str]) -> None:
-        for at in range(0, len(units), 4096):
-            part = units[at : at + 4096]
-            for unit, x, y in zip(part, self.a.encode_batch_fast(part, add_special_tokens=False), self.b.encode([u[1:] for u in part], num_threads=1)):
-                x, raw = x.ids, unit.encode()
-                spelt = b"".join([self.a_bytes[i] for i in x]) == raw and b"".join([self.b_bytes[i] for i in y]) == raw
-                self[unit] = (np.array(x, "<u4").tobytes(), np.array(y, "<u4").tobytes()) if spelt else None
-
-    def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of " " + text for each text, or None where they don't spell it."""
+        first = {u: self.plain_ids(*m.groups()) for u in units if (m := PLAIN.fullmatch(u))} if self.direct else {}
+        others = [u for u in units if u not in first]
+        first |= {u: x.ids for u, x in zip(others, self.a.encode_batch_fast([" " + u for u in others], add_special_tokens=False))}
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
+        for unit, y in zip(units, self.b.encode(units, num_threads=1) if units else []):
+            x, raw = first[unit], (" " + unit).encode()
+            spelt = b"".join([a_bytes[i] for i in x]) == raw and b"".join([b_bytes[i] for i in y]) == raw
+            self[unit] = array("I", [*x, *[i + SECOND for i in y]]).tobytes() if spelt else None
+
+    def tokens(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of both tokenizers for " " + text, unit by unit, those of the second with the bit SECOND; None where they don't spell it."""
         if len(self) > REMEMBERED:  # what came first is what comes most
             for unit in list(self)[REMEMBERED // 2 :]:
                 del self[unit]
-        split = [units_of(t) for t in texts]
-        self.learn(list(set(chain.from_iterable(split)).difference(self)))
-        found = []
-        for units in split:
-            known = [self[u] for u in units]
-            found.append(None if None in known else (b"".join([k[0] for k in known]), b"".join([k[1] for k in known])))
+        split, found, open_ = [units_of(t) for t in texts], [None] * len(texts), range(len(texts))
+        for known in (False, True):
+            rest = []
+            for k in open_:
+                try:
+                    found[k] = b"".join(map(self.get, split[k]))
+                except TypeError:  # a unit is not known, or not spelt
+                    rest.append(k)
+            if not known:
+                self.learn([u for u in dict.fromkeys(chain.from_iterable(split[k] for k in rest)) if u not in self])
+            open_ = rest
         return found
 
 
+def sides(tokens: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of both tokenizers."""
+    both = np.frombuffer(tokens, "<u4")
+    second = both >= SECOND
+    return both[~second], both[second] ^ np.uint32(SECOND)
+
+
 def units_of(text: str) -> list[str]:
-    """The units of " " + text."""
+    """The units of " " + text, each without the blank that it begins with."""
     whole = " " + text
-    return CUT.split(whole) if ODD.search(whole) else [" " + u for u in text.split(" ")]
+    return [u[1:] for u in CUT.split(whole)] if ODD.search(whole) else text.split(" ")
 
 
 def encoder(a_path: str, b_path: str) -> Units:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     if (a_path, b_path) not in _encoders:
         _encoders[a_path, b_path] = Units(a_path, b_path)
     return _encoders[a_path, b_path]
@@ -255,8 +290,12 @@ def _whole(paths: tuple[str, str]):
         known = [k for k, t in enumerate(texts) if t]
         told = [(k, f) for k, f in zip(known, units.tokens([texts[k] for k in known])) if f is not None]
         places, found = np.array([k for k, _ in told], np.int64), [f for _, f in told]
-        a, b = (np.frombuffer(b"".join([f[k] for f in found]), "<u4") for k in (0, 1))
-        n_a, n_b = (np.array([len(f[k]) // 4 for f in found], np.int64) for k in (0, 1))
+        both = b"".join(found)
+        a, b = sides(both)
+        past = np.cumsum([len(f) // 4 for f in found], dtype=np.int64)
+        second = np.concatenate([[0], np.cumsum(np.frombuffer(both, "<u4") >= SECOND)])
+        n_b = np.diff(second[np.concatenate([[0], past])])
+        n_a = np.diff(past, prepend=0) - n_b
         every = Closed.of(a, np.cumsum(units.a_size[a]), b, np.cumsum(units.b_size[b]))
         of_a, of_b = every.sizes()
         past = np.cumsum(n_a)
@@ -321,7 +360,7 @@ def _fragments(paths: tuple[str, str]):
                 (found,) = units.tokens([stretch[1:]])
                 fragment = Fragment.failed()
                 if found is not None:
-                    ids = [np.frombuffer(f, "<u4") for f in found]
+                    ids = sides(found)
                     ends = [begin + np.cumsum(sizes[i]) for sizes, i in zip((units.a_size, units.b_size), ids)]
                     (a, a_ends), (b, b_ends) = ((i[(e > low) & (e <= high)], e[(e > low) & (e <= high)]) for i, e in zip(ids, ends))
                     fragment = Fragment.of(units, a, a_ends, b, b_ends)

@@ -208,7 +208,7 @@ def addendum_kind(label: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the lower-case alphanumeric words, two blanks before and one after each."""
-    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    words = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 

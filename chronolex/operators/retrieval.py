@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import in_force, require_as_of
-from ..functions.text import citation, trigrams
+from ..functions.text import citation
 from .graph import expand_refs
+from .text_index import TrigramIndex
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -35,50 +36,16 @@ def top_n(hits: DataFrame, n: int, order: list[Column]) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n)
 
 
-def _overlaps(asked: list[list[str]], threshold: float):
-    """(i, key, score) of the rows whose trigrams are similar enough to those of the i-th text asked."""
-    sizes, lists = np.array([len(g) for g in asked]), {}
-    for i, grams in enumerate(asked):
-        for g in grams:
-            lists.setdefault(g, []).append(i)
-    lists = {g: np.array(own) for g, own in lists.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, rows, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-            for row, grams in enumerate(batch.column(1).to_pylist()):
-                met = [lists[g] for g in grams if g in lists]
-                if met:
-                    both = np.bincount(np.concatenate(met), minlength=len(asked))
-                    score = both / (sizes + len(grams) - both)
-                    near = np.flatnonzero(score >= threshold)
-                    at.append(near)
-                    rows.append(np.full(len(near), row))
-                    scores.append(score[near])
-            keys = batch.column(0).take(pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), keys, pa.array(np.concatenate(scores))], names=["i", "key", "score"])
-
-    return run
-
-
-def keyword_search(queries: DataFrame, chunks: DataFrame, top: int = 30, threshold: float = 0.3, key: str = "chunk_id", block: int = 1000) -> DataFrame:
+def keyword_search(queries: DataFrame, chunks: DataFrame | None, top: int = 30, threshold: float = 0.3, key: str = "chunk_id", index: TrigramIndex | None = None) -> DataFrame:
     """(query_id, key, score, rank) of chunks whose similarity to the query text reaches the threshold.
 
-    Queries go to the chunks in blocks of about `block` rows, as lists of queries by trigram: a chunk's overlaps with all of them are
-    one count over its trigrams' lists, so no trigram, however common, is a join key, and only hits move.
+    With an index of texts, `chunks` says which of them count (None: all); without one, the texts of `chunks` are indexed first.
     """
-    sets = lambda df, k: df.select(k, trigrams(F.col("text")).alias("g")).where(F.size("g") > 0)
-    asked, rows = sets(queries, "query_id"), sets(chunks, key)
-    blocks = max(1, -(-asked.count() // block))
-    types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (chunks, key))}
-    hits = []
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        names = queries.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(part)], f"i long, query_id {types['query_id']}")
-        found = rows.mapInArrow(_overlaps([r["g"] for r in part], threshold), f"i long, key {types[key]}, score double")
-        best = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= top)
-        hits.append(best.join(F.broadcast(names), "i").select("query_id", F.col("key").alias(key), "score", "rank"))
-    return reduce(DataFrame.unionByName, hits)
+    found = index or TrigramIndex.build(chunks, key=key)
+    hits = found.hits(queries, threshold, top if index is None or chunks is None else None)
+    if index is not None and chunks is not None:
+        hits = hits.join(chunks.select(key), key, "left_semi")
+    return top_n(hits, top, [F.desc("score"), F.col(key)]).select("query_id", key, "score", "rank")
 
 
 #: Rows of vectors that are scored at a time.
@@ -179,18 +146,19 @@ def rerank(hits: DataFrame, top: int = 20, scorer: Callable[[DataFrame], DataFra
 
 def search(
     queries: DataFrame, chunks: DataFrame, versions: DataFrame, edges: DataFrame, rulings: DataFrame, addenda: DataFrame, names: list[str], as_of: date, today: date,
-    top: int = 20, hops: int = 1, k: int = 60, scorer: Callable[[DataFrame], DataFrame] | None = None, vector_chunks: DataFrame | None = None, **patterns,
+    top: int = 20, hops: int = 1, k: int = 60, scorer: Callable[[DataFrame], DataFrame] | None = None, vector_chunks: DataFrame | None = None,
+    index: TrigramIndex | None = None, **patterns,
 ) -> DataFrame:
     """Routed or fused articles of each query, one row per hit, with what belongs to them: `related`, the versions in force of the
     articles they refer to; `rulings` on them; `addenda`, the texts of addendum items that name them.
 
     queries: query_id, text, embedding. chunks: chunk_id, article_id, text, embedding, is_current, valid_from, valid_to.
     versions: article_id, article_key, law, art_no, branch_no, body, valid_from, valid_to. addenda: addendum_id, body, target_articles.
-    vector_chunks: the chunks that have vectors, if not all have; patterns: what else `citation` takes.
+    vector_chunks: the chunks that have vectors, if not all have; index: of the texts of all chunks, if there is one; patterns: what else `citation` takes.
     """
     direct = route_direct(queries, versions, names, as_of, **patterns).select("query_id", "article_id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
     open_ = queries.join(direct.select("query_id"), "query_id", "left_anti")
-    by_text = keyword_search(open_, chunks.where(in_force(as_of)), top=30)
+    by_text = keyword_search(open_, chunks.where(in_force(as_of)), top=30, index=index)
     by_vector = vector_search(open_, chunks if vector_chunks is None else vector_chunks, as_of, today, top=30)
     fused = rrf_fuse(by_text, by_vector, k=k, top=top).join(chunks.select("chunk_id", "article_id"), "chunk_id")
     current = versions.where(in_force(require_as_of(as_of)))

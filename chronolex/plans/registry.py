@@ -15,7 +15,7 @@ from ..operators import versions as V
 from ..sources import law_xml
 from . import corpus, job_queries
 from .catalogue import ORACLE, QUERIES, query
-from .tables import EDGES_SQL, PART_VERSIONS_SQL, RULINGS_SQL, VERSIONS_SQL, citations, edges, part_versions, raw_versions, rulings, table, versions
+from .tables import EDGES_SQL, PART_VERSIONS_SQL, RULINGS_SQL, VERSIONS_SQL, citations, document_index, edges, part_versions, raw_versions, rulings, table, versions
 
 AS_OF = date(1997, 6, 30)
 
@@ -323,7 +323,7 @@ kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c
 
 def _keyword(spark, d, top=10):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.keyword_search(q, table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), top=top)
+    return retrieval.keyword_search(q, None, top=top, index=document_index(spark, d))
 
 
 @query(f"WITH {TRIGRAM_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM kw WHERE rank <= 10")
@@ -358,11 +358,6 @@ def rt_03_rrf_fuse(spark, d):
     return retrieval.rrf_fuse(_keyword(spark, d), _vector(spark, d), top=1000).withColumn("score", F.round("score", 9))
 
 
-# Under these names too, from when the two above asked fewer queries.
-for name in ("rt_02_vector_search", "rt_03_rrf_fuse"):
-    QUERIES[f"{name}_all"], ORACLE[f"{name}_all"] = QUERIES[name], ORACLE[name]
-
-
 CITING = "concat('see ', n_name, CASE WHEN c_custkey % 2 = 0 THEN concat(' (', year(o_orderdate), '. ', month(o_orderdate), '. ', day(o_orderdate), '. enacted)') ELSE '' END, ' ART', c_custkey, CASE WHEN c_custkey % 3 = 0 THEN concat('-', c_nationkey) ELSE '' END, ' as well')"
 ARTICLE = r"ART(\d+)(?:-(\d+))?"
 
@@ -424,7 +419,7 @@ def rt_07_search(spark, d):
     r = rulings(spark, d).withColumn("ruling_id", F.col("ruling_id").cast("string"))
     addenda = table(spark, d, "part").where("p_size > 1").select(F.col("p_partkey").alias("addendum_id"), F.col("p_name").alias("body"), F.array("p_partkey", "p_partkey").alias("target_articles"))
     embedded = chunks.where("embedding is not null")
-    found = retrieval.search(queries, chunks, articles, edges(spark, d), r, addenda, ["LAW"], AS_OF, AS_OF, top=5, vector_chunks=embedded, article=ARTICLE)
+    found = retrieval.search(queries, chunks, articles, edges(spark, d), r, addenda, ["LAW"], AS_OF, AS_OF, top=5, vector_chunks=embedded, index=document_index(spark, d), article=ARTICLE)
     related = F.array_join(F.transform("related", lambda v: v["article_id"].cast("string")), "|")
     return found.select("query_id", "article_id", F.round("score", 9).alias("score"), "rank", related.alias("related"), F.array_join("rulings", "|").alias("rulings"), F.array_join("addenda", "|").alias("addenda"))
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.text_index import TrigramIndex
 from ..operators.versions import close_versions, first_write
 
 EDGE_TYPES = {"R": "DELEGATES", "A": "REFERS_TO", "N": "MUTATIS"}
@@ -53,6 +54,17 @@ def part_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return close_versions(line)
 
 
+_indexes: dict[tuple[str, str], TrigramIndex] = {}
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> TrigramIndex:
+    """The trigram index of all documents, built once in a session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _indexes:
+        _indexes[at] = TrigramIndex.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return _indexes[at]
+
+
 # The same views for DuckDB.
 VERSIONS_SQL = """
 w AS (SELECT o_custkey AS article_id, CAST(o_orderdate AS DATE) AS valid_from, o_orderkey AS article_key, o_orderstatus, o_totalprice, o_orderpriority,

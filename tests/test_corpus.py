@@ -128,6 +128,44 @@ def test_keyword_search_brute_force(spark):
         assert {(x.query_id, x.chunk_id) for x in found} == wanted
 
 
+def test_text_index(spark, tmp_path):
+    """One index for many searches: in blocks, of small shards, restricted to some chunks, with odd texts; rows as by brute force."""
+    import random
+    import re
+
+    from chronolex.operators import text_index
+    from chronolex.operators.text_index import TrigramIndex
+
+    r = random.Random(8)
+    texts = [None, "", "  .,;", "a", "É ü_x 漢字", "same words here", "same words here", *(" ".join("".join(r.choices("abcde", k=r.randint(1, 6))) for _ in range(r.choice([1, 3, 8, 60]))) for _ in range(200))]
+    words = lambda t: [w for w in re.findall(r"[^\W_]+", (t or "").lower())]
+    sets = [{f"  {w} "[i : i + 3] for w in words(t) for i in range(len(w) + 1)} for t in texts]
+    score = lambda a, b: len(a & b) / len(a | b)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    queries, chunks = rows.where("id % 3 = 0 or id < 9").withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "chunk_id")
+    shard, counted = text_index.SHARD, text_index.COUNTED
+    index = TrigramIndex.build(chunks, str(tmp_path / "index"))
+    asked = [i for i in range(len(texts)) if (i % 3 == 0 or i < 9) and sets[i]]
+    try:
+        text_index.COUNTED = 500  # many turns
+        for threshold in (0.1, 0.3, 2 / 3, 1.0):
+            wanted = {(i, j): score(sets[i], b) for i in asked for j, b in enumerate(sets) if b and score(sets[i], b) >= threshold}
+            for block in (1000, 7):
+                found = {(x.query_id, x.chunk_id): x.score for x in index.hits(queries, threshold, block=block).collect()}
+                assert found == pytest.approx(wanted)
+    finally:
+        text_index.SHARD, text_index.COUNTED = shard, counted
+    some = chunks.where("chunk_id % 2 = 1")
+    best = lambda i: sorted((j for j, b in enumerate(sets) if j % 2 and b and score(sets[i], b) >= 0.3), key=lambda j: (-score(sets[i], sets[j]), j))[:4]
+    ranked = {(x.query_id, x.rank): x.chunk_id for x in retrieval.keyword_search(queries, some, top=4, index=TrigramIndex(spark, str(tmp_path / "index"))).collect()}
+    assert ranked == {(i, k + 1): j for i in asked for k, j in enumerate(best(i))}
+    assert {(x.query_id, x.rank): x.chunk_id for x in retrieval.keyword_search(queries, some, top=4).collect()} == ranked
+    none = TrigramIndex.build(chunks.limit(0))
+    assert none.hits(queries).count() == 0 and index.hits(queries.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        index.hits(queries, 0.0)
+
+
 def test_rulings(spark, tables):
     _, t, _ = tables
     named = t["article_version"].join(t["article"], "article_id").join(t["statute"].select("statute_id", F.col("name").alias("law")), "statute_id")
@@ -273,6 +311,6 @@ def test_whole_query_set(spark):
 
     folder = "/root/testdata/sf0.001"
     wanted = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
-    assert {r.query_id for r in registry.QUERIES["rt_02_vector_search_all"](spark, folder).collect()} == wanted and len(wanted) > 5
+    assert {r.query_id for r in registry.QUERIES["rt_02_vector_search"](spark, folder).collect()} == wanted and len(wanted) > 5
     keyword = {r.query_id for r in registry.QUERIES["rt_01_keyword_search"](spark, folder).collect()}
-    assert {r.query_id for r in registry.QUERIES["rt_03_rrf_fuse_all"](spark, folder).collect()} == wanted | keyword
+    assert {r.query_id for r in registry.QUERIES["rt_03_rrf_fuse"](spark, folder).collect()} == wanted | keyword

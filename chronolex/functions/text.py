@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import first_citation, name_list
+
 UNICODE = "(?Ud)"
 
 # Vocabulary of the corpus.
@@ -116,25 +118,20 @@ def lookback(today, years: int) -> Column:
     return F.date_sub(F.lit(today).cast("date"), 365 * years)
 
 
-def law_names_pattern(names: list[str]) -> str:
-    """Longer names first, so that no short name takes a part of a long one."""
-    return "(" + "|".join(rf"\Q{n}\E" for n in sorted(set(names), key=lambda n: (-len(n), n))) + ")"
-
-
-def citation(text: Column, names: list[str], article: str = r"제(\d+)조(?:의(\d+))?", abbreviations: dict[str, str] = ABBREVIATIONS) -> Column:
-    """The first citation as struct(law, art_no, branch_no, historical_date), null without one or without names."""
-    if not names:
+def citation(text: Column, names: list[str] | DataFrame, article: str = r"제(\d+)조(?:의(\d+))?", abbreviations: dict[str, str] = ABBREVIATIONS) -> Column:
+    """The first citation as struct(law, art_no, branch_no, historical_date), null without one or without names. names: a list, or a
+    table whose first column they are."""
+    known = name_list(names)
+    if not known:
         return F.lit(None).cast("struct<law: string, art_no: int, branch_no: int, historical_date: date>")
-    pattern = rf"(?:구\s*)?{law_names_pattern(names)}(?:\s*\(([^)]*)\))?\s*{article}"
+    full = F.create_map(*(F.lit(x) for pair in abbreviations.items() for x in pair)) if abbreviations else None
 
     def cut(match: Column) -> Column:
-        law = found(match, "^" + pattern, 1)
-        full = F.coalesce(*(F.when(law == short, F.lit(name)) for short, name in abbreviations.items()), law)
-        number = lambda g: found(match, "^" + pattern, g).cast("int")
-        return F.when(match.isNotNull(), F.struct(full.alias("law"), number(3).alias("art_no"), F.coalesce(number(4), F.lit(0)).alias("branch_no"), dotted_date(found(match, "^" + pattern, 2)).alias("historical_date")))
+        law = F.coalesce(F.try_element_at(full, match["law"]), match["law"]) if full is not None else match["law"]
+        branch = F.coalesce(match["branch_no"].cast("int"), F.lit(0))
+        return F.when(match["law"].isNotNull(), F.struct(law.alias("law"), match["art_no"].cast("int").alias("art_no"), branch.alias("branch_no"), dotted_date(match["detail"]).alias("historical_date")))
 
-    # The whole text is searched once; the parts are cut from the few characters that match.
-    return F.get(F.transform(F.array(found(text, pattern, 0)), cut), 0)
+    return F.get(F.transform(F.array(first_citation(text, known, article)), cut), 0)
 
 
 def definitions(text: Column, patterns: tuple[str, ...] = DEFINITIONS) -> Column:

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.temporal import in_force, require_as_of
 from ..functions.text import citation
+from ..scratch import new_folder, written
 from .graph import expand_refs
 from .text_index import TrigramIndex
+from .vector_index import VectorIndex, vector
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -95,30 +97,40 @@ def _nearest(asked: list[np.ndarray | None], top: int):
     return run
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, as_of: date, today: date, top: int = 30, key: str = "chunk_id", block: int = 1000) -> DataFrame:
-    """(query_id, key, score, rank) by exact cosine; queries go to the chunks in blocks of about `block` rows, and of each partition
-    only its best hits of each query move. Scores equal to nine places are ties. From today on the current chunks count, without a
-    look at dates; before, those in force. Chunks without a vector come last."""
-    rows = chunks.where("is_current") if require_as_of(as_of) >= today else chunks.where(in_force(as_of))
-    # A vector with a null in it is none.
-    vector = lambda c: F.when(~F.exists(c, lambda x: x.isNull()), F.col(c)).cast("array<double>")
+def vector_search(queries: DataFrame, chunks: DataFrame, as_of: date, today: date, top: int = 30, key: str = "chunk_id", block: int = 1000, index: VectorIndex | None = None) -> DataFrame:
+    """(query_id, key, score, rank) by exact cosine. Scores equal to nine places are ties. From today on the current chunks count, without a
+    look at dates; before, those in force. Chunks without a vector come last.
+
+    An index of the current chunks answers searches from today on. Else queries go to the chunks in blocks of about `block` rows, and of each
+    partition only its best hits of each query move; of more than one block, each block's hits are written out.
+    """
+    current = require_as_of(as_of) >= today
+    if current and index is not None:
+        return index.nearest(queries, top, block)
+    rows = chunks.where("is_current") if current else chunks.where(in_force(as_of))
     vectors, asked = rows.select(F.col(key).alias("key"), vector("embedding").alias("v")), queries.select("query_id", vector("embedding").alias("q"))
     blocks = max(1, -(-asked.count() // block))
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (rows, key))}
-    hits = []
-    for b in range(blocks):
+
+    def found(b: int) -> DataFrame:
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
         names = queries.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(part)], f"i long, query_id {types['query_id']}")
-        found = vectors.mapInArrow(_nearest([None if r["q"] is None else np.array(r["q"]) for r in part], top), f"i long, key {types[key]}, score double, place double")
-        best = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("place"), "key"))).where(F.col("rank") <= top)
-        hits.append(best.join(F.broadcast(names), "i").select("query_id", F.col("key").alias(key), "score", "rank"))
-    return reduce(DataFrame.unionByName, hits)
+        near = vectors.mapInArrow(_nearest([None if r["q"] is None else np.array(r["q"]) for r in part], top), f"i long, key {types[key]}, score double, place double")
+        best = near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("place"), "key"))).where(F.col("rank") <= top)
+        return best.join(F.broadcast(names), "i").select("query_id", F.col("key").alias(key), "score", "rank")
+
+    if blocks == 1:
+        return found(0)
+    folder = new_folder(queries.sparkSession, "nearest")
+    for b in range(blocks):
+        found(b).write.parquet(f"{folder}/block={b}")
+    return queries.sparkSession.read.parquet(folder).drop("block")
 
 
 def rrf_fuse(*lists: DataFrame, k: int = 60, top: int = 30, key: str = "chunk_id") -> DataFrame:
     """Reciprocal rank fusion of lists (query_id, key, rank): of repeated keys the last rank counts, a key that a list lacks ranks
     after its end, and equal scores keep the order of first sight."""
-    all_ = reduce(DataFrame.unionByName, [x.select("query_id", key, F.col("rank").cast("int").alias("rank"), F.lit(i).alias("list_id")) for i, x in enumerate(lists)])
+    all_ = written(reduce(DataFrame.unionByName, [x.select("query_id", key, F.col("rank").cast("int").alias("rank"), F.lit(i).alias("list_id")) for i, x in enumerate(lists)]), "lists")  # it is read twice
     placed = all_.groupBy("query_id", key).agg(
         *(F.max(F.when(F.col("list_id") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(lists))), F.min(F.struct("list_id", "rank")).alias("first")
     )
@@ -127,7 +139,7 @@ def rrf_fuse(*lists: DataFrame, k: int = 60, top: int = 30, key: str = "chunk_id
     return top_n(placed.join(sizes, "query_id").withColumn("score", score), top, [F.desc("score"), F.col("first")]).select("query_id", key, "score", "rank")
 
 
-def route_direct(queries: DataFrame, versions: DataFrame, names: list[str], as_of: date, **patterns) -> DataFrame:
+def route_direct(queries: DataFrame, versions: DataFrame, names: list[str] | DataFrame, as_of: date, **patterns) -> DataFrame:
     """Queries that name an article, beside its version on the date they state, else on as_of. versions: law, art_no, branch_no, ...;
     patterns: what else `citation` takes."""
     parsed = queries.withColumn("c", citation(F.col("text"), names, **patterns)).where("c is not null")
@@ -145,21 +157,22 @@ def rerank(hits: DataFrame, top: int = 20, scorer: Callable[[DataFrame], DataFra
 
 
 def search(
-    queries: DataFrame, chunks: DataFrame, versions: DataFrame, edges: DataFrame, rulings: DataFrame, addenda: DataFrame, names: list[str], as_of: date, today: date,
+    queries: DataFrame, chunks: DataFrame, versions: DataFrame, edges: DataFrame, rulings: DataFrame, addenda: DataFrame, names: list[str] | DataFrame, as_of: date, today: date,
     top: int = 20, hops: int = 1, k: int = 60, scorer: Callable[[DataFrame], DataFrame] | None = None, vector_chunks: DataFrame | None = None,
-    index: TrigramIndex | None = None, **patterns,
+    index: TrigramIndex | None = None, vector_index: VectorIndex | None = None, **patterns,
 ) -> DataFrame:
     """Routed or fused articles of each query, one row per hit, with what belongs to them: `related`, the versions in force of the
     articles they refer to; `rulings` on them; `addenda`, the texts of addendum items that name them.
 
     queries: query_id, text, embedding. chunks: chunk_id, article_id, text, embedding, is_current, valid_from, valid_to.
     versions: article_id, article_key, law, art_no, branch_no, body, valid_from, valid_to. addenda: addendum_id, body, target_articles.
-    vector_chunks: the chunks that have vectors, if not all have; index: of the texts of all chunks, if there is one; patterns: what else `citation` takes.
+    vector_chunks: the chunks that have vectors, if not all have; index, vector_index: of the texts of all chunks and of the vectors of current ones, if
+    there are any; patterns: what else `citation` takes.
     """
     direct = route_direct(queries, versions, names, as_of, **patterns).select("query_id", "article_id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
     open_ = queries.join(direct.select("query_id"), "query_id", "left_anti")
     by_text = keyword_search(open_, chunks.where(in_force(as_of)), top=30, index=index)
-    by_vector = vector_search(open_, chunks if vector_chunks is None else vector_chunks, as_of, today, top=30)
+    by_vector = vector_search(open_, chunks if vector_chunks is None else vector_chunks, as_of, today, top=30, index=vector_index)
     fused = rrf_fuse(by_text, by_vector, k=k, top=top).join(chunks.select("chunk_id", "article_id"), "chunk_id")
     current = versions.where(in_force(require_as_of(as_of)))
     articles = fused.groupBy("query_id", "article_id").agg(F.max("score").alias("score"), F.min("rank").alias("rank")).join(current.select("article_id", "body"), "article_id")

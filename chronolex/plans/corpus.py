@@ -121,7 +121,7 @@ def law_names(statute: DataFrame) -> DataFrame:
     return statute.select("name").union(statute.select(F.explode("abbreviations"))).union(known).where("name is not null and name <> ''").distinct()
 
 
-def resolve_citations(requests: DataFrame, versions: DataFrame, names: list[str], today: date, **patterns) -> DataFrame:
+def resolve_citations(requests: DataFrame, versions: DataFrame, names: list[str] | DataFrame, today: date, **patterns) -> DataFrame:
     """requests (text, decided_on, ...) whose text cites an article, beside its version in force on the date the text states, else on
     the day of the decision, else today. versions: law, art_no, branch_no, article_id, valid_from, valid_to."""
     parsed = requests.withColumn("c", T.citation(F.col("text"), names, **patterns)).where("c is not null")
@@ -129,7 +129,7 @@ def resolve_citations(requests: DataFrame, versions: DataFrame, names: list[str]
     return as_of_lookup(asked, versions, ["law", "art_no", "branch_no"], "anchor")
 
 
-def resolve_references(rulings: DataFrame, versions: DataFrame, names: list[str], today: date, **patterns) -> DataFrame:
+def resolve_references(rulings: DataFrame, versions: DataFrame, names: list[str] | DataFrame, today: date, **patterns) -> DataFrame:
     """Articles that the fragments of each ruling cite, in their order, repeats kept."""
     each = rulings.select("ruling_id", "decided_on", F.posexplode("ref_articles").alias("pos", "text"))
     found = resolve_citations(each, versions, names, today, **patterns)
@@ -138,7 +138,7 @@ def resolve_references(rulings: DataFrame, versions: DataFrame, names: list[str]
     return rulings.join(lists, "ruling_id", "left")
 
 
-def evaluate_citations(cases: DataFrame, names: list[str] = GOLDEN_NAMES) -> DataFrame:
+def evaluate_citations(cases: DataFrame, names: list[str] | DataFrame = GOLDEN_NAMES) -> DataFrame:
     """Confusion counts, precision and recall of (text, expected struct(law, art_no, branch_no)); a wrong answer counts as both
     a false positive and a false negative."""
     c = T.citation(F.col("text"), names)

@@ -306,6 +306,28 @@ def test_vector_search_blocks(spark):
         assert all(s is None for _, s in got[901].values())
 
 
+def test_vector_index(spark):
+    """The index returns what the full scan does, odd vectors and queries included, and reads a part of clustered vectors only."""
+    from chronolex.operators.vector_index import VectorIndex
+
+    day, rng = date(2021, 1, 1), np.random.default_rng(6)
+    middle = rng.normal(size=(40, 8))
+    x = (middle[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 8)) * 0.01).astype(np.float32) * rng.lognormal(size=(2000, 1)).astype(np.float32)
+    x[500:520] = x[7]
+    odd = [(9000, None), (9001, [0.0] * 8), (9002, [1.0, None] * 4), (9003, [1.0]), (9004, [float("nan")] * 8)]
+    chunks = spark.createDataFrame([(i, v, True) for i, v in [*enumerate(x.tolist()), *odd]], "chunk_id long, embedding array<float>, is_current boolean").repartition(3)
+    asked = chunks.where("chunk_id % 100 = 0 or chunk_id in (7, 9000, 9001, 9003)").select(F.col("chunk_id").alias("query_id"), "embedding")
+    index, rows = VectorIndex.build(chunks), lambda df: sorted((r.query_id, r.rank, r.chunk_id, None if r.score is None else repr(round(r.score, 8))) for r in df.collect())
+    for top, block in ((12, 1000), (12, 5), (2004, 1000)):
+        read = []
+        assert rows(index.nearest(asked, top, block, read)) == rows(retrieval.vector_search(asked, chunks, day, day, top=top))
+        compared, total = map(sum, zip(*read))
+        assert compared <= total and (top > 100 or compared < 0.45 * total)
+    assert index.nearest(asked.limit(0)).count() == 0
+    empty = VectorIndex.build(chunks.limit(0))
+    assert empty.nearest(asked, 5).count() == 0
+
+
 def test_whole_query_set(spark):
     from chronolex.plans import registry
 

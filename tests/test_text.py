@@ -50,6 +50,31 @@ def test_citations(spark, apply):
     assert (r.tp, r.fp, r.fn, r.tn, r.precision, r.recall) == (1, 1, 1, 1, 0.5, 0.5)
 
 
+def test_citations_by_many_names(spark, monkeypatch):
+    """As an alternation of all names, longest first, would find them: from a table of 50,000 names too, and in several turns."""
+    import random
+    import re
+
+    from chronolex.functions import names as N
+
+    r = random.Random(4)
+    few = ["소득세법", "소득세법 시행령", "법", "구법", "세법", "국세기본법", "가나", "가나 다"]
+    article = r"제(\d+)조(?:의(\d+))?"
+    one = re.compile(r"(?:구\s*)?(" + "|".join(re.escape(n) for n in sorted(few, key=lambda n: -len(n))) + r")(?:\s*\(([^)]*)\))?\s*" + article)
+    pieces = [*few, "구", " ", "  ", "제1조", "제23조의4", "(2001. 2. 3. 개정)", "(", ")", "x", "소득", "제"]
+    texts = ["".join(r.choices(pieces, k=r.randint(1, 9))) for _ in range(1500)]
+    wanted = [(m[1], int(m[3]), int(m[4] or 0)) if (m := one.search(t)) else None for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
+    table = spark.createDataFrame([(f"없는이름{k}법",) for k in range(50_000)] + [(n,) for n in few] + [(None,), ("",)], "name string")
+
+    def found(names):
+        return [(x.c.law, x.c.art_no, x.c.branch_no) if x.c else None for x in rows.select("i", T.citation(F.col("v"), names, abbreviations={}).alias("c")).orderBy("i").collect()]
+
+    assert sum(w is not None for w in wanted) > 200 and found(few) == wanted and found(table) == wanted
+    monkeypatch.setattr(N, "NAMES", 3)
+    assert found(few) == wanted
+
+
 def test_definitions_and_addenda(apply):
     assert apply(T.definitions, '"국세"(國稅)란 세금. (이하 "단체"라 한다) "국세"란', None) == [["국세", "단체"], None]
     got = apply(T.addendum_items, "머리 ①(시행일) 가 ②(동전) 나 ③ 다", "본문뿐", " ")

@@ -1,13 +1,15 @@
 """Nearest neighbours by score-aware (anisotropic) product quantisation, four bits per code.
 
 The nearest vector to q has the largest <q, x> - |x|^2 / 2, an inner product, and what counts there is the error
-along x. So codebooks and codes minimise |r|^2 + (eta - 1) <r, x/|x|>^2 of the residual r: the parallel part is
-penalised eta times, eta = (d - 1) t^2 / (1 - t^2) for a score threshold t.
+along x. So codebooks and codes minimise |r|^2 + (eta - 1) <r, u>^2 of the residual r of the direction u = x/|x|: the parallel
+part is penalised eta times, eta = (d - 1) t^2 / (1 - t^2) for a score threshold t. Directions are quantised, so that rows of
+all norms are met alike; the norm is kept beside the codes, scaled so that the score of x itself is exact.
 
 * Fit: coordinate descent on about `sample` rows (those of low id hash), by the driver.
-* Index: every row is encoded, two components per code, two codes per byte, with its exact |x|^2 / 2.
+* Index: every row is encoded, two components per code, two codes per byte, with its scale and its exact |x|^2 / 2.
 * Search: queries go out in blocks of `block` rows. A task scans its codes by table look-ups, one table of 256 sums
-  per byte and query, and keeps `rerank` rows per query; these are merged, and reranked by the exact distance.
+  per byte and query, and keeps `rerank` rows per query, of equal scores those of smaller id; these are merged, and reranked
+  by the exact distance. Rows with equal vectors have equal codes and scores, so copies beyond `rerank` are of the larger ids.
 
 Edge cases: null, zero or non-finite vectors, and those of another than the most common dimension, take no part;
 of rows with one id the smallest vector counts; ties go to the smaller id; with fewer candidates than k all are
@@ -87,9 +89,13 @@ class Quantiser:
             total += now - parallel[:, m]
             parallel[:, m] = now
 
-    def packed(self, vectors: np.ndarray) -> np.ndarray:
-        codes = self.codes_of(vectors).astype(np.uint8)
-        return codes[:, 0::2] | (codes[:, 1::2] << 4)
+    def packed(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two codes to a byte, and the part of each unit vector that its codes have of it."""
+        codes = self.codes_of(units)
+        decoded = np.take_along_axis(self.books[None], codes[:, :, None, None], 2)[:, :, 0]
+        along = (decoded * self._padded(units).reshape(decoded.shape)).sum((1, 2))
+        codes = codes.astype(np.uint8)
+        return codes[:, 0::2] | (codes[:, 1::2] << 4), along
 
     def tables(self, query: np.ndarray) -> np.ndarray:
         """For each byte of codes the part of <query, x> that its 256 values stand for."""
@@ -103,12 +109,23 @@ def _encode(quantiser: Quantiser):
         for batch in batches:
             if len(batch):
                 x = np.stack(batch["v"].to_numpy()).astype(np.float64)
-                packed = quantiser.packed(x)
-                yield pd.DataFrame({"id": batch["id"], "codes": [r.tobytes() for r in packed], "half": (x**2).sum(1) / 2})
+                norm = np.linalg.norm(x, axis=1)
+                packed, along = quantiser.packed(x / norm[:, None])
+                scale = norm / np.maximum(along, 0.1)  # a direction that is met so badly gets no more than ten times its codes' part
+                yield pd.DataFrame({"id": batch["id"], "codes": [r.tobytes() for r in packed], "scale": scale, "half": norm**2 / 2})
 
     return run
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, keep: int) -> np.ndarray:
+    """The places of the `keep` largest scores, of equal ones those of smaller id."""
+    if len(scores) <= keep:
+        return np.arange(len(scores))
+    least = np.partition(scores, len(scores) - keep)[len(scores) - keep]
+    above, equal = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
+    return np.concatenate([above, equal[np.argsort(ids[equal], kind="stable")[: keep - len(above)]]])
+
+
 def _scan(quantiser: Quantiser, ids: np.ndarray, queries: np.ndarray, keep: int):
     tables = np.stack([quantiser.tables(q) for q in queries])
 
@@ -118,15 +135,16 @@ def _scan(quantiser: Quantiser, ids: np.ndarray, queries: np.ndarray, keep: int)
             if not len(batch):
                 continue
             codes = np.frombuffer(b"".join(batch["codes"]), np.uint8).reshape(len(batch), -1).T.copy()
-            own, half = batch["id"].to_numpy(), batch["half"].to_numpy(np.float32)
+            own, scale, half = batch["id"].to_numpy(), batch["scale"].to_numpy(np.float32), batch["half"].to_numpy(np.float32)
             for k, table in enumerate(tables):
-                score = -half
-                for j, column in enumerate(codes):
-                    score = score + table[j].take(column)
+                score = table[0].take(codes[0])
+                for j in range(1, len(codes)):
+                    score = score + table[j].take(codes[j])
+                score = score * scale - half
                 score[own == ids[k]] = -np.inf
-                top = np.argpartition(score, len(score) - keep)[-keep:] if len(score) > keep else np.arange(len(score))
+                top = _best(own, score, keep)
                 i, s = np.concatenate([best[k][0], own[top]]), np.concatenate([best[k][1], score[top]])
-                top = np.argpartition(s, len(s) - keep)[-keep:] if len(s) > keep else np.arange(len(s))
+                top = _best(i, s, keep)
                 best[k] = (i[top], s[top])
         for q, (i, s) in zip(ids.tolist(), best):
             live = np.isfinite(s)
@@ -137,7 +155,7 @@ def _scan(quantiser: Quantiser, ids: np.ndarray, queries: np.ndarray, keep: int)
 
 
 def nearest_neighbours(
-    vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, rerank: int = 200, sample: int = 20_000, block: int = 1024, threshold: float = 0.2
+    vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, rerank: int = 400, sample: int = 20_000, block: int = 1024, threshold: float = 0.2
 ) -> DataFrame:
     """For each row of `queries` (ids of `vectors`) its k nearest others: query_id, rank, id, score (Euclidean)."""
     spark = vectors.sparkSession
@@ -149,9 +167,9 @@ def nearest_neighbours(
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double").withColumnRenamed("id", id_col)
     rows = rows.where(F.size("v") == common["d"])
-    fit = sampled(rows, ["id"], sample).select("v").toPandas()["v"]
-    quantiser = Quantiser(np.stack(fit.to_numpy()), threshold)
-    index = materialise(rows.mapInPandas(_encode(quantiser), "id long, codes binary, half double"), "index")
+    fit = np.stack(sampled(rows, ["id"], sample).select("v").toPandas()["v"].to_numpy())
+    quantiser = Quantiser(fit / np.linalg.norm(fit, axis=1)[:, None], threshold)
+    index = materialise(rows.mapInPandas(_encode(quantiser), "id long, codes binary, scale double, half double"), "index")
 
     asked = materialise(queries.select(F.col(id_col).cast("long").alias("id")).distinct().join(rows, "id"), "queries")
     blocks = max(1, -(-asked.count() // block))

@@ -380,3 +380,26 @@ def test_neighbours(spark):
     few = table.where("vec_id < 4")
     assert vector_search.nearest_neighbours(few, few).count() == 12
     assert vector_search.nearest_neighbours(few.limit(0), few.limit(0)).count() == 0
+
+
+def test_nearest_neighbours_of_equal_vectors_and_uneven_norms(spark):
+    """Ties go to smaller ids though more rows tie than are reranked; norms of all sizes are met alike."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= rng.lognormal(sigma=1.5, size=(3000, 1))
+    x[::2] = x[0]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(5)
+    asked = [5, 100, 1001, 2500, 2999]
+    found = {}
+    for r in vector_search.nearest_neighbours(table, table.where(F.col("vec_id").isin(asked)), sample=1000).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    hits = 0
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(3000), d))[:10].tolist()
+        if q % 2 == 0:
+            assert [found[q][k] for k in range(1, 11)] == best
+        hits += len({*found[q].values()} & {*best})
+    assert hits >= 47

@@ -24,6 +24,7 @@ def in_force(as_of, valid_from: str | Column = "valid_from", valid_to: str | Col
     return (start <= _day(as_of)) & (end.isNull() | (end > _day(as_of)))
 
 
-def edge_in_force(as_of, valid_from: str = "valid_from", valid_to: str = "valid_to") -> Column:
+def edge_in_force(as_of, valid_from: str | Column = "valid_from", valid_to: str | Column = "valid_to") -> Column:
     """As in_force, but an edge without a start has always been."""
-    return (F.col(valid_from).isNull() | (F.col(valid_from) <= _day(as_of))) & (F.col(valid_to).isNull() | (F.col(valid_to) > _day(as_of)))
+    start, end = (F.col(c) if isinstance(c, str) else c for c in (valid_from, valid_to))
+    return (start.isNull() | (start <= _day(as_of))) & (end.isNull() | (end > _day(as_of)))

@@ -1,7 +1,7 @@
 """The reference graph as edge tables: (src, dst, type, valid_from, valid_to), and bounded traversal by joins.
 
-Start nodes come as a table, so a batch of any size is one traversal. Reached nodes are de-duplicated after each hop;
-no path is enumerated unless paths are the result.
+Start nodes come as a table, so a batch of any size is one traversal. Edges are laid out for it once and stay in place
+(`adjacency`); what a hop reaches is de-duplicated and written out; no path is enumerated unless paths are the result.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.temporal import edge_in_force, require_as_of
+from ..functions.temporal import require_as_of
 from ..functions.text import definitions
 from ..functions.tree import full_text
+from ..scratch import written
+from .adjacency import Adjacency, adjacency_of
 from .versions import effective_at, insert_ignore, latest_open, supersedes
 
 REFERENCES = ("DELEGATES", "REFERS_TO", "MUTATIS")
@@ -83,31 +85,31 @@ def write_graph(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name.lower()}")
 
 
-def expand_refs(starts: DataFrame, edges: DataFrame, as_of: date, hops: int = 2, types: Iterable[str] = REFERENCES) -> tuple[DataFrame, DataFrame]:
-    """Nodes (start, node, hop) within `hops` valid edges, the start at 0, and edges (start, src, dst, type) on the way."""
-    valid = edges.where(F.col("type").isin(*types) & edge_in_force(require_as_of(as_of))).select("src", "dst", "type").distinct()
+def expand_refs(starts: DataFrame, edges: DataFrame | Adjacency, as_of: date, hops: int = 2, types: Iterable[str] = REFERENCES) -> tuple[DataFrame, DataFrame]:
+    """Nodes (start, node, hop) within `hops` valid edges, the start at 0, and edges (start, src, dst, type) on the way. Edges that
+    are asked more than once are best laid out before, as an Adjacency."""
+    require_as_of(as_of)
+    graph = adjacency_of(edges)
     frontier = starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("hop")).distinct()
     seen, walked = frontier, None
     for hop in range(1, hops + 1):
-        step = frontier.select("start", F.col("node").alias("src")).join(valid, "src").select("start", "src", "dst", "type")
+        step = written(graph.step(frontier.select("start", "node"), types, as_of).select("start", F.col("node").alias("src"), "dst", "type"), "step")
         walked = step if walked is None else walked.union(step)
         reached = step.select("start", F.col("dst").alias("node")).distinct()
-        frontier = reached.join(seen, ["start", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = written(reached.join(seen, ["start", "node"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
         seen = seen.unionByName(frontier)
     return seen, walked
 
 
-def delegation_chains(starts: DataFrame, edges: DataFrame, longest: int = 3, type_: str = "DELEGATES") -> DataFrame:
+def delegation_chains(starts: DataFrame, edges: DataFrame | Adjacency, longest: int = 3, type_: str = "DELEGATES") -> DataFrame:
     """The longest path of at most `longest` edges, none twice, from each start; of equal ones the smallest. (start, chain)"""
-    links = edges.where(F.col("type") == type_).select("src", "dst").distinct()
-    path = starts.select("start", F.array("start").alias("chain"), F.array().cast("array<string>").alias("used"))
+    graph = adjacency_of(edges)
+    path = starts.select("start", F.array("start").alias("chain"), F.array().cast("array<string>").alias("used"), F.col("start").alias("node"))
     found = None
     for _ in range(longest):
-        edge = F.concat_ws(">", F.col("src").cast("string"), F.col("dst").cast("string"))
-        path = (
-            path.withColumn("src", F.element_at("chain", -1)).join(links, "src").where(~F.array_contains("used", edge))
-            .select("start", F.concat("chain", F.array("dst")).alias("chain"), F.concat("used", F.array(edge)).alias("used"))
-        )
+        edge = F.concat_ws(">", F.col("node").cast("string"), F.col("dst").cast("string"))
+        step = graph.step(path, (type_,), None).where(~F.array_contains("used", edge))
+        path = written(step.select("start", F.concat("chain", F.array("dst")).alias("chain"), F.concat("used", F.array(edge)).alias("used"), F.col("dst").alias("node")), "path")
         found = path if found is None else found.union(path)
     ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("start").orderBy(F.desc(F.size("chain")), "chain")))
     return ranked.where("_n = 1").select("start", "chain")
@@ -119,16 +121,16 @@ def resolve_chain(chains: DataFrame, version: DataFrame, as_of: date) -> DataFra
     return nodes.join(effective_at(version, as_of), "article_id")
 
 
-def terminals(starts: DataFrame, edges: DataFrame, hops: int = 4, type_: str = "MUTATIS") -> DataFrame:
+def terminals(starts: DataFrame, edges: DataFrame | Adjacency, hops: int = 4, type_: str = "MUTATIS") -> DataFrame:
     """Nodes within 1..hops edges that no edge of the type leaves. (start, node)"""
-    links = edges.where(F.col("type") == type_).select("src", "dst").distinct()
+    graph = adjacency_of(edges)
     frontier = starts.select("start", F.col("start").alias("node")).distinct()
     reached = None
     for _ in range(hops):
-        step = frontier.select("start", F.col("node").alias("src")).join(links, "src").select("start", F.col("dst").alias("node")).distinct()
-        frontier = step if reached is None else step.join(reached, ["start", "node"], "left_anti")
+        step = graph.step(frontier, (type_,), None).select("start", F.col("dst").alias("node")).distinct()
+        frontier = written(step if reached is None else step.join(reached, ["start", "node"], "left_anti"), "frontier")
         reached = frontier if reached is None else reached.unionByName(frontier)
-    return reached.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("start", "node")
+    return reached.join(graph.sources(type_), "node", "left_anti").select("start", "node")
 
 
 def term_conflicts(defines: DataFrame, term: str | None = None) -> DataFrame:
@@ -150,13 +152,13 @@ def risk_neighbours(cites: DataFrame, lost: DataFrame, starts: DataFrame) -> Dat
 
 
 def unpatched(ruling: DataFrame, cites: DataFrame, version: DataFrame, since: date | None, won: str | Column) -> DataFrame:
-    """Won rulings on articles whose open version was there already on the day of the decision, newest first."""
+    """Won rulings on articles whose open version was there already on the day of the decision; a caller that shows them puts the newest first."""
     wins = ruling.where(F.col("outcome") == won) if isinstance(won, str) else ruling.where(won)
     if since is not None:
         wins = wins.where(F.col("decided_on") >= F.lit(since))
     open_ = version.where("valid_to is null").select(F.col("article_id").alias("dst"), "valid_from")
     hits = wins.select(F.col("ruling_id").alias("src"), "decided_on").join(cites, "src").join(open_, "dst").where("valid_from <= decided_on")
-    return hits.select(F.col("src").alias("ruling_id"), F.col("dst").alias("article_id"), "decided_on").distinct().orderBy(F.desc("decided_on"), "ruling_id", "article_id")
+    return hits.select(F.col("src").alias("ruling_id"), F.col("dst").alias("article_id"), "decided_on").distinct()
 
 
 def risk_score(rate: Column) -> Column:

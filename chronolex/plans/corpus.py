@@ -93,9 +93,9 @@ def diff_articles(pairs: DataFrame, diffs: DataFrame, version: DataFrame) -> Dat
 
 
 def find_thresholds(diffs: DataFrame, version: DataFrame) -> DataFrame:
-    """Thresholds along the history of each article, by the date of the version that brought them."""
+    """Thresholds along the history of each article, with the date of the version that brought them and their place in it, which order them."""
     dated = diffs.join(version.select(F.col("article_key").alias("to_version"), "article_id", "valid_from"), "to_version")
-    return dated.select("article_id", "valid_from", F.posexplode("added_thresholds").alias("pos", "t")).select("article_id", "valid_from", "pos", "t.*").orderBy("article_id", "valid_from", "pos")
+    return dated.select("article_id", "valid_from", F.posexplode("added_thresholds").alias("pos", "t")).select("article_id", "valid_from", "pos", "t.*")
 
 
 def map_rulings(details: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ CHANGES_SQL = f"""{VERSIONS_SQL}, {PATHS_SQL},
 tv AS (SELECT * FROM v WHERE article_key IN (SELECT l_orderkey FROM lineitem)),
 adjacent AS (SELECT article_key AS f, lead(article_key) OVER (PARTITION BY article_id ORDER BY valid_from) AS t FROM tv),
 ends AS (SELECT DISTINCT first_value(article_key) OVER w AS f, last_value(article_key) OVER w AS t FROM tv WINDOW w AS (PARTITION BY article_id ORDER BY valid_from ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-pairs AS (SELECT f, t, TRUE AS stored FROM adjacent WHERE t IS NOT NULL UNION ALL SELECT f, t, FALSE FROM ends WHERE (f, t) NOT IN (SELECT f, t FROM adjacent WHERE t IS NOT NULL)),
+pairs AS (SELECT f, t, TRUE AS stored FROM adjacent WHERE t IS NOT NULL UNION ALL SELECT f, t, FALSE FROM ends WHERE NOT EXISTS (SELECT 1 FROM adjacent n WHERE n.f = ends.f AND n.t = ends.t)),
 a AS (SELECT f, t, stored, path, value AS before FROM pairs JOIN paths ON l_orderkey = f), b AS (SELECT f, t, stored, path, value AS after FROM pairs JOIN paths ON l_orderkey = t),
 changes AS (SELECT f, t, stored, path, before, after, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' WHEN before <> after THEN 'changed' END AS kind FROM a FULL JOIN b USING (f, t, stored, path))"""
 
@@ -82,13 +82,19 @@ def tr_04_full_text(spark, d):
     return trees(spark, d).select("l_orderkey", tree.full_text(F.col("clauses")).alias("text"))
 
 
-@query(f"WITH {CHANGES_SQL} SELECT f AS from_version, t AS to_version, kind, path, before, after FROM changes WHERE stored AND kind IS NOT NULL")
+ADJACENT_SQL = f"""{VERSIONS_SQL}, {PATHS_SQL},
+n AS (SELECT article_key AS f, lead(article_key) OVER (PARTITION BY article_id ORDER BY valid_from) AS t FROM v WHERE article_key IN (SELECT l_orderkey FROM lineitem)),
+a AS (SELECT f, t, path, value AS before FROM n JOIN paths ON l_orderkey = f WHERE t IS NOT NULL), b AS (SELECT f, t, path, value AS after FROM n JOIN paths ON l_orderkey = t),
+c AS (SELECT f, t, path, before, after, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' WHEN before <> after THEN 'changed' END AS kind FROM a FULL JOIN b USING (f, t, path))"""
+
+
+@query(f"WITH {ADJACENT_SQL} SELECT f AS from_version, t AS to_version, kind, path, before, after FROM c WHERE kind IS NOT NULL")
 def jb_03_build_diffs(spark, d):
     return corpus.build_diffs(tree_versions(spark, d)).select(*exploded("diff", "from_version", "to_version")).select("from_version", "to_version", "e.*")
 
 
-@query(f"""WITH {CHANGES_SQL} SELECT f AS from_version, t AS to_version, count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed, count(*) FILTER (kind = 'changed') AS changed,
-CASE WHEN stored THEN 'kept' ELSE o_orderpriority END AS reason_text, CASE WHEN stored THEN 'other' ELSE '법제처' END AS reason_source FROM changes JOIN orders ON o_orderkey = t GROUP BY ALL""")
+@query(f"""WITH {CHANGES_SQL} SELECT f AS from_version, t AS to_version, kind, path, before, after, CASE WHEN stored THEN 'kept' ELSE o_orderpriority END AS reason_text,
+CASE WHEN stored THEN 'other' ELSE '법제처' END AS reason_source FROM changes JOIN orders ON o_orderkey = t WHERE kind IS NOT NULL""")
 def ap_07_diff_articles(spark, d):
     """Stored diffs of neighbours, and those of first and last versions made on the fly."""
     version = tree_versions(spark, d)
@@ -96,7 +102,7 @@ def ap_07_diff_articles(spark, d):
     over = Window.partitionBy("article_id").orderBy("valid_from").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = version.select(F.first("article_key").over(over).alias("from_version"), F.last("article_key").over(over).alias("to_version"))
     found = corpus.diff_articles(stored.select("from_version", "to_version").union(ends), stored, version)
-    return found.select("from_version", "to_version", *(F.size(f"diff.{k}").cast("long").alias(k) for k in ("added", "removed", "changed")), "reason_text", "reason_source")
+    return found.select(*exploded("diff", "from_version", "to_version", "reason_text", "reason_source")).select("from_version", "to_version", "e.*", "reason_text", "reason_source")
 
 
 @query(f"""WITH {VERSIONS_SQL}, x AS (SELECT article_id, valid_from, article_key % 7 AS now, lag(article_key % 7) OVER (PARTITION BY article_id ORDER BY valid_from) AS before FROM v)

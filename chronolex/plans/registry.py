@@ -16,7 +16,7 @@ from ..operators.vector_index import VectorIndex
 from ..sources import law_xml
 from . import corpus, job_queries
 from .catalogue import ORACLE, QUERIES, query
-from .tables import EDGES_SQL, PART_VERSIONS_SQL, RULINGS_SQL, VERSIONS_SQL, citations, document_index, edges, part_versions, raw_versions, rulings, table, versions
+from .tables import EDGES_SQL, PART_VERSIONS_SQL, RULINGS_SQL, VERSIONS_SQL, citations, document_index, edges, laid_out_edges, part_versions, raw_versions, rulings, table, versions
 
 AS_OF = date(1997, 6, 30)
 
@@ -163,9 +163,9 @@ def ag_04_latest_open(spark, d):
     return V.latest_open(rows).select("article_id", "article_key", "valid_from")
 
 
-@query(f"WITH {EDGES_SQL} SELECT type, src, count(*) AS n FROM e WHERE {VALID_EDGE_SQL} GROUP BY type, src")
+@query(f"WITH {EDGES_SQL} SELECT type, src, dst, valid_from, valid_to FROM e WHERE {VALID_EDGE_SQL}")
 def pf_02_edge_as_of(spark, d):
-    return edges(spark, d).where(edge_in_force(AS_OF)).groupBy("type", "src").agg(F.count("*").alias("n"))
+    return edges(spark, d).where(edge_in_force(AS_OF)).select("type", "src", "dst", "valid_from", "valid_to")
 
 
 @query(f"""WITH {VERSIONS_SQL}, s AS (SELECT o_orderpriority, count(*) FILTER ({lookup_sql(DAY)}) AS in_force, count(*) FILTER (valid_to IS NULL) AS open, count(*) AS total FROM v GROUP BY 1) SELECT * FROM s""")
@@ -256,12 +256,12 @@ x2 AS (SELECT DISTINCT start, src, dst, type FROM n1 JOIN g ON node = src), n2 A
 
 @query(f"WITH {BFS_SQL} SELECT start, node, CASE WHEN start = node THEN 0 WHEN (start, node) IN (SELECT start, dst FROM x1) THEN 1 ELSE 2 END AS hop FROM n2")
 def gq_01_expand_refs_nodes(spark, d):
-    return graph.expand_refs(_starts(spark, d), edges(spark, d), AS_OF)[0]
+    return graph.expand_refs(_starts(spark, d), laid_out_edges(spark, d), AS_OF)[0]
 
 
 @query(f"WITH {BFS_SQL} SELECT start, src, dst, type FROM x2")
 def gq_01_expand_refs_edges(spark, d):
-    return graph.expand_refs(_starts(spark, d), edges(spark, d), AS_OF)[1]
+    return graph.expand_refs(_starts(spark, d), laid_out_edges(spark, d), AS_OF)[1]
 
 
 @query(f"""WITH {EDGES_SQL}, g AS (SELECT DISTINCT src, dst FROM e WHERE type = 'DELEGATES'), s AS (SELECT p_partkey AS start FROM part WHERE p_partkey % 20 = 0),
@@ -270,7 +270,7 @@ c3 AS (SELECT start, list_append(chain, dst) AS chain FROM c2 JOIN g ON src = ch
 a AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3), k AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len(chain) DESC, chain) AS n FROM a)
 SELECT start, array_to_string(chain, '>') AS chain FROM k WHERE n = 1""")
 def gq_02_delegation_chain(spark, d):
-    return graph.delegation_chains(_starts(spark, d), edges(spark, d)).select("start", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
+    return graph.delegation_chains(_starts(spark, d), laid_out_edges(spark, d)).select("start", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
 CHAIN_SQL = ORACLE["gq_02_delegation_chain"].replace("array_to_string(chain, '>') AS chain", "chain")
@@ -278,7 +278,7 @@ CHAIN_SQL = ORACLE["gq_02_delegation_chain"].replace("array_to_string(chain, '>'
 
 @query(f"WITH {PART_VERSIONS_SQL}, ch AS ({CHAIN_SQL}), x AS (SELECT start, unnest(chain) AS article_id, unnest(range(0, len(chain))) AS position FROM ch) SELECT start, position, article_id, valid_from FROM x JOIN pv USING (article_id) WHERE position > 0 AND {lookup_sql(DAY)}")
 def gq_02_resolve_chain(spark, d):
-    found = graph.resolve_chain(graph.delegation_chains(_starts(spark, d), edges(spark, d)), part_versions(spark, d), AS_OF)
+    found = graph.resolve_chain(graph.delegation_chains(_starts(spark, d), laid_out_edges(spark, d)), part_versions(spark, d), AS_OF)
     return found.select("start", F.col("position").cast("long").alias("position"), "article_id", "valid_from")
 
 
@@ -429,7 +429,7 @@ def rt_07_search(spark, d):
     r = rulings(spark, d).withColumn("ruling_id", F.col("ruling_id").cast("string"))
     addenda = table(spark, d, "part").where("p_size > 1").select(F.col("p_partkey").alias("addendum_id"), F.col("p_name").alias("body"), F.array("p_partkey", "p_partkey").alias("target_articles"))
     embedded = chunks.where("embedding is not null")
-    found = retrieval.search(queries, chunks, articles, edges(spark, d), r, addenda, ["LAW"], AS_OF, AS_OF, top=5, vector_chunks=embedded, index=document_index(spark, d), article=ARTICLE)
+    found = retrieval.search(queries, chunks, articles, laid_out_edges(spark, d), r, addenda, ["LAW"], AS_OF, AS_OF, top=5, vector_chunks=embedded, index=document_index(spark, d), article=ARTICLE)
     related = F.array_join(F.transform("related", lambda v: v["article_id"].cast("string")), "|")
     return found.select("query_id", "article_id", F.round("score", 9).alias("score"), "rank", related.alias("related"), F.array_join("rulings", "|").alias("rulings"), F.array_join("addenda", "|").alias("addenda"))
 

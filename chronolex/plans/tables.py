@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.adjacency import Adjacency
 from ..operators.text_index import TrigramIndex
 from ..operators.versions import close_versions, first_write
 
@@ -65,6 +66,17 @@ def document_index(spark: SparkSession, sf_dir: str) -> TrigramIndex:
     return _indexes[at]
 
 
+_graphs: dict[tuple[str, str], Adjacency] = {}
+
+
+def laid_out_edges(spark: SparkSession, sf_dir: str) -> Adjacency:
+    """All edges, laid out for traversal once in a session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _graphs:
+        _graphs[at] = Adjacency.build(edges(spark, sf_dir))
+    return _graphs[at]
+
+
 # The same views for DuckDB.
 VERSIONS_SQL = """
 w AS (SELECT o_custkey AS article_id, CAST(o_orderdate AS DATE) AS valid_from, o_orderkey AS article_key, o_orderstatus, o_totalprice, o_orderpriority,

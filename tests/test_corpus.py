@@ -306,6 +306,33 @@ def test_vector_search_blocks(spark):
         assert all(s is None for _, s in got[901].values())
 
 
+def test_traversal_over_laid_out_edges(spark):
+    """A hub in many lists, hops and edges that repeat or have ended; the edges are not shuffled again by a hop."""
+    from chronolex.operators.adjacency import Adjacency
+
+    day, old = date(2021, 1, 1), date(2000, 1, 1)
+    rows = [(0, k, "REFERS_TO", None, None) for k in range(1, 301)] + [(k, k + 300, "MUTATIS", old, None) for k in range(1, 301)]
+    rows += [(0, 5, "REFERS_TO", old, None), (7, 900, "DELEGATES", None, date(2020, 1, 1)), (8, 901, "OTHER", None, None), (None, 3, "MUTATIS", None, None), (350, 0, "DELEGATES", date(2022, 1, 1), None)]
+    edges = spark.createDataFrame(rows, "src long, dst long, type string, valid_from date, valid_to date")
+    starts = spark.createDataFrame([(0,), (9,), (777,)], "start long")
+    for graph_ in (edges, Adjacency.build(edges), Adjacency.build(edges, hub=10, buckets=3)):
+        nodes, walked = graph.expand_refs(starts, graph_, day)
+        want = {(0, 0, 0), (9, 9, 0), (777, 777, 0), (9, 309, 1)} | {(0, k, 1) for k in range(1, 301)} | {(0, k + 300, 2) for k in range(1, 301)}
+        assert {tuple(r) for r in nodes.select("start", "node", "hop").collect()} == want
+        assert sorted(tuple(r) for r in walked.collect()) == sorted([(0, 0, k, "REFERS_TO") for k in range(1, 301)] + [(0, k, k + 300, "MUTATIS") for k in range(1, 301)] + [(9, 9, 309, "MUTATIS")])
+        assert {tuple(r) for r in graph.terminals(starts, graph_).collect()} == {(9, 309)}
+        assert [tuple(r) for r in graph.delegation_chains(spark.createDataFrame([(350,)], "start long"), graph_).collect()] == [(350, [350, 0])]
+    laid = Adjacency.build(edges, hub=10, buckets=3)
+    assert [tuple(r) for r in laid.hubs.collect()] == [(0, 31)] and laid.lists.where("src = 0").count() > 20
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = laid.step(starts.withColumnRenamed("start", "node"), ("REFERS_TO",), day)
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # that of the frontier
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_vector_index(spark):
     """The index returns what the full scan does, odd vectors and queries included, and reads a part of clustered vectors only."""
     from chronolex.operators.vector_index import VectorIndex

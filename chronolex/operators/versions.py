@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import in_force, require_as_of
+from ..scratch import written
 
 
 def first_write(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -105,12 +106,38 @@ def effective_law(versions: DataFrame, article: DataFrame, as_of: date) -> DataF
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("statute_id").orderBy("art_no", "branch_no", "article_id")))
 
 
-def as_of_lookup(requests: DataFrame, versions: DataFrame, keys: list[str], day: str) -> DataFrame:
-    """Each request beside the version of its key that was in force on its day; requests without one are left out.
+def as_of_lookup(requests: DataFrame, versions: DataFrame, keys: list[str], day: str, split_above: int | None = None) -> DataFrame:
+    """Each request beside the version of its key that was in force on its day; requests without one are left out. The versions of a key
+    don't overlap.
 
-    Equi-join on the key with the interval as residual: an entity has few versions, so the join stays linear.
+    Requests and versions of a key are put in the order of their days, and each request takes the last version before it: no
+    request is compared with a key's other versions, of which there may be any number. Keys with more than `split_above` versions are
+    dealt out by ranges of days, where every range begins with the version that the ones before leave.
     """
-    return requests.join(versions, keys).where(in_force(F.col(day)))
+    asked, known = [c for c in requests.columns if c not in keys], [c for c in versions.columns if c not in keys]
+    usable = lambda df: df.dropna(subset=keys)
+    none = lambda df, columns: F.lit(None).cast(df.select(F.struct(*columns)).schema[0].dataType)
+    rows = usable(versions).where("valid_from is not null").select(*keys, F.col("valid_from").alias("_at"), F.lit(0).alias("_side"), F.struct(*known).alias("_v"), none(requests, asked).alias("_r"))
+    rows = rows.unionByName(usable(requests).where(F.col(day).isNotNull()).select(*keys, F.col(day).alias("_at"), F.lit(1).alias("_side"), none(versions, known).alias("_v"), F.struct(*asked).alias("_r")))
+    rows = rows.withColumn("_range", F.lit(0)) if split_above is None else _in_ranges(rows, keys, split_above)
+    before = Window.partitionBy(*keys, "_range").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(before)).where((F.col("_side") == 1) & F.col("_v").isNotNull())
+    return found.where(F.col("_v.valid_to").isNull() | (F.col("_v.valid_to") > F.col("_at"))).select(*keys, "_r.*", "_v.*")
+
+
+def _in_ranges(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Rows with the number of their range of days, for keys with more than `most` versions, and with the version that each range of these
+    begins with. There are at most as many such keys and ranges as `most` goes into the number of versions."""
+    large = rows.where("_side = 0").groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(F.unix_date("_at"), F.lit([k / 32 for k in range(1, 32)]), F.lit(1000)).alias("_cuts")).where(F.col("_n") > most)
+    cuts = written(large.select(*keys, "_cuts"), "cuts")
+    number = F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.unix_date("_at"))), F.lit(0))
+    dealt = rows.join(F.broadcast(cuts), keys, "left").withColumn("_range", number).drop("_cuts")
+    last = dealt.join(F.broadcast(cuts), keys, "left_semi").where("_side = 0").groupBy(*keys, "_range").agg(F.max_by("_v", "_at").alias("_v"))
+    # Ranges without versions hand on what they were handed.
+    every = cuts.select(*keys, F.explode(F.sequence(F.lit(0), F.size(F.array_distinct("_cuts")))).alias("_range")).join(last, [*keys, "_range"], "left")
+    handed = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    first = every.withColumn("_v", handed).where("_v is not null").select(*keys, F.col("_v.valid_from").alias("_at"), F.lit(-1).alias("_side"), "_v", F.lit(None).cast(rows.schema["_r"].dataType).alias("_r"), "_range")
+    return dealt.unionByName(first)
 
 
 def carry_forward(df: DataFrame, partition: list[str], order: list[str], value: str | Column, name: str, default=None) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..functions import tree
 from ..operators import graph, risk
 from ..operators.versions import adjacent_pairs, as_of_lookup, carry_forward, close_versions, first_write, insert_ignore, merge_articles, merge_statutes
+from ..sources.keyed_table import KeyedTable
 
 # Names that the golden set is parsed with.
 GOLDEN_NAMES = ["국세기본법", "국세기본법 시행령", "소득세법", "법인세법", "부가가치세법", "상속세 및 증여세법", "상속세 및 증여세법 시행령", "조세특례제한법", "조세특례제한법 시행령", "조특법", "국기법"]
@@ -57,6 +58,42 @@ def ingest_statutes(snapshots: DataFrame, parents: DataFrame | None = None) -> d
     return {"statute": merge_statutes(heads), "article": article, "article_version": version}
 
 
+STATUTE = "statute_id long, name string, law_type string, ministry_code string, current_mst string, enforced_on date, parent_id long, seen_current boolean"
+
+
+def statute_store(spark: SparkSession, folder: str, buckets: int = 64) -> dict[str, KeyedTable]:
+    """Tables for snapshots that come over time. All versions of an article are in one bucket, so that their intervals close there."""
+    version = StructType([f for f in schemas.struct("article_version").fields if f.name != "ingested_at"])
+    made = lambda name, schema, keys, by=(): KeyedTable(spark, f"{folder}/{name}", schema, keys, list(by), buckets)
+    return {"statute": made("statute", STATUTE, ["statute_id"]), "article": made("article", schemas.ARTICLE, ["article_id"]), "article_version": made("article_version", version, ["article_id", "valid_from"], ["article_id"])}
+
+
+def store_statutes(stores: dict[str, KeyedTable], snapshots: DataFrame, parents: DataFrame | None = None, label: str | None = None) -> None:
+    """Add snapshots to the store. A statute's current_mst and enforced_on change with current snapshots only, its parent stays known;
+    an article is made once and keeps the first chapter that is known; of versions from one day the first written stays, and the
+    intervals of the articles at hand are closed anew. A label makes a call that is run again do nothing."""
+    new = ingest_statutes(snapshots, parents)
+    current = snapshots.groupBy(F.col("law_id").cast("long").alias("statute_id")).agg(F.max("is_current").alias("seen_current"))
+
+    def statutes(old: DataFrame, rows: DataFrame) -> DataFrame:
+        both = old.alias("o").join(rows.alias("n"), "statute_id", "full")
+        kept = lambda c: F.when(F.col("n.seen_current") | F.col("o.statute_id").isNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+        latest = lambda c: F.coalesce(f"n.{c}", f"o.{c}").alias(c)
+        return both.select("statute_id", *map(latest, ("name", "law_type", "ministry_code")), kept("current_mst"), kept("enforced_on"), latest("parent_id"), F.coalesce(F.col("o.seen_current") | F.col("n.seen_current"), "n.seen_current", "o.seen_current").alias("seen_current"))
+
+    def articles(old: DataFrame, rows: DataFrame) -> DataFrame:
+        both = old.alias("o").join(rows.alias("n"), "article_id", "full")
+        return both.select("article_id", *(F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in ("statute_id", "art_no", "branch_no", "chapter_title")))
+
+    def versions(old: DataFrame, rows: DataFrame) -> DataFrame:
+        both = old.withColumn("_late", F.lit(0)).unionByName(rows.select(*old.columns).withColumn("_late", F.lit(1)))
+        return close_versions(first_write(both, ["article_id", "valid_from"], ["_late", "moleg_article_key"]).drop("_late"))
+
+    stores["statute"].merge(new["statute"].join(current, "statute_id"), statutes, label)
+    stores["article"].merge(new["article"], articles, label)
+    stores["article_version"].merge(new["article_version"].select(*stores["article_version"].schema.names), versions, label)
+
+
 def ingest_addenda(snapshots: DataFrame) -> DataFrame:
     """Addendum items with their kinds, "as before" taken from the item before; first write wins, items without a number never clash."""
     units = snapshots.select("seq", F.col("law_id").cast("long").alias("statute_id"), F.posexplode("addenda").alias("unit_no", "u"))

@@ -13,7 +13,9 @@ from ..functions.temporal import edge_in_force, in_force
 from ..operators import graph, retrieval, risk
 from ..operators import versions as V
 from ..operators.vector_index import VectorIndex
+from ..scratch import new_folder
 from ..sources import law_xml
+from ..sources.keyed_table import KeyedTable
 from . import corpus, job_queries
 from .catalogue import ORACLE, QUERIES, query
 from .tables import EDGES_SQL, PART_VERSIONS_SQL, RULINGS_SQL, VERSIONS_SQL, citations, document_index, edges, laid_out_edges, part_versions, raw_versions, rulings, table, versions
@@ -138,6 +140,31 @@ def sk_10_upsert(spark, d):
     return V.upsert(old, new, ["p_partkey"])
 
 
+@query(ORACLE["sk_10_upsert"])
+def sk_10_keyed_upsert(spark, d):
+    """The same rows in a table that the second write replaces in parts."""
+    stored = KeyedTable(spark, new_folder(spark, "part"), "p_partkey long, source_key long", ["p_partkey"], buckets=8)
+    stored.upsert(table(spark, d, "part").select("p_partkey", F.lit(-1).cast("long").alias("source_key")))
+    stored.upsert(table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_orderkey").alias("source_key")))
+    return stored.read()
+
+
+@query(ORACLE["wn_01_close_versions"])
+def sk_05_stored_versions(spark, d):
+    """Versions that come in two writes, the smaller keys first: the first one of a day stays, intervals close as they come."""
+    rows = raw_versions(spark, d).select("article_id", "valid_from", "article_key")
+    stored = KeyedTable(spark, new_folder(spark, "versions"), "article_id long, article_key long, valid_from date, valid_to date", ["article_id", "valid_from"], ["article_id"], buckets=8)
+
+    def closed(old, new):
+        both = old.withColumn("_late", F.lit(0)).unionByName(new.withColumn("_late", F.lit(1)), allowMissingColumns=True)
+        return V.close_versions(V.first_write(both, ["article_id", "valid_from"], ["_late", "article_key"]))
+
+    half = rows.agg(F.avg("article_key")).first()[0] or 0
+    for part in (rows.where(F.col("article_key") <= half), rows.where(F.col("article_key") > half)):
+        stored.merge(part, closed)
+    return stored.read().select("article_id", "article_key", "valid_from", "valid_to")
+
+
 @query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def ck_01_duplicate_keys(spark, d):
     return V.duplicate_keys(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"])

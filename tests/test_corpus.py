@@ -11,6 +11,7 @@ from chronolex.operators import graph, retrieval, risk
 from chronolex.operators import versions as V
 from chronolex.plans import corpus
 from chronolex.sources import law_xml, raw_zone
+from chronolex.sources.keyed_table import KeyedTable
 from chronolex.streaming.ingest import ingest_stream
 
 
@@ -229,10 +230,6 @@ def test_raw_zone_and_stream(spark, tables, tmp_path):
     assert [bytes(r.content) for r in raw_zone.get_raw(spark, uri).collect()] == [b"1"]
     with pytest.raises(ValueError):
         raw_zone.get_raw(spark, "ftp://x/y")
-    target = str(tmp_path / "out")
-    for _ in range(2):
-        ingest_stream(spark, str(folder), lambda d: law_xml.snapshots(d).select("mst", "law_name"), target, ["mst"], str(tmp_path / "cp")).awaitTermination(120)
-    assert spark.read.parquet(target).count() == 2
     (tmp_path / "list.txt").write_text("# c\n\nx\n")
     assert [r.value for r in raw_zone.read_lines(spark, str(tmp_path / "list.txt")).collect()] == ["x"]
     spark.dataSource.register(raw_zone.paged_source("listing", "page int, v string", raw_zone.with_retries(lambda page: [(page, "r")] if page < 3 else [])))
@@ -263,6 +260,99 @@ def test_raw_zone_and_stream(spark, tables, tmp_path):
         corpus.apply_schema(spark, "db", drop=True)
 
 
+@pytest.mark.parametrize("split", [None, 1000, 10**9])
+def test_as_of_lookup_of_very_many_versions(spark, split):
+    """One entity with most of the versions, gaps between some, requests on and between their days; as by binary search."""
+    n = 60_000
+    rng = np.random.default_rng(2)
+    starts = np.sort(rng.choice(3 * n, n, replace=False))
+    ends = np.where(rng.random(n) < 0.2, np.minimum(np.append(starts[1:], 4 * n), starts + 1), np.append(starts[1:], 4 * n))
+    day = lambda x: F.expr(f"date_add(date'1900-01-01', cast({x} as int))")
+    table = spark.createDataFrame([(1, k, int(s), int(e)) for k, (s, e) in enumerate(zip(starts, ends))] + [(2, n, 5, 7), (2, n + 1, 7, None), (None, n + 2, 0, None)], "k long, version long, s long, e long")
+    versions = table.select("k", "version", day("s").alias("valid_from"), day("e").alias("valid_to"))
+    asked = [(i, int(k), int(d)) for i, (k, d) in enumerate(zip(rng.choice([1, 1, 1, 2, 3], 4000), rng.integers(0, 4 * n, 4000)))] + [(9000, 2, 6), (9001, 2, 7), (9002, 2, 4), (9003, None, 5), (9004, 1, None)]
+    requests = spark.createDataFrame(asked, "id long, k long, d long").select("id", "k", day("d").alias("day"))
+    found = {r.id: r.version for r in V.as_of_lookup(requests, versions, ["k"], "day", split).collect()}
+    wanted = {}
+    for i, k, d in asked:
+        if k == 1 and d is not None:
+            at = np.searchsorted(starts, d, side="right") - 1
+            if at >= 0 and ends[at] > d:
+                wanted[i] = at
+        elif k == 2:
+            wanted |= {i: n if d < 7 else n + 1} if d >= 5 else {}
+    assert found == wanted and len(wanted) > 2000
+
+
+def test_keyed_table(spark, tmp_path):
+    """A write reads and replaces the buckets of its keys; one that dies leaves the table as it was; a label is written once."""
+    table = KeyedTable(spark, str(tmp_path / "t"), "k long, v string", ["k"], buckets=50)
+    assert table.read().count() == 0 and table.version() == 0
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "k long, v string")
+    assert len(table.upsert(rows(*((k, "a") for k in range(1000))))) == 50
+    before = table.places()
+    touched = table.upsert(rows(*((k, "b") for k in range(995, 1005))))
+    assert 1 < len(touched) <= 10 and {b for b, f in table.places().items() if f != before[b]} == set(touched)
+    state = {r.k: r.v for r in table.read().collect()}
+    assert state == {k: "b" if k >= 995 else "a" for k in range(1005)} and table.read().count() == 1005
+    assert {r.k for r in table.read(touched).collect()} >= set(range(995, 1005))
+
+    def dies(old, new):
+        return old.unionByName(new).withColumn("v", F.when(F.col("k") == 3, F.raise_error(F.lit("killed")).cast("string")).otherwise(F.col("v")))
+
+    with pytest.raises(Exception, match="killed"):
+        table.merge(rows((3, "x"), (4, "x")), dies)
+    assert {r.k: r.v for r in table.read().collect()} == state and table.version() == 2
+    for _ in range(2):
+        table.insert_ignore(rows((3, "c"), (2000, "c"), (2000, "d"), (None, "n"), (None, "n")), ["v"], label="once")
+    found = [(r.k, r.v) for r in table.read().where("k is null or k in (3, 2000)").collect()]
+    assert sorted(found, key=str) == sorted([(3, "a"), (2000, "c"), (None, "n"), (None, "n")], key=str) and table.version() == 3
+    assert table.upsert(rows().limit(0), label="empty") == [] and table.version() == 4
+    stale = KeyedTable(spark, table.folder, table.schema, ["k"], buckets=50)
+    stale.version = lambda: 3  # it has not seen the last write
+    with pytest.raises(Exception, match="(?i)exist"):
+        stale.upsert(rows((1, "z")))
+    assert {r.k: r.v for r in table.read().where("k = 1").collect()} == {1: "a"}
+
+
+def test_stream_goes_on_after_a_failed_batch(spark, tables, tmp_path):
+    """A batch fails after the first is in; the restarted stream adds the rest, and nothing twice."""
+    _, _, folder = tables
+    table = KeyedTable(spark, str(tmp_path / "out"), "mst string, law_name string", ["mst"], buckets=4)
+    healthy = lambda d: law_xml.snapshots(d).select("mst", "law_name")
+    whole = table.insert_ignore
+
+    def fails_once(batch, order=None, label=None):
+        if label == "batch-1":
+            raise RuntimeError("lost")
+        return whole(batch, order, label)
+
+    table.insert_ignore = fails_once
+    with pytest.raises(Exception, match="lost"):
+        ingest_stream(spark, str(folder), healthy, table, str(tmp_path / "cp"), files_at_a_time=1).awaitTermination(120)
+    assert table.read().count() == 1
+    table.insert_ignore = whole
+    for _ in range(2):
+        ingest_stream(spark, str(folder), healthy, table, str(tmp_path / "cp"), files_at_a_time=1).awaitTermination(120)
+    assert sorted(r.mst for r in table.read().collect()) == ["10", "11"]
+    table.insert_ignore(table.read(), label="batch-1")  # as if the batch had been committed, but not its checkpoint
+    assert table.read().count() == 2 and table.entries().where("label = 'batch-1'").count() >= 1
+
+
+def test_incremental_statutes(spark, tables, tmp_path):
+    """Snapshots that come one after the other give the tables that all of them at once give."""
+    shots, t, _ = tables
+    stores = corpus.statute_store(spark, str(tmp_path / "store"), buckets=5)
+    for mst in ("11", "10", "10"):
+        corpus.store_statutes(stores, shots.where(F.col("mst") == mst))
+    for name in ("article", "article_version"):
+        columns = [c for c in stores[name].schema.names if c in t[name].columns]
+        assert len(columns) > 3
+        assert sorted(map(str, stores[name].read().select(*columns).collect())) == sorted(map(str, t[name].select(*columns).collect()))
+    statute = stores["statute"].read().first()
+    assert (statute.current_mst, statute.name, statute.enforced_on) == ("11", "소득세법", date(2021, 1, 1))
+
+
 def test_search(spark):
     day, old = date(2021, 1, 1), date(2000, 1, 1)
     chunk = "chunk_id long, article_id long, text string, embedding array<float>, is_current boolean, valid_from date, valid_to date"

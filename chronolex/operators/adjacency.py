@@ -32,7 +32,7 @@ class Adjacency:
     def build(cls, edges: DataFrame, hub: int = HUB, buckets: int | None = None) -> "Adjacency":
         """From (src, dst, type, valid_from, valid_to); a table of the session's catalog, with its files in the shared folder."""
         spark = edges.sparkSession
-        edges = edges.select("src", "dst", "type", "valid_from", "valid_to").where("src is not null and dst is not null")
+        edges = written(edges.select("src", "dst", "type", "valid_from", "valid_to").where("src is not null and dst is not null"), "edges")
         hubs = written(edges.groupBy("src").agg(F.ceil(F.count("*") / hub).cast("int").alias("lists")).where("lists > 1"), "hubs")
         dealt = edges.join(F.broadcast(hubs), "src", "left").withColumn("list", F.coalesce(F.pmod(F.xxhash64("dst"), "lists").cast("int"), F.lit(0)))
         made = dealt.groupBy("src", "list").agg(F.collect_list(F.struct("dst", "type", "valid_from", "valid_to")).alias("edges"))

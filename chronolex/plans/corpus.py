@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import date
 
+import numpy as np
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,6 +17,7 @@ from ..functions import text as T
 from ..functions import tree
 from ..operators import graph, risk
 from ..operators.versions import adjacent_pairs, as_of_lookup, carry_forward, close_versions, first_write, insert_ignore, merge_articles, merge_statutes
+from ..scratch import written
 from ..sources.keyed_table import KeyedTable
 
 # Names that the golden set is parsed with.
@@ -211,14 +214,48 @@ def build_graph(statute: DataFrame, article: DataFrame, version: DataFrame, ruli
     return {name: statute.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name.lower()}") for name, df in tables.items()}
 
 
-def embed(chunks: DataFrame, embedder: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Chunks with the vectors that an embedder makes of batches of their texts; current, as they are new."""
+Model = Callable[[list[str]], "list[list[float]] | np.ndarray"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(embedding=embedder(batch["text"]), is_current=True)
 
-    return chunks.mapInPandas(run, StructType([*chunks.schema.fields, *StructType.fromDDL("embedding array<float>, is_current boolean").fields]))
+def embed(chunks: DataFrame, load: Callable[[], Model], dimension: int, batch: int = 64, profile: ResourceProfile | None = None) -> DataFrame:
+    """Chunks with the vectors of their texts; current, as they are new.
+
+    `load` makes the model, once in a task, whatever the number of its batches. The model gets `batch` texts of like length at a time,
+    as it pads them to the longest. A vector of another length than `dimension` is an error, and so is another number of vectors.
+    profile: what the stage's executors must have, such as an accelerator.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for rows in batches:
+            model = model or load()
+            texts, vectors = rows["text"].tolist(), [None] * len(rows)
+            order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
+            for at in range(0, len(order), batch):
+                part = order[at : at + batch]
+                made = model([texts[k] for k in part])
+                if len(made) != len(part) or any(len(v) != dimension for v in made):
+                    raise ValueError(f"{len(part)} texts need {len(part)} vectors of {dimension} numbers")
+                for k, v in zip(part, made):
+                    vectors[k] = list(map(float, v))
+            yield rows.assign(embedding=vectors, is_current=True)
+
+    return chunks.mapInPandas(run, StructType([*chunks.schema.fields, *StructType.fromDDL("embedding array<float>, is_current boolean").fields]), profile=profile)
+
+
+def embedding_store(spark: SparkSession, folder: str, buckets: int = 64) -> KeyedTable:
+    return KeyedTable(spark, folder, schemas.EMBEDDING, ["article_key", "chunk_path"], buckets=buckets)
+
+
+def embed_backfill(version: DataFrame, store: KeyedTable, load: Callable[[], Model], dimension: int, turns: int = 1, **how) -> None:
+    """Embed the chunks of open versions that the store lacks, a part of them in each turn, and expire those of closed ones.
+
+    What a turn has made is committed at its end: a run that is stopped has lost one turn, and the next one goes on with what is missing."""
+    pending = written(embedding_chunks(version, store.read()).select("chunk_id", "article_key", "chunk_path", "text"), "pending")
+    for turn in range(turns):
+        store.upsert(embed(pending.where(F.pmod(F.xxhash64("chunk_id"), F.lit(turns)) == turn), load, dimension, **how))
+    stale = store.read().where("is_current").join(version.where("valid_to is not null").select("article_key").distinct(), "article_key", "left_semi")
+    store.upsert(stale.withColumn("is_current", F.lit(False)))
 
 
 def embedding_chunks(version: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import tree
 from ..operators import graph, risk
 from ..operators import versions as V
+from ..scratch import new_folder
 from ..sources import law_xml
 from . import corpus
 from .catalogue import query
@@ -448,3 +449,20 @@ def jb_06_load_rewrite_map(spark, d):
 @query(f"WITH {REWRITE_SQL} SELECT s_name AS statute_name, CAST(l_partkey AS INTEGER) AS from_art_no, CAST(t_partkey AS INTEGER) AS to_art_no FROM w WHERE (l_suppkey, t_partkey) NOT IN (SELECT l_suppkey, l_partkey FROM lineitem)")
 def jb_06_unknown_rewrites(spark, d):
     return _rewrites(spark, d)[1].select("statute_name", "from_art_no", "to_art_no")
+
+
+def letters_model():
+    """A model that tells of a text its length, its share of the letter e, and its number of words."""
+    return lambda texts: [[len(t), t.count("e") / len(t), len(t.split(" "))] for t in texts]
+
+
+@query("""SELECT p_partkey AS article_key, length(p_name) AS n_chars, round((length(p_name) - length(replace(p_name, 'e', ''))) / length(p_name), 5) AS share, len(string_split(p_name, ' ')) AS n_words, p_size > 10 AS is_current FROM part""")
+def jb_07_embedding_backfill(spark, d):
+    """Every part as an article of one clause, embedded in two turns; then those of small size are closed, and expire."""
+    clause = F.expr(f"array(named_struct('no', cast(null as string), 'text', p_name, 'sub_clauses', cast(array() as array<{schemas.SUB_CLAUSE}>)))")
+    version = table(spark, d, "part").select(F.col("p_partkey").alias("article_key"), F.struct(clause.alias("clauses")).alias("tree"), F.lit(None).cast("date").alias("valid_to"), "p_size")
+    store = corpus.embedding_store(spark, new_folder(spark, "embeddings"), buckets=8)
+    corpus.embed_backfill(version, store, letters_model, 3, turns=2)
+    corpus.embed_backfill(version.withColumn("valid_to", F.when(F.col("p_size") <= 10, F.lit("2020-01-01").cast("date"))), store, letters_model, 3)
+    e = lambda k: F.col("embedding")[k]
+    return store.read().select("article_key", e(0).cast("long").alias("n_chars"), F.round(e(1).cast("double"), 5).alias("share"), e(2).cast("long").alias("n_words"), "is_current")

@@ -13,7 +13,7 @@ from ..functions.temporal import edge_in_force, in_force
 from ..operators import graph, retrieval, risk
 from ..operators import versions as V
 from ..operators.vector_index import VectorIndex
-from ..scratch import new_folder
+from ..scratch import new_folder, spread
 from ..sources import law_xml
 from ..sources.keyed_table import KeyedTable
 from . import corpus, job_queries
@@ -404,7 +404,7 @@ def _nation_names(spark, d) -> DataFrame:
 
 
 def _citing(spark, d):
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = spread(table(spark, d, "orders")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return o.select("o_orderkey", F.expr(CITING).alias("text"))
 
 

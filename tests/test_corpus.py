@@ -100,10 +100,8 @@ def test_diff_of_any_pair(spark, tables):
 
 
 def test_small_jobs(spark, tables):
-    import pandas as pd
-
     _, t, _ = tables
-    row = corpus.embed(corpus.embedding_chunks(t["article_version"]), lambda texts: pd.Series([[float(len(x))] for x in texts])).first()
+    row = corpus.embed(corpus.embedding_chunks(t["article_version"]), lambda: lambda texts: [[len(x)] for x in texts], 1).first()
     assert row.embedding == [float(len(row.text))] and row.is_current
     statute = spark.createDataFrame([(1, "소득세법", ["소법", "소득세법"]), (2, None, None)], "statute_id long, name string, abbreviations array<string>")
     assert {r.name for r in corpus.law_names(statute).collect()} == {"소득세법", "소법", "조특법", "국기법"}
@@ -114,6 +112,44 @@ def test_small_jobs(spark, tables):
     assert corpus.load_rewrite_map(rows, statute, article, new)[0].count() == 0
 
 
+def test_embedding_backfill(spark, tmp_path):
+    """The model is loaded once in a task and gets like lengths together; a run that dies goes on where it was; closed versions expire."""
+    clause = lambda t: [(None, t, [])]
+    kind = "article_key long, valid_to date, tree struct<clauses: array<struct<no: string, text: string, sub_clauses: array<struct<no: string, text: string, items: array<struct<no: string, text: string>>>>>>>"
+    rows = [(k, None, (clause("x" * (1 + k * 7 % 90)),)) for k in range(120)]
+    version = spark.createDataFrame(rows, kind).coalesce(2)
+    store, log = corpus.embedding_store(spark, str(tmp_path / "e"), buckets=4), tmp_path / "log"
+    log.mkdir()
+
+    def load(broken=False):
+        import uuid
+
+        def model(texts):
+            (log / uuid.uuid4().hex).write_text(f"{max(map(len, texts)) - min(map(len, texts))}")
+            if broken and any(len(t) == 89 for t in texts):
+                raise RuntimeError("out of memory")
+            return np.array([[len(t), 1.0] for t in texts])
+
+        (log / f"load-{uuid.uuid4().hex}").write_text("")
+        return model
+
+    with pytest.raises(Exception, match="out of memory"):
+        corpus.embed_backfill(version, store, lambda: load(True), 2, turns=12, batch=8)
+    done = {r.article_key for r in store.read().collect()}
+    assert 0 < len(done) < 120
+    for f in log.iterdir():
+        f.unlink()
+    corpus.embed_backfill(version, store, load, 2, turns=1, batch=8)
+    spans, loads = [int(f.read_text()) for f in log.iterdir() if f.stem[:5] != "load-"], [f for f in log.iterdir() if f.stem[:5] == "load-"]
+    assert len(loads) <= 2 and len(spans) == pytest.approx((120 - len(done)) / 8, abs=2) and max(spans) < 40  # nothing is made twice
+    assert {r.article_key: (r.embedding, r.is_current) for r in store.read().collect()} == {k: ([float(1 + k * 7 % 90), 1.0], True) for k in range(120)}
+    closed = version.withColumn("valid_to", F.when(F.col("article_key") == 5, F.lit(date(2020, 1, 1))))
+    corpus.embed_backfill(closed, store, load, 2)
+    assert [r.article_key for r in store.read().where("not is_current").collect()] == [5] and store.read().count() == 120
+    with pytest.raises(Exception, match="vectors of 3"):
+        corpus.embed(corpus.embedding_chunks(version), load, 3).collect()
+
+
 def test_keyword_search_brute_force(spark):
     """Every pair at every threshold, at rounding's edge too."""
     import random

@@ -21,7 +21,7 @@ return a row; offsets are code points; very long texts are searched whole; extra
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -137,6 +137,27 @@ def learn_patterns(mentions: DataFrame, rounds: int = 3, support: int = 10, conf
     return patterns.where(F.col("weight") >= confidence).select("pattern")
 
 
+#: Pairs of a mention and a base find of one text that are looked at one by one.
+PAIRS = 4096
+
+
+def with_seeds(looked: DataFrame) -> DataFrame:
+    """row, t, seed for each mention t of (row, base, mentions): it is a seed where a base find covers some of it.
+
+    Texts with few of both are settled in place. Of the others, mentions and finds are rows in one order: a mention, at its end, is covered
+    if the farthest end of the finds that begin before reaches past its start. So a long text costs what sorting its finds does."""
+    few = F.size("mentions").cast("long") * F.size("base") <= PAIRS
+    marked = F.transform("mentions", lambda t: F.struct(t.alias("t"), F.exists("base", lambda b: (b["start"] < t["stop"]) & (b["stop"] > t["start"])).alias("seed")))
+    short = looked.where(few).select("row", F.explode(marked).alias("e")).select("row", "e.t", "e.seed")
+    many = looked.where(~few).dropDuplicates(["row"])  # rows equal in id and text are told apart by nothing
+    kind = looked.schema["mentions"].dataType.elementType
+    finds = many.select("row", F.explode("base").alias("b")).select("row", F.col("b.start").alias("at"), F.lit(1).alias("side"), F.col("b.stop").alias("past"), F.lit(None).cast(kind).alias("t"))
+    tokens = many.select("row", F.explode("mentions").alias("t")).select("row", F.col("t.stop").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("int").alias("past"), "t")
+    before = Window.partitionBy("row").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = finds.unionByName(tokens).withColumn("past", F.max("past").over(before)).where("side = 0")
+    return short.unionByName(ordered.select("row", "t", F.coalesce(F.col("past") > F.col("t.start"), F.lit(False)).alias("seed")))
+
+
 def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 10, confidence: float = 0.95, keep_text: bool = False) -> DataFrame:
     """The documents' id with `base` and `spans`, arrays of kind, start and stop, base first; keep_text: all other columns too."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -146,8 +167,7 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     looked = found.select("id", "row", "base", F.when(text.rlike("@|[0-9]"), _mentions(text)).alias("mentions"))
     looked = materialise(looked, "mentions")
 
-    # A token is a seed where a base find covers its letters and digits.
-    each = looked.select("row", "base", F.explode("mentions").alias("t")).select("row", "t", F.exists("base", lambda b: (b["start"] < F.col("t.stop")) & (b["stop"] > F.col("t.start"))).alias("seed"))
+    each = with_seeds(looked)
     mentions = each.select(F.col("t.pattern").alias("pattern"), F.xxhash64("t.m").alias("instance"), "seed")
     trusted = learn_patterns(mentions, rounds, support, confidence)
     new = each.where(~F.col("seed")).select("row", "t.start", "t.stop", "t.pattern").distinct().join(trusted, "pattern", "left_semi")

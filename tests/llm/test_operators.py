@@ -403,3 +403,20 @@ def test_nearest_neighbours_of_equal_vectors_and_uneven_norms(spark):
             assert [found[q][k] for k in range(1, 11)] == best
         hits += len({*found[q].values()} & {*best})
     assert hits >= 47
+
+
+def test_seeds_of_long_texts_are_those_of_short_ones(spark, monkeypatch):
+    """Marked in one order of mentions and finds, as by looking at all pairs; tens of thousands of finds in one text are no trouble."""
+    rng = random.Random(12)
+    pieces = ["a@b.org", "call", "+49 171 2345678", "id", "99123455", "4111 1111 1111 1111", "x9999y", "10.1.2.3", "user@", "1234-5678", "and", "\n"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0], None])], "doc_id long, text string")
+    looked = docs.select(F.xxhash64("doc_id", "text").alias("row"), pii.base_spans(F.coalesce("text", F.lit(""))).alias("base"), pii._mentions(F.coalesce("text", F.lit(""))).alias("mentions"))
+    rows = lambda: sorted((r["row"], r["t"]["start"], r["seed"]) for r in pii.with_seeds(looked).collect())
+    plain = rows()
+    monkeypatch.setattr(pii, "PAIRS", -1)
+    assert rows() == plain and {s for _, _, s in plain} == {True, False}
+    monkeypatch.undo()
+    long = " ".join(f"mail u{k}@h{k % 97}.org now" for k in range(20_000)) + " mail badge@night"
+    found = pii.find_pii(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert len(found["base"]) == 20_000 and [(s["kind"], s["stop"]) for s in found["spans"][20_000:]] in ([], [("context", len(long))])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.temporal import in_force, require_as_of
 from ..functions.text import citation
 from ..scratch import new_folder, written
+from ..settings import settings
 from .graph import expand_refs
 from .text_index import TrigramIndex
 from .vector_index import VectorIndex, vector
@@ -33,6 +34,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
+def dated_chunks(chunks: DataFrame, version: DataFrame, as_of: date | None = None) -> DataFrame:
+    """Chunks (article_key, ...) with the article_id, valid_from and valid_to of their version; on a date, those in force then."""
+    dated = chunks.join(version.select("article_key", "article_id", "valid_from", "valid_to"), "article_key")
+    return dated if as_of is None else dated.where(in_force(require_as_of(as_of)))
+
+
 def top_n(hits: DataFrame, n: int, order: list[Column]) -> DataFrame:
     """The first n hits of each query with their rank."""
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n)
@@ -158,7 +165,7 @@ def rerank(hits: DataFrame, top: int = 20, scorer: Callable[[DataFrame], DataFra
 
 def search(
     queries: DataFrame, chunks: DataFrame, versions: DataFrame, edges: DataFrame, rulings: DataFrame, addenda: DataFrame, names: list[str] | DataFrame, as_of: date, today: date,
-    top: int = 20, hops: int = 1, k: int = 60, scorer: Callable[[DataFrame], DataFrame] | None = None, vector_chunks: DataFrame | None = None,
+    top: int = 20, hops: int = 1, k: int | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None, vector_chunks: DataFrame | None = None,
     index: TrigramIndex | None = None, vector_index: VectorIndex | None = None, **patterns,
 ) -> DataFrame:
     """Routed or fused articles of each query, one row per hit, with what belongs to them: `related`, the versions in force of the
@@ -169,10 +176,12 @@ def search(
     vector_chunks: the chunks that have vectors, if not all have; index, vector_index: of the texts of all chunks and of the vectors of current ones, if
     there are any; patterns: what else `citation` takes.
     """
+    knobs = settings(queries.sparkSession)
+    k, retrieve = k or knobs.rrf_k, knobs.retrieve_top_k
     direct = route_direct(queries, versions, names, as_of, **patterns).select("query_id", "article_id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
     open_ = queries.join(direct.select("query_id"), "query_id", "left_anti")
-    by_text = keyword_search(open_, chunks.where(in_force(as_of)), top=30, index=index)
-    by_vector = vector_search(open_, chunks if vector_chunks is None else vector_chunks, as_of, today, top=30, index=vector_index)
+    by_text = keyword_search(open_, chunks.where(in_force(as_of)), top=retrieve, index=index)
+    by_vector = vector_search(open_, chunks if vector_chunks is None else vector_chunks, as_of, today, top=retrieve, index=vector_index)
     fused = rrf_fuse(by_text, by_vector, k=k, top=top).join(chunks.select("chunk_id", "article_id"), "chunk_id")
     current = versions.where(in_force(require_as_of(as_of)))
     articles = fused.groupBy("query_id", "article_id").agg(F.max("score").alias("score"), F.min("rank").alias("rank")).join(current.select("article_id", "body"), "article_id")

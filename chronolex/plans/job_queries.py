@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as T
 from ..functions import tree
-from ..operators import graph, risk
+from ..operators import graph, retrieval, risk
 from ..operators import versions as V
 from ..scratch import new_folder
-from ..sources import law_xml
+from ..sources import law_xml, raw_zone
+from ..sources.listings import fetch_listings, listing_archive
 from . import corpus
 from .catalogue import query
 from .tables import EDGE_TYPES, PART_VERSIONS_SQL, RULINGS_SQL, VERSIONS_SQL, rulings, table, versions
@@ -466,3 +467,84 @@ def jb_07_embedding_backfill(spark, d):
     corpus.embed_backfill(version.withColumn("valid_to", F.when(F.col("p_size") <= 10, F.lit("2020-01-01").cast("date"))), store, letters_model, 3)
     e = lambda k: F.col("embedding")[k]
     return store.read().select("article_key", e(0).cast("long").alias("n_chars"), F.round(e(1).cast("double"), 5).alias("share"), e(2).cast("long").alias("n_words"), "is_current")
+
+
+# --- sources and sinks: files and listings made of the tables ---------------------------------------------------------
+
+
+def nations_of(rows: dict[str, list[tuple]], page_size: int):
+    """A source of listings: the nations of each region, some to a page."""
+
+    def fetch(target: str, query: str, page: int) -> str:
+        laws = "".join(f"<law><법령ID>{k}</법령ID><법령명한글>{n}</법령명한글><법령일련번호>{k + 100}</법령일련번호><시행일자>20200101</시행일자><현행연혁코드>현행</현행연혁코드></law>" for k, n in rows[query][(page - 1) * page_size : page * page_size])
+        return f"<LawSearch><totalCnt>{len(rows[query])}</totalCnt>{laws}</LawSearch>"
+
+    return fetch
+
+
+def measured(xml: str) -> tuple[int, int]:
+    return xml.count("<law>"), int(xml.split("<totalCnt>")[1].split("<")[0])
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS law_id, n_name AS law_name, CAST(n_nationkey + 100 AS VARCHAR) AS mst, r_name AS query FROM nation JOIN region ON n_regionkey = r_regionkey")
+def sr_03_paged_listing(spark, d):
+    """The nations of every region as a listing of two to a page, fetched by the tasks, archived and parsed."""
+    region = table(spark, d, "region").select("r_regionkey", "r_name")
+    known: dict[str, list[tuple]] = {r["r_name"]: [] for r in region.collect()}  # the service's data, a dimension
+    for r in table(spark, d, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").collect():
+        known[r["r_name"]].append((r["n_nationkey"], r["n_name"]))
+    listings = region.select(F.lit("eflaw").alias("target"), F.col("r_name").alias("query"))
+    pages = fetch_listings(listings, nations_of(known, 2), measured, listing_archive(spark, new_folder(spark, "listing"), buckets=2), page_size=2, at_a_time=8, slots=2)
+    return law_xml.law_list(pages.select("query", "xml"), "query").select("law_id", "law_name", "mst", "query")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_mktsegment || ' ' || c_custkey AS content, 'zone#' || c_custkey AS place FROM customer")
+def sk_01_raw_zone(spark, d):
+    """Customers put into a raw zone, half of them twice with another content, which the zone doesn't take; read back by their URIs."""
+    root = new_folder(spark, "zone")
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.concat_ws(" ", "c_mktsegment", F.col("c_custkey").cast("string")).alias("content"))
+    raw_zone.put_raw(c.where("key % 2 = 0"), root)
+    stored = raw_zone.put_raw(c.withColumn("content", F.when(F.expr("key % 2 = 0"), "changed").otherwise(F.col("content"))), root)
+    found = spark.read.parquet(root).select("key", F.col("content").cast("string").alias("content"))
+    return found.join(stored.distinct(), "key").select("key", "content", F.replace("raw_uri", F.lit(root), F.lit("zone")).alias("place"))
+
+
+@query("SELECT CAST(max(c_custkey) AS VARCHAR) AS content FROM customer")
+def sk_02_get_raw(spark, d):
+    root = new_folder(spark, "zone")
+    stored = raw_zone.put_raw(table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_custkey").cast("string").alias("content")), root)
+    uri = stored.agg(F.max_by("raw_uri", F.col("key").cast("long"))).first()[0]
+    return raw_zone.get_raw(spark, uri).select(F.col("content").cast("string").alias("content"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def sr_18_csv(spark, d):
+    folder = new_folder(spark, "csv")
+    table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.csv(folder, header=True)
+    return raw_zone.read_csv(spark, folder, "n_nationkey long, n_name string, n_regionkey long")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def sr_19_jsonl(spark, d):
+    """Orders as JSON lines, with blank lines between."""
+    folder = new_folder(spark, "json")
+    lines = table(spark, d, "orders").select(F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")).alias("value"))
+    lines.select(F.explode(F.array("value", F.lit("  "))).alias("value")).write.text(folder)
+    return raw_zone.read_jsonl(spark, folder, "o_orderkey long, o_orderstatus string, o_totalprice double")
+
+
+@query("SELECT p_name AS value FROM part WHERE p_partkey % 3 <> 0")
+def sr_20_lines(spark, d):
+    """Names of parts, a third of them commented out."""
+    folder = new_folder(spark, "lines")
+    line = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("# "), "p_name")).otherwise(F.concat(F.lit(" "), "p_name"))
+    table(spark, d, "part").select(F.explode(F.array(line, F.lit(""))).alias("value")).write.text(folder)
+    return raw_zone.read_lines(spark, folder)
+
+
+@query(f"WITH {VERSIONS_SQL} SELECT article_key, article_id, lower(o_orderpriority) AS text, valid_from FROM v WHERE {IN_FORCE.format(DAY)}")
+def jn_05_dated_chunks(spark, d):
+    """Chunks, which know their version only, beside the article and the interval of it, as search takes them."""
+    v = versions(spark, d)
+    chunks = table(spark, d, "orders").select(F.col("o_orderkey").alias("article_key"), F.lower("o_orderpriority").alias("text"))
+    return retrieval.dated_chunks(chunks, v, AS_OF).select("article_key", "article_id", "text", "valid_from")

@@ -45,11 +45,11 @@ def _text(column) -> Column:
     return stripped(column if isinstance(column, Column) else F.col(column))
 
 
-def law_list(pages: DataFrame) -> DataFrame:
-    """law_id, law_name, mst, effective_date, is_current of every row of listing pages."""
+def law_list(pages: DataFrame, *keep: str) -> DataFrame:
+    """law_id, law_name, mst, effective_date, is_current of every row of listing pages, and what columns of the pages are to be kept."""
     row = F.explode(F.from_xml("xml", f"law array<{LAW_ROW}>")["law"]).alias("r")
     r = lambda name: _text(F.col(f"r.`{name}`"))
-    return pages.select(row).select(r("법령ID").alias("law_id"), r("법령명한글").alias("law_name"), r("법령일련번호").alias("mst"), r("시행일자").alias("effective_date"), (r("현행연혁코드") == "현행").alias("is_current"))
+    return pages.select(*keep, row).select(*keep, r("법령ID").alias("law_id"), r("법령명한글").alias("law_name"), r("법령일련번호").alias("mst"), r("시행일자").alias("effective_date"), (r("현행연혁코드") == "현행").alias("is_current"))
 
 
 def _clauses(units: Column) -> Column:

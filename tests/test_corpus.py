@@ -320,6 +320,43 @@ def test_as_of_lookup_of_very_many_versions(spark, split):
     assert found == wanted and len(wanted) > 2000
 
 
+def test_listings_go_on_where_they_stopped(spark, tmp_path):
+    """A listing that is killed goes on with the pages it lacks; no committed page is fetched twice; pages are capped where asked."""
+    from chronolex.settings import PREFIX
+    from chronolex.sources.listings import fetch_listings, listing_archive
+
+    sizes, log = {"a": 45, "b": 7, "c": 0}, tmp_path / "calls"
+    log.mkdir()
+
+    def fetch(target, query, page, broken=False):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text(f"{query} {page}")
+        if broken and page == 3:
+            raise OSError("gone")
+        rows = "".join(f"<law>{query}{k}</law>" for k in range((page - 1) * 10, min(page * 10, sizes[query])))
+        return f"<l><totalCnt>{sizes[query]}</totalCnt>{rows}</l>"
+
+    measure = lambda xml: (xml.count("<law>"), int(xml.split("totalCnt>")[1].split("<")[0]))
+    calls = lambda: sorted(f.read_text() for f in log.iterdir())
+    listings, archive = spark.createDataFrame([("t", q) for q in sizes], "target string, query string"), listing_archive(spark, str(tmp_path / "pages"), buckets=3)
+    spark.conf.set(PREFIX + "tries", "1")
+    try:
+        with pytest.raises(Exception, match="gone"):
+            fetch_listings(listings, lambda t, q, n: fetch(t, q, n, True), measure, archive, page_size=10, at_a_time=2)
+    finally:
+        spark.conf.unset(PREFIX + "tries")
+    assert calls().count("a 3") == 1 and archive.read().where("query = 'a'").count() == 2
+    for f in log.iterdir():
+        f.unlink()
+    pages = fetch_listings(listings, fetch, measure, archive, page_size=10, at_a_time=2, slots=2)
+    assert calls() == ["a 3", "a 4", "a 5"] and sorted((r.query, r.page, r.items) for r in pages.collect()) == [("a", 1, 10), ("a", 2, 10), ("a", 3, 10), ("a", 4, 10), ("a", 5, 5), ("b", 1, 7), ("c", 1, 0)]
+    fetch_listings(listings, fetch, measure, archive, page_size=10)
+    assert len(calls()) == 3
+    capped = listing_archive(spark, str(tmp_path / "capped"), buckets=3)
+    assert fetch_listings(listings, fetch, measure, capped, page_size=10, max_pages=2).count() == 4
+
+
 def test_keyed_table(spark, tmp_path):
     """A write reads and replaces the buckets of its keys; one that dies leaves the table as it was; a label is written once."""
     table = KeyedTable(spark, str(tmp_path / "t"), "k long, v string", ["k"], buckets=50)

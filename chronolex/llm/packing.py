@@ -60,10 +60,12 @@ def optimal_bounds(counts: np.ndarray, buckets: int) -> list[int]:
     return sorted(set(bounds))
 
 
-def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, buckets: int = 16, budget: int = 16_384, lane: int = 50_000) -> DataFrame:
-    """One row per piece: id, piece, n_words, bucket (its padded length), lane, batch, slot."""
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"\S+")), F.lit(0))
-    docs = documents.select(F.col(id_col).alias("id"), words.alias("n"), F.xxhash64(text_col).alias("tie"))
+def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, buckets: int = 16, budget: int = 16_384, lane: int = 50_000, length_col: str | None = None) -> DataFrame:
+    """One row per piece: id, piece, n_words, bucket (its padded length), lane, batch, slot.
+
+    Lengths are words between white space or, if a column gives them, numbers of tokens; `longest`, `budget` and n_words are then tokens."""
+    given = F.greatest(F.col(length_col).cast("int"), F.lit(0)) if length_col else F.regexp_count(F.col(text_col), F.lit(r"\S+"))
+    docs = documents.select(F.col(id_col).alias("id"), F.coalesce(given, F.lit(0)).alias("n"), F.xxhash64(text_col).alias("tie"))
     pieces = docs.select("id", "tie", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / longest) - 1, F.lit(0)).cast("int"))).alias("piece"))
     pieces = materialise(pieces.select("id", "tie", "piece", F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).alias("n_words")), "pieces")
     histogram = {r["n_words"]: r["count"] for r in pieces.groupBy("n_words").count().collect()}  # at most longest + 1 rows

@@ -420,3 +420,11 @@ def test_seeds_of_long_texts_are_those_of_short_ones(spark, monkeypatch):
     long = " ".join(f"mail u{k}@h{k % 97}.org now" for k in range(20_000)) + " mail badge@night"
     found = pii.find_pii(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
     assert len(found["base"]) == 20_000 and [(s["kind"], s["stop"]) for s in found["spans"][20_000:]] in ([], [("context", len(long))])
+
+
+def test_packing_by_token_counts(spark):
+    """Lengths from a column: the same words, other pieces; a null counts as none."""
+    docs = spark.createDataFrame([(1, "a b", 250), (2, "a b", 7), (3, None, None), (4, "a b c", -1)], "doc_id long, text string, n_tokens long")
+    rows = packing.pack(docs, longest=100, buckets=3, budget=200, length_col="n_tokens").collect()
+    assert sorted((r["doc_id"], r["piece"], r["n_words"]) for r in rows) == [(1, 0, 100), (1, 1, 100), (1, 2, 50), (2, 0, 7), (3, 0, 0), (4, 0, 0)]
+    assert all(r["n_words"] <= r["bucket"] for r in rows)

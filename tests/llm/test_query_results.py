@@ -184,6 +184,15 @@ def test_op7(spark, texts):
     assert held and np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) >= 0.9
 
 
+def test_op7_finds_toxic_rows_and_few_others(spark):
+    """Recall and precision on held-out rows, which predicting one label for all would not reach."""
+    tables = "/root/testdata/sf0.1"
+    toxic = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{tables}/labels.parquet' WHERE toxic IS NOT NULL").fetchall())
+    held = [r for r in registry.QUERIES["op7_toxicity"](spark, tables).where("held_out").collect() if r["doc_id"] in toxic]
+    hits, told, real = (sum(f(r) for r in held) for f in (lambda r: r["predicted"] * toxic[r["doc_id"]], lambda r: r["predicted"], lambda r: toxic[r["doc_id"]]))
+    assert real > 80 and hits / real >= 0.8 and hits / told >= 0.95
+
+
 def test_op8(spark, texts):
     tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -37,8 +37,10 @@ class Adjacency:
         dealt = edges.join(F.broadcast(hubs), "src", "left").withColumn("list", F.coalesce(F.pmod(F.xxhash64("dst"), "lists").cast("int"), F.lit(0)))
         made = dealt.groupBy("src", "list").agg(F.collect_list(F.struct("dst", "type", "valid_from", "valid_to")).alias("edges"))
         name = f"adjacency_{uuid.uuid4().hex}"
-        number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        made.repartition(number, "src", "list").write.bucketBy(number, "src", "list").sortBy("src", "list").option("path", new_folder(spark, "adjacency")).saveAsTable(name)
+        # Grouping deals rows out as the buckets do, where there are as many of these as shuffle partitions.
+        shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        number = buckets or shuffled
+        (made if number == shuffled else made.repartition(number, "src", "list")).write.bucketBy(number, "src", "list").sortBy("src", "list").option("path", new_folder(spark, "adjacency")).saveAsTable(name)
         return cls(spark.table(name), hubs)
 
     @property

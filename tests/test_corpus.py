@@ -170,7 +170,6 @@ def test_text_index(spark, tmp_path):
     import random
     import re
 
-    from chronolex.operators import text_index
     from chronolex.operators.text_index import TrigramIndex
 
     r = random.Random(8)
@@ -180,18 +179,13 @@ def test_text_index(spark, tmp_path):
     score = lambda a, b: len(a & b) / len(a | b)
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     queries, chunks = rows.where("id % 3 = 0 or id < 9").withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "chunk_id")
-    shard, counted = text_index.SHARD, text_index.COUNTED
     index = TrigramIndex.build(chunks, str(tmp_path / "index"))
     asked = [i for i in range(len(texts)) if (i % 3 == 0 or i < 9) and sets[i]]
-    try:
-        text_index.COUNTED = 500  # many turns
-        for threshold in (0.1, 0.3, 2 / 3, 1.0):
-            wanted = {(i, j): score(sets[i], b) for i in asked for j, b in enumerate(sets) if b and score(sets[i], b) >= threshold}
-            for block in (1000, 7):
-                found = {(x.query_id, x.chunk_id): x.score for x in index.hits(queries, threshold, block=block).collect()}
-                assert found == pytest.approx(wanted)
-    finally:
-        text_index.SHARD, text_index.COUNTED = shard, counted
+    for threshold in (0.1, 0.3, 2 / 3, 1.0):
+        wanted = {(i, j): score(sets[i], b) for i in asked for j, b in enumerate(sets) if b and score(sets[i], b) >= threshold}
+        for block in (1000, 7):
+            found = {(x.query_id, x.chunk_id): x.score for x in index.hits(queries, threshold, block=block).collect()}
+            assert found == pytest.approx(wanted)
     some = chunks.where("chunk_id % 2 = 1")
     best = lambda i: sorted((j for j, b in enumerate(sets) if j % 2 and b and score(sets[i], b) >= 0.3), key=lambda j: (-score(sets[i], sets[j]), j))[:4]
     ranked = {(x.query_id, x.rank): x.chunk_id for x in retrieval.keyword_search(queries, some, top=4, index=TrigramIndex(spark, str(tmp_path / "index"))).collect()}
@@ -203,6 +197,31 @@ def test_text_index(spark, tmp_path):
         index.hits(queries, 0.0)
 
 
+@pytest.mark.parametrize("counted", [50, 3000, 1 << 21])
+def test_shard_counts_in_turns(monkeypatch, counted):
+    """Queries of one shard in many turns or in one, with trigrams that the shard lacks; rare trigrams first, in any order of rarity."""
+    import random
+
+    import pyarrow as pa
+
+    from chronolex.operators import text_index
+
+    monkeypatch.setattr(text_index, "COUNTED", counted)
+    r = random.Random(3)
+    texts = ["".join("  " + "".join(r.choices("abcd", k=r.randint(1, 5))) for _ in range(r.choice([1, 2, 6, 20]))) + " " for _ in range(150)]
+    grams, sizes = text_index.gram_sets(texts)
+    sets = [set(x) for x in np.split(grams, np.cumsum(sizes)[:-1])]
+    assert sets[0] == {(ord(a) << 42) | (ord(b) << 21) | ord(c) for a, b, c in zip(texts[0], texts[0][1:], texts[0][2:]) if (b, c) != (" ", " ")}
+    shard = text_index._shard([(pa.array(range(100)), sizes[:100], grams[: sizes[:100].sum()]), (pa.array(range(100, 150)), sizes[100:], grams[sizes[:100].sum() :])])
+    keys, *columns = (shard.column(c)[0].values.to_numpy() for c in range(5))
+    own = [r.sample(sorted(s), len(s)) + [7] * (k % 2) for k, s in enumerate(sets[:40])]
+    for threshold in (0.15, 0.3, 1.0):
+        asked = text_index.Asked(np.array([len(x) for x in own]), np.concatenate(own).astype(np.int64), threshold)
+        found = {(int(q), int(keys[t])): s for part in asked.near(*(c.astype(np.int64) for c in columns)) for q, t, s in zip(*part)}
+        score = lambda x, b: len(set(x) & b) / len(set(x) | b)
+        assert found == pytest.approx({(i, j): score(x, b) for i, x in enumerate(own) for j, b in enumerate(sets) if score(x, b) >= threshold})
+
+
 def test_rulings(spark, tables):
     _, t, _ = tables
     named = t["article_version"].join(t["article"], "article_id").join(t["statute"].select("statute_id", F.col("name").alias("law")), "statute_id")

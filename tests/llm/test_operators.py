@@ -405,6 +405,25 @@ def test_nearest_neighbours_of_equal_vectors_and_uneven_norms(spark):
     assert hits >= 47
 
 
+@pytest.mark.parametrize("size", [1.0, 1e200])
+def test_nearest_neighbours_are_those_of_all_pairs(spark, size):
+    """However many rows have nearly the same vector, and so the same codes; also where squares overflow."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2400, 16))
+    x[::2] = x[0] + 1e-3 * rng.normal(size=(1200, 16))
+    x[1:900:2] += 50
+    x[:6] *= size
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(5)
+    got = vector_search.nearest_neighbours(table, table.where("vec_id % 100 = 0 or vec_id = 3"), sample=1000, rerank=50, block=10).collect()
+    asked = [3, *range(0, 2400, 100)]
+    assert {r["query_id"] for r in got} == {*asked} and len(got) == 10 * len(asked)
+    for q in asked:
+        with np.errstate(over="ignore"):
+            d = np.sqrt(sum((x[:, j] - x[q, j]) ** 2 for j in range(16)))
+        best = [(int(i), float(d[i])) for i in np.lexsort((np.arange(2400), d)) if i != q][:10]
+        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == best
+
+
 def test_seeds_of_long_texts_are_those_of_short_ones(spark, monkeypatch):
     """Marked in one order of mentions and finds, as by looking at all pairs; tens of thousands of finds in one text are no trouble."""
     rng = random.Random(12)

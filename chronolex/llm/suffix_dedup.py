@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoded, lean, materialise, prefix_sums, steps, substring_hashes
+from .common import encoded, equal_hashes, lean, materialise, prefix_sums, steps, substring_hashes
 
 SEGMENT = "key long, content long, row long, start long, run int, at int, size int"
 SPANS = "array<struct<start: int, run: int, whole: boolean>>"
@@ -57,8 +57,7 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 def _segments_of(data: np.ndarray, offsets: np.ndarray, length: int, shorter: int, anchor: int):
     """(text, start in the buffer, run, place of the anchor, size, key, content) of every segment in the texts of one step."""
     sums = prefix_sums(data)
-    at = np.arange(len(data) - anchor + 1)
-    hashes = substring_hashes(sums, at, at + anchor)
+    hashes = equal_hashes(sums, anchor)
     least = sliding_argmin(hashes, shorter - anchor + 1)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     ends = offsets[1:] - 1
@@ -129,19 +128,24 @@ def _words(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _common(sums: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix lengths of the suffixes at a and b, from `low` up to `most`, by bisection over hashes."""
-    n = sums.shape[1] - 1
-    low, high = low.copy(), np.minimum(most, n - np.maximum(a, b))
-    low = np.minimum(low, high)
-    while (open_ := low < high).any():
-        middle = np.where(open_, (low + high + 1) // 2, low)
-        same = substring_hashes(sums, a, a + middle) == substring_hashes(sums, b, b + middle)
-        low, high = np.where(open_ & same, middle, low), np.where(open_ & ~same, middle - 1, high)
-    return low
-
-
-def _sorted_directly(at: np.ndarray, words: np.ndarray, sums: np.ndarray, depth: int) -> np.ndarray:
+def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, most: int) -> np.ndarray:
+    """Common prefix lengths of the suffixes at a and b, from `low` up to `most`, eight bytes at a time."""
+    high = np.minimum(most, len(words) - np.maximum(a, b))
+    shared = np.minimum(low, high)
+    live = np.flatnonzero(shared < high)
+    while len(live):
+        differ = words[a[live] + shared[live]] ^ words[b[live] + shared[live]]
+        same = differ == 0
+        ended, differ = live[~same], differ[~same]
+        for byte in range(1, 8):
+            shared[ended] += differ < (1 << 8 * byte)  # equal in this byte and those above
+        live = live[same]
+        shared[live] += 8
+        live = live[shared[live] < high[live]]
+    return np.minimum(shared, high)
+
+
+def _sorted_directly(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes `at` by their first `depth` bytes. Ties jump to where their group first differs."""
     order = at[np.argsort(words[at], kind="stable")]
     head = words[order]
@@ -159,7 +163,7 @@ def _sorted_directly(at: np.ndarray, words: np.ndarray, sums: np.ndarray, depth:
         next_same = group[1:] == group[:-1]
         shared = np.full(len(place), depth)
         i = np.flatnonzero(next_same)
-        shared[i + 1] = _common(sums, here[i], here[i + 1], low[i], depth)
+        shared[i + 1] = _common(words, here[i], here[i + 1], low[i], depth)
         starts = np.flatnonzero(np.concatenate([[True], ~next_same]))
         deep = np.minimum.reduceat(shared, starts)[group]
         live = deep < depth
@@ -184,22 +188,17 @@ def two_stage(data: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     size = len(data)
     data = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
     wanted = np.concatenate([wanted, np.zeros(depth + 8, bool)])
-    n, sums = len(data), prefix_sums(data)
-    differs = np.ones(n, bool)
-    differs[:-1] = data[:-1] != data[1:]
-    following = np.flatnonzero(differs)[np.searchsorted(np.flatnonzero(differs), np.arange(n))]  # where the run of equal bytes ends
-    smaller = np.zeros(n, bool)
-    inside = following < n - 1
-    smaller[inside] = data[following[inside]] < data[following[inside] + 1]
+    n = len(data)
+    last = np.append(np.flatnonzero(data[:-1] != data[1:]), n - 1)  # where runs of equal bytes end
+    smaller = np.repeat(np.append(data[last[:-1]] < data[last[:-1] + 1], False), np.diff(last, prepend=-1))
     # A suffix is induced from its successor, so whole chains are needed up to the next type B suffix.
-    needed = wanted.copy()
     stops = np.flatnonzero(smaller)
     ends = np.append(stops, n - 1)[np.searchsorted(stops, np.flatnonzero(wanted))]
     mark = np.zeros(n + 1, np.int64)
     np.add.at(mark, np.flatnonzero(wanted), 1)
     np.add.at(mark, ends + 1, -1)
     needed = np.cumsum(mark)[:n] > 0
-    direct = _sorted_directly(np.flatnonzero(needed & smaller), _words(data), sums, depth)
+    direct = _sorted_directly(np.flatnonzero(needed & smaller), _words(data), depth)
     cuts = np.searchsorted(data[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     if needed[n - 1]:  # nothing follows the last suffix: it is the first of its bucket
@@ -235,16 +234,14 @@ def two_stage(data: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     return order[order < size]
 
 
-def _equal_neighbours(order: np.ndarray, sums: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
+def _equal_neighbours(order: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
     """Which positions share `length` bytes with a neighbour in suffix order."""
     a, b = order[:-1], order[1:]
-    near = substring_hashes(sums, a, a + length) == substring_hashes(sums, b, b + length)
-    # The adjacent common prefixes are counted in bytes; the hashes only spare the pairs that differ.
-    pairs = np.flatnonzero(near)
-    for j in [*range(0, length - 7, 8), max(0, length - 8)]:
-        pairs = pairs[words[a[pairs] + j] == words[b[pairs] + j]]
+    for j in [max(0, length - 8), *range(0, length - 8, 8)]:  # the last bytes first: most pairs that differ at all differ there
+        same = words[a + j] == words[b + j]
+        a, b = a[same], b[same]
     again = np.zeros(len(words), bool)
-    again[a[pairs]] = again[b[pairs]] = True
+    again[a] = again[b] = True
     return again
 
 
@@ -253,7 +250,7 @@ def repeated_in(texts: list[bytes], runs: np.ndarray, length: int, shorter: int)
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    sums, words = prefix_sums(data), _words(data)
+    words = _words(data)
     mark = np.zeros(len(data) + 1, np.int64)
     np.add.at(mark, offsets[:-1], 1)
     np.add.at(mark, offsets[:-1] + runs, -1)
@@ -262,11 +259,13 @@ def repeated_in(texts: list[bytes], runs: np.ndarray, length: int, shorter: int)
     order = order[wanted[order]]
     # A segment at the end of its text may have no room for strings of `length` bytes.
     room = np.repeat(offsets[1:], sizes) - np.arange(len(data)) >= length
-    some, long = _equal_neighbours(order, sums, words, shorter), _equal_neighbours(order[room[order]], sums, words, length)
+    some, long = _equal_neighbours(order, words, shorter), _equal_neighbours(order[room[order]], words, length)
     return [(some[s : s + r], long[s : s + r]) for s, r in zip(offsets[:-1].tolist(), runs.tolist())]
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
+    if not flags.any():
+        return []
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
 

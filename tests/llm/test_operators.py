@@ -98,6 +98,22 @@ def test_suffix_dedup(request, empty, table, most):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_sorting_compares_bytes(monkeypatch):
+    """Suffixes are sorted, and neighbours compared, by their bytes: equal hashes change nothing. All hashes of one length at once are those of one by one."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 99, n).astype(np.uint8).tobytes() * 2 for n in (40, 25, 60, 31)]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.arange(200)
+    sums = common.prefix_sums(data)
+    assert (common.equal_hashes(sums, 64)[:200] == common.substring_hashes(sums, at, at + 64)).all() and len(common.equal_hashes(sums, 64)) == len(data) - 63
+    monkeypatch.setattr(suffix_dedup, "substring_hashes", lambda sums, a, b: np.zeros(len(a), np.uint64))
+    padded = data.tobytes() + bytes(40)
+    strings = [padded[i : i + 40] for i in suffix_dedup.two_stage(data, np.ones(len(data), bool), 40)]
+    assert strings == sorted(strings)
+    runs = np.array([len(t) - 19 for t in texts])
+    every = [t[i : i + 12] for t, n in zip(texts, runs) for i in range(n)]
+    assert [f.tolist() for f, _ in suffix_dedup.repeated_in(texts, runs, 20, 12)] == [[every.count(t[i : i + 12]) > 1 for i in range(n)] for t, n in zip(texts, runs)]
+
+
 def test_hashes_of_built_collisions():
     """Thue-Morse words and their complements collide under any base modulo a power of two."""
     bits = [bin(i).count("1") & 1 for i in range(2048)]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +52,18 @@ def early(percent: int) -> str:
     return " and ".join(f"{k}.place <= {k}.n - {need} + 1" for k in "xy")
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of 256 classes of tokens whether the set has an odd number of them, in four longs."""
+    return np.packbits((np.bincount(shingles & 255, minlength=256) & 1).astype(np.uint8)).view(np.int64)
+
+
+def alike(percent: int) -> str:
+    """Whether x and y, as SQL over two structs with `bits` of `parities`, can be similar: each bit that differs takes a token that
+    only one of them has."""
+    differ = " + ".join(f"bit_count(x.bits[{k}] ^ y.bits[{k}])" for k in range(4))
+    return f"{100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)"
+
+
 def _labelled(postings: DataFrame, roots: DataFrame) -> DataFrame:
     """Postings with the label of each node's component, of those lists whose members have different labels."""
     rows = postings.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
@@ -71,7 +84,7 @@ def _to_pivots(rows: DataFrame, first: Column, verified: Callable[[DataFrame], D
 
 def component_links(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], percent: int, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of the components. verified: keeps the pairs (a, b) that are similar. finer: makes the postings of the last steps,
-    with places by rarity, of nodes; without it those given have places."""
+    with places by rarity, of nodes; without it those given have places. Postings with `bits` (`parities`) make fewer pairs."""
     links = _to_pivots(postings.withColumn("label", F.col("node")), F.lit(0), verified, percent)
     roots = materialise(components(links), "roots")
     rows = _labelled(postings, roots)
@@ -86,7 +99,8 @@ def component_links(postings: DataFrame, verified: Callable[[DataFrame], DataFra
         rows = _labelled(finer_rows, roots)
     # The rest: members of a list that are still apart.
     x, y = (rows.select("t", F.struct(*(c for c in rows.columns if c != "t")).alias(k)) for k in "xy")
-    apart = x.join(y, "t").where(f"x.node < y.node and x.label <> y.label and {early(percent)} and " + possible("x", "y", percent))
+    close = f"{early(percent)} and {possible('x', 'y', percent)}" + (f" and {alike(percent)}" if "bits" in rows.columns else "")
+    apart = x.join(y, "t").where("x.node < y.node and x.label <> y.label and " + close)
     rest = materialise(verified(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), "links")
     if not rest.limit(1).count():
         return roots

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import encoded, lean, materialise, mix, steps, windows, word_hashes
-from .linking import component_links, rare_prefixes, sent_if_small
+from .linking import component_links, parities, rare_prefixes, sent_if_small
 
 SEED = np.uint64(0x9E3779B97F4A7C15)
 ROWS = 2
@@ -60,6 +60,13 @@ def _signed(grams: np.ndarray, starts: np.ndarray, bands: int) -> np.ndarray:
     return found.view(np.int64)
 
 
+def _sums(hashes: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... hashes modulo 2**64. They stay unsigned: next to signed numbers they would become floats of 53 bits."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes, out=sums[1:])
+    return sums
+
+
 def _winnowed(hashes: np.ndarray, own: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of the smallest gram of every `passage` words of one text, each once."""
     n = len(hashes) - passage + 1
@@ -114,9 +121,9 @@ def _units(least_words: int, passage: int, bands: int):
                 if len(a):
                     inside = np.flatnonzero(line[:-4] == line[4:])
                     inside = inside[np.repeat(long, sizes)[inside]]
-                    sums = np.concatenate([[0], np.cumsum(hashes)]).astype(np.uint64)
+                    sums = _sums(hashes)
                     place = mix(hashes + SEED * (np.arange(len(hashes)) - np.repeat(heads, sizes)).astype(np.uint64))
-                    other = np.concatenate([[0], np.cumsum(place)]).astype(np.uint64)
+                    other = _sums(place)
                     p1, p2 = ((mix(x[a + n] - x[a] + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64) for x in (other, sums))
                     buckets = _signed(windows(hashes, 5)[inside], np.searchsorted(inside, a), bands)
                     yield frame(a, a + n - 1, p1=p1, p2=p2, buckets=list(buckets))
@@ -137,7 +144,7 @@ def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             inside = np.flatnonzero(own[:-4] == own[4:])
             grams = (windows(hashes, 5)[inside] >> np.uint64(1)).astype(np.int64)
             sets = [np.unique(g) for g in np.split(grams, np.searchsorted(own[inside], np.arange(1, past - first)))]
-            yield pd.DataFrame({"node": [n for n, _ in cut[first:past]], "n": [len(x) for x in sets], "shingles": sets})
+            yield pd.DataFrame({"node": [n for n, _ in cut[first:past]], "n": [len(x) for x in sets], "shingles": sets, "bits": [parities(x) for x in sets]})
 
 
 def _similar(percent: int):
@@ -234,7 +241,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = kinds.join(sent_if_small(members.select("node").distinct()), "node").groupBy("row").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))
     texts = docs.select("row", "text") if not copies.limit(1).count() else docs.select("row", "text").dropDuplicates(["row"])
     cut = texts.join(materialise(wanted, "wanted"), "row")
-    sets = materialise(cut.select("text", "spans").mapInPandas(lean(_shingles), "node long, n int, shingles array<long>"), "shingles")
+    sets = materialise(cut.select("text", "spans").mapInPandas(lean(_shingles), "node long, n int, shingles array<long>, bits array<long>"), "shingles")
 
     # What a set has for itself alone bounds its similarity to all others.
     tokens = sets.select("node", F.explode("shingles").alias("s"))
@@ -247,7 +254,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(_similar(percent)), "a long, b long")
 
     def rarest(apart: DataFrame) -> DataFrame:
-        return rare_prefixes(sets.join(sent_if_small(apart), "node").select("node", "n", F.explode("shingles").alias("t")), percent)
+        return rare_prefixes(sets.join(sent_if_small(apart), "node").select("node", "n", F.explode("shingles").alias("t")), percent).join(sets.select("node", "bits"), "node")
 
     roots = component_links(postings, verified, percent, rarest)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolex.llm import chat_tree, common, decontaminate, ngram_join, packing, paragraph_dedup, pii, suffix_dedup, token_files, toxicity, vector_search
+from chronolex.llm import chat_tree, common, decontaminate, linking, ngram_join, packing, paragraph_dedup, pii, suffix_dedup, token_files, toxicity, vector_search
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, row long, node long, n long, t long, id long"
 WORDS = ["".join(random.Random(i).choices("abcdefghij", k=6)) for i in range(400)]
@@ -168,6 +168,21 @@ def test_paragraphs(docs, empty):
     assert paragraph_dedup.repeated_passages(empty).count() == 0
 
 
+def test_equal_lines_have_equal_hashes_wherever_they_stand():
+    """Also late in long texts, where sums of hashes are beyond what a float holds; and parities never differ by more than sets do."""
+    lines = [text(40 + i % 3, 12) for i in range(60)]
+    batch = paragraph_dedup.pd.DataFrame({"doc_id": [1, 2], "row": [1, 2], "text": ["\n".join(lines), text(9, 30) + "\n" + "\n".join(lines[:7])]})
+    units = paragraph_dedup.pd.concat(list(paragraph_dedup._units(5, 50, 9)(iter([batch]))))
+    found = units[units["p2"].notna()]
+    assert len(found) == 68 and len(found[["p1", "p2"]].drop_duplicates()) == 4 and found["p1"].nunique() == 4
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        x, y = (np.unique(rng.integers(0, 1 << 60, 100)[: rng.integers(1, 100)]) for _ in range(2))
+        y = np.union1d(y, x[: len(x) // 2])
+        differ = sum(int(a ^ b).bit_count() for a, b in zip(linking.parities(x).view(np.uint64), linking.parities(y).view(np.uint64)))
+        assert differ <= len(np.setxor1d(x, y)) and (differ - len(np.setxor1d(x, y))) % 2 == 0
+
+
 def test_passages_without_lines(spark):
     """Short lines, and passages inside long lines, over other line breaks and over short lines: words by brute force."""
     short, shared = text(70, 8), text(71, 60)

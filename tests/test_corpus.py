@@ -1,11 +1,13 @@
 """A small corpus end to end: XML to tables, diffs, graph, rulings, raw zone, stream."""
 
+import time
 from datetime import date
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronolex import schemas
 from chronolex.functions import tree
 from chronolex.operators import graph, retrieval, risk
 from chronolex.operators import versions as V
@@ -99,6 +101,21 @@ def test_diff_of_any_pair(spark, tables):
         corpus.diff_articles(spark.createDataFrame([(first, 7)], "from_version long, to_version long"), stored, version).collect()
 
 
+def test_large_trees_take_time_in_line_with_their_size(spark):
+    # Every number stands twice, and the second text counts; one text is changed, one goes, one is null and one more comes.
+    n = 10_000
+    clause = "named_struct('no', cast(i % {n} as string), 'text', if(i < {n}, 'first', concat('t', i)), 'sub_clauses', cast(array() as array<{kind}>))"
+    clauses = F.expr(f"transform(sequence(0, {2 * n - 1}), i -> {clause.format(n=n, kind=schemas.SUB_CLAUSE)})")
+    began = time.monotonic()
+    old = spark.range(1).select(tree.flatten_tree(clauses).alias("m")).select("m", F.map_from_entries(F.expr("filter(map_entries(m), e -> e.key <> '제7항')")).alias("less"))
+    new = F.map_concat(F.transform_values("less", lambda k, v: F.when(k == "제5항", "new").when(k != "제6항", v)), F.create_map(F.lit("more"), F.lit(None).cast("string")))
+    row = old.select(F.map_entries("m").alias("m"), tree.diff(F.col("m"), new).alias("d")).first()
+    assert time.monotonic() - began < 60
+    assert row.m == [(f"제{i}항", f"t{n + i}") for i in range(n)]
+    assert row.d.added == {"more": None} and row.d.removed == {"제7항": f"t{n + 7}"}
+    assert {k: tuple(v) for k, v in row.d.changed.items()} == {"제5항": (f"t{n + 5}", "new"), "제6항": (f"t{n + 6}", None)}
+
+
 def test_small_jobs(spark, tables):
     _, t, _ = tables
     row = corpus.embed(corpus.embedding_chunks(t["article_version"]), lambda: lambda texts: [[len(x)] for x in texts], 1).first()

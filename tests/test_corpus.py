@@ -101,6 +101,16 @@ def test_diff_of_any_pair(spark, tables):
         corpus.diff_articles(spark.createDataFrame([(first, 7)], "from_version long, to_version long"), stored, version).collect()
 
 
+def test_keys_of_neighbours_are_found_without_their_trees(spark, tables, tmp_path):
+    # diff_articles reads the keys of stored diffs beside the diffs: that must not work these out once more.
+    _, t, _ = tables
+    t["article_version"].write.parquet(str(tmp_path / "versions"))
+    keys = corpus.build_diffs(spark.read.parquet(str(tmp_path / "versions"))).select("from_version", "to_version")
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "article_key" in plan and "tree" not in plan and "clauses" not in plan
+    assert keys.count() == 1
+
+
 def test_large_trees_take_time_in_line_with_their_size(spark):
     # Every number stands twice, and the second text counts; one text is changed, one goes, one is null and one more comes.
     n = 10_000

@@ -25,6 +25,8 @@ from ..scratch import new_folder, spread, written
 STEP = 1 << 20
 SHARD = 1 << 19
 COUNTED = 1 << 21
+#: Shards of a row group: writers hold one row group, and Spark's reader decodes up to 4096 rows of one at once, some megabytes each here.
+GROUP = 4
 #: Queries that go to the shards at a time.
 BLOCK = 4096
 #: Thresholds are products of floating numbers.
@@ -183,7 +185,7 @@ class TrigramIndex:
         index = cls(spark, folder or new_folder(spark, "trigrams"), key)
         kind = texts.schema[key].dataType.simpleString()
         rows = words_of(spread(texts.select(key, "text")), key).mapInArrow(_shards, f"keys array<{kind}>, sizes array<int>, grams array<bigint>, counts array<int>, texts array<int>")
-        rows.write.mode("overwrite").parquet(f"{index.folder}/shards")
+        rows.write.mode("overwrite").option("parquet.block.row.count.limit", GROUP).parquet(f"{index.folder}/shards")
         each = index.shards.select(F.explode(F.arrays_zip("grams", "counts")).alias("g"))
         each.groupBy(F.col("g.grams").alias("gram")).agg(F.sum("g.counts").alias("texts")).write.mode("overwrite").parquet(f"{index.folder}/frequencies")
         return index

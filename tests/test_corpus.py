@@ -4,6 +4,7 @@ import time
 from datetime import date
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from chronolex import schemas
 from chronolex.functions import tree
 from chronolex.operators import graph, retrieval, risk
 from chronolex.operators import versions as V
+from chronolex.operators.text_index import TrigramIndex
 from chronolex.plans import corpus
 from chronolex.sources import law_xml, raw_zone
 from chronolex.sources.keyed_table import KeyedTable
@@ -126,6 +128,18 @@ def test_large_trees_take_time_in_line_with_their_size(spark):
     assert {k: tuple(v) for k, v in row.d.changed.items()} == {"제5항": (f"t{n + 5}", "new"), "제6항": (f"t{n + 6}", None)}
 
 
+def test_readers_of_a_text_index_decode_few_shards_at_once(spark, tmp_path):
+    # Spark's reader decodes a row group whole: of a file's shards, only a few may be in one.
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.sha2(F.concat_ws("-", "id", i).cast("string"), 256)), "")
+    texts = spark.range(20_000).select(F.col("id").alias("chunk_id"), text.alias("text"))
+    index = TrigramIndex.build(texts, str(tmp_path / "index"))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "index" / "shards").glob("*.parquet")]
+    assert max(m.num_rows for m in files) > 4
+    assert max(m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)) <= 4
+    asked = texts.where("chunk_id in (5, 11000)").withColumnRenamed("chunk_id", "query_id")
+    assert sorted((r.query_id, r.chunk_id) for r in index.hits(asked, 0.9).collect()) == [(5, 5), (11000, 11000)]
+
+
 def test_small_jobs(spark, tables):
     _, t, _ = tables
     row = corpus.embed(corpus.embedding_chunks(t["article_version"]), lambda: lambda texts: [[len(x)] for x in texts], 1).first()
